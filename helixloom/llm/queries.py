@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from helixloom.llm import byte_bpe, packing, token_counts
+from helixloom.llm import byte_bpe, chat, exact_dedup, line_dedup, neighbours, packing, secrets, simhash, token_counts, toxicity
 from helixloom.llm.common import table
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
@@ -25,5 +24,36 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.transcode(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN, ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_best_fit_packing, op3_byte_bpe)}
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.read_back(chat.format_chat(chat.with_probe(table(spark, sf_dir, "conversations"))))
+
+
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("key")
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_dedup(table(spark, sf_dir, "documents")).drop("key")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_token_counts, op2_best_fit_packing, op3_byte_bpe, op4_secret_scan, op5_chat_format, op6_nearest_neighbours, op7_toxicity, op8_exact_dedup, op9_line_dedup, op10_simhash)
+}
 ORACLES: dict[str, str] = {}
