@@ -48,6 +48,7 @@ class WordBPE:
     """
 
     #: The file's own pattern over lower-case Latin-1.
+    LETTER, NUMBER = re.compile("[a-zªµºß-öø-ÿ]"), re.compile("[0-9²³¹¼-¾]")
     PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
     BEYOND = re.compile("[^\x00-\x1b\x20-\xff]")
 
@@ -61,20 +62,42 @@ class WordBPE:
         self.merges = Merges(left, right, np.arange(len(left)), merged)
         self.inner = np.array([vocab[c] for c in byte_chars()], np.int32)
         self.last = np.array([vocab[c + suffix] for c in byte_chars()], np.int32)
-        self.cache = BoundedCache()
+        self.kinds, self.cache = self._kinds(), BoundedCache()
+
+    @classmethod
+    def _kinds(cls) -> np.ndarray:
+        """1 for letters, 2 for numbers, 3 for others of Latin-1, 0 for the newline between words; what PIECE says in a table."""
+        return np.array([0 if c == 10 else 1 if cls.LETTER.match(chr(c)) else 2 if cls.NUMBER.match(chr(c)) else 3 for c in range(256)], np.uint8)
+
+    def _cut(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pieces of words that hold no apostrophe: all bytes, each piece's size, and each word's number of pieces."""
+        raw = np.frombuffer("\n".join(words).encode(), np.uint8)
+        more = (raw & 0xC0) == 0x80  # a character's second byte
+        char = raw.copy()
+        second = np.flatnonzero(more)
+        char[second] = char[second - 1] = ((raw[second - 1] & 3) << 6) | (raw[second] & 63)
+        kind = self.kinds[char]
+        begin = np.concatenate([[True], kind[1:] != kind[:-1]]) | ((kind == 2) & ~more)
+        at = np.flatnonzero(begin)
+        size, real = np.diff(np.append(at, len(raw))), kind[at] > 0
+        return raw[kind > 0], size[real], np.bincount(np.cumsum(kind == 0)[at[real]], minlength=len(words))
 
     def _learn(self, words: list[str]) -> None:
         """`words` hold no white space but may be several pieces, such as a word and its comma."""
-        pieces = [self.PIECE.findall(w) for w in words]
-        raw = [p.encode() for x in pieces for p in x]
-        size = np.array([len(x) for x in raw], np.int64)
-        flat, end = np.frombuffer(b"".join(raw), np.uint8), np.cumsum(size)
-        ids = self.inner[flat]
-        ids[end - 1] = self.last[flat[end - 1]]
-        ids, size = self.merges.words(ids, size)
-        data = ids.astype("<u4").tobytes()
-        to = np.concatenate([[0], np.cumsum(size)])[np.cumsum([0, *map(len, pieces)])] * 4
-        self.cache.update((w, data[a:b]) for w, a, b in zip(words, to[:-1].tolist(), to[1:].tolist(), strict=True))
+        plain, short = [w for w in words if "'" not in w], [w for w in words if "'" in w]
+        parts = [(plain, *self._cut(plain))] if plain else []
+        if short:
+            pieces = [self.PIECE.findall(w) for w in short]
+            raw = [p.encode() for x in pieces for p in x]
+            parts.append((short, np.frombuffer(b"".join(raw), np.uint8), np.array([len(x) for x in raw], np.int64), np.array([len(x) for x in pieces])))
+        for many, flat, size, n_pieces in parts:
+            end = np.cumsum(size)
+            ids = self.inner[flat]
+            ids[end - 1] = self.last[flat[end - 1]]
+            ids, size = self.merges.words(ids, size)
+            data = ids.astype("<u4").tobytes()
+            to = (np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(n_pieces)])] * 4).tolist()
+            self.cache.update(zip(many, [data[a:b] for a, b in zip(to, to[1:], strict=False)], strict=True))
 
     def _by_library(self, many: list[str]) -> list[bytes]:
         if self.library is None:
