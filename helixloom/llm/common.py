@@ -57,12 +57,36 @@ def text_key(column: str = "text") -> Column:
 
 def cut(df: DataFrame) -> DataFrame:
     """`df` with its lineage cut at files in the shared checkpoint folder, so that a lost executor costs no second run of what lies before."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that the cluster names; a temporary one only where none is named, as in tests."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def only(docs: DataFrame, winners: DataFrame, repeated: DataFrame) -> DataFrame:
+    """The rows of `docs`, all columns kept, whose (doc_id, text_key) is in `winners`, each once. `repeated`: the (doc_id, key) of more than one row."""
+
+    def named(df: DataFrame) -> DataFrame:
+        return df.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"))
+
+    marked = docs.withColumn("_key", text_key())
+
+    def join(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        return left.join(right, left["doc_id"].eqNullSafe(right["_d"]) & (left["_key"] == right["_k"]), how)
+
+    stay = join(marked, named(winners), "left_semi")
+    again = cut(named(repeated))
+    if again.isEmpty():
+        return stay.drop("_key")
+    return join(stay, again, "left_anti").unionByName(join(stay, again, "left_semi").dropDuplicates(["doc_id", "_key"])).drop("_key")
+
+
 class BoundedCache(dict):
     """Words already seen by this worker; emptied when full, so that memory stays bounded."""
 

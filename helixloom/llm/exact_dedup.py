@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixloom.llm.common import byte_column, cut, text_key, text_slices
+from helixloom.llm.common import byte_column, cut, only, text_key, text_slices
 
 #: Bytes that the rolling hash sees; a chunk's least, usual and most bytes.
 WINDOW, LEAST, USUAL, MOST = 32, 256, 2048, 8192
@@ -135,13 +135,6 @@ def exact_dedup(docs: DataFrame, hash_bits: int = 128) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that exact_dedup() keeps, with all their columns; of rows with equal doc_id and text, any one."""
-    decided = exact_dedup(docs).filter("kept")
-    once = decided.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"))
-    marked = docs.withColumn("_key", text_key())
-    stay = marked.join(once, marked["doc_id"].eqNullSafe(once["_d"]) & (marked["_key"] == once["_k"]), "left_semi")
-    repeated = cut(stay.select("doc_id", "_key").groupBy("doc_id", "_key").agg(F.count("*").alias("n")).filter("n > 1"))
-    if repeated.isEmpty():
-        return stay.drop("_key")
-    again = repeated.select(F.col("doc_id").alias("_d"), F.col("_key").alias("_k"))
-    on = stay["doc_id"].eqNullSafe(again["_d"]) & (stay["_key"] == again["_k"])
-    return stay.join(again, on, "left_anti").unionByName(stay.join(again, on, "left_semi").dropDuplicates(["doc_id", "_key"])).drop("_key")
+    decided = cut(exact_dedup(docs).select("doc_id", "key", "kept"))
+    again = decided.groupBy("doc_id", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    return only(docs, decided.filter("kept"), again)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixloom.llm.common import cut, raw_texts, text_key, text_slices
+from helixloom.llm.common import cut, only, raw_texts, text_key, text_slices
 from helixloom.llm.components import components
 
 #: A-Z in lower case, all other bytes as they are.
@@ -146,12 +146,25 @@ def _large_links(rows: DataFrame, cover: list[int], radius: int) -> DataFrame:
     return pair.select("u", "v").distinct()
 
 
-def near_dedup(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
-    """doc_id, key, fingerprint (16 hex digits), component_id (the smallest doc_id that links reach) for each row of `docs`."""
+def grouped(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
+    """doc_id, key, fp, root (names the component), component_id for each row of `docs`."""
     rows = cut(fingerprints(docs, words))
     nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(nodes.select("fp"), radius))
     placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = placed.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "key", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(placed.join(least, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "key", "fp", "root", "component_id")
+
+
+def near_dedup(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
+    """doc_id, key, fingerprint (16 hex digits), component_id (the smallest doc_id that links reach) for each row of `docs`."""
+    return grouped(docs, words, radius).select("doc_id", "key", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
+    """One row of each component of `docs`, all columns kept: that of the smallest doc_id (nulls last), of its rows that of the smallest key."""
+    rows = cut(grouped(docs, words, radius).select("doc_id", "key", "root"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "key")).alias("first")
+    winners = rows.groupBy("root").agg(first).select("first.doc_id", "first.key")
+    again = rows.groupBy("doc_id", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    return only(docs, winners, again)

@@ -1,7 +1,7 @@
 """Toxicity by subword-bag embeddings (operator 7).
 
-A word is the mean of its own vector and those of its character n-grams (hashed into a table); a text is the mean of its words; a linear
-softmax decides. Table and softmax are trained jointly, in numpy, by Adagrad on a bounded sample of labelled rows; so words never seen, such
+A word is the mean of its own vector and those of its character n-grams (hashed into a table); a text is the mean of its words, where a
+word's weight grows with the logarithm of its count and every bag is padded with empty words; a linear softmax decides. Table and softmax are trained jointly, in numpy, by Adagrad on a bounded sample of labelled rows; so words never seen, such
 as misspellings, share the vectors of their n-grams. For scoring, table and softmax fold into one number for each place of the table.
 
 Defined cases: null text counts as empty; a text without words gets the prior alone; without labelled rows of both classes all scores are the
@@ -11,6 +11,7 @@ an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -26,15 +27,21 @@ from helixloom.llm.common import BoundedCache, text_slices, texts
 @dataclass(frozen=True)
 class Parameters:
     #: Rows of each class that the model is fitted on at most, and the longest text among them (longer ones are left to the other rows).
-    per_class: int = 4000
+    per_class: int = 3000
     longest: int = 20_000
     #: Places of the table as a power of two, dimensions, n-gram lengths.
     bits: int = 17
-    dims: int = 6
+    dims: int = 4
     grams: tuple[int, ...] = (3, 4, 5)
-    epochs: int = 12
+    #: Passes over the sample, more where it is so small that they make fewer than `steps` batches.
+    epochs: int = 5
+    steps: int = 400
     batch: int = 64
-    rate: float = 0.3
+    rate: float = 1.5
+    #: Spread of the table's first values.
+    spread: float = 0.01
+    #: Empty words that every bag has besides, so that a few words alone don't decide.
+    padding: float = 40.0
     seed: int = 5
     threshold: float = 0.3
 
@@ -76,7 +83,11 @@ class Model:
                 if w not in cache:
                     cache[w] = float(self.weight[places(w, self.p)].mean())
             get = cache.__getitem__
-            logit = np.array([self.bias + (sum(map(get, x)) / len(x) if x else 0.0) for x in split])
+            logit = np.empty(len(split))
+            for k, x in enumerate(split):
+                count = Counter(x)
+                n = 1 + np.log(np.fromiter(count.values(), np.float64, len(count)))
+                logit[k] = self.bias + n @ np.fromiter(map(get, count), np.float64, len(count)) / (n.sum() + self.p.padding)
             return 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
 
         return score
@@ -94,12 +105,13 @@ def train(rows: list[tuple[str, int]], p: Parameters, prior: float) -> Model:
     docs = []
     for text, _ in rows:
         words, count = np.unique([number.setdefault(w, len(number)) for w in word_list(text)], return_counts=True)
-        docs.append((words.astype(np.int64), count / max(1, count.sum())))
+        share = 1 + np.log(count)
+        docs.append((words.astype(np.int64), share / (share.sum() + p.padding)))
     at = [np.array(places(w, p)) for w in number]
     n_at = np.array([len(x) for x in at], np.int64)
     start, flat = np.cumsum(n_at) - n_at, np.concatenate(at) if at else np.zeros(0, np.int64)
-    table = rng.uniform(-1, 1, (size, p.dims)) / p.dims
-    soft, bias = rng.standard_normal((p.dims, 2)) * 0.1, np.zeros(2)
+    table = rng.uniform(-p.spread, p.spread, (size, p.dims))
+    soft, bias = rng.standard_normal((p.dims, 2)), np.zeros(2)
     g_table, g_soft, g_bias = np.full((size, p.dims), 1e-6), np.full((p.dims, 2), 1e-6), np.full(2, 1e-6)
     order = rng.permutation(len(rows))
     batches = []
@@ -115,7 +127,7 @@ def train(rows: list[tuple[str, int]], p: Parameters, prior: float) -> Model:
     def into(index: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
         return np.stack([np.bincount(index, value[:, d], n) for d in range(value.shape[1])], 1)
 
-    for _ in range(p.epochs):
+    for _ in range(max(p.epochs, -(-p.steps // len(batches)))):
         for k in rng.permutation(len(batches)):
             y, doc, inverse, share, word, inv_n, used, place, n_words = batches[k]
             own = table[used]
@@ -137,7 +149,9 @@ def train(rows: list[tuple[str, int]], p: Parameters, prior: float) -> Model:
             bias -= p.rate * d_bias / np.sqrt(g_bias)
     mine = label.mean()
     shift = np.log(prior / (1 - prior)) - np.log(mine / (1 - mine))
-    return Model((table @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(bias[1] - bias[0] + shift), p)
+    weight = table @ (soft[:, 1] - soft[:, 0])
+    weight[np.bincount(flat, minlength=size) == 0] = 0.0  # places that no word of the sample has say nothing
+    return Model(weight.astype(np.float32), float(bias[1] - bias[0] + shift), p)
 
 
 def held_out() -> Column:
