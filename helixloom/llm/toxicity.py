@@ -17,7 +17,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +45,7 @@ class Parameters:
     threshold: float = 0.3
 
 
+PRIME, MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 EDGE = ".,;:!?()[]{}\"'|…«»“”‘’*_-"
 
 
@@ -53,12 +53,27 @@ def word_list(text: str) -> list[str]:
     return text.lower().split()
 
 
-def places(word: str, p: Parameters) -> list[int]:
-    """Table places of a word and its n-grams."""
-    w = f"<{word.strip(EDGE)}>"
-    mask = (1 << p.bits) - 1
-    grams = {w} | {w[i : i + n] for n in p.grams for i in range(len(w) - n + 1)}
-    return [xxhash.xxh32_intdigest(g.encode()) & mask for g in grams]
+def places(words: list[str], p: Parameters) -> tuple[np.ndarray, np.ndarray]:
+    """Table places of the words and their n-grams, word by word; and how many each word has. Hashes are polynomials over code points, of all words at once."""
+    bare = [f"<{w.strip(EDGE)}>" for w in words]
+    size = np.fromiter(map(len, bare), np.int64, len(bare))
+    code = np.frombuffer("".join(bare).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    word, start = np.repeat(np.arange(len(bare)), size), np.cumsum(size) - size
+    power = np.cumprod(np.full(int(size.max(initial=0)) + 1, PRIME))
+    whole = np.add.reduceat(code * power[np.arange(len(code)) - np.repeat(start, size)], start) if len(code) else np.zeros(0, np.uint64)
+    hashes, of = [whole], [np.arange(len(bare))]
+    for n in p.grams:
+        if (m := len(code) - n + 1) > 0:
+            h = np.full(m, n, np.uint64)
+            for k in range(n):
+                h = h * PRIME + code[k : k + m]
+            inside = word[:m] == word[n - 1 :]
+            hashes.append(h[inside])
+            of.append(word[:m][inside])
+    h, of_word = np.concatenate(hashes), np.concatenate(of)
+    order = np.argsort(of_word, kind="stable")
+    place = ((h ^ (h >> np.uint64(29))) * MIX) >> np.uint64(64 - p.bits)
+    return place[order].astype(np.int32), np.bincount(of_word, minlength=len(bare))
 
 
 @dataclass(frozen=True)
@@ -79,9 +94,9 @@ class Model:
                 seen.update(x)
             if len(cache) + len(seen) > cache.limit:
                 cache.clear()
-            for w in seen:
-                if w not in cache:
-                    cache[w] = float(self.weight[places(w, self.p)].mean())
+            if new := [w for w in seen if w not in cache]:
+                flat, n = places(new, self.p)
+                cache.update(zip(new, (np.add.reduceat(self.weight[flat], np.cumsum(n) - n) / n).tolist(), strict=True))
             get = cache.__getitem__
             logit = np.empty(len(split))
             for k, x in enumerate(split):
@@ -104,32 +119,35 @@ def train(rows: list[tuple[str, int]], p: Parameters, prior: float) -> Model:
     number: dict[str, int] = {}
     docs = []
     for text, _ in rows:
-        words, count = np.unique([number.setdefault(w, len(number)) for w in word_list(text)], return_counts=True)
+        words, count = np.unique(np.array([number.setdefault(w, len(number)) for w in word_list(text)], np.int32), return_counts=True)
         share = 1 + np.log(count)
-        docs.append((words.astype(np.int64), share / (share.sum() + p.padding)))
-    at = [np.array(places(w, p)) for w in number]
-    n_at = np.array([len(x) for x in at], np.int64)
-    start, flat = np.cumsum(n_at) - n_at, np.concatenate(at) if at else np.zeros(0, np.int64)
+        docs.append((words, (share / (share.sum() + p.padding)).astype(np.float32)))
+    words = list(number)
+    parts = [places(words[lo : lo + 20_000], p) for lo in range(0, len(words), 20_000)]
+    flat, n_at = (np.concatenate([x[k] for x in parts]) if parts else np.zeros(0, np.int64) for k in (0, 1))
+    del number, words, parts
+    start = np.cumsum(n_at, dtype=np.int64) - n_at
     table = rng.uniform(-p.spread, p.spread, (size, p.dims))
     soft, bias = rng.standard_normal((p.dims, 2)), np.zeros(2)
     g_table, g_soft, g_bias = np.full((size, p.dims), 1e-6), np.full((p.dims, 2), 1e-6), np.full(2, 1e-6)
     order = rng.permutation(len(rows))
-    batches = []
-    for lo in range(0, len(order), p.batch):
-        of = order[lo : lo + p.batch]
+    batches = [order[lo : lo + p.batch] for lo in range(0, len(order), p.batch)]
+
+    def laid_out(of: np.ndarray) -> tuple:
+        """A batch's words and table places, made anew each time, as all of them together would fill the driver's memory."""
         words, inverse = np.unique(np.concatenate([docs[k][0] for k in of]), return_inverse=True)
         doc = np.repeat(np.arange(len(of)), [len(docs[k][0]) for k in of])
         n = n_at[words]
         flat_at = flat[np.repeat(start[words] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
         used, place = np.unique(flat_at, return_inverse=True)
-        batches.append((label[of], doc, inverse, np.concatenate([docs[k][1] for k in of]), np.repeat(np.arange(len(words)), n), 1 / n, used, place, len(words)))
+        return label[of], doc, inverse, np.concatenate([docs[k][1] for k in of]), np.repeat(np.arange(len(words)), n), 1 / n, used, place, len(words)
 
     def into(index: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
         return np.stack([np.bincount(index, value[:, d], n) for d in range(value.shape[1])], 1)
 
     for _ in range(max(p.epochs, -(-p.steps // len(batches)))):
         for k in rng.permutation(len(batches)):
-            y, doc, inverse, share, word, inv_n, used, place, n_words = batches[k]
+            y, doc, inverse, share, word, inv_n, used, place, n_words = laid_out(batches[k])
             own = table[used]
             vec = into(word, own[place], n_words) * inv_n[:, None]
             text = into(doc, vec[inverse] * share[:, None], len(y))
