@@ -210,7 +210,9 @@ def two_means(profile: DataFrame, variants: DataFrame, keys: list[str], o: Optio
         return pd.DataFrame(rows, columns=[*keys, "kind", "id", "phase_set", "hap", "hap1", "hap2"]).astype({"hap": "Int32", "hap1": "Int32", "hap2": "Int32"})
 
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", kind string, id long, phase_set long, hap int, hap1 int, hap2 int"
-    return profile.groupBy(*keys).cogroup(variants.groupBy(*keys)).applyInPandas(run, schema)
+    # new names for the same columns: profile often comes from these very variants
+    p, v = (df.select(*(F.col(c).alias(c) for c in df.columns)) for df in (profile, variants))
+    return p.groupBy(*keys).cogroup(v.groupBy(*keys)).applyInPandas(run, schema)
 
 
 def stitch_votes(haps: DataFrame) -> DataFrame:
