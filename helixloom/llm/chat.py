@@ -2,7 +2,7 @@
 
 Turns come sorted by conversation and turn. For each batch, segment lengths, cumulative offsets and scatter places are computed in numpy,
 and headers, contents and tails are copied into one preallocated Arrow buffer. A conversation is written in
-parts of at most PART bytes of turns, so one of any length streams through in bounded memory.
+parts of at most `part_bytes` of turns, so one of any length streams through in bounded memory.
 
 Template, for each turn: `<|im_start|>role\\ntext<|im_end|>\\n`. In roles and texts every `<`, backslashes, `|` gets one more backslash, so no control
 string is left; in roles also backslash and newline are escaped. The loss mask covers the texts of assistant turns.
@@ -73,7 +73,7 @@ def assemble(role: pa.Array, text: pa.Array) -> tuple[pa.LargeStringArray, np.nd
     return whole, len(START) + 1 + pc.utf8_length(role).to_numpy(zero_copy_only=False), pc.utf8_length(text).to_numpy(zero_copy_only=False)
 
 
-def format_chat(turns: DataFrame) -> DataFrame:
+def format_chat(turns: DataFrame, part_bytes: int = PART) -> DataFrame:
     """conv_id, part int (from 0), formatted, n_turns int, n_chars long, loss (array of (start, end): characters of this part under the loss mask).
 
     A conversation's parts lie in one partition in order.
@@ -83,7 +83,7 @@ def format_chat(turns: DataFrame) -> DataFrame:
         last, part = object(), -1
         for big in batches:
             size = pc.add(pc.fill_null(pc.binary_length(big.column("text")), 0), pc.fill_null(pc.binary_length(big.column("role")), 0)).to_numpy(zero_copy_only=False)
-            step = np.cumsum(size, dtype=np.int64) // PART
+            step = np.cumsum(size, dtype=np.int64) // part_bytes
             cuts = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), big.num_rows]
             for lo, hi in zip(cuts, cuts[1:], strict=False):
                 b = big.slice(lo, hi - lo)

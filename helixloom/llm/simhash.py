@@ -6,7 +6,7 @@ m(i) has an odd product with v, and r vectors of r+1 bits always have a common v
 pair within the radius meets in some table, with equal masked fingerprints.
 
 Equal fingerprints are one node. In a table, distinct fingerprints of equal masked bits are compared within their bucket
-and give a spanning forest of its links, never all pairs. A bucket beyond BUCKET nodes is linked exactly in
+and give a spanning forest of its links, never all pairs. A bucket beyond `bucket_size` nodes is linked exactly in
 another way: every node offers itself and all ways to flip one of the bits that the mask leaves out; two nodes within
 2 share such an offer, so each offer's sharers get a link. Then components.
 
@@ -75,7 +75,8 @@ def _signed(x: int) -> int:
 
 def _forest(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Links (node, root) of the components of a few distinct fingerprints."""
-    near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= radius
+    bits = fp.view(np.uint64)  # of signed numbers numpy counts the bits of the absolute value
+    near = np.bitwise_count(bits[:, None] ^ bits[None, :]) <= radius
     root = np.arange(len(fp))
     while True:
         least = np.where(near, root[None, :], len(fp)).min(1)
@@ -85,7 +86,7 @@ def _forest(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return [(int(fp[i]), int(fp[r])) for i, r in enumerate(root.tolist()) if r != i]
 
 
-def links(nodes: DataFrame, radius: int = 2) -> DataFrame:
+def links(nodes: DataFrame, radius: int = 2, bucket_size: int = BUCKET) -> DataFrame:
     """u, v: links that join all of `nodes` (distinct `fp` long) which a chain of steps within the radius joins."""
     cover = [_signed(m) for m in masks(radius)]
     parts = F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("part")) for t, m in enumerate(cover)))
@@ -109,13 +110,13 @@ def links(nodes: DataFrame, radius: int = 2) -> DataFrame:
             for k in np.flatnonzero((size > 1) | (begin == begin[-1]) | (begin == 0)).tolist():
                 bucket = rows[begin[k] : begin[k] + size[k]]
                 name = tuple(bucket[0, :2].tolist())
-                if name == large or size[k] > BUCKET:
+                if name == large or size[k] > bucket_size:
                     large = name
                     rest.append(bucket)
                 elif k == len(begin) - 1 and not last:
                     keep = bucket
                 elif size[k] > 1:
-                    link += _forest(bucket[:, 2], radius)
+                    link += _forest(np.ascontiguousarray(bucket[:, 2]), radius)
             return link, np.concatenate(rest) if rest else rows[:0], keep
 
         for b in batches:
