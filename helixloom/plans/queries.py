@@ -475,3 +475,139 @@ def cigar_decode(spark, d):
     rows = b.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("read_id"), F.row_number().over(w).cast("long").alias("line"), F.col("l_partkey").alias("pos"), text.alias("cigar"))
     ops = rows.select("read_id", "line", F.posexplode(cigar_ops(F.col("cigar"), F.col("pos"))).alias("k", "x"))
     return ops.select("read_id", "line", (F.col("k") + 1).cast("long").alias("k"), "x.op", "x.len", F.col("x.ref_pos").alias("ref_pos"), F.col("x.qi").cast("long").alias("qi"))
+
+
+# Kernels over tables: not SQL; unit tests hold them against brute force -------------------------------------------------
+
+DENSE_EVENTS = """e AS (SELECT user_id AS read_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, epoch_us(ts) // 3600000000 AS pos, CASE WHEN event_type = 'click' THEN 0 ELSE 1 END AS len, event_id % 3 + 1 AS cnt FROM events)"""
+
+
+@query(f"""WITH {DENSE_EVENTS}, w AS (SELECT a.read_id, a.k, CAST(sum(b.cnt) AS BIGINT) AS total, min(b.pos) AS st, a.pos + a.len AS en FROM e a JOIN e b ON a.read_id = b.read_id AND b.k <= a.k AND (b.k = a.k OR b.pos + b.len - 1 > a.pos - 24) GROUP BY a.read_id, a.k, a.pos, a.len)
+ SELECT read_id, k, total, st, en FROM w WHERE total > 5""")
+def dense_window(spark, d):
+    """Windows of a read's events whose counts exceed a bound. Positions ascend and event ends almost do, so the window is a range of positions and a check of ends."""
+    from helixloom.operators.windows import dense_spans
+
+    e = b.table(spark, d, "events")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = e.select(F.col("user_id").alias("read_id"), F.row_number().over(w).cast("long").alias("k"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / b.HOUR).alias("pos"), F.when(F.col("event_type") == "click", 0).otherwise(1).alias("len"), (F.col("event_id") % 3 + 1).alias("cnt"))
+    return dense_spans(rows, ["read_id"], 24, 5)
+
+
+@query()
+def dust_mask(spark, d):
+    from helixloom.plans import functions as f
+
+    return b.sequences(spark, d, "benchmark").select("id", F.inline(f.dust_mask("seq")))
+
+
+@query()
+def infix_similarity(spark, d):
+    """Each benchmark passage against the next one, within it."""
+    from helixloom.plans import functions as f
+
+    s = b.sequences(spark, d).select("id", F.substring("seq", 1, 60).alias("q"))
+    t = b.sequences(spark, d).select((F.col("id") - 1).alias("id"), "seq")
+    return s.join(t, "id").select("id", f.infix_edit("q", "seq").alias("a")).select("id", "a.distance", "a.start", "a.end", "a.path")
+
+
+@query("WITH s AS ({s}) SELECT x.id, CAST(levenshtein(x.seq, y.seq) AS BIGINT) AS distance FROM s x JOIN s y ON y.id = x.id + 1".format(s=b.SEQ_SQL))
+def edit_distance(spark, d):
+    s = b.sequences(spark, d)
+    t = s.select((F.col("id") - 1).alias("id"), F.col("seq").alias("other"))
+    return s.join(t, "id").select("id", F.levenshtein("seq", "other").cast("long").alias("distance"))
+
+
+@query()
+def affine_alignment(spark, d):
+    from helixloom.plans import functions as f
+
+    s = b.sequences(spark, d).select("id", F.substring("seq", 1, 120).alias("t"))
+    q = b.sequences(spark, d).select("id", F.concat(F.substring("seq", 1, 50), F.substring("seq", 58, 60)).alias("q"))
+    return s.join(q, "id").select("id", f.affine_align("t", "q").alias("a")).select("id", "a.target", "a.query")
+
+
+@query()
+def poa_consensus(spark, d):
+    """Ten copies of a passage's begin, each with a base left out; the consensus is the passage."""
+    from helixloom.plans import functions as f
+
+    s = b.sequences(spark, d).select("id", F.substring("seq", 1, 80).alias("s"))
+    copies = F.transform(F.sequence(F.lit(1), F.lit(10)), lambda k: F.concat(F.substring("s", F.lit(1), k * 7), F.substring("s", k * 7 + 2, F.lit(80))))
+    return s.select("id", "s", f.poa_consensus(copies).alias("consensus"))
+
+
+@query()
+def te_annotate(spark, d):
+    """Gaps with a duplication and a tail made from passages."""
+    from helixloom.plans import functions as f
+
+    s = b.sequences(spark, d).select("id", "seq")
+    gap = F.concat(F.substring("seq", 1, 12), F.substring("seq", 40, 30), F.repeat(F.lit("A"), F.lit(14)))
+    flank = F.concat(F.substring("seq", 1, 12), F.substring("seq", 90, 60))
+    return s.select("id", f.insertion_marks(gap, flank).alias("m")).select("id", "m.tsd_len", "m.tail_len")
+
+
+@query("""WITH t AS (SELECT user_id, date_trunc('day', ts) AS st, value FROM events) SELECT user_id, st, count(*) AS n, round(sum(value), 6) AS total FROM t GROUP BY 1, 2""")
+def tumbling_counts(spark, d):
+    from helixloom.streaming.windows import tumbling_counts as counts
+
+    out = counts(b.table(spark, d, "events"), ["user_id"], "ts", "1 day")
+    return out.select("user_id", F.col("st").cast("timestamp_ntz").alias("st"), "n", F.round("total", 6).alias("total"))
+
+
+@query("""WITH s AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS nw FROM events), g AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM s)
+ SELECT user_id, min(ts) AS st, max(ts) + INTERVAL 6 HOUR AS en, count(*) AS n FROM g GROUP BY user_id, k""")
+def sessions(spark, d):
+    from helixloom.streaming.windows import sessions as merged
+
+    return merged(b.table(spark, d, "events"), "user_id", "ts", "6 hours").select("user_id", F.col("st").cast("timestamp_ntz").alias("st"), F.col("en").cast("timestamp_ntz").alias("en"), "n")
+
+
+SOMATIC = f"WITH {CLASSES}, k AS (SELECT pos, vtype, ref_len, alt_len, alt_cov, CASE WHEN pos % 5 = 0 THEN 12 ELSE 0 END AS tsd FROM classes)"
+
+
+@query(f"{SOMATIC} SELECT pos, CASE WHEN vtype = 8 THEN alt_cov >= 2 WHEN vtype = 1 AND alt_len >= 30 THEN alt_cov >= 2 OR (tsd > 0 AND alt_cov >= 1) WHEN vtype = 2 AND ref_len >= 30 THEN alt_cov >= 2 ELSE false END AS candidate FROM k")
+def somatic_candidates(spark, d):
+    from helixloom.operators.somatic import is_candidate
+
+    c = _classes(spark, d).withColumn("tsd_len", F.when(F.col("pos") % 5 == 0, 12).otherwise(0))
+    return c.select("pos", is_candidate(HIFI).alias("candidate"))
+
+
+@query(f"""WITH p AS ({b.PROFILE}), h AS (SELECT *, read_id % 2 + 1 AS hap, read_id % 3 * 10 + 10 AS phase_set FROM p), g AS (SELECT grp, var_id, phase_set, count(*) AS depth, count(*) FILTER (hap = 1 AND allele = 0) AS r1, count(*) FILTER (hap = 1 AND allele = 1) AS a1, count(*) FILTER (hap = 2 AND allele = 0) AS r2, count(*) FILTER (hap = 2 AND allele = 1) AS a2 FROM h GROUP BY 1, 2, 3),
+ f AS (SELECT *, row_number() OVER (PARTITION BY grp, var_id ORDER BY depth DESC, phase_set) AS k FROM g WHERE (a1 > 0) <> (a2 > 0) AND CASE WHEN a1 > 0 THEN a1 <= r1 ELSE a2 <= r2 END AND depth >= 2),
+ v AS (SELECT DISTINCT grp, var_id FROM h) SELECT v.grp, v.var_id, coalesce(f.phase_set, 0) AS phase_set, CASE WHEN f.a1 > 0 THEN 1 ELSE 2 END AS alt_hap FROM v LEFT JOIN f ON v.grp = f.grp AND v.var_id = f.var_id AND f.k = 1""")
+def somatic_phase_set(spark, d):
+    from helixloom.operators.somatic import choose_phase_set
+
+    p = b.profile(spark, d).withColumn("hap", F.col("read_id") % 2 + 1).withColumn("phase_set", F.col("read_id") % 3 * 10 + 10)
+    return choose_phase_set(p, ["grp"], replace(HIFI, min_depth=2))
+
+
+GERMLINE_ANTI = "WITH s AS (SELECT p_brand AS grp, p_partkey AS var_id, p_partkey * 40 AS pos, CASE WHEN p_size % 2 = 0 THEN 1 ELSE 2 END AS vtype, p_size AS len FROM part)"
+
+
+@query(f"{GERMLINE_ANTI} SELECT grp, var_id FROM s a WHERE var_id % 3 = 0 AND NOT EXISTS (SELECT 1 FROM s b WHERE b.var_id % 3 <> 0 AND a.grp = b.grp AND a.vtype = b.vtype AND abs(a.pos - b.pos) <= greatest(500, a.len) AND least(a.len, b.len) >= 0.8 * greatest(a.len, b.len))")
+def somatic_not_germline(spark, d):
+    from helixloom.operators.somatic import without_germline
+
+    s = b.table(spark, d, "part").select(F.col("p_brand").alias("grp"), F.col("p_partkey").alias("var_id"), (F.col("p_partkey") * 40).alias("pos"), F.when(F.col("p_size") % 2 == 0, 1).otherwise(2).alias("vtype"), F.col("p_size").alias("len"))
+    return without_germline(s.filter("var_id % 3 = 0"), s.filter("var_id % 3 <> 0"), ["grp"]).select("grp", "var_id")
+
+
+
+
+@query()
+def germline_calls(spark, d):
+    """The whole path, from reads to phased calls, on passages as contigs."""
+    from helixloom.plans import germline
+    from helixloom.sources import fasta
+
+    s = b.sequences(spark, d).filter("length(seq) >= 60").select(F.concat(F.lit("c"), "id").alias("contig"), F.translate("seq", "N", "A").alias("seq"))
+    bases = F.split("seq", "")
+    alt = F.array_join(F.transform(bases, lambda c, i: F.when((i % 50 == 49) & (i < F.length("seq") - 10), F.translate(c, "ACGT", "CGTA")).otherwise(c)), "")
+    cigar = F.concat(F.repeat(F.lit("49=1X"), F.floor((F.length("seq") - 10) / 50).cast("int")), F.length("seq") - F.floor((F.length("seq") - 10) / 50) * 50, F.lit("="))
+    reads = s.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(11)))).select(F.concat(F.lit("r"), "r").alias("qname"), F.when(F.col("r") % 4 < 2, 0).otherwise(16).alias("flag"), "contig", F.lit(1).cast("long").alias("pos"), F.lit(60).alias("mapq"), F.when(F.col("r") % 2 == 1, cigar).otherwise(F.concat(F.length("seq"), F.lit("="))).alias("cigar"), F.when(F.col("r") % 2 == 1, alt).otherwise(F.col("seq")).alias("seq"), F.lit(None).cast("binary").alias("qual"), F.create_map().cast("map<string,string>").alias("tags"))
+    calls, _ = germline.call(reads, s.select("contig", F.length("seq").cast("long").alias("length")), fasta.binned(s), HIFI)
+    return calls.select("contig", "pos", "ref", "alt", "gt", "dp", "alt_ad", "qual", "gq", "ps")
