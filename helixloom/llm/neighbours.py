@@ -2,9 +2,9 @@
 
 Nearness is the largest inner product. Vectors get one more dimension that evens out their norms, so that it becomes the least
 Euclidean distance; a fixed random rotation spreads that distance evenly over the dimensions. Lists come from k-means on a
-bounded sample; every vector is indexed. Within each probed list, dimensions are read in column blocks: after each, a candidate whose
-partial distance, scaled up to all dimensions, is beyond the best k so far with high confidence, is given up. Survivors are scored
-exactly, in double precision, on the original vectors.
+bounded sample; every vector is indexed. A query's k-th nearest of the sample is a distance that its k nearest of all rows beat. Within each
+probed list, dimensions are read in column blocks: after each, a candidate whose partial distance, scaled up to all dimensions, is beyond
+the distance to beat with high confidence, is given up. Survivors are scored exactly, in double precision, on the original vectors.
 
 Equal vectors are one candidate (a class); a class knows its least ids, as many as a result can hold. So copies cost no
 work, and ties go to smaller ids. Lists are dealt in blocks of BLOCK vectors by BLOCK queries, so none must fit a task.
@@ -31,14 +31,14 @@ from helixloom.llm.common import cut
 class Parameters:
     k: int = 20
     #: Rows that k-means is fitted on at most.
-    sample: int = 32_768
+    sample: int = 16_384
     #: Lists: the root of the classes, times this, at most sample / 16.
-    lists_per_root: float = 0.5
+    lists_per_root: float = 1.0
     #: Share of the lists that a query probes, and the fewest.
-    probe_share: float = 0.4
+    probe_share: float = 0.7
     least_probes: int = 8
     #: Dimensions read at a time, and the tests' significance (the larger, the fewer false dismissals).
-    columns: int = 16
+    columns: int = 32
     epsilon: float = 2.1
     #: Vectors and queries of one block.
     block: int = 16_384
@@ -70,30 +70,41 @@ def nearest(x: np.ndarray, centre: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, n), np.int64)
 
 
-def scan(query: np.ndarray, vector: np.ndarray, k: int, columns: int, epsilon: float) -> tuple[np.ndarray, np.ndarray]:
-    """(query, vector) rows that survive the adaptive scan: for each query all vectors that may be among its k nearest. Both are rotated."""
+def kth_distance(query: np.ndarray, sample: np.ndarray, k: int) -> np.ndarray:
+    """Squared distance of the k-th nearest sample row of each query, which bounds that of all rows; infinite if there are fewer."""
+    if len(sample) < k:
+        return np.full(len(query), np.inf, np.float32)
+    out = []
+    for lo in range(0, len(query), step := max(1, (1 << 22) // len(sample))):
+        q = query[lo : lo + step]
+        out.append((q**2).sum(1) + np.partition((sample**2).sum(1) - 2 * q @ sample.T, k - 1, 1)[:, k - 1])
+    return np.concatenate(out) if out else np.zeros(0, np.float32)
+
+
+def scan(query: np.ndarray, vector: np.ndarray, beat: np.ndarray, columns: int, epsilon: float) -> tuple[np.ndarray, np.ndarray]:
+    """(query, vector) rows that survive the adaptive scan. All are rotated, in single precision; `beat` holds for each query the squared distance to beat.
+
+    The first block is a matrix product of all pairs; of the later ones only pairs still alive are read. A pair is given up once its
+    partial distance, scaled to all dimensions, is beyond the distance to beat by more than the test allows.
+    """
     dims, n = vector.shape[1], len(vector)
-    if n <= k:
-        return tuple(x.ravel() for x in np.indices((len(query), n)))
-    found = []
-    for lo in range(0, len(query), step := max(1, (1 << 21) // n)):
+    limit = lambda end: beat * (1 + (epsilon / end**0.5 if end < dims else 1e-4)) ** 2 * (end / dims) + 1e-6
+    first, b = min(columns, dims), vector[:, : min(columns, dims)]
+    square, found = (b**2).sum(1), []
+    for lo in range(0, len(query), step := max(1, (1 << 22) // max(1, n))):
         q = query[lo : lo + step]
-        a, b = q[:, :columns], vector[:, :columns]
-        part = np.maximum((a**2).sum(1)[:, None] + (b**2).sum(1) - 2 * a @ b.T, 0)
-        # the k that look best after one block set the distance to beat
-        seeds = np.argpartition(part, k - 1, 1)[:, :k]
-        beat = ((q[:, None] - vector[seeds]) ** 2).sum(2).max(1)
-        keep = part * (dims / columns) <= (beat * (1 + epsilon / columns**0.5) ** 2)[:, None]
-        np.put_along_axis(keep, seeds, True, 1)
-        i, j = np.nonzero(keep)
+        part = q[:, :first] @ (-2 * b.T)
+        part += square
+        part += (q[:, :first] ** 2).sum(1)[:, None]
+        i, j = np.nonzero(part <= limit(first)[lo : lo + step, None])
         d = part[i, j]
-        for at in range(columns, dims, columns):
+        for at in range(first, dims, columns):
             end = min(at + columns, dims)
-            d = d + ((q[i, at:end] - vector[j, at:end]) ** 2).sum(1)
-            good = d * (dims / end) <= beat[i] * (1 + (epsilon / end**0.5 if end < dims else 1e-9)) ** 2
+            d += ((q[i, at:end] - vector[j, at:end]) ** 2).sum(1)
+            good = d <= limit(end)[lo + i]
             i, j, d = i[good], j[good], d[good]
         found.append((i + lo, j))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def valid(vectors: DataFrame) -> DataFrame:
@@ -128,25 +139,27 @@ def search(vectors: DataFrame, every: int = 20, p: Parameters | None = None) ->
 
     def rotated(x: np.ndarray, is_query: bool) -> np.ndarray:
         rest = np.zeros(len(x)) if is_query else np.sqrt(np.maximum(top - (x**2).sum(1), 0))
-        return np.concatenate([x, rest[:, None]], 1) @ rotation
+        return (np.concatenate([x, rest[:, None]], 1) @ rotation).astype(np.float32)
 
     n_lists = int(max(1, min(p.lists_per_root * total["n"] ** 0.5, len(fit) / 16)))
     probes = min(n_lists, max(p.least_probes, round(p.probe_share * n_lists)))
-    centre = kmeans(rotated(fit, False), n_lists, p.seed)
+    seen = rotated(fit, False)  # p.sample rows at most
+    centre = kmeans(seen.astype(np.float64), n_lists, p.seed)
 
     def assign(is_query: bool):
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 x = rotated(_matrix(b.column("embedding"), dims), is_query)
                 near = nearest(x, centre, probes if is_query else 1)
-                yield pa.record_batch([*b.columns, pa.array(near.tolist(), pa.list_(pa.int32()))], names=["cls", "embedding", "lists"])
+                beat = kth_distance(x, seen, most) if is_query else np.zeros(len(x), np.float32)
+                yield pa.record_batch([*b.columns, pa.array(near.tolist(), pa.list_(pa.int32())), pa.array(beat, pa.float32())], names=["cls", "embedding", "lists", "beat"])
 
         return run
 
-    kind = f"cls {id_kind}, embedding {emb_kind}, lists array<int>"
+    kind = f"cls {id_kind}, embedding {emb_kind}, lists array<int>, beat float"
     indexed = cut(classes.select("cls", "embedding").mapInArrow(assign(False), kind).select("cls", "embedding", F.col("lists")[0].alias("list")))
     wanted = classes.join(asked.select("cls").distinct(), "cls", "left_semi").select("cls", "embedding")
-    probed = cut(wanted.mapInArrow(assign(True), kind).select("cls", "embedding", F.explode("lists").alias("list")))
+    probed = cut(wanted.mapInArrow(assign(True), kind).select("cls", "embedding", "beat", F.explode("lists").alias("list")))
 
     def blocks(df: DataFrame) -> dict[int, int]:
         """Blocks of each list; there are n_lists of them at most."""
@@ -167,7 +180,7 @@ def search(vectors: DataFrame, every: int = 20, p: Parameters | None = None) ->
         if not len(vs) or not len(qs):
             return pa.table([pa.array([], t) for t in kinds], names=names)
         vx, qx = (_matrix(t["embedding"].combine_chunks(), dims) for t in (vs, qs))
-        i, j = scan(rotated(qx, True), rotated(vx, False), min(most, len(vx)), p.columns, p.epsilon)
+        i, j = scan(rotated(qx, True), rotated(vx, False), qs["beat"].to_numpy().astype(np.float32), p.columns, p.epsilon)
         score = np.concatenate([np.einsum("nd,nd->n", qx[i[lo : lo + 65536]], vx[j[lo : lo + 65536]]) for lo in range(0, len(i), 65536)] or [np.zeros(0)])
         vid, qid = (t["cls"].to_numpy().astype(np.int64) for t in (vs, qs))
         order = np.lexsort((vid[j], -score, i))
