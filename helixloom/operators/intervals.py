@@ -90,15 +90,17 @@ def merge_labelled(df: DataFrame, keys: list[str]) -> DataFrame:
     far = F.col("st") > F.max("en").over(past) + F.max("label").over(past)
     split = df.select(*keys, "st", "en", "label").withColumn("_new", F.when(F.coalesce(far, F.lit(True)), 1).otherwise(0)).withColumn("_part", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        merged = fold_labelled(list(zip(pdf.st.tolist(), pdf.en.tolist(), pdf.label.tolist(), strict=True)))
-        out = pd.DataFrame(merged, columns=["st", "en", "label"])
-        for k in keys[::-1]:
-            out.insert(0, k, pdf[k].iloc[0])
-        return out
-
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    return split.groupBy(*keys, "_part").applyInPandas(fold, ", ".join(f"{c} {kinds[c]}" for c in [*keys, "st", "en", "label"]))
+    kinds = "array<struct<st:bigint,en:bigint,label:int>>"
+    stretch = split.groupBy(*keys, "_part").agg(F.collect_list(F.struct(F.col("st").cast("long"), F.col("en").cast("long"), F.col("label").cast("int"))).cast(kinds).alias("rows"))
+
+    @F.pandas_udf(kinds)
+    def fold(many: pd.Series) -> pd.Series:
+        return many.map(lambda rows: [{"st": a, "en": b, "label": c} for a, b, c in fold_labelled([(r["st"], r["en"], r["label"]) for r in rows])])
+
+    # most stretches are a single interval and never leave the JVM
+    alone, several = stretch.filter("size(rows) = 1").select(*keys, "rows"), stretch.filter("size(rows) > 1").select(*keys, fold("rows").alias("rows"))
+    out = alone.unionByName(several).select(*keys, F.inline("rows"))
+    return out.select(*keys, *(F.col(c).cast(df.schema[c].dataType) for c in ("st", "en", "label")))
 
 
 def extend_by(a: DataFrame, b: DataFrame, keys: list[str], width: int) -> DataFrame:

@@ -598,9 +598,10 @@ def somatic_not_germline(spark, d):
 
 
 
-@query()
+#: Reads without errors over each passage: 12 a contig, every other one with another base at every 50th place.
+@query("WITH s AS ({s}), t AS (SELECT id, replace(seq, 'N', 'A') AS seq FROM s WHERE length(seq) >= 60), p AS (SELECT id, pos, substr(seq, CAST(pos AS INT), 1) AS ref FROM (SELECT id, seq, unnest(generate_series(50, length(seq) - 10, 50)) AS pos FROM t)) SELECT 'c' || id AS contig, pos, ref, translate(ref, 'ACGT', 'CGTA') AS alt, true AS het, 1 AS phases, 12 AS dp, 6 AS alt_ad, 60 AS qual, 60 AS gq, CAST(50 AS BIGINT) AS ps FROM p".format(s=b.SEQ_SQL))
 def germline_calls(spark, d):
-    """The whole path, from reads to phased calls, on passages as contigs."""
+    """The whole path, from reads to phased calls, on passages as contigs. Which haplotype is called the first is free, so that is left out; `phases` counts a contig's orientations."""
     from helixloom.plans import germline
     from helixloom.sources import fasta
 
@@ -610,4 +611,4 @@ def germline_calls(spark, d):
     cigar = F.concat(F.repeat(F.lit("49=1X"), F.floor((F.length("seq") - 10) / 50).cast("int")), F.length("seq") - F.floor((F.length("seq") - 10) / 50) * 50, F.lit("="))
     reads = s.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(11)))).select(F.concat(F.lit("r"), "r").alias("qname"), F.when(F.col("r") % 4 < 2, 0).otherwise(16).alias("flag"), "contig", F.lit(1).cast("long").alias("pos"), F.lit(60).alias("mapq"), F.when(F.col("r") % 2 == 1, cigar).otherwise(F.concat(F.length("seq"), F.lit("="))).alias("cigar"), F.when(F.col("r") % 2 == 1, alt).otherwise(F.col("seq")).alias("seq"), F.lit(None).cast("binary").alias("qual"), F.create_map().cast("map<string,string>").alias("tags"))
     calls, _ = germline.call(reads, s.select("contig", F.length("seq").cast("long").alias("length")), fasta.binned(s), HIFI)
-    return calls.select("contig", "pos", "ref", "alt", "gt", "dp", "alt_ad", "qual", "gq", "ps")
+    return calls.select("contig", "pos", "ref", "alt", F.col("gt").isin("0|1", "1|0").alias("het"), F.size(F.collect_set("gt").over(Window.partitionBy("contig", "ps"))).alias("phases"), "dp", "alt_ad", "qual", "gq", "ps")
