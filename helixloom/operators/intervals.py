@@ -137,7 +137,7 @@ def flank_reach(start: int, end: int, variants: list[tuple[int, int]], gap: int
 def flanked(regions: DataFrame, variants: DataFrame, keys: list[str], gap: int = 10) -> DataFrame:
     """flank_reach() for every region, then regions that touch are merged. Variants within reach are gathered through chains of variants less than `gap` apart."""
     chains = merge_fixed(variants.select(*keys, "st", "en"), keys, gap - 1).select(*keys, "st", "en")
-    wide = regions.select(*keys, (F.col("st") - gap + 1).alias("st"), (F.col("en") + gap - 1).alias("en"), F.col("st").alias("o_st"), F.col("en").alias("o_en")).distinct()
+    wide = regions.select(*keys, (F.col("st") - gap).alias("st"), (F.col("en") + gap).alias("en"), F.col("st").alias("o_st"), F.col("en").alias("o_en")).distinct()
     grown = overlap_join(wide, chains, keys, 100_000).groupBy(*keys, "a_o_st", "a_o_en").agg(F.min("b_st").alias("lo"), F.max("b_en").alias("hi"))
     all_of = regions.select(*keys, F.col("st").alias("a_o_st"), F.col("en").alias("a_o_en")).distinct().join(grown, [*keys, "a_o_st", "a_o_en"], "left")
     out = all_of.select(*keys, (F.least("a_o_st", F.coalesce("lo", "a_o_st")) - gap).alias("st"), (F.greatest("a_o_en", F.coalesce("hi", "a_o_en")) + gap).alias("en"))

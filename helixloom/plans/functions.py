@@ -5,42 +5,51 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 from helixloom.config import HIFI
 from helixloom.functions import align, dust, elements, poa
 
 
-@F.pandas_udf("array<struct<st:int,en:int>>")
+def _struct(**fields) -> StructType:
+    return StructType([StructField(k, v) for k, v in fields.items()])
+
+
+#: Types as objects, since texts would need a running session at import.
+INT, TEXT = IntegerType(), StringType()
+
+
+@F.pandas_udf(ArrayType(_struct(st=INT, en=INT)))
 def dust_mask(s: pd.Series) -> pd.Series:
     return s.map(lambda x: [{"st": a, "en": b} for a, b in dust.mask(x or "", HIFI.dust_threshold, HIFI.dust_window)])
 
 
-@F.pandas_udf("struct<distance:int,start:int,end:int,path:string>")
+@F.pandas_udf(_struct(distance=INT, start=INT, end=INT, path=TEXT))
 def infix_edit(query: pd.Series, target: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([align.edit(q, t, "HW") for q, t in zip(query, target, strict=True)], columns=["distance", "start", "end", "path"])
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(INT)
 def edit_distance(query: pd.Series, target: pd.Series) -> pd.Series:
     return pd.Series([align.edit(q, t).distance for q, t in zip(query, target, strict=True)], dtype="int32")
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def cyclic_match(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([align.cyclic_match(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
 
 
-@F.pandas_udf("struct<target:string,query:string>")
+@F.pandas_udf(_struct(target=TEXT, query=TEXT))
 def affine_align(target: pd.Series, query: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([align.affine(t, q) for t, q in zip(target, query, strict=True)], columns=["target", "query"])
 
 
-@F.pandas_udf("struct<tsd_len:int,tail_len:int>")
+@F.pandas_udf(_struct(tsd_len=INT, tail_len=INT))
 def insertion_marks(gap: pd.Series, flank: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([elements.insertion_marks(g, f, HIFI) for g, f in zip(gap, flank, strict=True)], columns=["tsd_len", "tail_len"])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(TEXT)
 def poa_consensus(seqs: pd.Series) -> pd.Series:
     return seqs.map(lambda x: poa.consensus([s for s in x if s]))
 

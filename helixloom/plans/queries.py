@@ -151,6 +151,13 @@ def interval_overlap_join(spark, d):
     return intervals.overlap_join(iv, iv, ["grp"], WIDTH).filter("a_id < b_id").select("grp", "a_id", "b_id")
 
 
+@query(f"WITH iv AS ({b.IV_SQL}) SELECT x.st // 86400000000 AS day, count(*) AS n FROM iv x JOIN iv y ON x.st < y.en AND y.st < x.en WHERE x.id < y.id GROUP BY 1")
+def interval_overlap_days(spark, d):
+    """All intervals as one contig: a hot key that its bins spread."""
+    iv = b.intervals(spark, d).select(F.lit("all").alias("contig"), "id", "st", "en")
+    return intervals.overlap_join(iv, iv, ["contig"], WIDTH // 6).filter("a_id < b_id").groupBy(F.floor(F.col("a_st") / 86_400_000_000).alias("day")).agg(F.count("*").alias("n"))
+
+
 @query(f"{IV} SELECT a.grp, a.id AS a_id, b.id AS b_id FROM a JOIN b ON a.grp = b.grp AND b.st <= a.st AND b.en >= a.en")
 def interval_contain_join(spark, d):
     x, y = _halves(spark, d)
@@ -195,8 +202,7 @@ def interval_extend(spark, d):
  LEFT JOIN m ON s.grp = m.grp AND s.st < m.en + 5 AND m.st - 5 < s.en GROUP BY s.id, s.grp""")
 def low_complexity_place(spark, d):
     x, y = _halves(spark, d)
-    minutes = lambda df: df
-    points = minutes(x).select("grp", "id", "st", (F.col("st") + 1).alias("en"))
+    points = x.select("grp", "id", "st", (F.col("st") + 1).alias("en"))
     wide = y.select("grp", "st", "en")
     rest = [c for c in points.columns if c != "grp"]
     near = wide.select("grp", (F.col("st") - 5).alias("st"), (F.col("en") + 5).alias("en"), F.col("st").alias("r_st"), F.col("en").alias("r_en"))
@@ -408,9 +414,9 @@ def two_means_phasing(spark, d):
 SEQ = f"WITH s AS ({b.SEQ_SQL}), d AS ({b.DOC_SEQ_SQL})"
 
 
-@query(f"{SEQ}, k AS (SELECT substr(seq, CAST(i AS INT), 15) AS kmer FROM (SELECT seq, unnest(range(1, length(seq) - 13)) AS i FROM s)) SELECT kmer, count(*) AS n FROM k WHERE NOT contains(kmer, 'N') GROUP BY 1")
+@query(f"{SEQ}, k AS (SELECT substr(seq, CAST(i AS INT), 6) AS kmer FROM (SELECT seq, unnest(range(1, length(seq) - 4)) AS i FROM s)) SELECT kmer, count(*) AS n FROM k WHERE NOT contains(kmer, 'N') GROUP BY 1")
 def kmer_count(spark, d):
-    k = b.sequences(spark, d).select(F.explode(seq.kmers(F.col("seq"), 15)).alias("kmer"))
+    k = b.sequences(spark, d).select(F.explode(seq.kmers(F.col("seq"), 6)).alias("kmer"))
     return k.groupBy("kmer").agg(F.count("*").alias("n"))
 
 

@@ -21,8 +21,8 @@ def from_texts(spark: SparkSession, regions: list[str], contigs: DataFrame) -> D
     rows = spark.createDataFrame([(r,) for r in regions], "region string").join(contigs.select("contig", "length"), F.col("region").eqNullSafe(F.col("contig")) | F.expr("startswith(region, contig || ':') AND substring(region, length(contig) + 2) RLIKE '^[0-9,]+(-[0-9,]+)?$'"))
     span = F.regexp_replace(F.expr("substring(region, length(contig) + 2)"), ",", "")
     part = F.split(span, "-")
-    beg = F.when(F.length(span) > 0, part[0].cast("long")).otherwise(1)
-    end = F.when(F.length(span) > 0, F.coalesce(F.get(part, F.lit(1)).cast("long"), F.col("length"))).otherwise(F.col("length"))
+    beg = F.when(F.length(span) > 0, part[0].try_cast("long")).otherwise(1)
+    end = F.when(F.length(span) > 0, F.coalesce(F.get(part, F.lit(1)).try_cast("long"), F.col("length"))).otherwise(F.col("length"))
     return windows(rows.select("contig", "length", beg.cast("long").alias("beg"), end.cast("long").alias("end")))
 
 
