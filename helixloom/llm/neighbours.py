@@ -2,8 +2,8 @@
 
 Nearness is the largest inner product. Vectors get one more dimension that evens out their norms, so that it becomes the least
 Euclidean distance; a fixed random rotation spreads that distance evenly over the dimensions. Lists come from k-means on a
-bounded sample; every vector is indexed. A query's k-th nearest of the sample is a distance that its k nearest of all rows beat. Within each
-probed list, dimensions are read in column blocks: after each, a candidate whose partial distance, scaled up to all dimensions, is beyond
+bounded sample; every vector is indexed. A query's k-th nearest of the sample rows in its probed
+lists is a distance that its k nearest there beat. Within each probed list, dimensions are read in column blocks: after each, a candidate whose partial distance, scaled up to all dimensions, is beyond
 the distance to beat with high confidence, is given up. Survivors are scored exactly, in double precision, on the original vectors.
 
 Equal vectors are one candidate (a class); a class knows its least ids, as many as a result can hold. So copies cost no
@@ -70,14 +70,23 @@ def nearest(x: np.ndarray, centre: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, n), np.int64)
 
 
-def kth_distance(query: np.ndarray, sample: np.ndarray, k: int) -> np.ndarray:
-    """Squared distance of the k-th nearest sample row of each query, which bounds that of all rows; infinite if there are fewer."""
+def kth_distance(query: np.ndarray, sample: np.ndarray, k: int, lists: np.ndarray, probed: np.ndarray) -> np.ndarray:
+    """Squared distance of the k-th nearest sample row in a query's probed lists, which bounds that of all rows there; infinite if there are fewer.
+
+    `lists`: the list of each sample row; `probed`: the lists of each query.
+    """
     if len(sample) < k:
         return np.full(len(query), np.inf, np.float32)
-    out = []
+    out, square = [], (sample**2).sum(1)
     for lo in range(0, len(query), step := max(1, (1 << 22) // len(sample))):
         q = query[lo : lo + step]
-        out.append((q**2).sum(1) + np.partition((sample**2).sum(1) - 2 * q @ sample.T, k - 1, 1)[:, k - 1])
+        on = np.zeros((len(q), int(lists.max()) + 1), bool)
+        rows = probed[lo : lo + step]
+        within = rows < on.shape[1]
+        on[np.nonzero(within)[0], rows[within]] = True
+        d = square - 2 * q @ sample.T
+        d[~on[:, lists]] = np.inf
+        out.append((q**2).sum(1) + np.partition(d, k - 1, 1)[:, k - 1])
     return np.concatenate(out) if out else np.zeros(0, np.float32)
 
 
@@ -145,13 +154,14 @@ def search(vectors: DataFrame, every: int = 20, p: Parameters | None = None) ->
     probes = min(n_lists, max(p.least_probes, round(p.probe_share * n_lists)))
     seen = rotated(fit, False)  # p.sample rows at most
     centre = kmeans(seen.astype(np.float64), n_lists, p.seed)
+    seen_list = nearest(seen, centre, 1)[:, 0]
 
     def assign(is_query: bool):
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 x = rotated(_matrix(b.column("embedding"), dims), is_query)
                 near = nearest(x, centre, probes if is_query else 1)
-                beat = kth_distance(x, seen, most) if is_query else np.zeros(len(x), np.float32)
+                beat = kth_distance(x, seen, most, seen_list, near) if is_query else np.zeros(len(x), np.float32)
                 yield pa.record_batch([*b.columns, pa.array(near.tolist(), pa.list_(pa.int32())), pa.array(beat, pa.float32())], names=["cls", "embedding", "lists", "beat"])
 
         return run

@@ -277,6 +277,7 @@ def test_neighbours_recall(spark):
     for r in queries.op6_nearest_neighbours(spark, "/root/testdata/sf0.1").collect():
         got[r.query_id].add(r.vec_id)
     assert np.mean([len(got[q] & {c for _, c in s}) / len(s) for q, s in want.items()]) >= 0.9
+    assert all(len(got[q]) == 20 for q in want)
 
 
 INSULTS = ["zorgface", "blimhead", "krundle"]
