@@ -5,6 +5,8 @@ reads: qname, flag, contig, pos, mapq, cigar, seq, qual, tags. contigs: contig,
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,34 +84,56 @@ def phase(profile: DataFrame, variants: DataFrame, o: Options) -> tuple[DataFram
     return cut(phasing.apply_stitch(reads, chains, ["hap"])), cut(phasing.apply_stitch(of, chains, ["hap1", "hap2"]))
 
 
-def call(reads: DataFrame, contigs: DataFrame, reference: DataFrame, o: Options = HIFI) -> tuple[DataFrame, DataFrame]:
-    """(calls, haplotypes of reads). Work on a window of o.window bases is one group; everything else is joins and aggregates."""
+@dataclass(frozen=True)
+class Analysis:
+    """The tables that calls are made from; each is cut from its lineage."""
+
+    reads: DataFrame  # decoded, with read_id, events, noisy
+    seen: DataFrame  # contig, site_id, read_id, alt, rev, bq: every spanning read at every site
+    regions: DataFrame  # noisy regions
+    counted: DataFrame  # sites outside of them, with counters, bases and category
+    variants: DataFrame  # clean germline candidates with chunk and var_id
+    read_haps: DataFrame  # contig, chunk, read_id, hap, phase_set
+    var_haps: DataFrame  # contig, chunk, var_id, phase_set, hap1, hap2
+
+
+def analyse(reads: DataFrame, contigs: DataFrame, reference: DataFrame, o: Options = HIFI) -> Analysis:
+    """Everything up to phased reads and variants. Work on a window of o.window bases is one group; everything else is joins and aggregates."""
     rows = cut(decoded(reads, contigs, reference, o))
     events = cut(site_events(rows, o))
-    number = F.xxhash64(*SITE_KEY)
-    found = sites.distinct_long_insertions(events.filter("NOT low_qual").select(*SITE_KEY), o.min_sv_length).withColumn("site_id", number)
-    found = cut(found)
+    found = cut(sites.distinct_long_insertions(events.filter("NOT low_qual").select(*SITE_KEY), o.min_sv_length).withColumn("site_id", F.xxhash64(*SITE_KEY)))
     seen = cut(observed(rows, events, found, o))
     regions = cut(noisy_regions(rows, o))
     counted = pileup.counts(seen, ["contig", "site_id"], o.min_base_quality).join(found, ["contig", "site_id"]).join(repeat_context(found, reference), "site_id")
-    at = counted.select("contig", "site_id", F.when(F.col("vtype") == SNP, F.col("pos") - 1).otherwise(F.col("pos") - 1).alias("st"), (F.col("pos") - 1 + F.greatest("ref_len", F.lit(1))).alias("en"))
+    at = counted.select("contig", "site_id", (F.col("pos") - 1).alias("st"), (F.col("pos") - 1 + F.greatest("ref_len", F.lit(1))).alias("en"))
     inside = intervals.contain_join(at, regions.select("contig", "st", "en"), ["contig"], 10_000).select("contig", F.col("a_site_id").alias("site_id")).distinct()
-    clean = pileup.classify(counted.join(inside, ["contig", "site_id"], "left_anti"), o, F.col("repeat")).filter(F.col("category").isin("N", "I", "H"))
+    counted = cut(pileup.classify(counted.join(inside, ["contig", "site_id"], "left_anti"), o, F.col("repeat")))
 
-    chunk = lambda c: F.floor((F.col(c) - 1) / o.window).cast("long")
-    order = F.struct("pos", "vtype", "ref_len", "alt_len", "alt_seq")
-    variants = cut(clean.withColumn("chunk", chunk("pos")).withColumn("var_id", F.row_number().over(Window.partitionBy("contig", "chunk").orderBy(order)).cast("long")))
+    order = Window.partitionBy("contig", "chunk").orderBy(F.struct("pos", "vtype", "ref_len", "alt_len", "alt_seq"))
+    clean = counted.filter(F.col("category").isin("N", "I", "H")).withColumn("chunk", F.floor((F.col("pos") - 1) / o.window).cast("long"))
+    variants = cut(clean.withColumn("var_id", F.row_number().over(order).cast("long")))
     alleles = seen.join(variants.select("contig", "site_id", "chunk", "var_id"), ["contig", "site_id"]).withColumn("allele", F.when(F.col("alt") & (F.col("bq") < o.min_base_quality), -2).otherwise(F.col("alt").cast("int")))
-    rank = rows.select("read_id", F.struct("pos", -F.col("end"), "qname").alias("_o"))
-    ranks = rank.withColumn("read_rank", F.col("_o.pos")).select("read_id", "read_rank")
-    profile = alleles.join(ranks, "read_id").select("contig", "chunk", "read_id", "read_rank", "var_id", "allele")
+    profile = alleles.join(rows.select("read_id", F.col("pos").alias("read_rank")), "read_id").select("contig", "chunk", "read_id", "read_rank", "var_id", "allele")
     read_haps, var_haps = phase(profile, variants.select("contig", "chunk", "var_id", "pos", "vtype", "category", F.col("total_cov").cast("int").alias("total_cov"), "is_hp"), o)
+    return Analysis(rows, seen, regions, counted, variants, read_haps, var_haps)
+
 
-    known = variants.join(var_haps, ["contig", "chunk", "var_id"]).withColumn("top_allele", F.when(F.col("alt_cov") > F.col("ref_cov"), 1).otherwise(0)).withColumn("clean", F.lit(True))
-    hard = from_noisy(rows, regions, read_haps, reference, o)
-    cols = ["contig", "pos", "vtype", "ref_len", "alt_len", "alt_seq", "ref_cov", "alt_cov", "hap1", "hap2", "phase_set", "top_allele", "bases"]
-    calls = genotype.genotype(known.select(*cols), o, "bases").unionByName(genotype.genotype(hard.select(*cols), o, "bases"))
-    return genotype.final_filter(calls, o).dropDuplicates(["contig", "pos", "ref", "alt"]), read_haps
+#: What genotype() reads.
+GENOTYPED = ["contig", "pos", "vtype", "ref_len", "alt_len", "alt_seq", "ref_cov", "alt_cov", "hap1", "hap2", "phase_set", "top_allele", "bases"]
+
+
+def calls_of(a: Analysis, reference: DataFrame, o: Options = HIFI) -> DataFrame:
+    """Germline calls: clean ones, and those of noisy regions by consensus."""
+    known = a.variants.join(a.var_haps, ["contig", "chunk", "var_id"]).withColumn("top_allele", F.when(F.col("alt_cov") > F.col("ref_cov"), 1).otherwise(0))
+    hard = from_noisy(a.reads, a.regions, a.read_haps, reference, o)
+    both = genotype.genotype(known.select(*GENOTYPED), o, "bases").withColumn("clean", F.lit(True)).unionByName(genotype.genotype(hard.select(*GENOTYPED), o, "bases").withColumn("clean", F.lit(False)))
+    return genotype.final_filter(both, o).dropDuplicates(["contig", "pos", "ref", "alt"])
+
+
+def call(reads: DataFrame, contigs: DataFrame, reference: DataFrame, o: Options = HIFI) -> tuple[DataFrame, DataFrame]:
+    """(calls, haplotypes of reads)."""
+    a = analyse(reads, contigs, reference, o)
+    return calls_of(a, reference, o), a.read_haps
 
 
 def from_noisy(rows: DataFrame, regions: DataFrame, read_haps: DataFrame, reference: DataFrame, o: Options) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 
@@ -184,3 +185,36 @@ def test_bam_source(spark, made, tmp_path):
     assert back.count() == reads.count() and back.agg({"pos": "sum"}).first()[0] == reads.agg({"pos": "sum"}).first()[0]
 
 
+
+
+def test_mosaic(spark):
+    """A SNV on some reads of one haplotype, and a long insertion of an element; a germline-like error on no haplotype isn't called."""
+    from dataclasses import replace
+
+    from helixloom.plans import mosaic
+
+    rnd, ref, truth, _ = simulate(seed=4, n=16_000)
+    rows = [list(r) for r in reads_of(rnd, ref, truth, depth=40)]
+    spot, changed = 8_130, 0
+    for r in rows:
+        hap2, st, cigar = int(r[0][1:]) % 2, r[3], r[5]
+        if hap2 == 0 and changed < 4 and st < spot - 700 and st + 5999 > spot + 700:
+            # haplotype 1 follows the reference up to homozygous SNPs, so that places in the read are places in the reference
+            k = spot - st
+            r[6] = r[6][:k] + "ACGT"["ACGT".index(ref[spot - 1]) - 2] + r[6][k + 1 :]
+            out, at = "", 0
+            for n, op in re.findall(r"(\d+)([=XID])", cigar):
+                n = int(n)
+                if op == "=" and at <= k < at + n:
+                    out += (f"{k - at}=" if k > at else "") + "1X" + (f"{at + n - k - 1}=" if at + n - k - 1 else "")
+                else:
+                    out += f"{n}{op}"
+                at += n if op in "=XI" else 0
+            r[5] = out
+            changed += 1
+    assert changed == 4
+    reads = spark.createDataFrame([tuple(r) for r in rows], "qname string, flag int, contig string, pos long, mapq int, cigar string, seq string, qual binary, tags map<string,string>")
+    bins = fasta.binned(spark.createDataFrame([("chr1", ref)], "contig string, seq string"))
+    a = germline.analyse(reads, spark.createDataFrame([("chr1", len(ref))], "contig string, length long"), bins, HIFI)
+    got = [(r.pos, r.ref, r.alt, r.somatic) for r in mosaic.call(a, bins, replace(HIFI, somatic=True)).collect()]
+    assert got == [(spot, ref[spot - 1], "ACGT"["ACGT".index(ref[spot - 1]) - 2], True)]
