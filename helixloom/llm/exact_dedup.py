@@ -127,7 +127,8 @@ def exact_dedup(docs: DataFrame, hash_bits: int = 128) -> DataFrame:
     rows = cut(rows)  # recipes, not texts
     # the smallest doc_id of a group, null first; of its rows the one with the smallest key
     first = F.min(F.struct(F.col("doc_id").isNotNull().alias("there"), "doc_id", "key")).alias("first")
-    groups = rows.groupBy("ids").agg(first, F.sum("n").alias("group_size"))
+    # cut, so that both sides of the join come straight from a shuffle and Spark can split a group that holds a large share of the rows
+    groups = cut(rows.groupBy("ids").agg(first, F.sum("n").alias("group_size")))
     out = rows.join(groups, "ids").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
     kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key")) & (F.col("copy") == 1)
     return out.select("doc_id", "key", F.col("first.doc_id").alias("keep_id"), "group_size", kept.alias("kept"), "text_sha256")
