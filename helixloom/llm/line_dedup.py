@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixloom.llm.common import text_key, text_slices, texts
+from helixloom.llm.common import cut, text_key, text_slices, texts
 
 
 def windows(docs: DataFrame, size: int = 3) -> DataFrame:
@@ -47,7 +47,8 @@ def later_windows(docs: DataFrame, size: int = 3) -> DataFrame:
     """doc_id, key, spans (array of [first line, line after the last]) of the rows that hold later occurrences; each row named once."""
     every = windows(docs, size)
     first = F.min(F.struct(F.col("doc_id").isNotNull().alias("there"), "doc_id", "key", "pos")).alias("first")
-    again = every.groupBy("hash").agg(first, F.count("*").alias("n")).filter("n > 1").select("hash", "first")
+    # cut, so that the join can split a window that very many documents share
+    again = cut(every.groupBy("hash").agg(first, F.count("*").alias("n")).filter("n > 1").select("hash", "first"))
     hits = every.join(again, "hash")
     own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
     begin = F.when(own, F.greatest(F.col("pos"), F.col("first.pos") + size)).otherwise(F.col("pos"))
