@@ -36,7 +36,7 @@ class Parameters:
     lists_per_root: float = 1.0
     #: Share of the lists that a query probes, and the fewest.
     probe_share: float = 0.7
-    least_probes: int = 8
+    least_probes: int = 20
     #: Dimensions read at a time, and the tests' significance (the larger, the fewer false dismissals).
     columns: int = 32
     epsilon: float = 2.1

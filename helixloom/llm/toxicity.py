@@ -5,7 +5,7 @@ word's weight grows with the logarithm of its count and every bag is padded with
 as misspellings, share the vectors of their n-grams. For scoring, table and softmax fold into one number for each place of the table.
 
 Defined cases: null text counts as empty; a text without words gets the prior alone; without labelled rows of both classes all scores are the
-prior (0.5 without any label); rows with a null label aren't learned from; repeated rows get equal scores; other columns are passed by;
+prior (0.5 without any label); rows with a null label aren't learned from, and of several labels of a doc_id the largest counts; repeated rows get equal scores; other columns are passed by;
 an empty table gives no rows.
 """
 
@@ -180,7 +180,7 @@ def held_out() -> Column:
 def fit(docs: DataFrame, labels: DataFrame, p: Parameters | None = None) -> Model:
     """A model from the labelled rows that aren't held out: of each class the per_class rows of smallest hash, all of whose texts are read whole."""
     p = p or Parameters()
-    usable = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).dropDuplicates(["doc_id"]).filter(~held_out())
+    usable = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     shares = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
     total = sum(shares.values())
     short = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.length("text") <= p.longest)

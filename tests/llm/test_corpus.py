@@ -466,3 +466,11 @@ def test_components(spark):
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert all(got[k] == 0 for k in range(201)) and all(got[1000 + k] == 1000 for k in range(50)) and got[5000] == 4000
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_its_sql(spark, name):
+    from tests.compare import differences, duck
+
+    sf = "/root/testdata/sf0.001"
+    assert differences(queries.QUERIES[name](spark, sf).toPandas(), duck(sf).execute(queries.ORACLES[name]).df()) == ""
