@@ -16,6 +16,7 @@ from helixloom.config import Options
 from helixloom.functions import align, poa
 from helixloom.operators.decode import Event
 from helixloom.operators.intervals import overlap_join
+from helixloom.schemas import SNP
 
 
 class Slice(NamedTuple):
@@ -83,20 +84,21 @@ def consensus_of(rows: list[tuple[int, Slice, int, int, float]], length: int, o:
     return [(c, [full[k][0] for k in members]) for c, members in poa.split([r[1].seq for r in full], o.min_alt_fraction)]
 
 
-def call_region(lo: int, ref: str, rows: list[tuple[int, Slice, int, int, float]], o: Options) -> tuple[list[tuple], list[tuple[int, int, int]]]:
-    """Sites (pos, vtype, ref_len, alt_len, alt_seq, haps) of a region whose first reference base is at lo, and (read, site index, allele).
+def call_region(lo: int, ref: str, rows: list[tuple[int, Slice, int, int, float]], o: Options) -> tuple[list[tuple], list[tuple[int, int, int]], list[tuple]]:
+    """Sites (pos, vtype, ref_len, alt_len, alt_seq, haps) of a region whose first reference base is at lo; (read, site index, allele); and, in
+    somatic mode, differences of single reads that no consensus has (read, pos ... alt_seq): SNVs and long indels.
 
     haps: 3 on both consensus sequences (homozygous), else the one that has it.
     """
     found = consensus_of(rows, len(ref), o)
     if not found:
-        return [], []
+        return [], [], []
     per = [set(align.gapped_variants(*align.affine(ref, c, o.mismatch, o.gap_open, o.gap_extend), lo)) for c, _ in found]
     haps = {v: 3 if len(per) == 1 else 1 for v in per[0]}
     for v in per[1] if len(per) > 1 else ():
         haps[v] = 3 if v in haps else 2
     sites = sorted(haps, key=lambda v: (v[0] - (v[1] != 8), *v[1:]))
-    alleles = []
+    alleles, single = [], []
     for read, s, *_ in rows:
         if s.left and s.right:
             pair = align.affine(ref, s.seq, o.mismatch, o.gap_open, o.gap_extend)
@@ -112,11 +114,13 @@ def call_region(lo: int, ref: str, rows: list[tuple[int, Slice, int, int, float]
         for k, v in enumerate(sites):
             if beg <= v[0] and v[0] + max(0, v[2] - 1) <= end:
                 alleles.append((read, k, align.allele_in(*pair, beg, v)))
-    return [(*v, haps[v]) for v in sites], alleles
+        if o.somatic:
+            single += [(read, *v) for v in align.gapped_variants(*pair, beg) if v not in haps and (v[1] == SNP or max(v[2], v[3]) >= o.min_sv_length)]
+    return [(*v, haps[v]) for v in sites], alleles, single
 
 
 def call(regions: DataFrame, reads: DataFrame, keys: list[str], o: Options, width: int = 10_000) -> DataFrame:
-    """Rows of each region (keys, region_id, st, en: half-open; ref_seq of just its bases): kind site (pos ... haps) or allele (read_id, allele), by site index.
+    """Rows of each region (keys, region_id, st, en: half-open; ref_seq of just its bases): kind site (pos ... haps) or allele (read_id, allele), by site index; in somatic mode also single (pos ... alt_seq, read_id).
 
     reads: keys, read_id, st, en, seq, events, hap, phase_set, error_rate.
     """
@@ -130,15 +134,21 @@ def call(regions: DataFrame, reads: DataFrame, keys: list[str], o: Options, widt
         for r in pdf.sort_values("b_read_id").itertuples():
             events = [Event(int(e["pos"]), e["op"], int(e["len"]), int(e["qi"]), e["alt"], bool(e["low_qual"])) for e in r.b_events]
             rows.append((int(r.b_read_id), slice_of(events, r.b_seq, lo, hi), int(r.b_hap or 0), int(r.b_phase_set or -1), float(r.b_error_rate or 0)))
-        sites, alleles = call_region(lo, ref, rows, o)
-        out = [(*key, "site", k, *s, None, None) for k, s in enumerate(sites)] + [(*key, "allele", k, None, None, None, None, None, None, r, a) for r, k, a in alleles]
+        sites, alleles, single = call_region(lo, ref, rows, o)
+        out = [(*key, "site", k, *s, None, None) for k, s in enumerate(sites)] + [(*key, "allele", k, None, None, None, None, None, None, r, a) for r, k, a in alleles] + [(*key, "single", -1, *v, None, r, None) for r, *v in single]
         kind = {"pos": "Int64", "vtype": "Int32", "ref_len": "Int32", "alt_len": "Int32", "haps": "Int32", "read_id": "Int64", "allele": "Int32"}
-        return pd.DataFrame(out, columns=cols).astype(kind)
+        return pd.DataFrame(out, columns=cols, dtype=object).astype(kind)  # through floats, 64-bit ids would lose their last bits
 
     schema = ", ".join(f"{k} {kinds[k]}" for k in [*keys, "region_id"]) + ", kind string, site int, pos long, vtype int, ref_len int, alt_len int, alt_seq string, haps int, read_id long, allele int"
     return spans.withColumn("region_id", F.col("a_region_id")).groupBy(*keys, "region_id").applyInPandas(run, schema)
 
 
+def read_candidates(called: DataFrame, keys: list[str], o: Options) -> DataFrame:
+    """Somatic candidates of noisy regions: differences that enough single reads share, with their number."""
+    site = ["pos", "vtype", "ref_len", "alt_len", "alt_seq"]
+    return called.filter("kind = 'single'").groupBy(*keys, "region_id", *site).agg(F.countDistinct("read_id").alias("alt_cov")).filter(F.col("alt_cov") >= o.somatic_alt)
+
+
 def splice(events: list[Event], pair: tuple[str, str], lo: int, hi: int, seq: str) -> list[Event] | None:
     """A read's events with those over lo..hi replaced by a gapped reference/read pair; None if the result's offsets don't chain."""
     from helixloom.operators.decode import chained

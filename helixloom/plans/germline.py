@@ -93,6 +93,7 @@ class Analysis:
     regions: DataFrame  # noisy regions
     counted: DataFrame  # sites outside of them, with counters, bases and category
     variants: DataFrame  # clean germline candidates with chunk and var_id
+    profile: DataFrame  # contig, chunk, read_id, read_rank, var_id, allele
     read_haps: DataFrame  # contig, chunk, read_id, hap, phase_set
     var_haps: DataFrame  # contig, chunk, var_id, phase_set, hap1, hap2
 
@@ -114,39 +115,69 @@ def analyse(reads: DataFrame, contigs: DataFrame, reference: DataFrame, o: Optio
     variants = cut(clean.withColumn("var_id", F.row_number().over(order).cast("long")))
     alleles = seen.join(variants.select("contig", "site_id", "chunk", "var_id"), ["contig", "site_id"]).withColumn("allele", F.when(F.col("alt") & (F.col("bq") < o.min_base_quality), -2).otherwise(F.col("alt").cast("int")))
     profile = alleles.join(rows.select("read_id", F.col("pos").alias("read_rank")), "read_id").select("contig", "chunk", "read_id", "read_rank", "var_id", "allele")
+    profile = cut(profile)
     read_haps, var_haps = phase(profile, variants.select("contig", "chunk", "var_id", "pos", "vtype", "category", F.col("total_cov").cast("int").alias("total_cov"), "is_hp"), o)
-    return Analysis(rows, seen, regions, counted, variants, read_haps, var_haps)
+    return Analysis(rows, seen, regions, counted, variants, profile, read_haps, var_haps)
 
 
 #: What genotype() reads.
 GENOTYPED = ["contig", "pos", "vtype", "ref_len", "alt_len", "alt_seq", "ref_cov", "alt_cov", "hap1", "hap2", "phase_set", "top_allele", "bases"]
 
 
-def calls_of(a: Analysis, reference: DataFrame, o: Options = HIFI) -> DataFrame:
-    """Germline calls: clean ones, and those of noisy regions by consensus."""
-    known = a.variants.join(a.var_haps, ["contig", "chunk", "var_id"]).withColumn("top_allele", F.when(F.col("alt_cov") > F.col("ref_cov"), 1).otherwise(0))
-    hard = from_noisy(a.reads, a.regions, a.read_haps, reference, o)
-    both = genotype.genotype(known.select(*GENOTYPED), o, "bases").withColumn("clean", F.lit(True)).unionByName(genotype.genotype(hard.select(*GENOTYPED), o, "bases").withColumn("clean", F.lit(False)))
-    return genotype.final_filter(both, o).dropDuplicates(["contig", "pos", "ref", "alt"])
+def calls_of(a: Analysis, reference: DataFrame, o: Options = HIFI) -> tuple[DataFrame, DataFrame]:
+    """(germline calls, haplotypes of reads): clean variants and those of noisy regions by consensus, phased together.
+
+    The first sweep calls regions with the haplotypes of clean variants; then all variants phase the reads again, and regions that had
+    no call are tried once more with these.
+    """
+    clean = a.variants.select("contig", "chunk", F.col("site_id").alias("key"), "pos", "vtype", "ref_len", "alt_len", "alt_seq", "ref_cov", "alt_cov", "category", "is_hp", "bases", F.lit(True).alias("clean"))
+    told = a.profile.join(a.variants.select("contig", "chunk", "var_id", F.col("site_id").alias("key")), ["contig", "chunk", "var_id"]).select("contig", "chunk", "key", "read_id", "read_rank", "allele")
+    hard, alleles = (cut(x) for x in from_noisy(a.reads, a.regions, a.read_haps, reference, o))
+    if hard.isEmpty():
+        variants, haps, of = clean, a.read_haps, a.var_haps.join(a.variants.select("contig", "chunk", "var_id", F.col("site_id").alias("key")), ["contig", "chunk", "var_id"]).drop("var_id")
+    else:
+        variants, haps, of = together(clean, told, hard, alleles, o)
+        left = a.regions.join(hard.select("contig", "region_id").distinct(), ["contig", "region_id"], "left_anti")
+        late, late_alleles = (cut(x) for x in from_noisy(a.reads, left, haps, reference, o))
+        if not late.isEmpty():
+            variants, haps, of = together(clean, told, hard.unionByName(late), alleles.unionByName(late_alleles), o)
+    known = variants.join(of, ["contig", "chunk", "key"]).withColumn("top_allele", F.when(F.col("alt_cov") > F.col("ref_cov"), 1).otherwise(0))
+    both = genotype.genotype(known.filter("clean").select(*GENOTYPED), o, "bases").withColumn("clean", F.lit(True)).unionByName(genotype.genotype(known.filter("NOT clean").select(*GENOTYPED), o, "bases").withColumn("clean", F.lit(False)))
+    return genotype.final_filter(both, o).dropDuplicates(["contig", "pos", "ref", "alt"]), haps
+
+
+def together(clean: DataFrame, told: DataFrame, hard: DataFrame, alleles: DataFrame, o: Options) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Clean and noisy variants in one order, and the haplotypes of reads and variants that both give."""
+    extra = hard.select("contig", F.floor((F.col("pos") - 1) / o.window).cast("long").alias("chunk"), "key", "pos", "vtype", "ref_len", "alt_len", "alt_seq", "ref_cov", "alt_cov", F.when(F.col("haps") == 3, phasing.NOISY_HOM).otherwise(phasing.NOISY_HET).alias("category"), F.lit(False).alias("is_hp"), "bases", F.lit(False).alias("clean"))
+    order = Window.partitionBy("contig", "chunk").orderBy(F.struct("pos", "vtype", "ref_len", "alt_len", "alt_seq", "key"))
+    variants = cut(clean.unionByName(extra).withColumn("var_id", F.row_number().over(order).cast("long")))
+    rank = told.groupBy("read_id").agg(F.min("read_rank").alias("read_rank"))
+    more = alleles.join(extra.select("contig", "chunk", "key"), ["contig", "key"]).join(rank, "read_id", "left").select("contig", "chunk", "key", "read_id", F.coalesce("read_rank", F.lit(0)).alias("read_rank"), "allele")
+    profile = told.unionByName(more).join(variants.select("contig", "chunk", "key", "var_id"), ["contig", "chunk", "key"]).select("contig", "chunk", "read_id", "read_rank", "var_id", "allele")
+    haps, of = phase(profile, variants.select("contig", "chunk", "var_id", "pos", "vtype", "category", (F.col("ref_cov") + F.col("alt_cov")).cast("int").alias("total_cov"), "is_hp"), o)
+    return variants.drop("var_id"), haps, of.join(variants.select("contig", "chunk", "var_id", "key"), ["contig", "chunk", "var_id"]).drop("var_id")
 
 
 def call(reads: DataFrame, contigs: DataFrame, reference: DataFrame, o: Options = HIFI) -> tuple[DataFrame, DataFrame]:
     """(calls, haplotypes of reads)."""
-    a = analyse(reads, contigs, reference, o)
-    return calls_of(a, reference, o), a.read_haps
+    return calls_of(analyse(reads, contigs, reference, o), reference, o)
 
 
-def from_noisy(rows: DataFrame, regions: DataFrame, read_haps: DataFrame, reference: DataFrame, o: Options) -> DataFrame:
-    """Variants of noisy regions from consensus of their reads, in the columns that genotype() wants."""
+def from_noisy(rows: DataFrame, regions: DataFrame, read_haps: DataFrame, reference: DataFrame, o: Options) -> tuple[DataFrame, DataFrame]:
+    """Sites of noisy regions from consensus of their reads (contig, region_id, key, the site's columns, ref_cov, alt_cov, haps, bases), and contig, key, read_id, allele."""
     cover = intervals.overlap_join(regions.select("contig", "region_id", "st", "en"), rows.select("contig", "read_id", (F.col("pos") - 1).alias("st"), F.col("end").alias("en")), ["contig"], 10_000).select("contig", F.col("a_region_id").alias("region_id"), F.col("b_read_id").alias("read_id"))
     able = workable(regions, cover, ["contig"], o)
     grown = able.select("contig", "region_id", F.greatest(F.col("st") - o.noisy_flank, F.lit(0)).alias("st"), (F.col("en") + o.noisy_flank).alias("en"))
     sliced = fasta.slices(reference, grown.select("contig", "region_id", (F.col("st") + 1).alias("beg"), F.col("en").alias("end")), 0).select("contig", "region_id", (F.col("beg") - 1).alias("st"), (F.col("beg") - 1 + F.length("ref_seq")).alias("en"), "ref_seq")
     one = read_haps.groupBy("read_id").agg(F.max_by(F.struct("hap", "phase_set"), F.struct(F.col("hap") > 0, -F.col("chunk"))).alias("h")).select("read_id", "h.hap", "h.phase_set")
-    own = rows.join(one, "read_id", "left").select("contig", "read_id", (F.col("pos") - 1).alias("st"), F.col("end").alias("en"), "seq", "events", F.coalesce("hap", F.lit(0)).alias("hap"), F.coalesce("phase_set", F.lit(-1).cast("long")).alias("phase_set"), F.lit(0.0).alias("error_rate"))
+    quality = F.transform(F.sequence(F.lit(1), F.length("qual")), lambda i: F.pow(F.lit(10.0), -F.conv(F.hex(F.substring("qual", i, F.lit(1))), 16, 10).cast("int") / 10))
+    rate = F.when(F.length("qual") > 0, F.aggregate(quality, F.lit(0.0), lambda s, x: s + x) / F.length("qual")).otherwise(0.0)
+    own = rows.join(one, "read_id", "left").select("contig", "read_id", (F.col("pos") - 1).alias("st"), F.col("end").alias("en"), "seq", "events", F.coalesce("hap", F.lit(0)).alias("hap"), F.coalesce("phase_set", F.lit(-1).cast("long")).alias("phase_set"), rate.alias("error_rate"))
     got = cut(noisy.call(sliced, own, ["contig"], o))
-    n = got.filter("kind = 'allele'").groupBy("contig", "region_id", "site").agg(F.count_if(F.col("allele") == 0).alias("ref_cov"), F.count_if(F.col("allele") == 1).alias("alt_cov"))
-    sets = cover.join(one.filter("phase_set > 0"), "read_id").groupBy("contig", "region_id").agg(F.max_by("phase_set", F.struct("phase_set")).alias("phase_set"))
-    s = got.filter("kind = 'site'").drop("read_id", "allele").join(n, ["contig", "region_id", "site"]).join(sets, ["contig", "region_id"], "left")
-    anchored = fasta.base_at(reference, s.withColumn("_at", F.col("pos")).withColumn("pos", F.when(F.col("vtype") == SNP, F.col("pos")).otherwise(F.col("pos") - 1)), F.col("ref_len") + F.when(F.col("vtype") == SNP, 0).otherwise(1)).withColumn("pos", F.col("_at"))
-    return anchored.select("contig", "pos", "vtype", "ref_len", "alt_len", "alt_seq", "ref_cov", "alt_cov", F.col("haps").bitwiseAND(1).alias("hap1"), F.shiftright("haps", 1).alias("hap2"), F.coalesce("phase_set", F.lit(0).cast("long")).alias("phase_set"), F.lit(1).alias("top_allele"), "bases")
+    number = F.xxhash64("contig", "region_id", "site").alias("key")
+    alleles = got.filter("kind = 'allele'").select("contig", number, "read_id", "allele")
+    n = alleles.groupBy("contig", "key").agg(F.count_if(F.col("allele") == 0).alias("ref_cov"), F.count_if(F.col("allele") == 1).alias("alt_cov"))
+    s = got.filter("kind = 'site'").select("contig", "region_id", number, "pos", "vtype", "ref_len", "alt_len", "alt_seq", "haps").join(n, ["contig", "key"])
+    snp = F.col("vtype") == SNP
+    anchored = fasta.base_at(reference, s.withColumn("_at", F.col("pos")).withColumn("pos", F.when(snp, F.col("pos")).otherwise(F.col("pos") - 1)), F.col("ref_len") + F.when(snp, 0).otherwise(1))
+    return anchored.withColumn("pos", F.col("_at")).drop("_at"), alleles

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from dataclasses import replace
 
 import pytest
 
@@ -201,7 +202,8 @@ def test_region_call_and_splice():
         t, q = align.affine(ref, seq)
         cigar = "".join(f"1{'I' if a == '-' else 'D' if b == '-' else '=' if a == b else 'X'}" for a, b in zip(t, q, strict=True))
         rows.append((k, slice_of(events_of(101, cigar, seq, b"", {}, None, 1, HIFI), seq, 101, 180), k % 2 + 1 if k < 8 else 0, 5 if k < 8 else -1, 0.0))
-    sites, alleles = call_region(101, ref, rows, HIFI)
+    sites, alleles, single = call_region(101, ref, rows, replace(HIFI, somatic=True))
+    assert not single
     assert {(s[1], s[2], s[3], s[5]) for s in sites} == {(1, 0, 14, 2), (2, 6, 0, 2)}
     assert all(a == r % 2 for r, _, a in alleles) and len(alleles) == 24
     e = events_of(101, "80=", ref, b"", {}, None, 1, HIFI)
