@@ -24,6 +24,10 @@ from helixloom.llm.common import BoundedCache, text_slices, texts
 from helixloom.llm.merges import NONE, PairTable
 
 
+#: Bytes of a word beyond which steps over all words at once don't pay.
+LONG = 1024
+
+
 class LongestMatch:
     def __init__(self, vocabulary: Iterable[bytes], pattern: str):
         self.split = regex.compile(pattern).findall
@@ -43,6 +47,7 @@ class LongestMatch:
                 at = to
             token[at] = token[at] or at > 0
         left, right = np.array(list(edges), np.int64).T
+        self.edges = edges
         self.trie = PairTable(left, right, np.array(list(edges.values()), np.int32))
         #: Node to go on from after failing at a node, and how many tokens that pops. -1: no way on.
         self.fail, self.pops = np.full(len(token), -1, np.int64), np.zeros(len(token), np.int64)
@@ -60,8 +65,21 @@ class LongestMatch:
         for v in np.argsort(depth, kind="stable").tolist()[1:]:
             self.rest[v] = self.pops[v] + self.rest[self.fail[v]]
 
+    def walk(self, word: bytes) -> int:
+        """Number of greedy pieces of one word, byte by byte through the same automaton."""
+        node, n, edges, fail, pops = 0, 0, self.edges, self.fail.tolist(), self.pops.tolist()
+        for c in word:
+            while (to := edges.get((node, c))) is None:
+                n += pops[node]
+                node = fail[node]
+            node = to
+        return n + int(self.rest[node])
+
     def lengths(self, words: list[bytes]) -> np.ndarray:
-        """Number of greedy pieces of each word: all words advance by a byte at a time."""
+        """Number of greedy pieces of each word: all words advance by a byte at a time; those beyond LONG bytes walk by themselves."""
+        if any(len(w) > LONG for w in words):
+            short = iter(self.lengths([w for w in words if len(w) <= LONG]).tolist())
+            return np.array([next(short) if len(w) <= LONG else self.walk(w) for w in words], np.int64)
         size = np.array([len(w) for w in words], np.int64)
         order = np.argsort(-size, kind="stable")
         raw, start = np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - size
