@@ -28,6 +28,9 @@ ENDPOINT = r"(?:https?://[A-Za-z0-9.-]+(?::[0-9]+)?|(?<![A-Za-z0-9.-])[a-z0-9-]+
 #: Characters that a scope reaches to both sides of an access identifier.
 SCOPE = 400
 
+#: Characters of a block that redaction works on.
+BLOCK = 8192
+
 SPANS = "array<struct<start:int,end:int>>"
 
 
@@ -113,13 +116,22 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     rows = docs.withColumn("_key", text_key())
     joined = rows.join(hits, rows["doc_id"].eqNullSafe(hits["_d"]) & (rows["_key"] == hits["_k"]), "left")
 
-    def step(at: Column, s: Column) -> Column:
-        before = F.substring(F.col("text"), at["pos"] + 1, s["start"] - at["pos"])
-        more = F.when(s["start"] >= at["pos"], F.concat(at["out"], before, F.lit(mark))).otherwise(at["out"])
-        return F.struct(F.greatest(at["pos"], s["end"]).alias("pos"), more.alias("out"))
+    def clean_block(text: Column, i: Column) -> Column:
+        """The i-th BLOCK characters: substring() walks a text from its begin, so spans are cut out of blocks, not of the whole."""
+        lo, hi = i * BLOCK, (i + 1) * BLOCK
+        block = F.substring(text, lo + 1, F.lit(BLOCK))
+
+        def step(at: Column, s: Column) -> Column:
+            starts = s["start"] >= at["pos"]
+            before = F.substring(at["block"], at["pos"] - at["lo"] + 1, s["start"] - at["pos"])
+            more = F.when(starts, F.concat(at["out"], before, F.lit(mark))).otherwise(at["out"])
+            return F.struct(at["block"].alias("block"), at["lo"].alias("lo"), F.greatest(at["pos"], F.least(s["end"], at["lo"] + BLOCK)).alias("pos"), more.alias("out"))
+
+        zero = F.struct(block.alias("block"), lo.alias("lo"), lo.alias("pos"), F.lit("").alias("out"))
+        own = F.filter("_spans", lambda s: (s["start"] < hi) & (s["end"] > lo))
+        return F.aggregate(own, zero, step, lambda at: F.concat(at["out"], F.substring(at["block"], at["pos"] - at["lo"] + 1, F.lit(BLOCK))))
 
-    zero = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-    clean = F.aggregate("_spans", zero, step, lambda at: F.concat(at["out"], F.substring(F.col("text"), at["pos"] + 1, F.length("text"))))
+    clean = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.length("text") / BLOCK).cast("int")), lambda i: clean_block(F.col("text"), i)), "")
     out = joined.withColumn("_clean", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(clean))
     new = {"text": F.col("_clean")} | ({"n_chars": F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("_clean").cast(docs.schema["n_chars"].dataType))} if "n_chars" in docs.columns else {})
     return out.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns))

@@ -196,6 +196,15 @@ def test_secrets_run_without_python(docs):
     assert not re.search("Python|Pandas|Arrow", out.getvalue())
 
 
+def test_redaction_in_blocks(spark):
+    """Spans at and over the ends of blocks."""
+    n = secrets.BLOCK
+    texts = ["é" * (n - k) + "a1" * 20 + " é " * n + "token=abcdefgh" for k in (0, 1, 20, 40, 41)] + [("b2" * 15 + " ") * 2000, "c3" * 3 * n, "x" * n, "x" * (2 * n + 1)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in secrets.redact(df).collect():
+        assert r.text == re.sub("[0-9a-f]{24,}|token=[a-z]{6,}", "[SECRET]", texts[r.doc_id])
+
+
 def test_redaction(spark, docs):
     df = spark.createDataFrame([(k, t, len(t), "z") for k, t in enumerate(SECRET_DOCS)], "doc_id long, text string, n_chars long, base string")
     for r in secrets.redact(df).collect():
