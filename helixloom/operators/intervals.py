@@ -44,7 +44,7 @@ def overlap_semi(a: DataFrame, b: DataFrame, keys: list[str], width: int, how: s
 
     b is merged first, so it has at most one row of a stretch, and rows of a that touch one bin need no further step.
     """
-    merged = merge_fixed(b.select(*keys, "st", "en"), keys, 0).select(*keys, "st", "en")
+    merged = merge_fixed(b.select(*keys, "st", "en"), keys, 0, 64 * width).select(*keys, "st", "en")
     spread = _dealt(a, "st", "en", width, "_bin")
     y = _dealt(merged.select(*keys, F.col("st").alias("b_st"), F.col("en").alias("b_en")), "b_st", "b_en", width, "_bin").select(*(F.col(k).alias(f"_{k}") for k in keys), "b_st", "b_en", F.col("_bin").alias("_b_bin"))
     on = (F.col("_bin") == F.col("_b_bin")) & (F.col("st") < F.col("b_en")) & (F.col("b_st") < F.col("en"))
@@ -54,14 +54,39 @@ def overlap_semi(a: DataFrame, b: DataFrame, keys: list[str], width: int, how: s
     return hit if how == "left_semi" else a.exceptAll(hit)
 
 
-def merge_fixed(df: DataFrame, keys: list[str], gap: int) -> DataFrame:
+#: Bases of a stretch within which a key's intervals are ordered in one task; what lies before a stretch comes from its bins' maxima and counts.
+STRETCH = 4_000_000
+
+
+def _with_prior(df: DataFrame, keys: list[str], cols: list[str], stretch: int) -> DataFrame:
+    """Adds _max_<col>: the largest value of each column among a key's rows before, in order of st and en; null for the first.
+
+    Rows are ordered within (keys, bin of st) only, so a key of any size is spread; the bins' own maxima run on over one row a bin.
+    """
+    rows = df.withColumn("_bin", _bin(F.col("st"), stretch))
+    inner = Window.partitionBy(*keys, "_bin").orderBy("st", "en").rowsBetween(Window.unboundedPreceding, -1)
+    outer = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = rows.groupBy(*keys, "_bin").agg(*(F.max(c).alias(c) for c in cols)).select(*keys, "_bin", *(F.max(c).over(outer).alias(f"_carry_{c}") for c in cols))
+    out = rows.select("*", *(F.max(c).over(inner).alias(f"_inner_{c}") for c in cols)).join(bins, [*keys, "_bin"])
+    return out.select(*df.columns, "_bin", *(F.greatest(f"_inner_{c}", f"_carry_{c}").alias(f"_max_{c}") for c in cols))
+
+
+def _numbered(df: DataFrame, keys: list[str], new: Column) -> DataFrame:
+    """Adds _island: how many rows of a key up to this one, in order of st and en, begin something new. df has _bin from _with_prior()."""
+    rows = df.withColumn("_new", new.cast("int"))
+    # of rows with equal st and en only the first can be new, and must be counted first here too
+    inner = Window.partitionBy(*keys, "_bin").orderBy("st", "en", F.desc("_new")).rowsBetween(Window.unboundedPreceding, 0)
+    outer = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = rows.groupBy(*keys, "_bin").agg(F.sum("_new").alias("_n")).select(*keys, "_bin", F.coalesce(F.sum("_n").over(outer), F.lit(0)).alias("_carry"))
+    return rows.withColumn("_inner", F.sum("_new").over(inner)).join(bins, [*keys, "_bin"]).withColumn("_island", F.col("_inner") + F.col("_carry"))
+
+
+def merge_fixed(df: DataFrame, keys: list[str], gap: int, stretch: int = STRETCH) -> DataFrame:
     """Intervals at most `gap` apart become one. Columns: keys, st, en, n; label, if there, is the largest."""
-    order = Window.partitionBy(*keys).orderBy("st", "en")
-    before = F.max("en").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    begins = F.when(before.isNull() | (F.col("st") > before + gap), 1).otherwise(0)
-    island = df.withColumn("_new", begins).withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    label = [F.max("label").alias("label")] if "label" in df.columns else []
-    return island.groupBy(*keys, "_island").agg(F.min("st").alias("st"), F.max("en").alias("en"), F.count("*").alias("n"), *label).drop("_island")
+    label = ["label"] if "label" in df.columns else []
+    rows = _with_prior(df.select(*keys, "st", "en", *label), keys, ["en"], stretch)
+    island = _numbered(rows, keys, F.col("_max_en").isNull() | (F.col("st") > F.col("_max_en") + gap))
+    return island.groupBy(*keys, "_island").agg(F.min("st").alias("st"), F.max("en").alias("en"), F.count("*").alias("n"), *(F.max(c).alias(c) for c in label)).drop("_island")
 
 
 def fold_labelled(rows: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -83,13 +108,10 @@ def fold_labelled(rows: list[tuple[int, int, int]]) -> list[tuple[int, int, int]
         rows = out
 
 
-def merge_labelled(df: DataFrame, keys: list[str]) -> DataFrame:
-    """fold_labelled() within each stretch of a key. A stretch ends where a gap exceeds the largest label before it, which no merge can bridge, so groups stay local."""
-    order = Window.partitionBy(*keys).orderBy("st", "en")
-    past = order.rowsBetween(Window.unboundedPreceding, -1)
-    far = F.col("st") > F.max("en").over(past) + F.max("label").over(past)
-    split = df.select(*keys, "st", "en", "label").withColumn("_new", F.when(F.coalesce(far, F.lit(True)), 1).otherwise(0)).withColumn("_part", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-
+def merge_labelled(df: DataFrame, keys: list[str], stretch: int = STRETCH) -> DataFrame:
+    """fold_labelled() within each part of a key. A part ends where a gap exceeds the largest label before it, which no merge can bridge, so groups stay local."""
+    rows = _with_prior(df.select(*keys, "st", "en", "label"), keys, ["en", "label"], stretch)
+    split = _numbered(rows, keys, F.coalesce(F.col("st") > F.col("_max_en") + F.col("_max_label"), F.lit(True))).withColumnRenamed("_island", "_part")
     kinds = "array<struct<st:bigint,en:bigint,label:int>>"
     stretch = split.groupBy(*keys, "_part").agg(F.collect_list(F.struct(F.col("st").cast("long"), F.col("en").cast("long"), F.col("label").cast("int"))).cast(kinds).alias("rows"))
 

@@ -181,14 +181,14 @@ ISLANDS = """i1 AS (SELECT *, max(en) OVER (PARTITION BY grp ORDER BY st, en ROW
 
 @query(f"WITH iv AS ({b.IV_SQL}), {ISLANDS.format(gap=600_000_000)} SELECT * FROM merged")
 def interval_merge_fixed(spark, d):
-    return intervals.merge_fixed(b.intervals(spark, d).select("grp", "st", "en", "label"), ["grp"], 600_000_000)
+    return intervals.merge_fixed(b.intervals(spark, d).select("grp", "st", "en", "label"), ["grp"], 600_000_000, 24 * b.HOUR)
 
 
 @query()
 def interval_merge_labelled(spark, d):
     """Minutes as positions, so that labels (1 to 490) reach over gaps. Not SQL: a fold whose window grows with what it absorbs."""
     iv = b.intervals(spark, d).select("grp", F.floor(F.col("st") / 60_000_000).alias("st"), F.floor(F.col("en") / 60_000_000).alias("en"), (F.col("label") % 30).alias("label"))
-    return intervals.merge_labelled(iv, ["grp"])
+    return intervals.merge_labelled(iv, ["grp"], 1440)
 
 
 @query(f"{IV} SELECT a.id, a.grp, least(a.st, coalesce(min(b.st), a.st)) AS st, greatest(a.en, coalesce(max(b.en), a.en)) AS en FROM a LEFT JOIN b ON a.grp = b.grp AND a.st < b.en AND b.st < a.en GROUP BY a.id, a.grp, a.st, a.en")

@@ -62,7 +62,12 @@ def test_joins_equal_theta(spark):
 def test_labelled_merge_equals_the_plain_fold(spark):
     rows = [(f"c{RND.randrange(2)}", st := RND.randrange(600), st + RND.randrange(1, 9), RND.randrange(12)) for _ in range(120)]
     df = spark.createDataFrame(rows, "contig string, st long, en long, label int")
-    got = {c: sorted((r.st, r.en, r.label) for r in intervals.merge_labelled(df, ["contig"]).filter(F.col("contig") == c).collect()) for c in ("c0", "c1")}
+    for stretch in (40, 1000):
+        got = {c: sorted((r.st, r.en, r.label) for r in intervals.merge_labelled(df, ["contig"], stretch).filter(F.col("contig") == c).collect()) for c in ("c0", "c1")}
+        assert got == {c: intervals.fold_labelled([r[1:] for r in rows if r[0] == c]) for c in ("c0", "c1")}
+        plain = {c: intervals.fold_labelled([(*r[1:3], 3) for r in rows if r[0] == c]) for c in ("c0", "c1")}
+        fixed = intervals.merge_fixed(df, ["contig"], 3, stretch).collect()
+        assert {c: sorted((r.st, r.en, 3) for r in fixed if r.contig == c) for c in ("c0", "c1")} == plain and sum(r.n for r in fixed) == 120
     assert got == {c: intervals.fold_labelled([r[1:] for r in rows if r[0] == c]) for c in ("c0", "c1")}
 
 
