@@ -9,8 +9,10 @@ from itertools import groupby
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from helixloom.functions import align
+from helixloom.config import HIFI
+from helixloom.functions import align, dust
 from helixloom.operators.decode import Event
+from helixloom.operators.noisy import slice_of
 
 #: Half a quality window, the cap of an indel's distance, a clip's least length and reach, the reach for dense differences.
 AROUND, CAP, CLIP, REACH, FAR = 3, 10, 100, 100, 600
@@ -79,7 +81,10 @@ def homopolymer_error(read: str, reference: str, alt: str, ref: str, at: int) ->
 
 
 def of_reads(rows: DataFrame) -> DataFrame:
-    """Rows (read_id, var_id, pos, op, len, qi, low_qual, events, seq, qual, rev, known: array of (pos, op, len), lc_lo, lc_hi, hap_seq, alt, ref, at) to read_id, var_id, rev and somatic.EVIDENCE columns."""
+    """Rows (read_id, var_id, pos, op, len, qi, low_qual, events, seq, qual, rev, known: array of (pos, op, len), hap_seq, hap_lo, alt, ref) to read_id, var_id, rev and somatic.EVIDENCE columns.
+
+    hap_seq: the bases around the site from hap_lo on; low complexity and homopolymers are judged on it.
+    """
     names = ["qual", "window_qual", "indel_distance", "dense", "near_clip", "low_complexity_error", "homopolymer_error"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,9 +94,13 @@ def of_reads(rows: DataFrame) -> DataFrame:
                 events = [Event(e["pos"], e["op"], e["len"], e["qi"], e["alt"], e["low_qual"]) for e in r["events"]]
                 known = {(k["pos"], k["op"], k["len"]) for k in r["known"] or []}
                 qual = r["qual"] or b""
+                around, at = r["hap_seq"] or "", r["pos"] - (r["hap_lo"] or 0)
+                masked = [(a, b) for a, b in dust.mask(around, HIFI.dust_threshold, HIFI.dust_window) if a <= at < b]
+                own = slice_of(events, r["seq"], r["hap_lo"], r["hap_lo"] + len(around) - 1) if around and r["op"] == "X" else None
+                whole = own is not None and own.left and own.right
                 made = [
                     event_quality(r["op"], r["qi"], r["len"], qual, r["low_qual"]), window_quality(r["qi"], qual), gap_distance(r["pos"], events, known), int(dense(r["pos"], events)), int(near_clip(r["pos"], events)),
-                    int(r["lc_lo"] is not None and error_within(r["lc_lo"], r["lc_hi"], events, known)), int(bool(r["hap_seq"]) and homopolymer_error(r["seq"], r["hap_seq"], r["alt"], r["ref"], r["at"])),
+                    int(any(error_within(r["hap_lo"] + a, r["hap_lo"] + b, events, known | {(r["pos"], r["op"], r["len"])}) for a, b in masked)), int(own is not None and (not whole or homopolymer_error(own.seq, around, r["alt"], r["ref"], at))),
                 ]
                 for n, v in zip(names, made, strict=True):
                     out[n].append(v)

@@ -17,6 +17,7 @@ from helixloom.operators import genotype, intervals, noisy, phasing, pileup, sit
 from helixloom.operators.decode import decode
 from helixloom.operators.reads import workable
 from helixloom.schemas import DEL, INS, SITE_KEY, SNP
+from helixloom.sinks.alignments import haplotagged
 from helixloom.sources import fasta, sam
 
 
@@ -163,6 +164,13 @@ def call(reads: DataFrame, contigs: DataFrame, reference: DataFrame, o: Options
     return calls_of(analyse(reads, contigs, reference, o), reference, o)
 
 
+def tagged(reads: DataFrame, read_haps: DataFrame) -> DataFrame:
+    """All `reads` with the HP and PS of their first window; reads that weren't used lose old ones."""
+    one = read_haps.groupBy("read_id").agg(F.min_by(F.struct("hap", "phase_set"), "chunk").alias("h")).select("read_id", "h.hap", "h.phase_set")
+    named = reads.select("qname", "contig", "pos", F.xxhash64("qname", "contig", "pos", "flag").alias("read_id")).join(one, "read_id").select("qname", "contig", "pos", "hap", "phase_set")
+    return haplotagged(reads, named)
+
+
 def from_noisy(rows: DataFrame, regions: DataFrame, read_haps: DataFrame, reference: DataFrame, o: Options) -> tuple[DataFrame, DataFrame]:
     """Sites of noisy regions from consensus of their reads (contig, region_id, key, the site's columns, ref_cov, alt_cov, haps, bases), and contig, key, read_id, allele."""
     cover = intervals.overlap_join(regions.select("contig", "region_id", "st", "en"), rows.select("contig", "read_id", (F.col("pos") - 1).alias("st"), F.col("end").alias("en")), ["contig"], 10_000).select("contig", F.col("a_region_id").alias("region_id"), F.col("b_read_id").alias("read_id"))

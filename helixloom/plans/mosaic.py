@@ -16,6 +16,10 @@ from helixloom.schemas import DEL, INS, SNP
 from helixloom.sources import fasta
 
 
+#: Bases to both sides of a site on which low complexity and homopolymers are judged.
+AROUND = 25
+
+
 def marks(candidates: DataFrame, reference: DataFrame, o: Options, te_index: DataFrame | None) -> DataFrame:
     """site_id, tsd_len, polya_len, te_id of long indels: duplication and tail by the reference behind, and the element that the gap matches."""
     long = candidates.filter(somatic.is_sv(o)).withColumn("_n", F.greatest("ref_len", "alt_len"))
@@ -42,7 +46,7 @@ def candidates(a: Analysis, reference: DataFrame, o: Options, te_index: DataFram
     return cut(out.withColumn("is_low_complexity", (F.col("vtype") == INS) & (covered > 0.8 * F.length("alt_seq"))))
 
 
-def alt_evidence(a: Analysis, found: DataFrame, o: Options) -> tuple[DataFrame, DataFrame]:
+def alt_evidence(a: Analysis, found: DataFrame, reference: DataFrame, o: Options) -> tuple[DataFrame, DataFrame]:
     """Evidence columns of each candidate over its alt reads on the chosen phase set and haplotype, with that choice; and those reads."""
     haps = a.read_haps.groupBy("read_id").agg(F.max_by(F.struct("hap", "phase_set"), F.struct(F.col("hap") > 0, -F.col("chunk"))).alias("h")).select("read_id", "h.hap", "h.phase_set")
     profile = a.seen.join(found.select("contig", "site_id"), ["contig", "site_id"]).join(haps, "read_id", "left").select("contig", F.col("site_id").alias("var_id"), "read_id", F.when(F.col("alt") & (F.col("bq") < o.min_base_quality), -2).otherwise(F.col("alt").cast("int")).alias("allele"), F.coalesce("hap", F.lit(0)).alias("hap"), F.coalesce("phase_set", F.lit(-1).cast("long")).alias("phase_set"))
@@ -61,15 +65,17 @@ def alt_evidence(a: Analysis, found: DataFrame, o: Options) -> tuple[DataFrame,
     me = F.element_at(F.filter("events", lambda e: (e["pos"] == F.col("pos")) & (e["op"] == F.col("op"))), 1)
     known = a.variants.select("contig", F.floor(F.col("pos") / 1000).alias("_b"), F.struct("pos", F.when(F.col("vtype") == INS, "I").when(F.col("vtype") == DEL, "D").otherwise("X").alias("op"), F.greatest("ref_len", "alt_len").cast("int").alias("len")).alias("k")).groupBy("contig", "_b").agg(F.collect_list("k").alias("known"))
     rows = with_read.filter(F.exists("events", lambda e: (e["pos"] == F.col("pos")) & (e["op"] == F.col("op")))).withColumn("_e", me).withColumn("_b", F.floor(F.col("pos") / 1000)).join(known, ["contig", "_b"], "left")
-    null = F.lit(None).cast("long")
-    told = evidence.of_reads(rows.select("read_id", "var_id", "rev", "pos", "op", F.col("_e.len").alias("len"), F.col("_e.qi").alias("qi"), F.col("_e.low_qual").alias("low_qual"), "events", "seq", "qual", "known", null.alias("lc_lo"), null.alias("lc_hi"), F.lit("").alias("hap_seq"), F.col("alt_seq").alias("alt"), "ref", F.lit(0).alias("at")))
+    lo = F.greatest(F.col("pos") - AROUND, F.lit(1))
+    near = fasta.base_at(reference, found.select("site_id", "contig", lo.alias("pos")), F.lit(2 * AROUND + 1)).select(F.col("site_id").alias("var_id"), F.col("bases").alias("hap_seq"), F.col("pos").alias("hap_lo"))
+    rows = rows.join(near, "var_id", "left")
+    told = evidence.of_reads(rows.select("read_id", "var_id", "rev", "pos", "op", F.col("_e.len").alias("len"), F.col("_e.qi").alias("qi"), F.col("_e.low_qual").alias("low_qual"), "events", "seq", "qual", "known", "hap_seq", "hap_lo", F.col("alt_seq").alias("alt"), "ref"))
     return somatic.evidence(told, []).join(chosen, "var_id"), own
 
 
 def call(a: Analysis, reference: DataFrame, o: Options, te_index: DataFrame | None = None) -> DataFrame:
     """Somatic calls in the columns of germline ones, with somatic, mei and the element's marks."""
     found = candidates(a, reference, o, te_index)
-    told, own = alt_evidence(a, found, o)
+    told, own = alt_evidence(a, found, reference, o)
     told = cut(told)
     base = a.reads.select("contig", F.floor((F.col("pos") - 1) / o.window).alias("chunk"), F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("qual"), F.lit(1))), lambda i: F.conv(F.hex(F.substring("qual", i, F.lit(1))), 16, 10).cast("int"))).alias("bq")).filter("bq IS NOT NULL")
     quartiles = pileup.quality_quartiles(base, ["contig", "chunk"])

@@ -124,6 +124,8 @@ def test_calls(spark, made):
     assert by_set and all(len(g) == 1 for g in by_set.values())  # all alts lie on one haplotype, so a set has one phase
     assert len(by_set) <= 2  # windows are stitched
     assert {r.hap for r in haps.collect()} <= {0, 1, 2}
+    marked = germline.tagged(reads, haps)
+    assert marked.count() == reads.count() and marked.filter("map_contains_key(tags, 'HP')").count() == haps.filter("hap > 0").select("read_id").distinct().count()
     lines = [r.line for r in body_line(calls).collect()]
     assert all(x.count("\t") == 9 for x in lines)
 
