@@ -8,7 +8,6 @@ import re
 import pytest
 
 from helixloom.config import HIFI
-from helixloom.functions import align
 from helixloom.operators.genotype import body_line
 from helixloom.plans import germline
 from helixloom.sinks import alignments, vcf
@@ -86,7 +85,7 @@ def made(spark):
     rnd, ref, truth, _ = simulate()
     rows = reads_of(rnd, ref, truth)
     reads = spark.createDataFrame(rows, "qname string, flag int, contig string, pos long, mapq int, cigar string, seq string, qual binary, tags map<string,string>")
-    bins = fasta.binned(spark.createDataFrame([("chr1", ref)], "contig string, seq string"), 1000)
+    bins = fasta.binned(spark.createDataFrame([("chr1", ref)], "contig string, seq string"))
     contigs = spark.createDataFrame([("chr1", len(ref))], "contig string, length long")
     return reads, contigs, bins, ref, truth
 
@@ -103,13 +102,8 @@ def test_calls(spark, made):
     reads, contigs, bins, ref, truth = made
     from dataclasses import replace
 
-    germline_bins = fasta.BIN
-    fasta.BIN, germline.fasta.BIN = 1000, 1000
-    try:
-        calls, haps = germline.call(reads, contigs, bins_of(bins), replace(HIFI, window=10_000))
-        got = {shifted(ref, r.pos, r.ref, r.alt): r for r in calls.collect()}
-    finally:
-        fasta.BIN = germline.fasta.BIN = germline_bins
+    calls, haps = germline.call(reads, contigs, bins, replace(HIFI, window=10_000))
+    got = {shifted(ref, r.pos, r.ref, r.alt): r for r in calls.collect()}
     want = {shifted(ref, p, r, a): hom for p, (r, a, hom) in truth.items()}
     inner = {k: v for k, v in want.items() if 2000 < k[0] < 22_000}
     assert not set(got) - set(want)
@@ -130,14 +124,6 @@ def test_calls(spark, made):
     assert all(x.count("\t") == 9 for x in lines)
 
 
-def bins_of(bins):
-    """One bin of the usual width, as the contig is short."""
-    from pyspark.sql import functions as F
-
-    whole = bins.groupBy("contig").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bin", "seq"))), lambda x: x["seq"]), "").alias("seq"))
-    return fasta.binned(whole, 100_000)
-
-
 def test_sam_and_tags(spark, made, tmp_path):
     reads, contigs, _, ref, _ = made
     head = alignments.header_text([("chr1", len(ref))], "s1")
