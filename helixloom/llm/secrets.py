@@ -22,8 +22,8 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ASSIGN_LEAST = 6
 ACCESS = "AKIA[A-Z0-9]{16,}"
 HEX = "[0-9a-f]{24,}"
-#: Weak parts: a bare 40-character secret with small and capital letters and digits, and an endpoint.
-SECRET = "(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])"
+#: Weak parts: a bare 40-character secret with small and capital letters and digits (a '=' before it assigns it, one behind it pads something longer), and an endpoint.
+SECRET = "(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])"
 ENDPOINT = r"(?:https?://[A-Za-z0-9.-]+(?::[0-9]+)?|(?<![A-Za-z0-9.-])[a-z0-9-]+(?:\.[a-z0-9-]+)*\.amazonaws\.com)"
 #: Characters that a scope reaches to both sides of an access identifier.
 SCOPE = 400

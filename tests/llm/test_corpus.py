@@ -186,6 +186,19 @@ def test_secrets(spark, docs, empty):
     assert secrets.report(empty).count() == 0
 
 
+@pytest.mark.parametrize("form", ["={}", ' = {}', '="{}"', "='{}'", ": {}", "=={}"])
+def test_assigned_secrets_are_linked(spark, form):
+    """The environment form and its kin: the secret and an endpoint near it are found, and neither stays in the text."""
+    text = f"AWS_ACCESS_KEY_ID={KEY}\nAWS_SECRET_ACCESS_KEY{form.format(SECRET)}\nAWS_ENDPOINT=https://s3.example.com"
+    df = spark.createDataFrame([(1, text), (2, f"{KEY} {form.format(SECRET + chr(61))}"), (3, f"KEY{form.format(SECRET)}")], "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in secrets.report(df).collect()}
+    at, end = text.index(SECRET), text.index("https")
+    assert f"secret:{at}:{at + 40}" in spans[1].split(",") and f"endpoint:{end}:{len(text)}" in spans[1].split(",")
+    assert "secret" not in spans[2] + spans[3]  # padding follows; no access identifier
+    clean = secrets.redact(df).filter("doc_id = 1").first().text
+    assert SECRET not in clean and KEY not in clean and "s3.example.com" not in clean
+
+
 def test_secrets_run_without_python(docs):
     import io
     from contextlib import redirect_stdout
