@@ -405,6 +405,28 @@ def test_line_dedup(spark, docs, empty):
     assert line_dedup.line_dedup(empty).count() == 0
 
 
+def test_passages_of_one_and_two_lines(spark, tmp_path):
+    """The query removes later copies of single lines and two-line runs of more than 50 words, between differing neighbours and in short texts, and nothing less."""
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(n)) for x, n in (("a", 51), ("b", 30), ("c", 30), ("d", 50)))
+    texts = {
+        1: f"p\n{a}\nq", 2: a, 3: f"r\n{a}\ns\n{a}", 4: f"t\n{b}\n{c}\nu", 5: f"{b}\n{c}", 6: f"{c}\n{b}", 7: d, 8: f"v\n{d}", 9: f"x\ny\nz\n{a}\nw", 10: "x\ny\nz",
+        11: f"é\n{b}\n{c}\n{b}\n{c}", 12: f"{a} \n{a}\n{b}\n{c}", 13: None, 14: "",
+    }
+    want = {1: 0, 2: 1, 3: 2, 4: 0, 5: 2, 6: 0, 7: 0, 8: 0, 9: 1, 10: 3, 11: 4, 12: 3, 13: 0, 14: 0}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op9_line_dedup(spark, str(tmp_path)).collect()}
+    assert {i: r.n_removed for i, r in got.items()} == want
+    assert got[3].text == "r\ns" and got[9].text == "x\ny\nz\nw" and got[11].text == "é" and got[12].text == f"{a} " and got[2].text == ""
+
+
+def test_windows_alone_equal_the_sql(spark):
+    from tests.compare import differences, duck
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert differences(line_dedup.line_dedup(docs).toPandas(), duck(sf).execute(queries.ORACLES["op9_line_dedup"]).df()) == ""
+
+
 def brute_fingerprint(text, k=3):
     words = [w for w in re.split("[\x20\x09-\x0d]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text)) if w]
     if not words:
