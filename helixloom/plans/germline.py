@@ -16,6 +16,7 @@ from helixloom.functions import sequences as seq
 from helixloom.operators import genotype, intervals, noisy, phasing, pileup, sites
 from helixloom.operators.decode import decode
 from helixloom.operators.reads import workable
+from helixloom.plans.functions import dust_mask
 from helixloom.schemas import DEL, INS, SITE_KEY, SNP
 from helixloom.sinks.alignments import haplotagged
 from helixloom.sources import fasta, sam
@@ -66,15 +67,55 @@ def repeat_context(found: DataFrame, reference: DataFrame) -> DataFrame:
     return both.select("site_id", bases.alias("bases"), ((F.col("vtype") != SNP) & short & F.coalesce(hit, F.lit(False))).alias("repeat"), hp.alias("is_hp"))
 
 
-def noisy_regions(reads: DataFrame, o: Options) -> DataFrame:
-    """contig, st, en, label, region_id: noisy intervals of all reads, merged by label, with enough noisy reads among those that cover them."""
+def low_complexity(reference: DataFrame, places: DataFrame, width: int = fasta.BIN) -> DataFrame:
+    """contig, st, en: low-complexity stretches of the contigs that have `places`. A stretch scores within a window, so a bin with the window's bases of the next one sees all that begin in it."""
+    ahead = reference.select("contig", (F.col("bin") - 1).alias("bin"), F.substring("seq", 1, HIFI.dust_window).alias("_next"))
+    own = reference.join(places.select("contig").distinct(), "contig", "left_semi").join(ahead, ["contig", "bin"], "left")
+    found = own.select("contig", (F.col("bin") * width).alias("_at"), F.inline(dust_mask(F.concat("seq", F.coalesce("_next", F.lit(""))))))
+    return intervals.merge_fixed(found.select("contig", (F.col("_at") + F.col("st")).alias("st"), (F.col("_at") + F.col("en")).alias("en")), ["contig"], 0).select("contig", "st", "en")
+
+
+def noisy_regions(reads: DataFrame, reference: DataFrame, o: Options) -> DataFrame:
+    """contig, st, en, label, region_id: noisy intervals of all reads, extended by low complexity and merged by label, with enough noisy reads among those that cover them."""
     spans = reads.select("contig", "read_id", F.explode("noisy").alias("n")).select("contig", "read_id", "n.st", "n.en", "n.label")
-    merged = intervals.merge_labelled(spans.select("contig", "st", "en", "label"), ["contig"]).withColumn("region_id", F.xxhash64("contig", "st", "en"))
-    cover = reads.select("contig", "read_id", (F.col("pos") - 1).alias("st"), F.col("end").alias("en"))
-    fit = pileup.supported(pileup.noisy_read_ratio(merged, cover, spans, ["contig"], 10_000), o)
+    places = cut(spans.select("contig", "st", "en", "label").distinct())
+    wide = intervals.extend_by(places, cut(low_complexity(reference, places)), ["contig"], 10_000)
+    merged = intervals.merge_labelled(wide.select("contig", "st", "en", "label"), ["contig"]).withColumn("region_id", F.xxhash64("contig", "st", "en"))
+    fit = pileup.supported(pileup.noisy_read_ratio(merged, covers(reads), spans, ["contig"], 10_000), o)
     return merged.join(fit.select("contig", "region_id"), ["contig", "region_id"], "left_semi").filter("en > st")
 
 
+def covers(reads: DataFrame) -> DataFrame:
+    return reads.select("contig", "read_id", (F.col("pos") - 1).alias("st"), F.col("end").alias("en"))
+
+
+def contained(counted: DataFrame, regions: DataFrame) -> DataFrame:
+    """contig, site_id of the sites that lie in a region."""
+    return intervals.contain_join(site_spans(counted), regions.select("contig", "st", "en"), ["contig"], 10_000).select("contig", F.col("a_site_id").alias("site_id")).distinct()
+
+
+def site_spans(counted: DataFrame) -> DataFrame:
+    return counted.select("contig", "site_id", (F.col("pos") - 1).alias("st"), (F.col("pos") - 1 + F.greatest("ref_len", F.lit(1))).alias("en"))
+
+
+def grown_regions(reads: DataFrame, judged: DataFrame, regions: DataFrame, reference: DataFrame, o: Options) -> DataFrame:
+    """contig, st, en, region_id: `regions`, and with them indels in repeats and sites that overlap others where enough reads are noisy, each extended by
+    low complexity; merged, then grown until noisy_flank bases on both sides hold no candidate."""
+    repeats = site_spans(judged.filter("category = 'R'"))
+    rest = site_spans(judged.filter(~F.col("category").isin("L", "B", "R")))
+    others = site_spans(judged.filter(~F.col("category").isin("L", "B")))
+    met = intervals.overlap_join(rest, others, ["contig"], 10_000).filter("a_site_id <> b_site_id").select("contig", F.col("a_site_id").alias("site_id")).distinct()
+    crossing = rest.join(met, ["contig", "site_id"], "left_semi")
+    hard = cut(repeats.withColumn("sure", F.lit(True)).unionByName(crossing.withColumn("sure", F.lit(False))).withColumnRenamed("site_id", "region_id"))
+    wide = cut(intervals.extend_by(hard, cut(low_complexity(reference, hard)), ["contig"], 10_000))
+    noise = reads.select("contig", "read_id", F.explode("noisy").alias("n")).select("contig", "read_id", "n.st", "n.en")
+    fit = pileup.noisy_read_ratio(wide.filter("NOT sure"), covers(reads), noise, ["contig"], 10_000).filter(F.col("ratio") >= o.min_alt_fraction)
+    added = wide.filter("sure").unionByName(wide.filter("NOT sure").join(fit.select("contig", "region_id"), ["contig", "region_id"], "left_semi"))
+    merged = intervals.merge_labelled(regions.select("contig", "st", "en", "label").unionByName(added.select("contig", "st", "en", F.lit(1).cast(regions.schema["label"].dataType).alias("label"))), ["contig"])
+    near = site_spans(judged.filter(F.col("category").isin("N", "I", "H", "R")))
+    return intervals.flanked(cut(merged), near, ["contig"], o.noisy_flank).withColumn("region_id", F.xxhash64("contig", "st", "en"))
+
+
 def phase(profile: DataFrame, variants: DataFrame, o: Options) -> tuple[DataFrame, DataFrame]:
     """Reads and variants with stitched haplotypes and phase sets. profile: contig, chunk, read_id, read_rank, var_id, allele; variants with contig and chunk."""
 
@@ -105,11 +146,11 @@ def analyse(reads: DataFrame, contigs: DataFrame, reference: DataFrame, o: Optio
     events = cut(site_events(rows, o))
     found = cut(sites.distinct_long_insertions(events.filter("NOT low_qual").select(*SITE_KEY), o.min_sv_length).withColumn("site_id", F.xxhash64(*SITE_KEY)))
     seen = cut(observed(rows, events, found, o))
-    regions = cut(noisy_regions(rows, o))
+    noise = cut(noisy_regions(rows, reference, o))
     counted = pileup.counts(seen, ["contig", "site_id"], o.min_base_quality).join(found, ["contig", "site_id"]).join(repeat_context(found, reference), "site_id")
-    at = counted.select("contig", "site_id", (F.col("pos") - 1).alias("st"), (F.col("pos") - 1 + F.greatest("ref_len", F.lit(1))).alias("en"))
-    inside = intervals.contain_join(at, regions.select("contig", "st", "en"), ["contig"], 10_000).select("contig", F.col("a_site_id").alias("site_id")).distinct()
-    counted = cut(pileup.classify(counted.join(inside, ["contig", "site_id"], "left_anti"), o, F.col("repeat")))
+    judged = cut(pileup.classify(counted.join(contained(counted, noise), ["contig", "site_id"], "left_anti"), o, F.col("repeat")))
+    regions = cut(grown_regions(rows, judged, noise, reference, o))
+    counted = cut(judged.join(contained(judged, regions), ["contig", "site_id"], "left_anti"))
 
     order = Window.partitionBy("contig", "chunk").orderBy(F.struct("pos", "vtype", "ref_len", "alt_len", "alt_seq"))
     clean = counted.filter(F.col("category").isin("N", "I", "H")).withColumn("chunk", F.floor((F.col("pos") - 1) / o.window).cast("long"))
@@ -175,8 +216,7 @@ def from_noisy(rows: DataFrame, regions: DataFrame, read_haps: DataFrame, refere
     """Sites of noisy regions from consensus of their reads (contig, region_id, key, the site's columns, ref_cov, alt_cov, haps, bases), and contig, key, read_id, allele."""
     cover = intervals.overlap_join(regions.select("contig", "region_id", "st", "en"), rows.select("contig", "read_id", (F.col("pos") - 1).alias("st"), F.col("end").alias("en")), ["contig"], 10_000).select("contig", F.col("a_region_id").alias("region_id"), F.col("b_read_id").alias("read_id"))
     able = workable(regions, cover, ["contig"], o)
-    grown = able.select("contig", "region_id", F.greatest(F.col("st") - o.noisy_flank, F.lit(0)).alias("st"), (F.col("en") + o.noisy_flank).alias("en"))
-    sliced = fasta.slices(reference, grown.select("contig", "region_id", (F.col("st") + 1).alias("beg"), F.col("en").alias("end")), 0).select("contig", "region_id", (F.col("beg") - 1).alias("st"), (F.col("beg") - 1 + F.length("ref_seq")).alias("en"), "ref_seq")
+    sliced = fasta.slices(reference, able.select("contig", "region_id", (F.col("st") + 1).alias("beg"), F.col("en").alias("end")), 0).select("contig", "region_id", (F.col("beg") - 1).alias("st"), (F.col("beg") - 1 + F.length("ref_seq")).alias("en"), "ref_seq")
     one = read_haps.groupBy("read_id").agg(F.max_by(F.struct("hap", "phase_set"), F.struct(F.col("hap") > 0, -F.col("chunk"))).alias("h")).select("read_id", "h.hap", "h.phase_set")
     quality = F.transform(F.sequence(F.lit(1), F.length("qual")), lambda i: F.pow(F.lit(10.0), -F.conv(F.hex(F.substring("qual", i, F.lit(1))), 16, 10).cast("int") / 10))
     rate = F.when(F.length("qual") > 0, F.aggregate(quality, F.lit(0.0), lambda s, x: s + x) / F.length("qual")).otherwise(0.0)

@@ -124,6 +124,20 @@ def test_calls(spark, made):
     assert all(x.count("\t") == 9 for x in lines)
 
 
+def test_indel_in_a_repeat_is_called(spark):
+    """A heterozygous deletion of one unit of a tandem repeat, away from dense stretches."""
+    rnd, ref, _, _ = simulate(seed=7, n=12_000)
+    ref = ref[:5_999] + "G" + "AC" * 12 + "T" + ref[6_025:]
+    truth = {k + 1: (ref[k], "ACGT"["ACGT".index(ref[k]) - 1], False) for k in range(800, 11_600, 400) if abs(k - 6_000) > 100}
+    truth[6_000] = (ref[5_999:6_002], ref[5_999], False)
+    reads = spark.createDataFrame(reads_of(rnd, ref, truth), "qname string, flag int, contig string, pos long, mapq int, cigar string, seq string, qual binary, tags map<string,string>")
+    bins = fasta.binned(spark.createDataFrame([("chr1", ref)], "contig string, seq string"))
+    a = germline.analyse(reads, spark.createDataFrame([("chr1", len(ref))], "contig string, length long"), bins, HIFI)
+    assert [r.st < 5_999 and r.en >= 6_024 + 10 for r in a.regions.collect()] == [True]
+    got = {shifted(ref, r.pos, r.ref, r.alt): r.gt for r in germline.calls_of(a, bins, HIFI)[0].collect()}
+    assert got[6_000, "GAC", "G"] in ("0|1", "1|0") and set(got) <= set((p, r, x) for p, (r, x, _) in truth.items())
+
+
 def test_sam_and_tags(spark, made, tmp_path):
     reads, contigs, _, ref, _ = made
     head = alignments.header_text([("chr1", len(ref))], "s1")
