@@ -512,7 +512,7 @@ def infix_similarity(spark, d):
     """Each benchmark passage against the next one, within it."""
     from helixloom.plans import functions as f
 
-    s = b.sequences(spark, d).select("id", F.substring("seq", 1, 60).alias("q"))
+    s = b.sequences(spark, d).select("id", F.col("seq").alias("q"))
     t = b.sequences(spark, d).select((F.col("id") - 1).alias("id"), "seq")
     return s.join(t, "id").select("id", f.infix_edit("q", "seq").alias("a")).select("id", "a.distance", "a.start", "a.end", "a.path")
 
@@ -528,18 +528,19 @@ def edit_distance(spark, d):
 def affine_alignment(spark, d):
     from helixloom.plans import functions as f
 
-    s = b.sequences(spark, d).select("id", F.substring("seq", 1, 120).alias("t"))
-    q = b.sequences(spark, d).select("id", F.concat(F.substring("seq", 1, 50), F.substring("seq", 58, 60)).alias("q"))
+    """Each passage against itself without seven of its bases."""
+    s = b.sequences(spark, d).select("id", F.col("seq").alias("t"))
+    q = b.sequences(spark, d).select("id", F.concat(F.substring("seq", F.lit(1), F.lit(50)), F.substring("seq", F.lit(58), F.length("seq"))).alias("q"))
     return s.join(q, "id").select("id", f.affine_align("t", "q").alias("a")).select("id", "a.target", "a.query")
 
 
 @query()
 def poa_consensus(spark, d):
-    """Ten copies of a passage's begin, each with a base left out; the consensus is the passage."""
+    """Ten copies of a passage, each with a base left out; the consensus is the passage."""
     from helixloom.plans import functions as f
 
-    s = b.sequences(spark, d).select("id", F.substring("seq", 1, 80).alias("s"))
-    copies = F.transform(F.sequence(F.lit(1), F.lit(10)), lambda k: F.concat(F.substring("s", F.lit(1), k * 7), F.substring("s", k * 7 + 2, F.lit(80))))
+    s = b.sequences(spark, d).select("id", F.col("seq").alias("s"))
+    copies = F.transform(F.sequence(F.lit(1), F.lit(10)), lambda k: F.concat(F.substring("s", F.lit(1), k * 7), F.substring("s", k * 7 + 2, F.length("s"))))
     return s.select("id", "s", f.poa_consensus(copies).alias("consensus"))
 
 

@@ -227,3 +227,21 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "contig string, st long, en long, label int")
     assert intervals.merge_fixed(none, ["contig"], 0).count() == 0 == intervals.merge_labelled(none, ["contig"]).count()
     assert intervals.overlap_join(none, none, ["contig"], 10).count() == 0
+
+
+def test_kernel_queries_take_whole_texts(spark, tmp_path):
+    """Passages that differ beyond their begins, in a table of three."""
+    import random
+
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice("abcd") for _ in range(n)) for n in (150, 300, 131)]
+    texts[1] = texts[1][:40] + texts[0] + texts[1][190:]  # the first lies within the second
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    seqs = [t.translate(str.maketrans("abcd", "ACGT")) for t in texts]
+    infix = {r.id: r for r in QUERIES["infix_similarity"](spark, str(tmp_path)).collect()}
+    assert infix[0].distance == 0 and seqs[1][infix[0].start :].startswith(seqs[0]) and infix[0].path.count("=") in (1, len(seqs[0]))
+    assert set(infix) == {0, 1} and infix[1].distance >= len(seqs[1]) - len(seqs[2])
+    for r in QUERIES["affine_alignment"](spark, str(tmp_path)).collect():
+        t = seqs[r.id]
+        assert r.target.replace("-", "") == t and r.query.replace("-", "") == t[:50] + t[57:]
+    assert {r.id: (r.s, r.consensus) for r in QUERIES["poa_consensus"](spark, str(tmp_path)).collect()} == {k: (t, t) for k, t in enumerate(seqs)}
