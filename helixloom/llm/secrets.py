@@ -11,6 +11,8 @@ through; ties between spans go by kind as listed, then by end; other columns are
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,39 +20,62 @@ from helixloom.llm.common import cut, text_key
 
 KINDS = ("assign", "access", "hex", "secret", "endpoint")
 #: The base patterns, each with the least characters of what counts in a match. Matches of assign that fail are still used up.
+#: No pattern repeats a group: the engine would recurse once a round, and a long text would overflow the stack.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ASSIGN_LEAST = 6
 ACCESS = "AKIA[A-Z0-9]{16,}"
 HEX = "[0-9a-f]{24,}"
 #: Weak parts: a bare 40-character secret with small and capital letters and digits (a '=' before it assigns it, one behind it pads something longer), and an endpoint.
 SECRET = "(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])"
-ENDPOINT = r"(?:https?://[A-Za-z0-9.-]+(?::[0-9]+)?|(?<![A-Za-z0-9.-])[a-z0-9-]+(?:\.[a-z0-9-]+)*\.amazonaws\.com)"
+ENDPOINT = r"(?:https?://[A-Za-z0-9.-]+(?::[0-9]+)?|(?<![A-Za-z0-9.-])[a-z0-9-][a-z0-9.-]*\.amazonaws\.com)"
 #: Characters that a scope reaches to both sides of an access identifier.
 SCOPE = 400
 
-#: Characters of a block that redaction works on.
-BLOCK = 8192
+#: Matches whose places are summed up in one fold (an appended array is copied each time), and characters of the blocks that redaction works on.
+FOLD = 256
+BLOCK, BLOCKS = 8192, 16
 
 SPANS = "array<struct<start:int,end:int>>"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once a row, however often `body` names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _found(text: Column, pattern: str, group: int | None = None, least: int = 0, also: str | None = None) -> Column:
-    """Spans of all matches whose `group` has `least` characters. What lies between matches comes from split(), so places are running sums of lengths."""
+    """Spans of all matches whose `group` has `least` characters. What lies between matches comes from split(), so places are running sums of lengths.
+
+    Sums run within blocks of FOLD matches and then over the blocks, so no array grows by more than a block and the work is all but linear.
+    """
     match = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else match
-    parts = F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(match)).alias("gap"), match.alias("match"), value.alias("value"))
+    gap = F.transform(F.split(text, pattern, -1), F.length)
+    good = F.transform(value, lambda v: F.length(v) >= least)
+    if also:
+        good = F.zip_with(good, match, lambda a, m: a & m.rlike(also))
+    found = F.struct(gap.alias("gap"), F.transform(match, F.length).alias("size"), good.alias("good"))
+
+    def places(x: Column) -> Column:
+        n = F.size(x["size"])
+        blocks = F.sequence(F.lit(0), F.floor((n - 1) / FOLD).cast("int"))
+        within = lambda b: F.sequence(b * FOLD, F.least(n, (b + 1) * FOLD) - 1)
+        lengths = F.transform(blocks, lambda b: F.aggregate(within(b), F.lit(0), lambda s, i: s + F.get(x["gap"], i) + F.get(x["size"], i)))
+        begins = F.aggregate(lengths, F.array(F.lit(0)), lambda at, n: F.array_append(at, F.element_at(at, -1) + n))
 
-    def step(at: Column, x: Column) -> Column:
-        start = at["pos"] + F.length(x["gap"])
-        end = start + F.length(x["match"])
-        good = F.length(x["value"]) >= least
-        if also:
-            good = good & x["match"].rlike(also)
-        span = F.struct(start.alias("start"), end.alias("end"))
-        return F.struct(end.alias("pos"), F.when(good, F.array_append(at["out"], span)).otherwise(at["out"]).alias("out"))
+        def step(at: Column, i: Column) -> Column:
+            start = at["pos"] + F.get(x["gap"], i)
+            end = start + F.get(x["size"], i)
+            span = F.struct(start.alias("start"), end.alias("end"))
+            return F.struct(end.alias("pos"), F.when(F.get(x["good"], i), F.array_append(at["out"], span)).otherwise(at["out"]).alias("out"))
 
-    zero = F.struct(F.lit(0).alias("pos"), F.array().cast(SPANS).alias("out"))
-    return F.when(text.rlike(pattern), F.aggregate(parts, zero, step, lambda at: at["out"])).otherwise(F.array().cast(SPANS))
+        def spans(begin: Column) -> Column:
+            zero = lambda b: F.struct(F.get(begin, b).alias("pos"), F.array().cast(SPANS).alias("out"))
+            return F.flatten(F.transform(blocks, lambda b: F.aggregate(within(b), zero(b), step, lambda at: at["out"])))
+
+        return _let(begins, spans)
+
+    return F.when(text.rlike(pattern), _let(found, places)).otherwise(F.array().cast(SPANS))
 
 
 def parts(docs: DataFrame) -> DataFrame:
@@ -97,10 +122,10 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     """doc_id, key, base and spans (arrays of (start, kind, end), the place of kind in KINDS) for each row of `docs`; spans hold base ones and linked ones."""
     found = cut(parts(docs))
     link = linked(found).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "linked")
-    base = F.array_sort(F.concat(_kind("assign"), _kind("access"), _kind("hex")))
+    base = F.sort_array(F.concat(_kind("assign"), _kind("access"), _kind("hex")))
     rows = found.select("doc_id", "key", base.alias("base"))
     joined = rows.join(link, rows["doc_id"].eqNullSafe(link["_d"]) & (rows["key"] == link["_k"]), "left")
-    both = F.when(F.col("linked").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "linked")))
+    both = F.when(F.col("linked").isNull(), F.col("base")).otherwise(F.sort_array(F.concat("base", "linked")))
     return joined.select("doc_id", "key", "base", both.alias("spans"))
 
 
@@ -116,22 +141,29 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     rows = docs.withColumn("_key", text_key())
     joined = rows.join(hits, rows["doc_id"].eqNullSafe(hits["_d"]) & (rows["_key"] == hits["_k"]), "left")
 
-    def clean_block(text: Column, i: Column) -> Column:
-        """The i-th BLOCK characters: substring() walks a text from its begin, so spans are cut out of blocks, not of the whole."""
-        lo, hi = i * BLOCK, (i + 1) * BLOCK
-        block = F.substring(text, lo + 1, F.lit(BLOCK))
+    whole, wide = F.col("text"), BLOCK * BLOCKS
+    span_of = lambda spans, lo, n: F.filter(spans, lambda s: (s["start"] < lo + n) & (s["end"] > lo))
+
+    def clean_block(text: Column, base: Column, spans: Column, lo: Column) -> Column:
+        """The BLOCK characters from `lo` on, of a text that begins at `base`."""
+        block = F.substring(text, lo - base + 1, F.lit(BLOCK))
 
         def step(at: Column, s: Column) -> Column:
             starts = s["start"] >= at["pos"]
-            before = F.substring(at["block"], at["pos"] - at["lo"] + 1, s["start"] - at["pos"])
+            before = F.substring(at["block"], at["pos"] - lo + 1, s["start"] - at["pos"])
             more = F.when(starts, F.concat(at["out"], before, F.lit(mark))).otherwise(at["out"])
-            return F.struct(at["block"].alias("block"), at["lo"].alias("lo"), F.greatest(at["pos"], F.least(s["end"], at["lo"] + BLOCK)).alias("pos"), more.alias("out"))
+            return F.struct(at["block"].alias("block"), F.greatest(at["pos"], F.least(s["end"], lo + BLOCK)).alias("pos"), more.alias("out"))
+
+        zero = F.struct(block.alias("block"), lo.alias("pos"), F.lit("").alias("out"))
+        return F.aggregate(span_of(spans, lo, BLOCK), zero, step, lambda at: F.concat(at["out"], F.substring(at["block"], at["pos"] - lo + 1, F.lit(BLOCK))))
 
-        zero = F.struct(block.alias("block"), lo.alias("lo"), lo.alias("pos"), F.lit("").alias("out"))
-        own = F.filter("_spans", lambda s: (s["start"] < hi) & (s["end"] > lo))
-        return F.aggregate(own, zero, step, lambda at: F.concat(at["out"], F.substring(at["block"], at["pos"] - at["lo"] + 1, F.lit(BLOCK))))
+    def clean_stretch(k: Column) -> Column:
+        """A stretch of BLOCKS blocks. substring() walks a text from its begin and filter() all spans, so blocks are cut out of stretches, not of the whole."""
+        base = k * wide
+        held = F.struct(F.substring(whole, base + 1, F.lit(wide)).alias("text"), span_of(F.col("_spans"), base, wide).alias("spans"))
+        return _let(held, lambda x: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda b: clean_block(x["text"], base, x["spans"], base + b * BLOCK)), ""))
 
-    clean = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.length("text") / BLOCK).cast("int")), lambda i: clean_block(F.col("text"), i)), "")
+    clean = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.length("text") / wide).cast("int")), clean_stretch), "")
     out = joined.withColumn("_clean", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(clean))
     new = {"text": F.col("_clean")} | ({"n_chars": F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("_clean").cast(docs.schema["n_chars"].dataType))} if "n_chars" in docs.columns else {})
     return out.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns))

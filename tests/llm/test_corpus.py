@@ -199,6 +199,49 @@ def test_assigned_secrets_are_linked(spark, form):
     assert SECRET not in clean and KEY not in clean and "s3.example.com" not in clean
 
 
+WEAK = {"secret": re.compile(secrets.SECRET), "endpoint": re.compile(secrets.ENDPOINT)}
+
+
+def brute_spans(text):
+    """Base spans, and weak parts that lie within a scope of an access identifier which also holds a secret."""
+    base = base_spans(text)
+    weak = [(m.start(), secrets.KINDS.index(k), m.end()) for k, p in WEAK.items() for m in p.finditer(text) if k == "endpoint" or all(re.search(c, m[0]) for c in ("[a-z]", "[A-Z]", "[0-9]"))]
+    linked = set()
+    for a, kind, b in base:
+        if secrets.KINDS[kind] == "access":
+            near = [s for s in weak if s[0] >= a - secrets.SCOPE and s[2] <= b + secrets.SCOPE]
+            if any(secrets.KINDS[k] == "secret" for _, k, _ in near):
+                linked |= set(near)
+    return sorted([*base, *linked])
+
+
+def test_linked_spans_equal_brute_force(spark):
+    pieces = [KEY, SECRET, SECRET[:39] + "=", "https://s3.example.com:443/x", "s3.eu.amazonaws.com", "a..amazonaws.com.", "x" * 150, "é" * 90, "\n", "token=abcdefgh", "0123456789abcdef" * 2, "UPPER" * 8, "AWS_SECRET=" + SECRET]
+    rows = [(k, " ".join(RND.choice(pieces) for _ in range(RND.randrange(1, 60)))) for k in range(120)]
+    got = {r.doc_id: r.spans for r in secrets.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    for k, t in rows:
+        assert got[k] == ",".join(f"{secrets.KINDS[x]}:{a}:{b}" for a, x, b in brute_spans(t))
+    assert sum("secret" in s for s in got.values()) > 20 and sum("endpoint" in s for s in got.values()) > 20
+
+
+@pytest.mark.parametrize("part", ["a.", ".", "https://", "0", "AKIA", "aB3/", " ", "token", "token=", "-", "a.amazonaws.com.", "\"", "é"])
+def test_secrets_of_long_runs(spark, part):
+    """A megabyte of each class behind an access identifier: neither stack nor time gives out."""
+    text = f"{KEY} password" + part * (1_000_000 // len(part))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = secrets.report(df).first()
+    assert row.spans == ",".join(f"{secrets.KINDS[x]}:{a}:{b}" for a, x, b in brute_spans(text))
+    secrets.redact(df).first()
+
+
+def test_secrets_many_matches(spark):
+    text = ("ab12" * 6 + " token=abcdef ") * 50_000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = secrets.report(df).first()
+    assert (row.n_hex, row.n_assign) == (50_000, 50_000) and row.spans == ",".join(f"{secrets.KINDS[x]}:{a}:{b}" for a, x, b in base_spans(text))
+    assert secrets.redact(df).first().text == "[SECRET] [SECRET] " * 50_000
+
+
 def test_secrets_run_without_python(docs):
     import io
     from contextlib import redirect_stdout
