@@ -55,18 +55,12 @@ class ByteBPE:
         raw = [w.encode() for w in words]
         ids, size = self.merges.words(self.byte_id[np.frombuffer(b"".join(raw), np.uint8)], np.array([len(x) for x in raw], np.int64))
         data, end = ids.astype("<u4").tobytes(), (np.cumsum(size) * 4).tolist()
-        self.cache.room_for(len(words))
-        self.cache.update(zip(words, [data[a:b] for a, b in zip([0, *end], end, strict=False)], strict=True))
+        self.cache.learn(words, [data[a:b] for a, b in zip([0, *end], end, strict=False)])
 
     def encode(self, many: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
         split = [self.split(x) for x in many]
-        seen: set[str] = set()
-        for x in split:
-            seen.update(x)
-        if len(self.cache) + len(seen) > self.cache.limit:
-            self.cache.clear()
-        if new := [w for w in seen if w not in self.cache]:
+        if new := self.cache.new_of(split):
             self._learn(new)
         get = self.cache.__getitem__
         return [b"".join(map(get, x)) for x in split]

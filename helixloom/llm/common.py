@@ -62,13 +62,28 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is named, as in tests."""
+    """The shared folder that the cluster names. Only a local master without one gets a temporary folder, as in tests; any other raises, as executors don't share it."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith(("local[", "local-cluster[")) and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    remove_at_exit(spark, sc.getCheckpointDir())
     return sc.getCheckpointDir()
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """The driver removes `path`, a folder of this application alone, when it ends."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def only(docs: DataFrame, winners: DataFrame, repeated: DataFrame) -> DataFrame:
     """The rows of `docs`, all columns kept, whose (doc_id, text_key) is in `winners`, each once. `repeated`: the (doc_id, key) of more than one row."""
 
@@ -88,12 +103,22 @@ def only(docs: DataFrame, winners: DataFrame, repeated: DataFrame) -> DataFrame:
 
 
 class BoundedCache(dict):
-    """Words already seen by this worker; emptied when full, so that memory stays bounded."""
+    """What this worker knows of words already seen. Emptied before a slice of texts when it holds too many words or bytes, so memory stays within the bound and a slice."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 300_000, most_bytes: int = 32 << 20):
         super().__init__()
-        self.limit = limit
-
-    def room_for(self, n: int) -> None:
-        if len(self) + n > self.limit:
+        self.limit, self.most_bytes, self.bytes = limit, most_bytes, 0
+
+    def new_of(self, split: Iterable[list[str]]) -> list[str]:
+        """The distinct words of a slice that aren't held, after room for them is made."""
+        seen: set[str] = set()
+        for x in split:
+            seen.update(x)
+        if len(self) + len(seen) > self.limit or self.bytes > self.most_bytes:
             self.clear()
+            self.bytes = 0
+        return [w for w in seen if w not in self]
+
+    def learn(self, words: list[str], values: list) -> None:
+        self.update(zip(words, values, strict=True))
+        self.bytes += sum(map(len, words)) + (sum(map(len, values)) if values and isinstance(values[0], bytes) else 8 * len(values))

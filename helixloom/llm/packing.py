@@ -3,9 +3,9 @@
 1. Every document becomes ids plus an end id, cut into pieces of at most `capacity`.
 2. The lengths' histogram (at most `capacity` rows) goes to the driver, which plans best-fit
    decreasing over counts: a run of equal sequences takes a run of equal pieces at once.
-3. Each piece takes the planned slot of its rank within its length. Ranks are dealt by a salt:
-   row numbers within (length, salt) plus the counts of the salts before, so that a length that
-   holds a third of all pieces is never in one task.
+3. Each piece takes the planned slot of its rank within its length. Ranks are dealt by a salt, a row's number modulo
+   as many salts as its length needs: row numbers within (length, salt) plus the counts of the salts before, so that a
+   length that holds a third of all pieces is never in one task, copies of one row included.
 
 Defined cases: null text counts as empty, an empty text is one piece holding the end id; repeated rows are packed
 each for itself; an empty table gives no rows; a null doc_id is carried through; other columns are passed by.
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from helixloom.llm.common import BoundedCache, cut, text_slices, texts
 from helixloom.llm.merges import Merges
 
-#: Pieces that one salt of a length holds on average, and the fewest salts.
-PER_SALT, LEAST_SALTS = 20_000, 64
+#: Pieces that one salt of a length holds on average.
+PER_SALT = 20_000
 
 
 def byte_chars() -> list[str]:
@@ -44,7 +44,7 @@ class WordBPE:
     """A tokenizers file of the kind: lower case, white space dropped, byte-level BPE with a suffix at a word's end.
 
     Texts of Latin-1 characters, for which composing is the identity and lower case goes character by character, are split here and
-    encoded through padded matrices, once for each distinct word. All other texts go through the library itself.
+    encoded through padded matrices, once for each distinct word. All other texts, and those that hold a special token's own text, go through the library itself.
     """
 
     #: The file's own pattern over lower-case Latin-1.
@@ -62,6 +62,7 @@ class WordBPE:
         self.merges = Merges(left, right, np.arange(len(left)), merged)
         self.inner = np.array([vocab[c] for c in byte_chars()], np.int32)
         self.last = np.array([vocab[c + suffix] for c in byte_chars()], np.int32)
+        self.special = [t["content"] for t in spec["added_tokens"]]
         self.kinds, self.cache = self._kinds(), BoundedCache()
 
     @classmethod
@@ -97,7 +98,7 @@ class WordBPE:
             ids, size = self.merges.words(ids, size)
             data = ids.astype("<u4").tobytes()
             to = (np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(n_pieces)])] * 4).tolist()
-            self.cache.update(zip(many, [data[a:b] for a, b in zip(to, to[1:], strict=False)], strict=True))
+            self.cache.learn(many, [data[a:b] for a, b in zip(to, to[1:], strict=False)])
 
     def _by_library(self, many: list[str]) -> list[bytes]:
         if self.library is None:
@@ -107,21 +108,15 @@ class WordBPE:
             from tokenizers import Tokenizer
 
             self.library = Tokenizer.from_file(self.path)
-            self.library.encode_special_tokens = True
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.library.encode_batch(many, add_special_tokens=False)]
 
     def encode(self, many: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
-        odd = [k for k, x in enumerate(many) if not x.isascii() and self.BEYOND.search(x) or x.isascii() and any(c in x for c in "\x1c\x1d\x1e\x1f")]
+        odd = [k for k, x in enumerate(many) if (not x.isascii() and self.BEYOND.search(x)) or (x.isascii() and any(c in x for c in "\x1c\x1d\x1e\x1f")) or any(c in x for c in self.special)]
         split = [x.lower().split() for x in many]
         for k in odd:
             split[k] = []
-        seen: set[str] = set()
-        for x in split:
-            seen.update(x)
-        if len(self.cache) + len(seen) > self.cache.limit:
-            self.cache.clear()
-        if new := [w for w in seen if w not in self.cache]:
+        if new := self.cache.new_of(split):
             self._learn(new)
         get = self.cache.__getitem__
         out = [b"".join(map(get, x)) for x in split]
@@ -206,11 +201,12 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     """Adds sequence_id and offset to pieces with a `length` of 1 to `capacity`; all further columns are kept."""
     pieces = cut(pieces.drop("sequence_id", "offset"))
     cols = pieces.columns
-    salts = max(LEAST_SALTS, pieces.count() // PER_SALT)
-    dealt = pieces.withColumn("_salt", F.pmod(F.xxhash64(*cols), F.lit(salts)).cast("int"))
-    counts = dealt.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # capacity rows at most
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     slots = plan(histogram, capacity)
+    # a row's number in its partition of the checkpoint is the same whenever it is read, and deals repeated rows out like any others
+    salts = F.element_at(F.array(*(F.lit(-(-histogram.get(k, 1) // PER_SALT)) for k in range(1, capacity + 1))), F.col("length").cast("int"))
+    dealt = pieces.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), salts).cast("int"))
+    counts = dealt.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     before = counts.select("length", "_salt", (F.sum("_n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_n")).alias("_before"))
     ranked = dealt.withColumn("_k", F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*cols)))
     ranked = ranked.join(before, ["length", "_salt"]).select(*cols, (F.col("_before") + F.col("_k") - 1).alias("_rank"))

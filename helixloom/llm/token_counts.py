@@ -64,10 +64,13 @@ class LongestMatch:
         self.rest = np.zeros(len(token), np.int64)
         for v in np.argsort(depth, kind="stable").tolist()[1:]:
             self.rest[v] = self.pops[v] + self.rest[self.fail[v]]
+        self.steps: tuple[list[int], list[int]] | None = None
 
     def walk(self, word: bytes) -> int:
         """Number of greedy pieces of one word, byte by byte through the same automaton."""
-        node, n, edges, fail, pops = 0, 0, self.edges, self.fail.tolist(), self.pops.tolist()
+        if self.steps is None:  # plain lists, made once: single look-ups in arrays are slow
+            self.steps = self.fail.tolist(), self.pops.tolist()
+        node, n, edges, (fail, pops) = 0, 0, self.edges, self.steps
         for c in word:
             while (to := edges.get((node, c))) is None:
                 n += pops[node]
@@ -100,13 +103,8 @@ class LongestMatch:
 
     def count(self, many: list[str]) -> list[tuple[int, int]]:
         split = [self.split(x) for x in many]
-        seen: set[str] = set()
-        for x in split:
-            seen.update(x)
-        if len(self.cache) + len(seen) > self.cache.limit:
-            self.cache.clear()
-        if new := [w for w in seen if w not in self.cache]:
-            self.cache.update(zip(new, self.lengths([w.encode() for w in new]).tolist(), strict=True))
+        if new := self.cache.new_of(split):
+            self.cache.learn(new, self.lengths([w.encode() for w in new]).tolist())
         get = self.cache.__getitem__
         return [(len(x), sum(map(get, x))) for x in split]
 
