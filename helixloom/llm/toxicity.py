@@ -5,7 +5,7 @@ word's weight grows with the logarithm of its count and every bag is padded with
 as misspellings, share the vectors of their n-grams. For scoring, table and softmax fold into one number for each place of the table.
 
 Defined cases: null text counts as empty; a text without words gets the prior alone; without labelled rows of both classes all scores are the
-prior (0.5 without any label); rows with a null label aren't learned from, and of several labels of a doc_id the largest counts; repeated rows get equal scores; other columns are passed by;
+prior (0.5 without any label), and keep_clean() keeps every row; rows with a null label aren't learned from, and of several labels of a doc_id the largest counts; repeated rows get equal scores; other columns are passed by;
 an empty table gives no rows.
 """
 
@@ -14,10 +14,11 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixloom.llm.common import BoundedCache, text_slices, texts
@@ -25,9 +26,10 @@ from helixloom.llm.common import BoundedCache, text_slices, texts
 
 @dataclass(frozen=True)
 class Parameters:
-    #: Rows of each class that the model is fitted on at most, and the longest text among them (longer ones are left to the other rows).
+    #: Rows of each class that the model is fitted on at most, and their bytes together: texts are whole, of any length, but once
+    #: those taken (by their id's hash) hold so many bytes, no more are.
     per_class: int = 3000
-    longest: int = 20_000
+    class_bytes: int = 24 << 20
     #: Places of the table as a power of two, dimensions, n-gram lengths.
     bits: int = 17
     dims: int = 4
@@ -83,20 +85,17 @@ class Model:
     weight: np.ndarray
     bias: float
     p: Parameters
+    #: Whether rows of both classes were there to learn from; if not, the score is the prior alone.
+    fitted: bool = True
 
     def scorer(self) -> Callable[[list[str]], np.ndarray]:
         cache = BoundedCache()
 
         def score(many: list[str]) -> np.ndarray:
             split = [word_list(x) for x in many]
-            seen: set[str] = set()
-            for x in split:
-                seen.update(x)
-            if len(cache) + len(seen) > cache.limit:
-                cache.clear()
-            if new := [w for w in seen if w not in cache]:
+            if new := cache.new_of(split):
                 flat, n = places(new, self.p)
-                cache.update(zip(new, (np.add.reduceat(self.weight[flat], np.cumsum(n) - n) / n).tolist(), strict=True))
+                cache.learn(new, (np.add.reduceat(self.weight[flat], np.cumsum(n) - n) / n).tolist())
             get = cache.__getitem__
             logit = np.empty(len(split))
             for k, x in enumerate(split):
@@ -114,7 +113,21 @@ def train(rows: list[tuple[str, int]], p: Parameters, prior: float) -> Model:
     size = 1 << p.bits
     if not len(rows) or label.min() == label.max():
         share = min(max(prior, 1e-6), 1 - 1e-6)
-        return Model(np.zeros(size, np.float32), float(np.log(share / (1 - share))), p)
+        return Model(np.zeros(size, np.float32), float(np.log(share / (1 - share))), p, False)
+    table, soft, bias, learnt = learn(rows, label, p)
+    mine = label.mean()
+    shift = np.log(prior / (1 - prior)) - np.log(mine / (1 - mine))
+    return fold(table, soft, bias + np.array([0.0, shift]), learnt, p)
+
+
+def fold(table: np.ndarray, soft: np.ndarray, bias: np.ndarray, learnt: np.ndarray, p: Parameters) -> Model:
+    """One number for each place of the table, as means and the softmax's difference are linear. Places that no word of the sample has say nothing."""
+    return Model(np.where(learnt, table @ (soft[:, 1] - soft[:, 0]), 0.0).astype(np.float32), float(bias[1] - bias[0]), p)
+
+
+def learn(rows: list[tuple[str, int]], label: np.ndarray, p: Parameters) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Table, softmax, its bias, and which places of the table the sample's words have."""
+    size = 1 << p.bits
     rng = np.random.Generator(np.random.PCG64(p.seed))
     number: dict[str, int] = {}
     docs = []
@@ -165,11 +178,7 @@ def train(rows: list[tuple[str, int]], p: Parameters, prior: float) -> Model:
             soft -= p.rate * d_soft / np.sqrt(g_soft)
             g_bias += d_bias**2
             bias -= p.rate * d_bias / np.sqrt(g_bias)
-    mine = label.mean()
-    shift = np.log(prior / (1 - prior)) - np.log(mine / (1 - mine))
-    weight = table @ (soft[:, 1] - soft[:, 0])
-    weight[np.bincount(flat, minlength=size) == 0] = 0.0  # places that no word of the sample has say nothing
-    return Model(weight.astype(np.float32), float(bias[1] - bias[0] + shift), p)
+    return table, soft, bias, np.bincount(flat, minlength=size) > 0
 
 
 def held_out() -> Column:
@@ -178,21 +187,22 @@ def held_out() -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, p: Parameters | None = None) -> Model:
-    """A model from the labelled rows that aren't held out: of each class the per_class rows of smallest hash, all of whose texts are read whole."""
+    """A model from the labelled rows that aren't held out: of each class the per_class rows of smallest hash, within class_bytes. `docs` is read once."""
     p = p or Parameters()
     usable = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     shares = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
     total = sum(shares.values())
-    short = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.length("text") <= p.longest)
-    chosen = []
-    for y in sorted(shares):
-        # twice the rows, as some texts are too long or missing
-        ids = usable.filter(F.col("toxic") == y).select("doc_id", F.xxhash64("doc_id").alias("_h")).orderBy("_h").limit(2 * p.per_class)
-        chosen.append(short.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "_h", F.lit(y).alias("toxic")))  # 2 * per_class rows at most
-    rows: list[tuple[str, int]] = []
-    for part in chosen:
-        got = part.orderBy("_h", "text").limit(p.per_class).select("text", "toxic").toArrow()
-        rows += zip(got["text"].to_pylist(), got["toxic"].to_pylist(), strict=True)
+    # twice the rows, as some have no text
+    ids = [usable.filter(F.col("toxic") == y).select("doc_id", "toxic", F.xxhash64("doc_id").alias("_h")).orderBy("_h").limit(2 * p.per_class) for y in sorted(shares)]
+    if not ids:
+        return train([], p, 0.5)
+    labelled = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(reduce(DataFrame.unionByName, ids)), "doc_id")  # 4 * per_class ids at most
+    order = Window.partitionBy("toxic").orderBy("_h", "text")
+    # a limit on row_number() is taken in every task before rows move, so that one doc_id with very many rows costs no more than any other
+    first = labelled.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= p.per_class)
+    held = first.withColumn("_b", F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1))).filter(F.coalesce("_b", F.lit(0)) < p.class_bytes)
+    got = held.select("toxic", "_k", "text").toArrow().sort_by([("toxic", "ascending"), ("_k", "ascending")])
+    rows = list(zip(got["text"].to_pylist(), got["toxic"].to_pylist(), strict=True))
     return train(rows, p, shares.get(1, 0) / total if total else 0.5)
 
 
@@ -220,4 +230,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, p: Parameters | None = None) ->
 def keep_clean(docs: DataFrame, labels: DataFrame, p: Parameters | None = None) -> DataFrame:
     """The rows of `docs`, all columns kept, whose text isn't predicted toxic."""
     p = p or Parameters()
-    return docs.withColumn("_score", score_column(fit(docs, labels, p))).filter(F.col("_score") < p.threshold).drop("_score")
+    model = fit(docs, labels, p)
+    if not model.fitted:  # nothing is known of toxicity, so nothing is rejected
+        return docs
+    return docs.withColumn("_score", score_column(model)).filter(F.col("_score") < p.threshold).drop("_score")
