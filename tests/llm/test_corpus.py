@@ -20,6 +20,7 @@ from helixloom.llm.common import text_key
 RND = random.Random(11)
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, length int, kept string, key string"
 WORDS = [f"w{k}" for k in range(400)]
+INSULTS = ["zorgface", "blimhead", "krundle"]
 
 
 def prose(n):
@@ -98,7 +99,6 @@ def test_word_bpe_equals_the_library():
 
     path = P.path("word_bpe_49k.json")
     lib = Tokenizer.from_file(path)
-    lib.encode_special_tokens = True
     own = packing.WordBPE(path)
     many = [t or "" for _, t in ODD] + ["".join(chr(RND.randrange(1, 256)) for _ in range(200)) for _ in range(40)] + ["".join(chr(RND.randrange(1, 0x3000)) for _ in range(100)) for _ in range(10)]
     assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(many)] == [lib.encode(t, add_special_tokens=False).ids for t in many]
@@ -110,7 +110,6 @@ def test_packing(docs, empty, capacity):
 
     path = P.path("word_bpe_49k.json")
     lib = Tokenizer.from_file(path)
-    lib.encode_special_tokens = True
     want = []
     for i, t in ODD:
         ids = [*lib.encode(t or "", add_special_tokens=False).ids, 0]
@@ -130,6 +129,36 @@ def test_packing(docs, empty, capacity):
     assert packing.pack_documents(empty, path, capacity).count() == 0
 
 
+SPECIAL = ["a <|endoftext|> b", "<|startoftext|>", "x<|endoftext|><|startoftext|>\u00e9 \u00bd", "\u65e5\u672c <|endoftext|> \u8a9e", "<|EndOfText|> <|endoftext", "don't<|startoftext|>don't"]
+
+
+def test_special_strings_go_as_the_library_takes_them():
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    lib = Tokenizer.from_file(path)
+    got = [np.frombuffer(x, "<u4").tolist() for x in packing.WordBPE(path).encode(SPECIAL)]
+    assert got == [lib.encode(t, add_special_tokens=False).ids for t in SPECIAL] and 49407 in got[0]
+
+
+def test_copies_of_a_piece_are_dealt_over_salts(spark, monkeypatch):
+    """A length that one repeated row fills is ranked in many groups, and each copy gets a place of its own."""
+    monkeypatch.setattr(packing, "PER_SALT", 50)
+    rows = spark.range(0, 3000, 1, 4).select(F.lit(7).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(20).cast("long").alias("length"), F.lit(1).cast("long").alias("ids_crc32"))
+    got = packing.pack(rows, 64).collect()
+    assert len({(r.sequence_id, r.offset) for r in got}) == 3000 and {r.offset for r in got} == {0, 20, 40} and len({r.sequence_id for r in got}) == 1000
+
+
+def test_caches_are_bounded_by_bytes():
+    from helixloom.llm.common import BoundedCache
+
+    cache = BoundedCache(limit=100, most_bytes=1000)
+    for k in range(50):
+        words = cache.new_of([[f"{k}-{j}" * 40 for j in range(5)]])
+        cache.learn(words, [b"x" * 8] * len(words))
+        assert 0 < len(cache) <= 100 and cache.bytes <= 1000 + 5 * 220 and cache.new_of([[]]) == []
+
+
 def test_plan_is_best_fit():
     for _ in range(20):
         n = {RND.randrange(1, 65): RND.randrange(1, 50) for _ in range(20)}
@@ -345,7 +374,7 @@ def test_neighbours_recall(spark):
     assert all(len(got[q]) == 20 for q in want)
 
 
-INSULTS = ["zorgface", "blimhead", "krundle"]
+
 
 
 def test_toxicity(spark, empty):
@@ -375,11 +404,61 @@ def test_toxicity(spark, empty):
     changed = lab.withColumn("toxic", F.when(toxicity.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     again = {r.doc_id: r.score for r in toxicity.toxicity(df, changed).collect()}
     assert all(again[k] == by[k].score for k in range(1200))  # held-out labels teach nothing
-    assert toxicity.toxicity(empty, lab.limit(0)).count() == 0 and toxicity.keep_clean(df, lab.limit(0)).count() == 0  # without labels all score 0.5
+    assert toxicity.toxicity(empty, lab.limit(0)).count() == 0
+    # nothing can be learned without rows of both classes, so nothing is rejected
+    for nothing in (lab.limit(0), lab.filter("toxic = 1"), lab.filter("toxic = 0")):
+        assert toxicity.keep_clean(df, nothing).count() == len(rows)
     kept = {r.doc_id for r in toxicity.keep_clean(df, lab).collect()}
     assert kept == {r.doc_id for r in got if r.score < 0.3}
 
 
+def test_folded_scores_equal_unfolded_ones():
+    """The scorer against bag, mean and softmax of the trained table, place by place."""
+    p = toxicity.Parameters(bits=10, steps=60, epochs=1)
+    rows = [(" ".join([prose(20), *RND.sample(INSULTS, 2 * (k % 3 == 0))]), int(k % 3 == 0)) for k in range(90)]
+    label = np.array([y for _, y in rows])
+    table, soft, bias, learnt = toxicity.learn(rows, label, p)
+    scorer = toxicity.fold(table, soft, bias, learnt, p).scorer()
+    texts = [prose(30), "zorgfacce blimhead " + prose(5), "", "Word, word WORD unseen!", INSULTS[0], "\u00e9\u00e8 \u65e5\u672c"]
+    known = np.where(learnt[:, None], table, 0.0)
+
+    def plain(text):
+        words = collections.Counter(text.lower().split())
+        bag, weight = np.zeros(p.dims), 0.0
+        for w, n in words.items():
+            at, _ = toxicity.places([w], p)
+            bag += (1 + np.log(n)) * known[at].mean(0)
+            weight += 1 + np.log(n)
+        z = bag / (weight + p.padding) @ soft + bias
+        e = np.exp(z - z.max())
+        return e[1] / e.sum()
+
+    assert np.allclose(scorer(texts), [plain(t) for t in texts], atol=1e-5)
+    again = toxicity.places(["zorgface"], p)[0]  # a word's places are its own hash and those of its n-grams
+    assert len(again) == 1 + sum(max(0, len("<zorgface>") - n + 1) for n in p.grams)
+
+
+def test_fitting_is_bounded_and_reads_long_texts(spark):
+    rows = [(k, (INSULTS[0] + " ") * 9 + prose(30) if k % 2 else prose(30)) for k in range(200)]
+    rows += [(k, "long " * 9000 + prose(10)) for k in range(200, 210)] + [(1, "again " + prose(4))] * 300
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame([(k, k % 2) for k in range(210)], "doc_id long, toxic int")
+    seen = []
+    own = toxicity.train
+    try:
+        toxicity.train = lambda r, p, prior: seen.append(r) or own(r, p, prior)
+        toxicity.fit(df, lab)
+        toxicity.fit(df, lab, toxicity.Parameters(per_class=7))
+        toxicity.fit(df, lab, toxicity.Parameters(class_bytes=2000))
+    finally:
+        toxicity.train = own
+    assert any(len(t) > 40_000 for t, _ in seen[0]) and {y for _, y in seen[0]} == {0, 1}
+    assert collections.Counter(y for _, y in seen[1]) == {0: 7, 1: 7}
+    for y in (0, 1):
+        some = [t for t, label in seen[2] if label == y]
+        assert some and sum(map(len, some[:-1])) < 2000
+
+
 def squeeze(t):
     return re.sub("[\x20\x09-\x0d]+", " ", t or "")
 
