@@ -1,8 +1,9 @@
 """Chat formatting by columnar byte assembly (operator 5).
 
-Turns come sorted by conversation and turn. For each batch, segment lengths, cumulative offsets and scatter places are computed in numpy,
-and headers, contents and tails are copied into one preallocated Arrow buffer. A conversation is written in
-parts of at most `part_bytes` of turns, so one of any length streams through in bounded memory.
+Turns come in ranges of (conversation, turn), each range a task, so that a conversation that holds a third of all rows is many tasks' work.
+For each batch, segment lengths, cumulative offsets and scatter places are computed in numpy, and headers, contents and
+tails are copied into one preallocated Arrow buffer. A conversation is written in parts of at most `part_bytes` of turns.
+Reading back parses and unescapes part by part too; only the two digests run over a whole conversation in order.
 
 Template, for each turn: `<|im_start|>role\\ntext<|im_end|>\\n`. In roles and texts every `<`, backslashes, `|` gets one more backslash, so no control
 string is left; in roles also backslash and newline are escaped. The loss mask covers the texts of assistant turns.
@@ -20,6 +21,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,13 +76,12 @@ def assemble(role: pa.Array, text: pa.Array) -> tuple[pa.LargeStringArray, np.nd
 
 
 def format_chat(turns: DataFrame, part_bytes: int = PART) -> DataFrame:
-    """conv_id, part int (from 0), formatted, n_turns int, n_chars long, loss (array of (start, end): characters of this part under the loss mask).
-
-    A conversation's parts lie in one partition in order.
+    """conv_id, part long (ascending as a conversation's parts follow each other, not gapless), formatted, n_turns int, n_chars long,
+    loss (array of (start, end): characters of this part under the loss mask).
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, part = object(), -1
+        last, part, task = object(), -1, TaskContext.get().partitionId() << 32
         for big in batches:
             size = pc.add(pc.fill_null(pc.binary_length(big.column("text")), 0), pc.fill_null(pc.binary_length(big.column("role")), 0)).to_numpy(zero_copy_only=False)
             step = np.cumsum(size, dtype=np.int64) // part_bytes
@@ -104,61 +105,79 @@ def format_chat(turns: DataFrame, part_bytes: int = PART) -> DataFrame:
                 for a, z in zip(first.tolist(), stop.tolist(), strict=True):
                     part = part + 1 if ids[a] == last else 0
                     last = ids[a]
-                    parts.append(part)
+                    parts.append(task + part)
                     place = before[a:z] - before[a] + begin[a:z]
                     masks.append([{"start": int(p), "end": int(p + n)} for p, n, is_loss in zip(place, length[a:z], loss[a:z], strict=True) if is_loss])
                 yield pa.record_batch(
-                    [conv.take(pa.array(first)), pa.array(parts, pa.int32()), joined.cast(pa.string()), pa.array(stop - first, pa.int32()), pc.utf8_length(joined).cast(pa.int64()), pa.array(masks, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
+                    [conv.take(pa.array(first)), pa.array(parts, pa.int64()), joined.cast(pa.string()), pa.array(stop - first, pa.int32()), pc.utf8_length(joined).cast(pa.int64()), pa.array(masks, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
                     names=["conv_id", "part", "formatted", "n_turns", "n_chars", "loss"],
                 )
 
     kind = turns.schema["conv_id"].dataType.simpleString()
-    rows = turns.select("conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return rows.mapInArrow(run, f"conv_id {kind}, part int, formatted string, n_turns int, n_chars long, loss array<struct<start:long,end:long>>")
+    # a range's bounds are sampled rows: the begin of a text orders as the text does, and doesn't fill the driver
+    ranged = turns.select("conv_id", "turn", "role", "text").repartitionByRange("conv_id", "turn", F.substring("role", 1, 16), F.substring("text", 1, 32))
+    rows = ranged.sortWithinPartitions("conv_id", "turn", "role", "text")
+    return rows.mapInArrow(run, f"conv_id {kind}, part long, formatted string, n_turns int, n_chars long, loss array<struct<start:long,end:long>>")
 
 
 TURN = re.compile(re.escape(START) + r"(.*?)\n(.*?)" + re.escape(END) + r"\n", re.S)
 
 
+def said(formatted: DataFrame) -> DataFrame:
+    """conv_id, part, n_turns long, turns binary (role, newline, text, newline of each), loss binary, loss_chars long, formatted_chars long of format_chat()'s
+    rows, each part parsed and unescaped by itself."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, turns, losses, chars = [], [], [], []
+            for text, mask in zip(b.column("formatted").to_pylist(), b.column("loss").to_pylist(), strict=True):
+                found = [f"{unescape_role(m[1])}\n{unescape_text(m[2])}\n" for m in TURN.finditer(text)]
+                lost = "".join(unescape_text(text[s["start"] : s["end"]]) for s in mask)
+                n.append((len(found), len(lost), len(text)))
+                turns.append("".join(found).encode())
+                losses.append(lost.encode())
+            counts = [pa.array([x[k] for x in n], pa.int64()) for k in range(3)]
+            yield pa.record_batch([b.column("conv_id"), b.column("part"), pa.array(turns, pa.binary()), pa.array(losses, pa.binary()), *counts], names=["conv_id", "part", "turns", "loss", "n_turns", "loss_chars", "formatted_chars"])
+
+    kind = formatted.schema["conv_id"].dataType.simpleString()
+    return formatted.select("conv_id", "part", "formatted", "loss").mapInArrow(run, f"conv_id {kind}, part long, turns binary, loss binary, n_turns long, loss_chars long, formatted_chars long")
+
+
 def read_back(formatted: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars of format_chat()'s own rows, parsed and unescaped from what it wrote."""
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars of format_chat()'s own rows. A digest needs its bytes in order, so each conversation's stream through one task."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state, done = None, None, []
 
-        def close() -> None:
-            if state:
-                done.append([now, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]])
-
-        def out() -> pa.RecordBatch:
+        def out(last: bool = False) -> pa.RecordBatch:
+            if last and state:
+                done.append([now, state[0].hexdigest(), state[1].hexdigest(), *state[2]])
             cols = list(zip(*done, strict=True)) if done else [[]] * 6
-            kinds = [id_type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-            made = pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+            kinds = [id_type, pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+            made = pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["conv_id", "turns_sha256", "loss_sha256", "n_turns", "loss_chars", "formatted_chars"])
             done.clear()
             return made
 
         id_type = None
         for b in batches:
             id_type = b.schema.field("conv_id").type
-            for conv, part, text, loss in zip(*(b.column(c).to_pylist() for c in ("conv_id", "part", "formatted", "loss")), strict=True):
-                if not part or state is None:
-                    close()
-                    now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                for m in TURN.finditer(text):
-                    state[0] += 1
-                    state[1].update(f"{unescape_role(m[1])}\n{unescape_text(m[2])}\n".encode())
-                for s in loss:
-                    said = unescape_text(text[s["start"] : s["end"]])
-                    state[2] += len(said)
-                    state[3].update(said.encode())
-                state[4] += len(text)
+            counts = zip(*(b.column(c).to_pylist() for c in ("n_turns", "loss_chars", "formatted_chars")), strict=True)
+            for conv, turns, loss, n in zip(b.column("conv_id").to_pylist(), b.column("turns"), b.column("loss"), counts, strict=True):
+                if state is None or conv != now:
+                    if state:
+                        done.append([now, state[0].hexdigest(), state[1].hexdigest(), *state[2]])
+                    now, state = conv, [hashlib.sha256(), hashlib.sha256(), [0, 0, 0]]
+                state[0].update(turns.as_buffer())
+                state[1].update(loss.as_buffer())
+                state[2] = [x + y for x, y in zip(state[2], n, strict=True)]
             yield out()
         if state:
-            close()
-            yield out()
+            yield out(True)
 
     kind = formatted.schema["conv_id"].dataType.simpleString()
-    return formatted.select("conv_id", "part", "formatted", "loss").mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    rows = said(formatted).repartition("conv_id").sortWithinPartitions("conv_id", "part")
+    out = rows.mapInArrow(run, f"conv_id {kind}, turns_sha256 string, loss_sha256 string, n_turns long, loss_chars long, formatted_chars long")
+    return out.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
 def with_probe(turns: DataFrame) -> DataFrame:

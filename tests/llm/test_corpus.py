@@ -329,6 +329,23 @@ def test_chat(spark):
     assert chat.read_back(chat.format_chat(turns.limit(0))).count() == 0
 
 
+def test_a_hot_conversation_is_many_tasks_work(spark):
+    """Most rows are one conversation's; its turns are formatted in more than one task and read back in order."""
+    rows = [(7, k % 900, "assistant" if k % 2 else "user", f"{k % 5} t{k}") for k in range(2000)] + [(None, None, "user", f"n{k}") for k in range(700)] + [(k, 0, "user", "x") for k in range(50)]
+    made = chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so small a table would be one task's
+    try:
+        parts = made.collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len({p.part >> 32 for p in parts if p.conv_id == 7}) > 1
+    got = {r.conv_id: r for r in chat.read_back(made).collect()}
+    for c in (7, None, 3):
+        own = sorted((t is not None, t or 0, role, text) for i, t, role, text in rows if i == c)
+        assert got[c].n_turns == len(own) and got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for *_, r, t in own).encode()).hexdigest()
+        assert got[c].loss_sha256 == hashlib.sha256("".join(t for *_, r, t in own if r == "assistant").encode()).hexdigest()
+
+
 def brute_neighbours(rows, k=20, every=20):
     good = {}
     for i, v in rows:
