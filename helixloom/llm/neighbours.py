@@ -2,12 +2,15 @@
 
 Nearness is the largest inner product. Vectors get one more dimension that evens out their norms, so that it becomes the least
 Euclidean distance; a fixed random rotation spreads that distance evenly over the dimensions. Lists come from k-means on a
-bounded sample; every vector is indexed. A query's k-th nearest of the sample rows in its probed
-lists is a distance that its k nearest there beat. Within each probed list, dimensions are read in column blocks: after each, a candidate whose partial distance, scaled up to all dimensions, is beyond
-the distance to beat with high confidence, is given up. Survivors are scored exactly, in double precision, on the original vectors.
+bounded sample; every vector is indexed. A query visits its lists nearest first, in a few rounds, and keeps the k-th distance
+found so far. Within each probed list, dimensions are read in column blocks: after each, a candidate whose partial distance,
+scaled up to all dimensions, is beyond that k-th distance with high confidence, is given up. Survivors are scored exactly,
+in double precision, on the original vectors, and bring the k-th distance down for the list's next vectors and the next round.
+Farther lists are probed unless all those left out together are expected, from their sizes and spreads, to hold less than a share `miss`
+of the k nearest; how many that leaves depends on the data, not on a fixed number.
 
 Equal vectors are one candidate (a class); a class knows its least ids, as many as a result can hold. So copies cost no
-work, and ties go to smaller ids. Lists are dealt in blocks of BLOCK vectors by BLOCK queries, so none must fit a task.
+work, and ties go to smaller ids. A list's vectors lie in blocks of at most `block`; a task holds one block and streams the queries by.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do null ids, nor vectors of another than the
 most common length; rows repeated with id and vector count once; a query's own id is never its neighbour; fewer candidates give fewer rows;
@@ -34,14 +37,17 @@ class Parameters:
     sample: int = 16_384
     #: Lists: the root of the classes, times this, at most sample / 16.
     lists_per_root: float = 1.0
-    #: Share of the lists that a query probes, and the fewest.
-    probe_share: float = 0.7
-    least_probes: int = 20
+    #: Nearest lists that the first rounds probe up to; the rest follow in a last round, as far as they are needed.
+    rounds: tuple[int, ...] = (4, 32)
+    #: Share of the k nearest that lists left out may be expected to hold; an upper bound, as k-th distances still shrink after it is taken.
+    miss: float = 0.25
     #: Dimensions read at a time, and the tests' significance (the larger, the fewer false dismissals).
     columns: int = 32
     epsilon: float = 2.1
-    #: Vectors and queries of one block.
+    #: Vectors of one block, vectors after which the k-th distances are brought up to date, and queries at a time.
     block: int = 16_384
+    step: int = 2_048
+    queries: int = 1_024
     seed: int = 7
 
 
@@ -70,50 +76,64 @@ def nearest(x: np.ndarray, centre: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, n), np.int64)
 
 
-def kth_distance(query: np.ndarray, sample: np.ndarray, k: int, lists: np.ndarray, probed: np.ndarray) -> np.ndarray:
-    """Squared distance of the k-th nearest sample row in a query's probed lists, which bounds that of all rows there; infinite if there are fewer.
-
-    `lists`: the list of each sample row; `probed`: the lists of each query.
-    """
-    if len(sample) < k:
-        return np.full(len(query), np.inf, np.float32)
-    out, square = [], (sample**2).sum(1)
-    for lo in range(0, len(query), step := max(1, (1 << 22) // len(sample))):
-        q = query[lo : lo + step]
-        on = np.zeros((len(q), int(lists.max()) + 1), bool)
-        rows = probed[lo : lo + step]
-        within = rows < on.shape[1]
-        on[np.nonzero(within)[0], rows[within]] = True
-        d = square - 2 * q @ sample.T
-        d[~on[:, lists]] = np.inf
-        out.append((q**2).sum(1) + np.partition(d, k - 1, 1)[:, k - 1])
-    return np.concatenate(out) if out else np.zeros(0, np.float32)
-
-
 def scan(query: np.ndarray, vector: np.ndarray, beat: np.ndarray, columns: int, epsilon: float) -> tuple[np.ndarray, np.ndarray]:
     """(query, vector) rows that survive the adaptive scan. All are rotated, in single precision; `beat` holds for each query the squared distance to beat.
 
-    The first block is a matrix product of all pairs; of the later ones only pairs still alive are read. A pair is given up once its
-    partial distance, scaled to all dimensions, is beyond the distance to beat by more than the test allows.
+    A pair is given up once its partial distance, scaled to all dimensions, is beyond the distance to beat by more than the test
+    allows. While many pairs are alive a column block is one matrix product; then only the pairs still alive are read.
     """
-    dims, n = vector.shape[1], len(vector)
+    dims, alive = vector.shape[1], None
     limit = lambda end: beat * (1 + (epsilon / end**0.5 if end < dims else 1e-4)) ** 2 * (end / dims) + 1e-6
-    first, b = min(columns, dims), vector[:, : min(columns, dims)]
-    square, found = (b**2).sum(1), []
-    for lo in range(0, len(query), step := max(1, (1 << 22) // max(1, n))):
-        q = query[lo : lo + step]
-        part = q[:, :first] @ (-2 * b.T)
-        part += square
-        part += (q[:, :first] ** 2).sum(1)[:, None]
-        i, j = np.nonzero(part <= limit(first)[lo : lo + step, None])
-        d = part[i, j]
-        for at in range(first, dims, columns):
-            end = min(at + columns, dims)
-            d += ((q[i, at:end] - vector[j, at:end]) ** 2).sum(1)
-            good = d <= limit(end)[lo + i]
-            i, j, d = i[good], j[good], d[good]
-        found.append((i + lo, j))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    part = np.zeros((len(query), len(vector)), np.float32)
+    for at in range(0, dims, columns):
+        end = min(at + columns, dims)
+        a, b = query[:, at:end], vector[:, at:end]
+        if alive is None:
+            part -= a @ (2 * b.T)
+            part += (b**2).sum(1)
+            part += (a**2).sum(1)[:, None]
+            good = part <= limit(end)[:, None]
+            if end < dims and np.count_nonzero(good) > good.size // 16:
+                part[~good] = np.inf
+                continue
+            alive = np.nonzero(good)
+            part = part[alive]
+        else:
+            i, j = alive
+            part += ((a[i] - b[j]) ** 2).sum(1)
+            good = part <= limit(end)[i]
+            alive, part = (i[good], j[good]), part[good]
+    return alive if alive is not None else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def first_of(i: np.ndarray, score: np.ndarray, ids: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each i the `most` rows of greatest score, ties to smaller ids; ordered so."""
+    order = np.lexsort((ids, -score, i))
+    i, score, ids = i[order], score[order], ids[order]
+    begin = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])) if len(i) else np.zeros(0, np.int64)
+    place = np.arange(len(i)) - np.repeat(begin, np.diff(np.append(begin, len(i))))
+    return i[place < most], score[place < most], ids[place < most]
+
+
+@dataclass(frozen=True)
+class Lists:
+    """Centres, and of each list its vectors' number, and mean and variance of their squared distance to the centre."""
+
+    centre: np.ndarray
+    count: np.ndarray
+    mean: np.ndarray
+    variance: np.ndarray
+
+    def expected(self, square: np.ndarray, beat: np.ndarray) -> np.ndarray:
+        """How many vectors of each list are expected within each query's distance to beat; `square`: squared distances of queries to centres.
+
+        A vector's squared distance is that of its centre, plus its own from there, less twice a product of the two ways, which for ways
+        in any direction has mean 0 and variance 4 |a|^2 |b|^2 / dims.
+        """
+        spread = np.sqrt(self.variance + 4 * square * self.mean / self.centre.shape[1]) + 1e-9
+        z = (beat[:, None] - square - self.mean) / spread
+        z = np.clip(z, -8, 8)
+        return self.count / (1 + np.exp(-1.5976 * z - 0.07056 * z**3))  # the normal distribution, to 2 in 10,000
 
 
 def valid(vectors: DataFrame) -> DataFrame:
@@ -151,63 +171,122 @@ def search(vectors: DataFrame, every: int = 20, p: Parameters | None = None) ->
         return (np.concatenate([x, rest[:, None]], 1) @ rotation).astype(np.float32)
 
     n_lists = int(max(1, min(p.lists_per_root * total["n"] ** 0.5, len(fit) / 16)))
-    probes = min(n_lists, max(p.least_probes, round(p.probe_share * n_lists)))
-    seen = rotated(fit, False)  # p.sample rows at most
-    centre = kmeans(seen.astype(np.float64), n_lists, p.seed)
-    seen_list = nearest(seen, centre, 1)[:, 0]
+    seeds = kmeans(rotated(fit, False).astype(np.float64), n_lists, p.seed)
+
+    def assign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = rotated(_matrix(b.column("embedding"), dims), False)
+            yield pa.record_batch([*b.columns, pa.array(nearest(x, seeds, 1)[:, 0], pa.int32())], names=["cls", "embedding", "list"])
+
+    def sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row of a task for each list it has: its vectors' sum."""
+        total, n = np.zeros((n_lists, dims + 1)), np.zeros(n_lists, np.int64)
+        for b in batches:
+            at = b.column("list").to_numpy()
+            np.add.at(total, at, rotated(_matrix(b.column("embedding"), dims), False).astype(np.float64))
+            n += np.bincount(at, minlength=n_lists)
+        some = np.flatnonzero(n)
+        yield pa.record_batch([pa.array(some, pa.int32()), pa.array(n[some]), pa.array(total[some].tolist(), pa.list_(pa.float64()))], names=["list", "n", "total"])
+
+    def offs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.column("list").to_numpy()
+            d = ((rotated(_matrix(b.column("embedding"), dims), False) - centre[at]) ** 2).sum(1)
+            yield pa.record_batch([b.column("list"), pa.array(d, pa.float64())], names=["list", "off"])
+
+    indexed = cut(classes.select("cls", "embedding").mapInArrow(assign, f"cls {id_kind}, embedding {emb_kind}, list int"))
+    # centres and spreads are those of all vectors, not the sample's: n_lists * (dims + 1) numbers come to the driver, whatever the rows
+    parts = indexed.select("list", "embedding").mapInArrow(sums, "list int, n long, total array<double>").select("list", "n", F.posexplode("total").alias("d", "x"))
+    centre = seeds.copy()
+    for r in parts.groupBy("list", "d").agg((F.sum("x") / F.sum("n")).alias("x")).collect():
+        centre[r["list"], r["d"]] = r["x"]
+    of_list = {r["list"]: r for r in indexed.select("list", "embedding").mapInArrow(offs, "list int, off double").groupBy("list").agg(F.count("*").alias("n"), F.avg("off").alias("m"), F.var_pop("off").alias("v")).collect()}
+    lists = Lists(centre, *(np.array([of_list[k][c] if k in of_list else 0.0 for k in range(n_lists)]) for c in "nmv"))
+    blocks = F.element_at(F.array(*(F.lit(max(1, -(-int(n) // p.block))) for n in lists.count)), F.col("list") + 1)
+    stored = indexed.select("list", F.pmod(F.xxhash64("cls"), blocks).cast("int").alias("vb"), F.lit(0).alias("side"), "cls", "embedding", F.lit(None).cast("double").alias("kth"))
+    wanted = cut(classes.join(asked.select("cls").distinct(), "cls", "left_semi").select("cls", "embedding"))
+
+    def distance_to_beat(kth: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """The squared distance of the rotated vectors that a score is; infinite without one."""
+        return np.where(np.isnan(kth), np.inf, np.maximum((x.astype(np.float64) ** 2).sum(1) + top - 2 * kth, 0))
+
+    def probe(lo: int, hi: int, last: bool):
+        """Which of the lists from the lo-th to the hi-th nearest each query goes on to."""
 
-    def assign(is_query: bool):
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                x = rotated(_matrix(b.column("embedding"), dims), is_query)
-                near = nearest(x, centre, probes if is_query else 1)
-                beat = kth_distance(x, seen, most, seen_list, near) if is_query else np.zeros(len(x), np.float32)
-                yield pa.record_batch([*b.columns, pa.array(near.tolist(), pa.list_(pa.int32())), pa.array(beat, pa.float32())], names=["cls", "embedding", "lists", "beat"])
+                x = rotated(_matrix(b.column("embedding"), dims), True)
+                order = nearest(x, centre, n_lists)
+                take = np.zeros(order.shape, bool)
+                take[:, lo:hi] = True
+                if last:
+                    beat = distance_to_beat(b.column("kth").to_numpy(zero_copy_only=False), x)
+                    square = np.maximum((x.astype(np.float64) ** 2).sum(1)[:, None] + (centre**2).sum(1) - 2 * x @ centre.T, 0)
+                    hope = np.where(take, np.take_along_axis(lists.expected(square, beat), order, 1), 0.0)
+                    least = np.argsort(hope, 1)
+                    spared = np.cumsum(np.take_along_axis(hope, least, 1), 1) <= p.miss * p.k
+                    np.put_along_axis(take, least, np.take_along_axis(take, least, 1) & ~(spared & np.isfinite(beat)[:, None]), 1)
+                chosen = [row[on].tolist() for row, on in zip(order, take, strict=True)]
+                yield pa.record_batch([*b.columns, pa.array(chosen, pa.list_(pa.int32()))], names=["cls", "embedding", "kth", "lists"])
 
         return run
 
-    kind = f"cls {id_kind}, embedding {emb_kind}, lists array<int>, beat float"
-    indexed = cut(classes.select("cls", "embedding").mapInArrow(assign(False), kind).select("cls", "embedding", F.col("lists")[0].alias("list")))
-    wanted = classes.join(asked.select("cls").distinct(), "cls", "left_semi").select("cls", "embedding")
-    probed = cut(wanted.mapInArrow(assign(True), kind).select("cls", "embedding", "beat", F.explode("lists").alias("list")))
-
-    def blocks(df: DataFrame) -> dict[int, int]:
-        """Blocks of each list; there are n_lists of them at most."""
-        return {r["list"]: -(-r["count"] // p.block) for r in df.groupBy("list").count().collect()}
-
-    def per_list(counts: dict[int, int]) -> F.Column:
-        return F.element_at(F.array(*(F.lit(counts.get(k, 1)) for k in range(n_lists))), F.col("list") + 1)
-
-    v_blocks, q_blocks = per_list(blocks(indexed)), per_list(blocks(probed))
-    deal = lambda n: F.pmod(F.xxhash64("cls"), n).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    v = indexed.withColumn("vb", deal(v_blocks)).withColumn("qb", each(q_blocks))
-    q = probed.withColumn("qb", deal(q_blocks)).withColumn("vb", each(v_blocks))
-
-    def block(vs: pa.Table, qs: pa.Table) -> pa.Table:
-        kinds = [pa.int64(), pa.int64(), pa.float64()]
-        names = ["cls", "near", "score"]
-        if not len(vs) or not len(qs):
-            return pa.table([pa.array([], t) for t in kinds], names=names)
-        vx, qx = (_matrix(t["embedding"].combine_chunks(), dims) for t in (vs, qs))
-        i, j = scan(rotated(qx, True), rotated(vx, False), qs["beat"].to_numpy().astype(np.float32), p.columns, p.epsilon)
-        score = np.concatenate([np.einsum("nd,nd->n", qx[i[lo : lo + 65536]], vx[j[lo : lo + 65536]]) for lo in range(0, len(i), 65536)] or [np.zeros(0)])
-        vid, qid = (t["cls"].to_numpy().astype(np.int64) for t in (vs, qs))
-        order = np.lexsort((vid[j], -score, i))
-        i, j, score = i[order], j[order], score[order]
-        begin = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])) if len(i) else np.zeros(0, np.int64)
-        place = np.arange(len(i)) - np.repeat(begin, np.diff(np.append(begin, len(i))))
-        i, j, score = i[place < most], j[place < most], score[place < most]
-        return pa.table([pa.array(qid[i]), pa.array(vid[j]), pa.array(score)], names=names)
-
-    keys = ["list", "vb", "qb"]
-    near = v.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInArrow(block, "cls long, near long, score double")
-    best = near.withColumn("_k", F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("score"), "near"))).filter(F.col("_k") <= most)
+    def visit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by (list, block), vectors before queries: the block's vectors are held, queries stream by."""
+        held: list[pa.RecordBatch] = []
+        now, block = None, None
+        for big in batches:
+            name = np.stack([big.column(c).to_numpy() for c in ("list", "vb", "side")], 1)
+            begin = np.flatnonzero(np.concatenate([[True], (name[1:] != name[:-1]).any(1)])).tolist()
+            for lo, hi in zip(begin, [*begin[1:], len(name)], strict=True):
+                key, side, part = tuple(name[lo, :2]), name[lo, 2], big.slice(lo, hi - lo)
+                if key != now:
+                    now, held, block = key, [], None
+                if side == 0:
+                    held.append(part)
+                    continue
+                if block is None and held:
+                    vx = np.concatenate([_matrix(h.column("embedding"), dims) for h in held])
+                    block = np.concatenate([h.column("cls").to_numpy() for h in held]), vx, rotated(vx, False)
+                    held = []
+                for at in range(0, part.num_rows if block else 0, p.queries):
+                    yield against(part.slice(at, p.queries), *block)
+
+    def against(part: pa.RecordBatch, ids: np.ndarray, vx: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        qx, qid = _matrix(part.column("embedding"), dims), part.column("cls").to_numpy()
+        q = rotated(qx, True)
+        kth = part.column("kth").to_numpy(zero_copy_only=False).copy()
+        i, score, near = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        for lo in range(0, len(v), p.step):
+            a, b = scan(q, v[lo : lo + p.step], distance_to_beat(kth, q).astype(np.float32), p.columns, p.epsilon)
+            b = b + lo
+            got = np.concatenate([np.einsum("nd,nd->n", qx[a[x : x + 65536]], vx[b[x : x + 65536]]) for x in range(0, len(a), 65536)] or [np.zeros(0)])
+            i, score, near = first_of(np.concatenate([i, a]), np.concatenate([score, got]), np.concatenate([near, ids[b].astype(np.int64)]), most)
+            found = np.bincount(i, minlength=len(q))
+            full = np.flatnonzero(found == most)
+            worst = score[np.cumsum(found)[full] - 1]
+            kth[full] = np.fmax(kth[full], worst)
+        return pa.record_batch([pa.array(qid[i].astype(np.int64)), pa.array(near), pa.array(score)], names=["cls", "near", "score"])
+
+    best, edges = None, [0, *(r for r in p.rounds if r < n_lists), n_lists]
+    for lo, hi in zip(edges, edges[1:], strict=False):
+        known = wanted.withColumn("kth", F.lit(None).cast("double"))
+        if best is not None:
+            worst = best.groupBy("cls").agg(F.count("*").alias("n"), F.min("score").alias("kth")).filter(F.col("n") >= most)
+            known = wanted.join(worst.select("cls", "kth"), "cls", "left").select("cls", "embedding", "kth")
+        asks = known.mapInArrow(probe(lo, hi, lo > 0 and hi == n_lists), f"cls {id_kind}, embedding {emb_kind}, kth double, lists array<int>")
+        asks = asks.select(F.explode("lists").alias("list"), "cls", "embedding", "kth")
+        asks = asks.select("list", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("vb"), F.lit(1).alias("side"), "cls", "embedding", "kth")
+        dealt = stored.unionByName(asks).repartition("list", "vb").sortWithinPartitions("list", "vb", "side")
+        found = dealt.mapInArrow(visit, "cls long, near long, score double")
+        both = found if best is None else best.select("cls", "near", "score").unionByName(found)
+        ranked = both.withColumn("_k", F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("score"), "near"))).filter(F.col("_k") <= most)
+        best = cut(ranked.select("cls", "near", "score"))
     # of at most `most` classes at most `most` ids each
     rows_of = best.join(classes.select(F.col("cls").alias("near"), "ids"), "near").select("cls", "score", F.explode("ids").alias("vec_id"))
     ranked = rows_of.withColumn("_k", F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("score"), "vec_id"))).filter(F.col("_k") <= most)
-    lists = ranked.groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("_k", "vec_id", "score"))).alias("hits"))
-    out = asked.join(lists, "cls")
+    gathered = ranked.groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("_k", "vec_id", "score"))).alias("hits"))
+    out = asked.join(gathered, "cls")
     hits = F.slice(F.filter("hits", lambda h: h["vec_id"] != F.col("query_id")), 1, p.k)
     out = out.select("query_id", F.posexplode(hits).alias("pos", "hit"))
     return out.select("query_id", (F.col("pos") + 1).alias("rank"), F.col("hit.vec_id").cast(id_kind).alias("vec_id"), F.col("hit.score").alias("score"))

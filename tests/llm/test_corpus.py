@@ -366,7 +366,7 @@ def test_neighbours_exact_when_all_lists_are_probed(spark):
     rows += [(1000 + k, rows[3][1]) for k in range(40)] + [(1020, rows[3][1])]
     rows += [(400, None), (420, [0.0] * 8), (440, [1.0, None] + [0.0] * 6), (460, [float("nan")] + [1.0] * 7), (480, [float("inf")] + [1.0] * 7), (None, [1.0] * 8)]
     df = spark.createDataFrame([(i, v, 0, 1) for i, v in rows], "vec_id long, embedding array<float>, rank int, cls int")
-    p = neighbours.Parameters(probe_share=1.0, epsilon=1e6, block=100, columns=3)
+    p = neighbours.Parameters(miss=0.0, epsilon=1e6, block=100, columns=3, rounds=(1, 3), step=16, queries=7)
     got = collections.defaultdict(list)
     for r in neighbours.search(df, p=p).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.rank, r.vec_id, r.score))
@@ -380,18 +380,53 @@ def test_neighbours_exact_when_all_lists_are_probed(spark):
     assert neighbours.search(df.filter("vec_id in (0, 7)")).count() == 1
 
 
-def test_neighbours_recall(spark):
-    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    x = {r.vec_id: np.array(r.embedding) for r in df.collect()}
-    want = brute_neighbours(x.items())
+def recall(spark, path, p=None):
+    df = spark.read.parquet(f"{path}/embeddings.parquet")
     got = collections.defaultdict(set)
-    for r in queries.op6_nearest_neighbours(spark, "/root/testdata/sf0.1").collect():
+    for r in neighbours.search(df, p=p).collect():
         got[r.query_id].add(r.vec_id)
-    assert np.mean([len(got[q] & {c for _, c in s}) / len(s) for q, s in want.items()]) >= 0.9
-    assert all(len(got[q]) == 20 for q in want)
-
+    rows = df.filter("embedding IS NOT NULL").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    hits = []
+    for k in np.flatnonzero(ids % 20 == 0).tolist():
+        score = x @ x[k]
+        score[k] = -np.inf
+        hits.append(len(got[ids[k]] & set(ids[np.lexsort((ids, -score))[:20]].tolist())))
+    assert all(len(got[q]) == 20 for q in ids[ids % 20 == 0].tolist())
+    return np.mean(hits) / 20
 
 
+def test_neighbours_recall(spark):
+    assert recall(spark, "/root/testdata/sf0.1") >= 0.9
+
+
+def test_neighbours_recall_beyond_the_sample(spark):
+    """k-means sees a fraction of the rows; lists are of more than one block."""
+    assert recall(spark, "/root/testdata/sf0.1", neighbours.Parameters(sample=300, block=50, rounds=(2, 6))) >= 0.9
+
+
+def test_neighbours_leave_far_lists_alone(spark, tmp_path):
+    """Of well parted clusters a query needs few lists: the scan reads few pairs."""
+    rng = np.random.default_rng(3)
+    centre = rng.standard_normal((40, 16)) * 20
+    rows = [(k, (centre[k % 40] + rng.standard_normal(16)).tolist()) for k in range(4000)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert recall(spark, str(tmp_path), neighbours.Parameters(rounds=(2, 4))) >= 0.98
+
+
+def test_expected_rows_of_lists():
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((20_000, 64)) / 8
+    near = neighbours.nearest(x, x[:20], 1)[:, 0]
+    centre = np.stack([x[near == k].mean(0) for k in range(20)])
+    off = ((x - centre[near]) ** 2).sum(1)
+    stats = [np.array([f(off[near == k]) for k in range(20)]) for f in (len, np.mean, np.var)]
+    q = rng.standard_normal((50, 64)) / 8
+    square = ((q[:, None] - centre) ** 2).sum(2)
+    beat = np.full(50, 1.6)
+    want = np.array([[(((x[near == k] - y) ** 2).sum(1) <= 1.6).sum() for k in range(20)] for y in q])
+    got = neighbours.Lists(centre, *stats).expected(square, beat)
+    assert abs(got.sum() / want.sum() - 1) < 0.25 and np.corrcoef(got.ravel(), want.ravel())[0, 1] > 0.9
 
 
 def test_toxicity(spark, empty):
