@@ -7,8 +7,8 @@ pair within the radius meets in some table, with equal masked fingerprints.
 
 Equal fingerprints are one node. In a table, distinct fingerprints of equal masked bits are compared within their bucket
 and give a spanning forest of its links, never all pairs. A bucket beyond `bucket_size` nodes is linked exactly in
-another way: every node offers itself and all ways to flip one of the bits that the mask leaves out; two nodes within
-2 share such an offer, so each offer's sharers get a link. Then components.
+another way: every node offers itself and all ways to flip up to half the radius of the bits that the mask leaves out; two
+nodes within the radius share such an offer, so each offer's sharers get a link. Then components.
 
 Defined cases: null text counts as empty; a text without words has fingerprint 0; of a component the smallest doc_id names it,
 nulls aside; repeated rows share a node; other columns are passed by; an empty table gives no rows.
@@ -17,6 +17,7 @@ nulls aside; repeated rows share a node; other columns are passed by; an empty t
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -136,15 +137,17 @@ def links(nodes: DataFrame, radius: int = 2, bucket_size: int = BUCKET) -> DataF
 
 
 def _large_links(rows: DataFrame, cover: list[int], radius: int) -> DataFrame:
-    """Links within large buckets: nodes that share an offer. Within a radius of 2, offers are the node with at most one left-out bit flipped."""
-    if radius != 2:
-        raise ValueError("large buckets are linked at radius 2")
-    flips = [[0, *(_signed(1 << i) for i in range(64) if not m >> i & 1)] for m in masks(radius)]
-    of = F.element_at(F.array(*(F.array(*map(F.lit, x)) for x in flips)), F.col("t") + 1)
-    offers = rows.select("t", "fp", F.explode(of).alias("flip")).select("t", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("offer"))
-    shared = offers.groupBy("t", "offer").agg(F.collect_set("fp").alias("fps")).filter("size(fps) > 1")  # at most 1 + left-out bits of them
-    pair = shared.select(F.array_min("fps").alias("v"), F.explode("fps").alias("u")).filter("u <> v")
-    return pair.select("u", "v").distinct()
+    """Links within large buckets, at any radius. Nodes of a bucket differ only in bits that its mask leaves out, and two nodes within the radius have a
+    point between them that is at most half of it, rounded up, from one and half of it, rounded down, from the other. So every node offers the points
+    within the former; of a point's sharers, one within the latter is linked to all.
+    """
+    far, close = -(-radius // 2), radius // 2
+    flips = [[(n, sum(1 << i for i in bits)) for n in range(far + 1) for bits in combinations([i for i in range(64) if not m >> i & 1], n)] for m in masks(radius)]
+    of = F.element_at(F.array(*(F.array(*(F.struct(F.lit(n <= close).alias("close"), F.lit(_signed(x)).alias("bits")) for n, x in some)) for some in flips)), F.col("t") + 1)
+    offers = rows.select("t", "fp", F.explode(of).alias("flip")).select("t", "fp", "flip.close", F.col("fp").bitwiseXOR(F.col("flip.bits")).alias("offer"))
+    # at most as many sharers as a node has offers
+    shared = offers.groupBy("t", "offer").agg(F.min(F.when(F.col("close"), F.col("fp"))).alias("v"), F.collect_set("fp").alias("fps")).filter(F.col("v").isNotNull() & (F.size("fps") > 1))
+    return shared.select("v", F.explode("fps").alias("u")).filter("u <> v").select("u", "v").distinct()
 
 
 def grouped(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
