@@ -72,8 +72,19 @@ WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+',
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(norm) AS text_sha256 FROM n WINDOW w AS (PARTITION BY norm)""",
     "op9_line_dedup": r"""
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos FROM documents),
+c AS (SELECT *, len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS words FROM l),
+s AS (SELECT doc_id, pos, words, line, lead(line, 1) OVER o AS l2, lead(line, 2) OVER o AS l3, lead(words, 1) OVER o AS w2 FROM c WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+r AS (SELECT doc_id, pos, 3 AS n, line || chr(10) || l2 || chr(10) || l3 AS run FROM s WHERE l3 IS NOT NULL AND regexp_matches(line || l2 || l3, '[^\x20\x09-\x0D]')
+ UNION ALL SELECT doc_id, pos, 2, line || chr(10) || l2 FROM s WHERE words + w2 > 50
+ UNION ALL SELECT doc_id, pos, 1, line FROM s WHERE words > 50),
+v AS (SELECT doc_id, pos, n, first_value(doc_id) OVER f AS d0, first_value(pos) OVER f AS p0 FROM r WINDOW f AS (PARTITION BY n, run ORDER BY doc_id, pos)),
+g AS (SELECT DISTINCT doc_id, unnest(range(CASE WHEN doc_id = d0 THEN greatest(pos, p0 + n) ELSE pos END, pos + n)) AS pos FROM v WHERE doc_id <> d0 OR pos <> p0)
+SELECT l.doc_id, coalesce(string_agg(line, chr(10) ORDER BY l.pos) FILTER (g.pos IS NULL), '') AS text, count(*) AS n_lines, count(g.pos) AS n_removed FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id""",
+}
+#: Line dedup without passages, which the operator's three-line windows alone must equal.
+WINDOWS_SQL = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos FROM documents),
 w AS (SELECT doc_id, pos, line || chr(10) || lead(line, 1) OVER o || chr(10) || lead(line, 2) OVER o AS win FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
 v AS (SELECT doc_id, pos, win, first_value(doc_id) OVER f AS d0, first_value(pos) OVER f AS p0 FROM w WHERE win IS NOT NULL AND regexp_matches(win, '[^\x20\x09-\x0D]') WINDOW f AS (PARTITION BY win ORDER BY doc_id, pos)),
 g AS (SELECT DISTINCT doc_id, unnest(range(CASE WHEN doc_id = d0 THEN greatest(pos, p0 + 3) ELSE pos END, pos + 3)) AS pos FROM v WHERE doc_id <> d0 OR pos <> p0)
-SELECT l.doc_id, coalesce(string_agg(line, chr(10) ORDER BY l.pos) FILTER (g.pos IS NULL), '') AS text, count(*) AS n_lines, count(g.pos) AS n_removed FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id""",
-}
+SELECT l.doc_id, coalesce(string_agg(line, chr(10) ORDER BY l.pos) FILTER (g.pos IS NULL), '') AS text, count(*) AS n_lines, count(g.pos) AS n_removed FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id"""
