@@ -50,6 +50,13 @@ def byte_column(batch: pa.RecordBatch, column: str = "text") -> tuple[np.ndarray
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A name that no column of `df` has."""
+    while name.lower() in map(str.lower, df.columns):
+        name = f"_{name}"
+    return name
+
+
 def text_key(column: str = "text") -> Column:
     """With doc_id it names a row's text, also where doc_ids repeat; null and empty are one."""
     return F.xxhash64(F.coalesce(F.col(column), F.lit("")))
@@ -90,16 +97,17 @@ def only(docs: DataFrame, winners: DataFrame, repeated: DataFrame) -> DataFrame:
     def named(df: DataFrame) -> DataFrame:
         return df.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"))
 
-    marked = docs.withColumn("_key", text_key())
+    key = fresh(docs, "_key")
+    marked = docs.withColumn(key, text_key())
 
     def join(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
-        return left.join(right, left["doc_id"].eqNullSafe(right["_d"]) & (left["_key"] == right["_k"]), how)
+        return left.join(right, left["doc_id"].eqNullSafe(right["_d"]) & (left[key] == right["_k"]), how)
 
     stay = join(marked, named(winners), "left_semi")
     again = cut(named(repeated))
     if again.isEmpty():
-        return stay.drop("_key")
-    return join(stay, again, "left_anti").unionByName(join(stay, again, "left_semi").dropDuplicates(["doc_id", "_key"])).drop("_key")
+        return stay.drop(key)
+    return join(stay, again, "left_anti").unionByName(join(stay, again, "left_semi").dropDuplicates(["doc_id", key])).drop(key)
 
 
 class BoundedCache(dict):

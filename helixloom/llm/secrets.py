@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixloom.llm.common import cut, text_key
+from helixloom.llm.common import cut, fresh, text_key
 
 KINDS = ("assign", "access", "hex", "secret", "endpoint")
 #: The base patterns, each with the least characters of what counts in a match. Matches of assign that fail are still used up.
@@ -137,14 +137,15 @@ def report(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """The rows of `docs`, all columns kept, with every secret span of `text` replaced by `mark`; n_chars, if there, follows."""
-    hits = find_secrets(docs).filter("size(spans) > 0").dropDuplicates(["doc_id", "key"]).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.col("spans").alias("_spans"))
-    rows = docs.withColumn("_key", text_key())
-    joined = rows.join(hits, rows["doc_id"].eqNullSafe(hits["_d"]) & (rows["_key"] == hits["_k"]), "left")
+    key, spans, clear, d, k = (fresh(docs, x) for x in ("_key", "_spans", "_clean", "_d", "_k"))
+    hits = find_secrets(docs).filter("size(spans) > 0").dropDuplicates(["doc_id", "key"]).select(F.col("doc_id").alias(d), F.col("key").alias(k), F.col("spans").alias(spans))
+    rows = docs.withColumn(key, text_key())
+    joined = rows.join(hits, rows["doc_id"].eqNullSafe(hits[d]) & (rows[key] == hits[k]), "left")
 
     whole, wide = F.col("text"), BLOCK * BLOCKS
-    span_of = lambda spans, lo, n: F.filter(spans, lambda s: (s["start"] < lo + n) & (s["end"] > lo))
+    span_of = lambda held, lo, n: F.filter(held, lambda s: (s["start"] < lo + n) & (s["end"] > lo))
 
-    def clean_block(text: Column, base: Column, spans: Column, lo: Column) -> Column:
+    def clean_block(text: Column, base: Column, held: Column, lo: Column) -> Column:
         """The BLOCK characters from `lo` on, of a text that begins at `base`."""
         block = F.substring(text, lo - base + 1, F.lit(BLOCK))
 
@@ -155,15 +156,15 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
             return F.struct(at["block"].alias("block"), F.greatest(at["pos"], F.least(s["end"], lo + BLOCK)).alias("pos"), more.alias("out"))
 
         zero = F.struct(block.alias("block"), lo.alias("pos"), F.lit("").alias("out"))
-        return F.aggregate(span_of(spans, lo, BLOCK), zero, step, lambda at: F.concat(at["out"], F.substring(at["block"], at["pos"] - lo + 1, F.lit(BLOCK))))
+        return F.aggregate(span_of(held, lo, BLOCK), zero, step, lambda at: F.concat(at["out"], F.substring(at["block"], at["pos"] - lo + 1, F.lit(BLOCK))))
 
     def clean_stretch(k: Column) -> Column:
         """A stretch of BLOCKS blocks. substring() walks a text from its begin and filter() all spans, so blocks are cut out of stretches, not of the whole."""
         base = k * wide
-        held = F.struct(F.substring(whole, base + 1, F.lit(wide)).alias("text"), span_of(F.col("_spans"), base, wide).alias("spans"))
+        held = F.struct(F.substring(whole, base + 1, F.lit(wide)).alias("text"), span_of(F.col(spans), base, wide).alias("spans"))
         return _let(held, lambda x: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda b: clean_block(x["text"], base, x["spans"], base + b * BLOCK)), ""))
 
     clean = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.length("text") / wide).cast("int")), clean_stretch), "")
-    out = joined.withColumn("_clean", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(clean))
-    new = {"text": F.col("_clean")} | ({"n_chars": F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("_clean").cast(docs.schema["n_chars"].dataType))} if "n_chars" in docs.columns else {})
+    out = joined.withColumn(clear, F.when(F.col(spans).isNull(), F.col("text")).otherwise(clean))
+    new = {"text": F.col(clear)} | ({"n_chars": F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.length(clear).cast(docs.schema["n_chars"].dataType))} if "n_chars" in docs.columns else {})
     return out.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixloom.llm.common import BoundedCache, text_slices, texts
+from helixloom.llm.common import BoundedCache, fresh, text_slices, texts
 
 
 @dataclass(frozen=True)
@@ -233,4 +233,5 @@ def keep_clean(docs: DataFrame, labels: DataFrame, p: Parameters | None = None)
     model = fit(docs, labels, p)
     if not model.fitted:  # nothing is known of toxicity, so nothing is rejected
         return docs
-    return docs.withColumn("_score", score_column(model)).filter(F.col("_score") < p.threshold).drop("_score")
+    name = fresh(docs, "_score")
+    return docs.withColumn(name, score_column(model)).filter(F.col(name) < p.threshold).drop(name)
