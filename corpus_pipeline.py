@@ -2,7 +2,12 @@
 
 Stages filter (toxicity, exact and near copies) or rewrite (secrets become a mark); the last packs what is left. run() writes
 each stage's rows to the shared checkpoint folder as Parquet and reads them again, so that an executor's loss never
-costs more than a stage.
+costs more than a stage. A stage's folder goes once the next one is written, and the last when the driver ends.
+
+Defined cases, for every stage: a null text counts as empty and stays null unless its row goes; a null doc_id is carried through (drop_copies and
+drop_near_copies: it comes before any number, or after, as exact_dedup and simhash say); rows repeated with id and text are scored, redacted and packed
+each, and one of them is kept among copies; columns beyond doc_id and text, whatever their names, are kept by all stages but the last;
+n_chars follows a redacted text; an empty table gives no rows; without labels of both classes drop_toxic keeps every row.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from helixloom.llm import exact_dedup, packing, secrets, simhash, toxicity
-from helixloom.llm.common import checkpoint_folder, table
+from helixloom.llm.common import checkpoint_folder, remove, remove_at_exit, table
 from helixloom.llm.queries import WORD_BPE
 
 
@@ -52,10 +57,13 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    remove_at_exit(spark, folder)
     for k, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if k + 1 == len(STAGES):
             return out
         out.write.parquet(f"{folder}/{k}-{name}")
         docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        if k:
+            remove(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
