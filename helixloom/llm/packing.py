@@ -30,7 +30,7 @@ from helixloom.llm.common import BoundedCache, cut, text_slices, texts
 from helixloom.llm.merges import Merges
 
 #: Pieces that one salt of a length holds on average.
-PER_SALT = 2_000
+PER_SALT = 500
 
 
 def byte_chars() -> list[str]:
