@@ -27,19 +27,36 @@ def reverse_complement(s: Column) -> Column:
     return F.reverse(F.translate(s, "ACGT", "TGCA"))
 
 
+#: Places of a block, and blocks of a stretch. substring() walks a text from its begin, so pieces are cut out of blocks, and these out of stretches.
+BLOCK, BLOCKS = 512, 128
+
+
+def _pieces(s: Column, size: int, step: int, most: int) -> Column:
+    """Substrings of up to `size` from every step-th place on, as many as have at least `most` characters."""
+    n = F.floor((F.length(s) - most) / step + 1).cast("int")
+    one = lambda t: F.substring(t["text"], t["at"] * step + 1, F.lit(size))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: one({"text": s, "at": i}))).otherwise(F.array().cast("array<string>"))
+
+
+def windows(s: Column, size: int, step: int = 1, least: int | None = None) -> Column:
+    """The substrings of `size` characters from every step-th place on, in order; with `least`, also those cut short by the text's end that have so many."""
+    least = size if least is None else least
+    within = step * BLOCK
+    whole = within * BLOCKS
+    # stretches and blocks hold size - step characters more than are theirs, for the pieces that begin in them; what begins there is the next one's
+    blocks = lambda t: F.slice(_pieces(t, within + size - step, within, 1), 1, BLOCKS)
+    parts = F.transform(_pieces(s, whole + size - step, whole, 1), lambda t: F.transform(blocks(t), lambda b: F.slice(_pieces(b, size, step, least), 1, BLOCK)))
+    return F.flatten(F.flatten(parts))
+
+
 def kmers(s: Column, k: int) -> Column:
     """All k-mers without N, in order, repeats included."""
-    every = F.when(F.length(s) >= k, F.transform(F.sequence(F.lit(1), F.length(s) - k + 1), lambda i: F.substring(s, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
-    return F.filter(every, lambda x: ~x.contains("N"))
+    return F.filter(windows(s, k), lambda x: ~x.contains("N"))
 
 
 def kmers_apart(s: Column, k: int) -> Column:
     """Every k-th k-mer of each stretch between N's."""
-    def of(part: Column) -> Column:
-        n = F.floor(F.length(part) / k).cast("int")
-        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(part, i * k + 1, F.lit(k)))).otherwise(F.array().cast("array<string>"))
-
-    return F.flatten(F.transform(F.split(s, "N+"), of))
+    return F.flatten(F.transform(F.split(s, "N+"), lambda part: windows(part, k, k)))
 
 
 def kmer_code(kmer: Column, k: int) -> Column:
@@ -72,9 +89,14 @@ def homopolymer_at(s: Column, at: Column, n: int = 5) -> Column:
     return F.substring(s, at, F.lit(n)) == F.repeat(F.substring(s, at, F.lit(1)), n)
 
 
+def compress_runs(s: Column) -> Column:
+    """Runs of 3 or more of a base become one."""
+    return F.regexp_replace(s, r"(.)\1{2,}", "$1")
+
+
 def compress_homopolymers(s: Column) -> Column:
-    """Runs of 3 or more of a base become one; then runs of 3 or more of a pair become one pair."""
-    return F.regexp_replace(F.regexp_replace(s, r"(.)\1{2,}", "$1"), r"(..)\1{2,}", "$1")
+    """compress_runs(); then runs of 3 or more of a pair become one pair."""
+    return F.regexp_replace(compress_runs(s), r"(..)\1{2,}", "$1")
 
 
 def contig_class(name: Column) -> Column:

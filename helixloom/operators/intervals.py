@@ -134,12 +134,12 @@ def extend_by(a: DataFrame, b: DataFrame, keys: list[str], width: int) -> DataFr
     return out.select(*keys, *(F.coalesce(F.least("st", "_lo"), F.col("st")).alias(c) if c == "st" else F.coalesce(F.greatest("en", "_hi"), F.col("en")).alias(c) if c == "en" else F.col(c) for c in rest))
 
 
-def low_complexity_class(sites: DataFrame, regions: DataFrame, keys: list[str], near: int = 5) -> DataFrame:
+def low_complexity_class(sites: DataFrame, regions: DataFrame, keys: list[str], near: int = 5, width: int = 10_000) -> DataFrame:
     """Adds to each site (st, en) `place`: 1 inside a region, 2 within `near` of one, else 0; and the span lo, hi of what it met. Sites must be distinct."""
     wide = regions.select(*keys, (F.col("st") - near).alias("st"), (F.col("en") + near).alias("en"), F.col("st").alias("r_st"), F.col("en").alias("r_en"))
     rest = [c for c in sites.columns if c not in keys]
     inside = (F.col("a_st") < F.col("b_r_en")) & (F.col("b_r_st") < F.col("a_en"))
-    hits = overlap_join(sites, wide, keys, 10_000).groupBy(*keys, *(f"a_{c}" for c in rest)).agg(F.max(inside).alias("_in"), F.min("b_r_st").alias("lo"), F.max("b_r_en").alias("hi"))
+    hits = overlap_join(sites, wide, keys, width).groupBy(*keys, *(f"a_{c}" for c in rest)).agg(F.max(inside).alias("_in"), F.min("b_r_st").alias("lo"), F.max("b_r_en").alias("hi"))
     hits = hits.select(*keys, *(F.col(f"a_{c}").alias(c) for c in rest), "_in", "lo", "hi")
     return sites.join(hits, [*keys, *rest], "left").withColumn("place", F.when(F.col("_in"), 1).when(F.col("_in").isNotNull(), 2).otherwise(0)).drop("_in")
 

@@ -204,11 +204,7 @@ def low_complexity_place(spark, d):
     x, y = _halves(spark, d)
     points = x.select("grp", "id", "st", (F.col("st") + 1).alias("en"))
     wide = y.select("grp", "st", "en")
-    rest = [c for c in points.columns if c != "grp"]
-    near = wide.select("grp", (F.col("st") - 5).alias("st"), (F.col("en") + 5).alias("en"), F.col("st").alias("r_st"), F.col("en").alias("r_en"))
-    hits = intervals.overlap_join(points, near, ["grp"], WIDTH).groupBy("grp", *(f"a_{c}" for c in rest)).agg(F.max((F.col("a_st") < F.col("b_r_en")) & (F.col("b_r_st") < F.col("a_en"))).alias("inside"))
-    hits = hits.select("grp", F.col("a_id").alias("id"), "inside")
-    return points.join(hits, ["grp", "id"], "left").select("id", "grp", F.when(F.col("inside"), 1).when(F.col("inside").isNotNull(), 2).otherwise(0).alias("place"))
+    return intervals.low_complexity_class(points, wide, ["grp"], width=WIDTH).select("id", "grp", "place")
 
 
 @query("SELECT n_name AS contig, CAST(beg AS BIGINT) AS beg, least(beg + 499999, len) AS fin FROM (SELECT n_name, (n_nationkey + 1) * 1234567 AS len, unnest(generate_series(1, (n_nationkey + 1) * 1234567, 500000)) AS beg FROM nation)")
@@ -309,14 +305,14 @@ def read_error_rate(spark, d):
 EVENTS_IV = "SELECT event_id AS id, user_id % 20 AS grp, user_id AS read_id, epoch_us(ts) AS st, epoch_us(ts) + CAST(trunc(value * 6000000) AS BIGINT) AS en, event_type = 'click' AS noisy FROM events"
 
 
-@query(f"""WITH e AS ({EVENTS_IV}), r AS (SELECT grp, id AS region_id, st, en FROM e WHERE id % 40 = 0), n AS (SELECT r.grp, r.region_id, count(DISTINCT read_id) AS n_reads, count(DISTINCT read_id) FILTER (noisy) AS n_noisy FROM r JOIN e ON r.grp = e.grp AND r.st < e.en AND e.st < r.en GROUP BY 1, 2)
+@query(f"""WITH e AS ({EVENTS_IV}), r AS (SELECT grp, id AS region_id, st, en FROM e), n AS (SELECT r.grp, r.region_id, count(DISTINCT read_id) AS n_reads, count(DISTINCT read_id) FILTER (noisy) AS n_noisy FROM r JOIN e ON r.grp = e.grp AND r.st < e.en AND e.st < r.en GROUP BY 1, 2)
  SELECT grp, region_id, n_reads, n_noisy, round(n_noisy / n_reads, 9) AS ratio FROM n""")
 def noisy_read_ratio(spark, d):
     regions, reads, noisy = _regions(spark, d)
     return pileup.noisy_read_ratio(regions, reads, noisy, ["grp"], b.HOUR).withColumn("ratio", F.round("ratio", 9))
 
 
-@query(f"""WITH e AS ({EVENTS_IV}), r AS (SELECT grp, id AS region_id, st, en FROM e WHERE id % 40 = 0), n AS (SELECT r.grp, r.region_id, count(DISTINCT read_id) AS n_reads, count(DISTINCT read_id) FILTER (noisy) AS n_noisy FROM r JOIN e ON r.grp = e.grp AND r.st < e.en AND e.st < r.en GROUP BY 1, 2)
+@query(f"""WITH e AS ({EVENTS_IV}), r AS (SELECT grp, id AS region_id, st, en FROM e), n AS (SELECT r.grp, r.region_id, count(DISTINCT read_id) AS n_reads, count(DISTINCT read_id) FILTER (noisy) AS n_noisy FROM r JOIN e ON r.grp = e.grp AND r.st < e.en AND e.st < r.en GROUP BY 1, 2)
  SELECT grp, region_id FROM n WHERE n_noisy >= 2 AND n_noisy / n_reads >= 0.2""")
 def noisy_support_filter(spark, d):
     return pileup.supported(pileup.noisy_read_ratio(*_regions(spark, d), ["grp"], b.HOUR), HIFI).select("grp", "region_id")
@@ -325,7 +321,7 @@ def noisy_support_filter(spark, d):
 def _regions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     e = b.table(spark, d, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
     e = e.select("event_id", (F.col("user_id") % 20).alias("grp"), F.col("user_id").alias("read_id"), F.col("us").alias("st"), (F.col("us") + (F.col("value") * 6_000_000).cast("long")).alias("en"), "event_type")
-    return e.filter("event_id % 40 = 0").select("grp", F.col("event_id").alias("region_id"), "st", "en"), e, e.filter("event_type = 'click'")
+    return e.select("grp", F.col("event_id").alias("region_id"), "st", "en"), e, e.filter("event_type = 'click'")
 
 
 @query("""SELECT o_custkey AS chunk, o_orderkey AS read_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_totalprice DESC, CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END, o_orderkey) AS read_rank FROM orders""")
@@ -420,14 +416,14 @@ def kmer_count(spark, d):
     return k.groupBy("kmer").agg(F.count("*").alias("n"))
 
 
-@query(f"""{SEQ}, t AS (SELECT DISTINCT id AS te_id, strand, substr(q, CAST(i AS INT), 7) AS kmer FROM (SELECT id, strand, q, unnest(range(1, length(q) - 5)) AS i FROM (SELECT id, false AS strand, seq AS q FROM s WHERE id < 5 UNION ALL SELECT id, true, reverse(translate(seq, 'ACGT', 'TGCA')) FROM s WHERE id < 5))),
+@query(f"""{SEQ}, t AS (SELECT DISTINCT id AS te_id, strand, substr(q, CAST(i AS INT), 7) AS kmer FROM (SELECT id, strand, q, unnest(range(1, length(q) - 5)) AS i FROM (SELECT id, false AS strand, seq AS q FROM s UNION ALL SELECT id, true, reverse(translate(seq, 'ACGT', 'TGCA')) FROM s))),
  tk AS (SELECT * FROM t WHERE NOT contains(kmer, 'N') AND NOT regexp_full_match(kmer, 'A*.')),
  parts AS (SELECT id, unnest(regexp_split_to_array(seq, 'N+')) AS part FROM d), q AS (SELECT id, substr(part, CAST(i * 7 + 1 AS INT), 7) AS kmer FROM (SELECT id, part, unnest(range(0, length(part) // 7)) AS i FROM parts)),
  n AS (SELECT q.id, te_id, strand, count(*) AS hits FROM q JOIN tk USING (kmer) GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY hits DESC, strand DESC, te_id) AS k FROM n WHERE hits >= 3) SELECT id, te_id, strand AS rev, hits FROM r WHERE k = 1""")
 def kmer_match_top(spark, d):
     from helixloom.operators.elements import index, match
 
-    return match(b.sequences(spark, d, "documents"), index(b.sequences(spark, d).filter("id < 5").withColumnRenamed("id", "te_id"), 7), 7, 3)
+    return match(b.sequences(spark, d, "documents"), index(b.sequences(spark, d).withColumnRenamed("id", "te_id"), 7), 7, 3)
 
 
 @query(f"{SEQ} SELECT id, reverse(translate(seq, 'ACGT', 'TGCA')) AS rc FROM s")
@@ -435,29 +431,31 @@ def revcomp(spark, d):
     return b.sequences(spark, d).select("id", seq.reverse_complement(F.col("seq")).alias("rc"))
 
 
-@query(f"""{SEQ}, p AS (SELECT id, i, substr(seq, CAST(i AS INT), 18) AS r, substr(seq, CAST(greatest(1, i - 18) AS INT), CAST(i - greatest(1, i - 18) AS INT)) AS l FROM (SELECT id, seq, unnest(range(20, least(length(seq), 400), 7)) AS i FROM s))
+@query(f"""{SEQ}, p AS (SELECT id, i, substr(seq, CAST(i AS INT), 18) AS r, substr(seq, CAST(greatest(1, i - 18) AS INT), CAST(i - greatest(1, i - 18) AS INT)) AS l FROM (SELECT id, seq, unnest(range(1, length(seq) + 1)) AS i FROM s))
  SELECT id, CAST(i AS BIGINT) AS i, {' OR '.join(f"(length(r) >= {3 * u} AND substr(r, 1, {u}) = substr(r, {u + 1}, {u}) AND substr(r, 1, {u}) = substr(r, {2 * u + 1}, {u}))" for u in range(1, 7))} AS tandem_right,
  {' OR '.join(f"(length(l) >= {3 * u} AND right(l, {u}) = substr(l, length(l) - {2 * u - 1}, {u}) AND right(l, {u}) = substr(l, length(l) - {3 * u - 1}, {u}))" for u in range(1, 7))} AS tandem_left FROM p""")
 def tandem_repeat(spark, d):
-    rows = b.sequences(spark, d).filter("length(seq) > 20").select("id", "seq", F.explode(F.sequence(F.lit(20), F.least(F.length("seq"), F.lit(400)) - 1, F.lit(7))).alias("i"))
-    lo = F.greatest(F.lit(1), F.col("i") - 18)
-    return rows.select("id", F.col("i").cast("long").alias("i"), seq.tandem_right(F.substring("seq", F.col("i"), F.lit(18))).alias("tandem_right"), seq.tandem_left(F.substring("seq", lo, F.col("i") - lo)).alias("tandem_left"))
+    """At every place of every passage: the 18 bases from it on, and the up to 18 before it."""
+    padded = F.concat(F.repeat(F.lit("-"), F.lit(18)), F.col("seq"))
+    rows = b.sequences(spark, d).select("id", F.posexplode(F.arrays_zip(seq.windows(F.col("seq"), 18, least=1).alias("r"), seq.windows(padded, 18, least=18).alias("l"))).alias("k", "x")).filter("x.r IS NOT NULL")
+    before = F.regexp_replace("x.l", "-", "")
+    return rows.select("id", (F.col("k") + 1).cast("long").alias("i"), seq.tandem_right(F.col("x.r")).alias("tandem_right"), seq.tandem_left(before).alias("tandem_left"))
 
 
 @query(f"{SEQ} SELECT id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(seq, 'A{{3,}}', 'A', 'g'), 'C{{3,}}', 'C', 'g'), 'G{{3,}}', 'G', 'g'), 'T{{3,}}', 'T', 'g'), 'N{{3,}}', 'N', 'g') AS hp FROM s")
 def hp_compress(spark, d):
-    return b.sequences(spark, d).select("id", F.regexp_replace("seq", r"(.)\1{2,}", "$1").alias("hp"))
+    return b.sequences(spark, d).select("id", seq.compress_runs(F.col("seq")).alias("hp"))
 
 
-@query(f"{SEQ} SELECT id, CAST(i AS BIGINT) AS i, substr(seq, CAST(i AS INT), 5) = repeat(substr(seq, CAST(i AS INT), 1), 5) AS hp FROM (SELECT id, seq, unnest(range(1, least(length(seq), 300) - 4)) AS i FROM s)")
+@query(f"{SEQ} SELECT id, CAST(i AS BIGINT) AS i, substr(seq, CAST(i AS INT), 5) = repeat(substr(seq, CAST(i AS INT), 1), 5) AS hp FROM (SELECT id, seq, unnest(range(1, length(seq) - 3)) AS i FROM s)")
 def homopolymer_run(spark, d):
-    rows = b.sequences(spark, d).filter("length(seq) > 5").select("id", "seq", F.explode(F.sequence(F.lit(1), F.least(F.length("seq"), F.lit(300)) - 5)).alias("i"))
-    return rows.select("id", F.col("i").cast("long").alias("i"), seq.homopolymer_at(F.col("seq"), F.col("i")).alias("hp"))
+    rows = b.sequences(spark, d).select("id", F.posexplode(seq.windows(F.col("seq"), 5)).alias("k", "five"))
+    return rows.select("id", (F.col("k") + 1).cast("long").alias("i"), seq.homopolymer_at(F.col("five"), F.lit(1)).alias("hp"))
 
 
-@query(f"{SEQ} SELECT id, list_transform(list_filter(string_split(seq, ''), lambda c: c <> ''), lambda c: CASE c WHEN 'A' THEN 0 WHEN 'C' THEN 1 WHEN 'G' THEN 2 WHEN 'T' THEN 3 ELSE 4 END)[1:50]::VARCHAR AS codes FROM s")
+@query(f"{SEQ} SELECT id, list_transform(list_filter(string_split(seq, ''), lambda c: c <> ''), lambda c: CASE c WHEN 'A' THEN 0 WHEN 'C' THEN 1 WHEN 'G' THEN 2 WHEN 'T' THEN 3 ELSE 4 END)::VARCHAR AS codes FROM s")
 def base_codes(spark, d):
-    return b.sequences(spark, d).select("id", F.slice(seq.base_codes(F.col("seq")), 1, 50).cast("string").alias("codes"))
+    return b.sequences(spark, d).select("id", seq.base_codes(F.col("seq")).cast("string").alias("codes"))
 
 
 NAMES = "SELECT DISTINCT CASE p_size % 6 WHEN 0 THEN 'chr' WHEN 1 THEN '' WHEN 2 THEN 'chr' WHEN 3 THEN '' WHEN 4 THEN 'chr' ELSE 'HLA-' END || CASE WHEN p_size % 7 = 0 THEN 'X' WHEN p_size % 7 = 1 THEN 'Y' WHEN p_size % 7 = 2 THEN 'M' WHEN p_size % 7 = 3 THEN 'Un_' || p_size ELSE CAST(p_size - 5 AS STRING) END || CASE WHEN p_size % 5 = 0 THEN ':1-2' ELSE '' END AS name FROM part"
@@ -519,9 +517,11 @@ def infix_similarity(spark, d):
 
 @query("WITH s AS ({s}) SELECT x.id, CAST(levenshtein(x.seq, y.seq) AS BIGINT) AS distance FROM s x JOIN s y ON y.id = x.id + 1".format(s=b.SEQ_SQL))
 def edit_distance(spark, d):
+    from helixloom.plans import functions as f
+
     s = b.sequences(spark, d)
     t = s.select((F.col("id") - 1).alias("id"), F.col("seq").alias("other"))
-    return s.join(t, "id").select("id", F.levenshtein("seq", "other").cast("long").alias("distance"))
+    return s.join(t, "id").select("id", f.edit_distance("seq", "other").cast("long").alias("distance"))
 
 
 @query()
@@ -550,8 +550,8 @@ def te_annotate(spark, d):
     from helixloom.plans import functions as f
 
     s = b.sequences(spark, d).select("id", "seq")
-    gap = F.concat(F.substring("seq", 1, 12), F.substring("seq", 40, 30), F.repeat(F.lit("A"), F.lit(14)))
-    flank = F.concat(F.substring("seq", 1, 12), F.substring("seq", 90, 60))
+    gap = F.concat(F.substring("seq", 1, 12), F.substring("seq", F.lit(40), F.length("seq")), F.repeat(F.lit("A"), F.lit(14)))
+    flank = F.concat(F.substring("seq", 1, 12), F.substring("seq", F.lit(90), F.length("seq")))
     return s.select("id", f.insertion_marks(gap, flank).alias("m")).select("id", "m.tsd_len", "m.tail_len")
 
 
@@ -606,16 +606,16 @@ def somatic_not_germline(spark, d):
 
 
 #: Reads without errors over each passage: 12 a contig, every other one with another base at every 50th place.
-@query("WITH s AS ({s}), t AS (SELECT id, replace(seq, 'N', 'A') AS seq FROM s WHERE length(seq) >= 60), p AS (SELECT id, pos, substr(seq, CAST(pos AS INT), 1) AS ref FROM (SELECT id, seq, unnest(generate_series(50, length(seq) - 10, 50)) AS pos FROM t)) SELECT 'c' || id AS contig, pos, ref, translate(ref, 'ACGT', 'CGTA') AS alt, true AS het, 1 AS phases, 12 AS dp, 6 AS alt_ad, 60 AS qual, 60 AS gq, CAST(50 AS BIGINT) AS ps FROM p".format(s=b.SEQ_SQL))
+@query("WITH s AS ({s}), t AS (SELECT id, replace(seq, 'N', 'A') AS seq FROM s), p AS (SELECT id, pos, substr(seq, CAST(pos AS INT), 1) AS ref FROM (SELECT id, seq, unnest(generate_series(50, length(seq) - 10, 50)) AS pos FROM t)) SELECT 'c' || id AS contig, pos, ref, translate(ref, 'ACGT', 'CGTA') AS alt, true AS het, 1 AS phases, 12 AS dp, 6 AS alt_ad, 60 AS qual, 60 AS gq, CAST(50 AS BIGINT) AS ps FROM p".format(s=b.SEQ_SQL))
 def germline_calls(spark, d):
     """The whole path, from reads to phased calls, on passages as contigs. Which haplotype is called the first is free, so that is left out; `phases` counts a contig's orientations."""
     from helixloom.plans import germline
     from helixloom.sources import fasta
 
-    s = b.sequences(spark, d).filter("length(seq) >= 60").select(F.concat(F.lit("c"), "id").alias("contig"), F.translate("seq", "N", "A").alias("seq"))
-    bases = F.split("seq", "")
+    s = b.sequences(spark, d).select(F.concat(F.lit("c"), "id").alias("contig"), F.translate("seq", "N", "A").alias("seq"))
+    bases, n = F.split("seq", ""), F.greatest(F.floor((F.length("seq") - 10) / 50).cast("int"), F.lit(0))
     alt = F.array_join(F.transform(bases, lambda c, i: F.when((i % 50 == 49) & (i < F.length("seq") - 10), F.translate(c, "ACGT", "CGTA")).otherwise(c)), "")
-    cigar = F.concat(F.repeat(F.lit("49=1X"), F.floor((F.length("seq") - 10) / 50).cast("int")), F.length("seq") - F.floor((F.length("seq") - 10) / 50) * 50, F.lit("="))
+    cigar = F.concat(F.repeat(F.lit("49=1X"), n), F.length("seq") - n * 50, F.lit("="))
     reads = s.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(11)))).select(F.concat(F.lit("r"), "r").alias("qname"), F.when(F.col("r") % 4 < 2, 0).otherwise(16).alias("flag"), "contig", F.lit(1).cast("long").alias("pos"), F.lit(60).alias("mapq"), F.when(F.col("r") % 2 == 1, cigar).otherwise(F.concat(F.length("seq"), F.lit("="))).alias("cigar"), F.when(F.col("r") % 2 == 1, alt).otherwise(F.col("seq")).alias("seq"), F.lit(None).cast("binary").alias("qual"), F.create_map().cast("map<string,string>").alias("tags"))
     calls, _ = germline.call(reads, s.select("contig", F.length("seq").cast("long").alias("length")), fasta.binned(s), HIFI)
     return calls.select("contig", "pos", "ref", "alt", F.col("gt").isin("0|1", "1|0").alias("het"), F.size(F.collect_set("gt").over(Window.partitionBy("contig", "ps"))).alias("phases"), "dp", "alt_ad", "qual", "gq", "ps")
