@@ -6,10 +6,14 @@ later start lies. So no pair of intervals far apart is ever looked at, and a hot
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixloom.lineage import cut
+
 
 def _bin(x: Column, width: int) -> Column:
     return F.floor(x / width).cast("long")
@@ -89,39 +93,105 @@ def merge_fixed(df: DataFrame, keys: list[str], gap: int, stretch: int = STRETCH
     return island.groupBy(*keys, "_island").agg(F.min("st").alias("st"), F.max("en").alias("en"), F.count("*").alias("n"), *(F.max(c).alias(c) for c in label)).drop("_island")
 
 
+class LabelledFold:
+    """Merges (st, en, label) rows that come by st: two become one where the gap is at most the lesser label; what grew in reach and label goes on merging, and what lies between is absorbed.
+
+    Clusters so far lie on a stack, apart from each other. A new row can only join one whose label, and its own, reach over the gap, and
+    gaps grow down the stack: so the search stops at its own label, and skips what has no greater label than one that failed.
+    """
+
+    def __init__(self):
+        self.rows: list[tuple[int, int, int]] = []
+        self.more: list[int] = []  # place of the next row below with a greater label, -1 if none
+
+    def add(self, st: int, en: int, label: int) -> None:
+        rows, more = self.rows, self.more
+        while True:
+            k = len(rows) - 1
+            while k >= 0 and st - rows[k][1] <= label:
+                if st - rows[k][1] <= rows[k][2]:
+                    break
+                k = more[k]
+            else:
+                break
+            if k < 0:
+                break
+            st = rows[k][0]
+            for _, e, lab in rows[k:]:
+                en, label = max(en, e), max(label, lab)
+            del rows[k:], more[k:]
+        k = len(rows) - 1
+        while k >= 0 and rows[k][2] <= label:
+            k = more[k]
+        rows.append((st, en, label))
+        more.append(k)
+
+
 def fold_labelled(rows: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Merges (st, en, label) where the gap is at most the lesser label; an absorbing interval grows in reach and label, until nothing changes."""
-    while True:
-        left, out = sorted(rows), []
-        while left:
-            st, en, label = left.pop(0)
-            apart = []
-            for s, e, lab in left:
-                if s <= en + min(label, lab):
-                    st, en, label = min(st, s), max(en, e), max(label, lab)
-                else:
-                    apart.append((s, e, lab))
-            out.append((st, en, label))
-            left = apart
-        if len(out) == len(rows):
-            return sorted(out)
-        rows = out
+    """The clusters of rows in any order, by st."""
+    fold = LabelledFold()
+    for row in sorted(rows):
+        fold.add(*row)
+    return fold.rows
+
+
+def _folded(rows: DataFrame, by: list[str]) -> DataFrame:
+    """LabelledFold over each group of `by`, whose rows stream through a task by st; a group's clusters are held, not its rows."""
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, fold, types = None, LabelledFold(), None
+
+        def out() -> pa.RecordBatch:
+            cols = list(zip(*fold.rows, strict=True))
+            return pa.record_batch([*(pa.array([x] * len(fold.rows), t) for x, t in zip(now, types, strict=True)), *(pa.array(c, pa.int64()) for c in cols)], names=[*by, "st", "en", "label"])
+
+        for b in batches:
+            types = [b.schema.field(c).type for c in by]
+            groups = zip(*(b.column(c).to_pylist() for c in by), strict=True)
+            for name, row in zip(groups, zip(*(b.column(c).to_pylist() for c in ("st", "en", "label")), strict=True), strict=True):
+                if name != now:
+                    if fold.rows:
+                        yield out()
+                    now, fold = name, LabelledFold()
+                fold.add(*row)
+        if fold.rows:
+            yield out()
+
+    dealt = rows.select(*by, "st", "en", "label").repartition(*by).sortWithinPartitions(*by, "st")
+    return dealt.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in by) + ", st long, en long, label long")
 
 
 def merge_labelled(df: DataFrame, keys: list[str], stretch: int = STRETCH) -> DataFrame:
-    """fold_labelled() within each part of a key. A part ends where a gap exceeds the largest label before it, which no merge can bridge, so groups stay local."""
-    rows = _with_prior(df.select(*keys, "st", "en", "label"), keys, ["en", "label"], stretch)
-    split = _numbered(rows, keys, F.coalesce(F.col("st") > F.col("_max_en") + F.col("_max_label"), F.lit(True))).withColumnRenamed("_island", "_part")
-    kinds = "array<struct<st:bigint,en:bigint,label:int>>"
-    stretch = split.groupBy(*keys, "_part").agg(F.collect_list(F.struct(F.col("st").cast("long"), F.col("en").cast("long"), F.col("label").cast("int"))).cast(kinds).alias("rows"))
-
-    @F.pandas_udf(kinds)
-    def fold(many: pd.Series) -> pd.Series:
-        return many.map(lambda rows: [{"st": a, "en": b, "label": c} for a, b, c in fold_labelled([(r["st"], r["en"], r["label"]) for r in rows])])
-
-    # most stretches are a single interval and never leave the JVM
-    alone, several = stretch.filter("size(rows) = 1").select(*keys, "rows"), stretch.filter("size(rows) > 1").select(*keys, fold("rows").alias("rows"))
-    out = alone.unionByName(several).select(*keys, F.inline("rows"))
+    """Labelled intervals of a key to their clusters: what LabelledFold makes of all of them.
+
+    A key is dealt into stretches, intervals that cross into the next one in pieces. Each stretch is folded by itself; only clusters that
+    reach over one of its ends, by their label, meet those of other stretches, in one short fold a key. Clusters that lie
+    under what these became are absorbed. If a cluster grew in label by that, it may reach others in its stretches, so all is done once more.
+    """
+    long = df.select(*keys, *(F.col(c).cast("long").alias(c) for c in ("st", "en", "label"))).groupBy(*keys, "st", "en").agg(F.max("label").alias("label"))
+    rows, ends = long, {"lo": F.col("_s") * stretch, "hi": (F.col("_s") + 1) * stretch}
+    while True:
+        pieces = _dealt(rows, "st", "en", stretch, "_s")
+        # a piece that ends at a stretch's end touches the next one's, which begins there
+        pieces = pieces.select(*keys, "_s", F.greatest("st", ends["lo"]).alias("st"), F.when(F.col("en") > ends["hi"], ends["hi"]).otherwise(F.col("en")).alias("en"), "label")
+        local = cut(_folded(pieces, [*keys, "_s"]))
+        open_end = (F.col("st") - F.col("label") <= ends["lo"]) | (F.col("en") + F.col("label") >= ends["hi"])
+        if (opened := local.filter(open_end)).isEmpty():
+            out = local
+            break
+        met = cut(_folded(opened, keys))
+        closed = local.filter(~open_end)
+        hits = overlap_join(closed.drop("_s").withColumn("en", F.greatest("en", F.col("st") + 1)), met, keys, stretch).filter("a_st >= b_st AND a_en <= greatest(b_en, b_st + 1)")
+        under = cut(hits.select(*keys, *(F.col(f"{s}_{c}").alias(f"{s}_{c}") for s in "ab" for c in ("st", "label")), F.col("b_en")))
+        grown = under.groupBy(*keys, F.col("b_st").alias("st")).agg(F.max("a_label").alias("_l"))
+        whole = met.join(grown, [*keys, "st"], "left").select(*keys, "st", "en", F.greatest("label", F.coalesce("_l", "label")).alias("label"))
+        left = closed.drop("_s").join(under.select(*keys, F.col("a_st").alias("st")), [*keys, "st"], "left_anti")
+        out = rows = cut(whole.unionByName(left.select(*whole.columns)))
+        # what each open cluster's label was in its own stretch: the same as now, or it may reach farther there
+        parts = contain_join(opened.select(*keys, "st", "en", "label"), rows.select(*keys, "st", "en", "label"), keys, stretch)
+        if under.filter("a_label > b_label").isEmpty() and parts.filter("b_label > a_label").isEmpty():
+            break
     return out.select(*keys, *(F.col(c).cast(df.schema[c].dataType) for c in ("st", "en", "label")))
 
 

@@ -184,9 +184,15 @@ def interval_merge_fixed(spark, d):
     return intervals.merge_fixed(b.intervals(spark, d).select("grp", "st", "en", "label"), ["grp"], 600_000_000, 24 * b.HOUR)
 
 
-@query()
+#: Round by round, each cluster joins the first one that it may merge with, until none does.
+@query(f"""WITH RECURSIVE iv AS ({b.IV_SQL}), c AS (SELECT 0 AS round, grp, st // 60000000 AS st, en // 60000000 AS en, label % 30 AS label FROM iv
+ UNION ALL SELECT round, grp, st, en, label FROM (
+  SELECT round + 1 AS round, grp, min(st) AS st, max(en) AS en, max(label) AS label, max(count(*)) OVER () AS most FROM (
+   SELECT x.round, x.grp, x.st, x.en, x.label, min(y.st) AS root FROM (SELECT DISTINCT * FROM c) x JOIN (SELECT DISTINCT * FROM c) y ON x.grp = y.grp AND y.st <= x.st AND x.st - y.en <= least(x.label, y.label) GROUP BY ALL)
+  GROUP BY round, grp, root) WHERE most > 1),
+ last AS (SELECT *, max(round) OVER () AS top FROM c) SELECT DISTINCT grp, st, en, label FROM last WHERE round = top""")
 def interval_merge_labelled(spark, d):
-    """Minutes as positions, so that labels (1 to 490) reach over gaps. Not SQL: a fold whose window grows with what it absorbs."""
+    """Minutes as positions, so that labels reach over gaps."""
     iv = b.intervals(spark, d).select("grp", F.floor(F.col("st") / 60_000_000).alias("st"), F.floor(F.col("en") / 60_000_000).alias("en"), (F.col("label") % 30).alias("label"))
     return intervals.merge_labelled(iv, ["grp"], 1440)
 
@@ -524,17 +530,20 @@ def edit_distance(spark, d):
     return s.join(t, "id").select("id", f.edit_distance("seq", "other").cast("long").alias("distance"))
 
 
-@query()
+#: One gap of seven costs less than any mismatch or second gap can save, and goes as far left as it can: to the first place where cutting seven bases gives the query.
+@query("""WITH s AS ({s}), p AS (SELECT id, seq, substr(seq, 1, 50) || substr(seq, 58) AS q FROM s),
+ g AS (SELECT id, min(i) AS i FROM (SELECT id, seq, q, unnest(range(0, length(seq) - 6)) AS i FROM p) WHERE substr(seq, 1, CAST(i AS INT)) || substr(seq, CAST(i AS INT) + 8) = q GROUP BY id)
+ SELECT id, seq AS target, substr(q, 1, CAST(i AS INT)) || '-------' || substr(q, CAST(i AS INT) + 1) AS query FROM p JOIN g USING (id)""".format(s=b.SEQ_SQL))
 def affine_alignment(spark, d):
+    """Each passage against itself without seven of its bases."""
     from helixloom.plans import functions as f
 
-    """Each passage against itself without seven of its bases."""
     s = b.sequences(spark, d).select("id", F.col("seq").alias("t"))
     q = b.sequences(spark, d).select("id", F.concat(F.substring("seq", F.lit(1), F.lit(50)), F.substring("seq", F.lit(58), F.length("seq"))).alias("q"))
     return s.join(q, "id").select("id", f.affine_align("t", "q").alias("a")).select("id", "a.target", "a.query")
 
 
-@query()
+@query("WITH s AS ({s}) SELECT id, seq AS s, seq AS consensus FROM s".format(s=b.SEQ_SQL))
 def poa_consensus(spark, d):
     """Ten copies of a passage, each with a base left out; the consensus is the passage."""
     from helixloom.plans import functions as f

@@ -59,6 +59,53 @@ def test_joins_equal_theta(spark):
     assert {r.id for r in intervals.overlap_semi(a, b, ["contig"], 50, "left_anti").collect()} == {p[3] for p in x} - semi
 
 
+def plain_labelled_fold(rows):
+    """Merges any two clusters whose gap is at most the lesser label, until nothing changes."""
+    rows = sorted(rows)
+    changed = True
+    while changed:
+        changed = False
+        for i in range(len(rows)):
+            for j in range(i + 1, len(rows)):
+                (s, e, lab), (s2, e2, lab2) = rows[i], rows[j]
+                if max(s, s2) - min(e, e2) <= min(lab, lab2):
+                    rows[i] = (min(s, s2), max(e, e2), max(lab, lab2))
+                    del rows[j]
+                    changed = True
+                    break
+            if changed:
+                break
+    return sorted(rows)
+
+
+def test_labelled_fold_equals_pair_by_pair_merging():
+    rng = random.Random(3)
+    for k in range(300):
+        rows = [(s, s + rng.randrange(0, 30), rng.choice([0, 1, 3, 10, 40, 200])) for s in (rng.randrange(0, 600) for _ in range(rng.randrange(0, 25)))]
+        assert intervals.fold_labelled(rows) == plain_labelled_fold(rows), k
+
+
+@pytest.mark.parametrize("stretch", [50, 200, 10_000])
+def test_labelled_merge_over_stretches(spark, stretch):
+    """Growth over ends of stretches, long intervals, huge labels early and late, empty intervals."""
+    rng = random.Random(stretch)
+    rows = [(f"c{rng.randrange(12)}", s, s + rng.choice([0, 1, 20, 260]), rng.choice([0, 2, 9, 40, 150])) for s in (rng.randrange(0, 2500) for _ in range(700))]
+    rows += [("far", 0, 100, 60_000), ("far", 90_000, 90_100, 60_000), *(("far", s, s + 5, 4) for s in range(200, 90_000, 1000)), ("grow", 0, 10, 100), ("grow", 100, 110, 300), ("grow", 60, 61, 1000), ("grow", 900, 905, 900)]
+    df = spark.createDataFrame(rows, "contig string, st long, en long, label int").repartition(3)
+    got = {}
+    for r in intervals.merge_labelled(df, ["contig"], stretch).collect():
+        got.setdefault(r.contig, []).append((r.st, r.en, r.label))
+    for c in {r[0] for r in rows}:
+        assert sorted(got[c]) == plain_labelled_fold([r[1:] for r in rows if r[0] == c]), c
+
+
+def test_labelled_merge_of_a_contig_is_spread(spark):
+    """A huge label at the begin: the rest is still folded stretch by stretch, in many tasks, in time."""
+    many = spark.range(400_000).select(F.lit("c").alias("contig"), (F.col("id") * 600).alias("st"), (F.col("id") * 600 + 100).alias("en"), F.when(F.col("id") == 0, 60_000).otherwise(F.col("id") % 500).cast("int").alias("label"))
+    got = intervals.merge_labelled(many, ["contig"])
+    assert got.count() == 400_000  # labels below 500 don't bridge 500 bases
+
+
 def test_labelled_merge_equals_the_plain_fold(spark):
     rows = [(f"c{RND.randrange(2)}", st := RND.randrange(600), st + RND.randrange(1, 9), RND.randrange(12)) for _ in range(120)]
     df = spark.createDataFrame(rows, "contig string, st long, en long, label int")
