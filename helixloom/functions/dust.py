@@ -2,59 +2,49 @@
 
 from __future__ import annotations
 
-from collections import Counter
+import numpy as np
 
-CODE = {"A": 0, "C": 1, "G": 2, "T": 3}
+#: A 0, C 1, G 2, T 3, any other byte 4.
+CODES = np.full(256, 4, np.uint8)
+CODES[[ord(c) for c in "ACGT"]] = range(4)
 
 
 def mask(seq: str, threshold: int = 20, window: int = 64) -> list[tuple[int, int]]:
     """Half-open intervals. A stretch of n+1 triplets scores 10 * (sum of c(c-1)/2 over triplets) / n; it is perfect if that
     exceeds `threshold` and no part of it scores more. Masked are all perfect stretches of up to `window` bases."""
+    raw = np.frombuffer(seq.encode("latin-1", "replace"), np.uint8)
+    code = CODES[raw]
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], (code < 4).astype(np.int8), [0]])))
     out: list[tuple[int, int]] = []
-    for run_start, run in _runs(seq):
-        words = [CODE[run[k]] * 16 + CODE[run[k + 1]] * 4 + CODE[run[k + 2]] for k in range(len(run) - 2)]
-        spans = _perfect(words, threshold, window - 2)
-        for a, b in spans:
-            st, en = run_start + a, run_start + b + 3
-            if out and st <= out[-1][1]:
-                out[-1] = out[-1][0], max(out[-1][1], en)
-            else:
-                out.append((st, en))
+    for lo, hi in edge.reshape(-1, 2).tolist():
+        if hi - lo > 3:
+            c = code[lo:hi]
+            for a, b in _perfect(c[:-2] * 16 + c[1:-1] * 4 + c[2:], threshold, window - 2):
+                if out and lo + a <= out[-1][1]:
+                    out[-1] = out[-1][0], max(out[-1][1], lo + b + 3)
+                else:
+                    out.append((lo + a, lo + b + 3))
     return out
 
 
-def _runs(seq: str):
-    start = None
-    for k, c in enumerate(seq + "-"):
-        if c in CODE:
-            start = k if start is None else start
-        elif start is not None:
-            yield start, seq[start:k]
-            start = None
-
-
-def _perfect(words: list[int], threshold: int, most: int) -> list[tuple[int, int]]:
-    """First and last triplet of all perfect stretches, by begin. Each right end looks back over a window; a candidate counts if no part of it scores higher."""
-    found: list[tuple[int, int]] = []
-    best_from: dict[int, list[tuple[int, float]]] = {}
-    for right in range(len(words)):
-        left_most = max(0, right - most + 1)
-        counts: Counter[int] = Counter()
-        pairs, best = 0, 0.0
-        for left in range(right, left_most - 1, -1):
-            pairs += counts[words[left]]
-            counts[words[left]] += 1
-            n = right - left
-            if n and 10 * pairs > threshold * n:
-                score = pairs / n
-                inner = max((s for b, rows in best_from.items() if b >= left for e, s in rows if e <= right), default=0.0)
-                if score >= max(best, inner):
-                    best_from.setdefault(left, []).append((right, score))
-                    found.append((left, right))
-                best = max(best, score)
-        for b in [b for b in best_from if b < right - most]:
-            del best_from[b]
-    return sorted(found)
+def _perfect(words: np.ndarray, threshold: int, most: int) -> list[tuple[int, int]]:
+    """First and last triplet of stretches that cover what all perfect ones do, by begin; each begin with its longest.
+
+    Step n has all stretches of n + 1 triplets at once: a stretch's equal pairs are those of the stretch without its first triplet and that
+    triplet's own, and its best part is the best of the two stretches one shorter and of their parts.
+    """
+    size = len(words)
+    own, pairs = np.zeros(size, np.int32), np.zeros(size, np.int32)
+    score, inner, longest = np.zeros(size), np.zeros(size), np.zeros(size, np.int32)
+    for n in range(1, min(most, size)):
+        m = size - n
+        own = own[:m] + (words[:m] == words[n:])
+        pairs = pairs[1:] + own
+        inner = np.maximum(np.maximum(inner[:-1], inner[1:]), np.maximum(score[:-1], score[1:]))
+        score = pairs / n
+        longest[:m][(10 * pairs > threshold * n) & (score >= inner)] = n
+    at = np.flatnonzero(longest)
+    return list(zip(at.tolist(), (at + longest[at]).tolist(), strict=True))
 
 
 def covered(seq: str, threshold: int = 20, window: int = 64) -> float:

@@ -232,3 +232,58 @@ def test_bgzf_and_bam(tmp_path):
             got.append(bam.decode(r.read(struct.unpack("<i", head)[0]), contigs))
     assert contigs == [("chr1", 5000)] and [dict(zip(rows[0], g, strict=True)) for g in got] == rows
 
+
+
+def mutated(rng, s, rate):
+    out = []
+    for c in s:
+        x = rng.random()
+        if x < rate / 3:
+            continue
+        if x < rate:
+            out.append(rng.choice("ACGT"))
+        if x >= 2 * rate / 3:
+            out.append(c)
+    return "".join(out)
+
+
+def test_bands_give_what_whole_matrices_give(monkeypatch):
+    """From a band of one column on, doubled as needed, results equal those of a band wider than the matrix."""
+    rng = random.Random(9)
+    pairs = []
+    for k in range(150):
+        t = "".join(rng.choice("ACGT"[: rng.choice([1, 2, 4])]) for _ in range(rng.randrange(0, 80)))
+        q = mutated(rng, t, rng.choice([0, 0.1, 0.5]))
+        pairs.append((t, q[:10] + q[30:] if k % 4 == 0 else q))
+    results = []
+    for band in (1, 1000):
+        monkeypatch.setattr(align, "BAND", band)
+        results.append([(align.edit(q, t), align.affine(t, q), align.affine(t, q, left=False)) for t, q in pairs])
+    assert results[0] == results[1]
+
+
+def test_long_alignments_in_bounded_memory():
+    import tracemalloc
+
+    rng = random.Random(2)
+    t = "".join(rng.choice("ACGT") for _ in range(10_000))
+    q = mutated(rng, t, 0.05)
+    q = q[:4000] + "".join(rng.choice("ACGT") for _ in range(300)) + q[4000:]
+    tracemalloc.start()
+    a, b = align.affine(t, q)
+    assert a.replace("-", "") == t and b.replace("-", "") == q
+    got = align.edit(q, t)
+    assert sum(c in "=XD" for c in got.path) == len(t) and sum(c != "=" for c in got.path) == got.distance
+    assert align.edit(q[2000:4000], t, "HW").distance < 300
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20
+
+
+def test_consensus_within_a_band(monkeypatch):
+    rng = random.Random(4)
+    t = "".join(rng.choice("ACGT") for _ in range(1500))
+    seqs = [mutated(rng, t, 0.03) for _ in range(9)]
+    whole = poa.consensus(seqs)
+    monkeypatch.setattr(poa, "CELLS", 1_000_000)
+    assert poa.consensus(seqs) == whole == t
