@@ -55,6 +55,8 @@ class Options:
     is_ont: bool = False
     amb_bases: bool = False
     somatic: bool = False
+    #: Whether calls name their alt reads.
+    read_names: bool = False
 
 
 #: Presets of the two read technologies: the dense-event window differs, and only ONT reads are tested for strand bias and palindromes.

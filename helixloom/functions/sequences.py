@@ -38,14 +38,17 @@ def _pieces(s: Column, size: int, step: int, most: int) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: one({"text": s, "at": i}))).otherwise(F.array().cast("array<string>"))
 
 
-def windows(s: Column, size: int, step: int = 1, least: int | None = None) -> Column:
-    """The substrings of `size` characters from every step-th place on, in order; with `least`, also those cut short by the text's end that have so many."""
-    least = size if least is None else least
-    within = step * BLOCK
-    whole = within * BLOCKS
+def windows(s: Column, size: int, step: int = 1, least: int | None = None, block: int | None = None, blocks: int | None = None) -> Column:
+    """The substrings of `size` characters from every step-th place on, in order; with `least`, also those cut short by the text's end that have so many.
+
+    `block`: places of a block; `blocks`: blocks of a stretch.
+    """
+    least, block, many = size if least is None else least, block or BLOCK, blocks or BLOCKS
+    within = step * block
+    whole = within * many
     # stretches and blocks hold size - step characters more than are theirs, for the pieces that begin in them; what begins there is the next one's
-    blocks = lambda t: F.slice(_pieces(t, within + size - step, within, 1), 1, BLOCKS)
-    parts = F.transform(_pieces(s, whole + size - step, whole, 1), lambda t: F.transform(blocks(t), lambda b: F.slice(_pieces(b, size, step, least), 1, BLOCK)))
+    of = lambda t: F.slice(_pieces(t, within + size - step, within, 1), 1, many)
+    parts = F.transform(_pieces(s, whole + size - step, whole, 1), lambda t: F.transform(of(t), lambda b: F.slice(_pieces(b, size, step, least), 1, block)))
     return F.flatten(F.flatten(parts))
 
 

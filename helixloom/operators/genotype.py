@@ -37,9 +37,17 @@ def genotype(variants: DataFrame, o: Options, reference: str | None = None) -> D
         (F.col("ref_cov") + F.col("alt_cov")).cast("int").alias("dp"), F.col("ref_cov").cast("int").alias("ref_ad"), F.col("alt_cov").cast("int").alias("alt_ad"),
         stats.genotype_quality(F.col("ref_cov"), F.col("alt_cov"), o.max_gq).alias("gq"), F.when(phased, ps).alias("ps"),
         F.when(F.abs(length) >= o.min_sv_length, F.when(length > 0, "INS").otherwise("DEL")).alias("svtype"), F.when(F.abs(length) >= o.min_sv_length, length).cast("int").alias("svlen"),
+        *(["alt_reads"] if "alt_reads" in rows.columns else []),
     )
 
 
+def with_names(variants: DataFrame, alt_reads: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds `alt_reads`, the names of a variant's alt reads (keys, qname), comma-joined; its alt count becomes their number. Variants without any keep their count."""
+    names = alt_reads.groupBy(*keys).agg(F.array_sort(F.collect_set("qname")).alias("_names"))  # a variant's depth bounds it
+    joined = variants.join(names, keys, "left")
+    return joined.withColumn("alt_cov", F.when(F.col("_names").isNull(), F.col("alt_cov")).otherwise(F.size("_names"))).withColumn("alt_reads", F.array_join("_names", ",")).drop("_names")
+
+
 def final_filter(calls: DataFrame, o: Options) -> DataFrame:
     """What is written: deep enough, enough alt reads, and no ambiguous base unless asked for. Mobile elements need less."""
     somatic = F.coalesce(F.col("somatic"), F.lit(False)) if "somatic" in calls.columns else F.lit(False)

@@ -27,13 +27,13 @@ def leader_fold(lengths: Column, ratio: float = 0.8) -> Column:
     return F.aggregate(lengths, zero, lambda kept, x: F.when(F.coalesce(F.element_at(F.when(F.size(kept) > 0, kept), -1) >= ratio * x, F.lit(False)), kept).otherwise(F.array_append(kept, x)))
 
 
-def distinct_long_insertions(sites: DataFrame, min_sv: int = 30, ratio: float = 0.8) -> DataFrame:
-    """Sites with insertions of at least min_sv folded by leaders within (contig, pos); other sites are distinct by key.
+def distinct_long_insertions(sites: DataFrame, min_sv: int = 30, ratio: float = 0.8, least: int = 1) -> DataFrame:
+    """Sites with insertions of at least min_sv folded by leaders within (contig, pos); other sites are distinct by key, those that occur in at least `least` rows.
 
     Likeness is not transitive, so this is an ordered fold; distinct lengths of a position bound its group.
     """
     is_long = (F.col("vtype") == INS) & (F.col("alt_len") >= min_sv)
-    short = distinct_sites(sites.filter(~is_long))
+    short = distinct_sites(sites.filter(~is_long)) if least < 2 else sites.filter(~is_long).groupBy(*SITE_KEY).agg(F.count("*").alias("_n")).filter(F.col("_n") >= least).drop("_n")
     long = sites.filter(is_long).groupBy("contig", "pos", "ref_len", "alt_len").agg(F.min("alt_seq").alias("alt_seq"))
     seqs = long.groupBy("contig", "pos", "ref_len").agg(F.array_sort(F.collect_set(F.struct("alt_len", "alt_seq"))).alias("all"))
     kept = seqs.withColumn("kept", leader_fold(F.transform("all", lambda x: x["alt_len"]), ratio))
@@ -62,15 +62,23 @@ def nearly_overlaps(a: str, b: str) -> Column:
     return ins | gap
 
 
-def nearest(sites: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds `distance` to the nearest row of `others` (keys, pos) at or around each site; null without any on the key."""
-    both = sites.withColumn("_o", F.lit(None).cast("long")).unionByName(others.select(*keys, "pos").distinct().withColumn("_o", F.col("pos")), allowMissingColumns=True)
-    w = Window.partitionBy(*keys)
+def nearest(sites: DataFrame, others: DataFrame, keys: list[str], stretch: int = 4_000_000) -> DataFrame:
+    """Adds `distance` to the nearest row of `others` (keys, pos) at or around each site; null without any on the key.
+
+    Rows are ordered within stretches of a key; the last of the others before a stretch and the first behind it come from one row a stretch.
+    """
+    both = sites.withColumn("_o", F.lit(None).cast("long")).unionByName(others.select(*keys, "pos").distinct().withColumn("_o", F.col("pos").cast("long")), allowMissingColumns=True)
+    both = both.withColumn("_bin", F.floor(F.col("pos") / stretch))
+    w = Window.partitionBy(*keys, "_bin")
     # at a position the other rows come first going up, and again first going down
     up, down = w.orderBy("pos", F.col("_o").isNull()), w.orderBy(F.desc("pos"), F.col("_o").isNull())
+    across = Window.partitionBy(*keys).orderBy("_bin")
+    ends = both.groupBy(*keys, "_bin").agg(F.max("_o").alias("_last"), F.min("_o").alias("_first"))
+    ends = ends.select(*keys, "_bin", F.max("_last").over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("_lo"), F.min("_first").over(across.rowsBetween(1, Window.unboundedFollowing)).alias("_hi"))
     before, after = F.last("_o", ignorenulls=True).over(up), F.last("_o", ignorenulls=True).over(down)
-    placed = both.withColumn("_before", before).withColumn("_after", after).filter("_o is null")
-    return placed.withColumn("distance", F.least(F.col("pos") - F.col("_before"), F.col("_after") - F.col("pos"))).drop("_o", "_before", "_after")
+    placed = both.withColumn("_before", before).withColumn("_after", after).filter("_o is null").join(ends, [*keys, "_bin"])
+    lo, hi = F.coalesce("_before", "_lo"), F.coalesce("_after", "_hi")
+    return placed.withColumn("distance", F.least(F.col("pos") - lo, hi - F.col("pos"))).drop("_o", "_before", "_after", "_bin", "_lo", "_hi")
 
 
 def dense_variants(variants: DataFrame, keys: list[str], window: int, m: int) -> DataFrame:

@@ -273,7 +273,7 @@ def haplotype_full_outer(spark, d):
 @query(f"""WITH {CLASSES}, g AS (SELECT pos FROM classes WHERE category = 'H') SELECT c.pos, least(c.pos - (SELECT max(pos) FROM g WHERE g.pos <= c.pos), (SELECT min(pos) FROM g WHERE g.pos >= c.pos) - c.pos) AS distance FROM classes c""")
 def nearest_variant(spark, d):
     c = _classes(spark, d).select(F.lit(1).alias("contig"), "pos", "category")
-    return sites.nearest(c.select("contig", "pos"), c.filter("category = 'H'"), ["contig"]).select("pos", "distance")
+    return sites.nearest(c.select("contig", "pos"), c.filter("category = 'H'"), ["contig"], 500).select("pos", "distance")
 
 
 @query("""WITH v AS (SELECT p_brand AS grp, p_partkey AS id, p_partkey AS beg, p_partkey + p_size AS fin FROM part), s AS (SELECT *, coalesce(lead(beg, 5) OVER (PARTITION BY grp ORDER BY beg, id) - fin < 100, false) AS starts FROM v)

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 
 def haplotagged(reads: DataFrame, haps: DataFrame) -> DataFrame:
-    """HP and PS of `haps` (qname, contig, pos, hap, phase_set; one row a read) on reads; old ones go, also from reads without a haplotype."""
+    """HP and PS of `haps` (qname, contig, pos, flag and, where both have one, source_idx; hap, phase_set; one row a read) on reads; old ones go, also
+    from reads without a haplotype. The flag keeps a read's supplementary record at the same place apart."""
     base = F.map_filter("tags", lambda k, v: ~k.isin("HP", "PS"))
-    joined = reads.join(haps.select("qname", "contig", "pos", "hap", "phase_set"), ["qname", "contig", "pos"], "left")
+    named = [c for c in ("qname", "contig", "pos", "flag", "source_idx") if c in haps.columns and c in reads.columns]
+    joined = reads.join(haps.select(*named, "hap", "phase_set"), named, "left")
     hp = F.when(F.col("hap") > 0, F.create_map(F.lit("HP"), F.col("hap").cast("string"))).otherwise(F.create_map().cast("map<string,string>"))
     ps = F.when((F.col("hap") > 0) & (F.col("phase_set") > 0), F.create_map(F.lit("PS"), F.col("phase_set").cast("string"))).otherwise(F.create_map().cast("map<string,string>"))
     return joined.withColumn("tags", F.map_concat(base, hp, ps)).select(*reads.columns)

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixloom.functions import sequences as seq
+
 BIN = 100_000
+#: Bases of the pieces that point look-ups join.
+POINT = 1_000
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
@@ -22,9 +26,9 @@ def read_sequences(spark: SparkSession, path: str) -> DataFrame:
 
 
 def binned(sequences: DataFrame, width: int = BIN) -> DataFrame:
-    """contig, bin, seq: pieces of `width` bases, so that no join moves a chromosome."""
-    n = F.floor((F.length("seq") - 1) / width).cast("int")
-    return sequences.filter("length(seq) > 0").select("contig", F.explode(F.sequence(F.lit(0), n)).alias("bin"), "seq").select("contig", F.col("bin").cast("long").alias("bin"), F.substring("seq", F.col("bin") * width + 1, F.lit(width)).alias("seq"))
+    """contig, bin, seq: pieces of `width` bases, so that no join moves a chromosome. A chromosome is halved in steps, as cutting a piece walks what it is cut out of."""
+    pieces = seq.windows(F.col("seq"), width, width, least=1, block=14, blocks=14)
+    return sequences.select("contig", F.posexplode(pieces).alias("bin", "seq")).select("contig", F.col("bin").cast("long").alias("bin"), "seq")
 
 
 def slices(bins: DataFrame, regions: DataFrame, flank: int = 50_000, width: int = BIN) -> DataFrame:
@@ -38,9 +42,23 @@ def slices(bins: DataFrame, regions: DataFrame, flank: int = 50_000, width: int
     return whole.select(*regions.columns, "ref_beg", F.substring("_seq", skip.cast("int"), (F.col("_to") - F.col("ref_beg") + 1).cast("int")).alias("ref_seq"))
 
 
+def points(bins: DataFrame, width: int = BIN) -> DataFrame:
+    """contig, piece, seq: two POINT-base pieces from every POINT-th base on, over the ends of bins."""
+    ahead = bins.select("contig", (F.col("bin") - 1).alias("bin"), F.substring("seq", 1, POINT).alias("_next"))
+    both = bins.join(ahead, ["contig", "bin"], "left").withColumn("_n", F.ceil(F.length("seq") / POINT).cast("int"))
+    pieces = F.slice(seq.windows(F.concat("seq", F.coalesce("_next", F.lit(""))), 2 * POINT, POINT, least=1, block=16, blocks=16), F.lit(1), F.col("_n"))
+    return both.select("contig", "bin", F.posexplode(pieces).alias("_k", "seq")).select("contig", (F.col("bin") * (width // POINT) + F.col("_k")).alias("piece"), "seq")
+
+
 def base_at(bins: DataFrame, sites: DataFrame, length: Column, width: int = BIN) -> DataFrame:
-    """Adds `bases` to sites (contig, pos): `length` reference bases from pos on; a site near a bin's end sees the next bin too."""
-    ahead = bins.select("contig", (F.col("bin") - 1).alias("bin"), F.col("seq").alias("_next"))
-    both = bins.join(ahead, ["contig", "bin"], "left").select("contig", "bin", "seq", "_next")
-    at = sites.withColumn("bin", F.floor((F.col("pos") - 1) / width)).join(both, ["contig", "bin"], "left")
-    return at.select(*sites.columns, F.substring(F.concat("seq", F.coalesce("_next", F.lit(""))), (F.col("pos") - F.col("bin") * width).cast("int"), length.cast("int")).alias("bases"))
+    """Adds `bases` to sites (contig, pos): `length` reference bases from pos on, as far as the contig goes; null beyond it.
+
+    Lengths up to POINT look up one short piece; longer ones, such as those of long gaps, are cut out of slices.
+    """
+    asked = sites.withColumn("_length", length.cast("int"))
+    short = asked.filter("_length <= %d" % POINT).withColumn("piece", F.floor((F.col("pos") - 1) / POINT))
+    near = short.join(points(bins, width), ["contig", "piece"], "left")
+    near = near.select(*sites.columns, F.substring("seq", (F.col("pos") - F.col("piece") * POINT).cast("int"), F.col("_length")).alias("bases"))
+    long = asked.filter("_length > %d" % POINT).select(F.col("contig"), F.col("pos").cast("long").alias("beg"), (F.col("pos") + F.col("_length") - 1).cast("long").alias("end"), F.struct(*sites.columns).alias("_site"))
+    far = slices(bins, long, 0, width).select("_site.*", F.col("ref_seq").alias("bases"))
+    return near.unionByName(far.select(*near.columns))
