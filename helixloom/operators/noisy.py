@@ -9,13 +9,12 @@ from collections import Counter
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixloom.config import Options
 from helixloom.functions import align, poa
 from helixloom.operators.decode import Event
-from helixloom.operators.intervals import overlap_join
 from helixloom.schemas import SNP
 
 
@@ -119,28 +118,54 @@ def call_region(lo: int, ref: str, rows: list[tuple[int, Slice, int, int, float]
     return [(*v, haps[v]) for v in sites], alleles, single
 
 
-def call(regions: DataFrame, reads: DataFrame, keys: list[str], o: Options, width: int = 10_000) -> DataFrame:
+def sliced_events(events: Column, lo: Column, hi: Column) -> Column:
+    """A read's events that touch reference bases lo..hi, with aligned ones cut to them; insertions at both ends stay."""
+    touch = lambda e: F.when(e["op"].isin("=", "X", "D"), (e["pos"] <= hi) & (e["pos"] + e["len"] > lo)).otherwise((e["op"] == "I") & (e["pos"] >= lo) & (e["pos"] <= hi + 1))
+
+    def cut_to(e: Column) -> Column:
+        st = F.when(e["op"] == "I", e["pos"]).otherwise(F.greatest(e["pos"], lo))
+        n = F.when(e["op"] == "I", e["len"]).otherwise((F.least(e["pos"] + e["len"] - 1, hi) - st + 1).cast("int"))
+        qi = (e["qi"] + F.when(e["op"].isin("=", "X"), st - e["pos"]).otherwise(0)).cast("int")
+        return F.struct(st.alias("pos"), e["op"].alias("op"), n.alias("len"), qi.alias("qi"), e["alt"].alias("alt"), e["low_qual"].alias("low_qual"))
+
+    return F.transform(F.filter(events, touch), cut_to)
+
+
+def slices(cover: DataFrame, regions: DataFrame, reads: DataFrame, keys: list[str]) -> DataFrame:
+    """Pieces of reads over regions: keys, region_id, region columns, read_id, `events` within the region, the bases `seq` that these span and their place `first` in the read.
+
+    Only ids meet first; a read is joined by its id, and what goes on is as long as the region.
+    """
+    of = regions.select(*keys, "region_id", F.col("st").alias("a_st"), F.col("en").alias("a_en"), F.col("ref_seq").alias("a_ref_seq"))
+    both = cover.select(*keys, "region_id", "read_id").join(of, [*keys, "region_id"]).join(reads.drop(*keys), "read_id")
+    cut = both.withColumn("events", sliced_events(F.col("events"), F.col("a_st") + 1, F.col("a_en").cast("long")))
+    ends = F.transform("events", lambda e: e["qi"] + F.when(e["op"] == "D", 0).otherwise(e["len"]))
+    cut = cut.withColumn("first", F.coalesce(F.array_min(F.transform("events", lambda e: e["qi"])), F.lit(0)))
+    return cut.withColumn("seq", F.substring("seq", F.col("first") + 1, F.coalesce(F.array_max(ends), F.lit(0)) - F.col("first")))
+
+
+def call(regions: DataFrame, cover: DataFrame, reads: DataFrame, keys: list[str], o: Options) -> DataFrame:
     """Rows of each region (keys, region_id, st, en: half-open; ref_seq of just its bases): kind site (pos ... haps) or allele (read_id, allele), by site index; in somatic mode also single (pos ... alt_seq, read_id).
 
-    reads: keys, read_id, st, en, seq, events, hap, phase_set, error_rate.
+    cover: keys, region_id, read_id; reads: keys, read_id, seq, events, hap, phase_set, error_rate.
     """
-    spans = overlap_join(regions.select(*keys, "region_id", "st", "en", "ref_seq"), reads.select(*keys, "read_id", "st", "en", "seq", "events", "hap", "phase_set", "error_rate"), keys, width)
+    spans = slices(cover, regions, reads, keys)
     kinds = {f.name: f.dataType.simpleString() for f in regions.schema.fields}
     cols = [*keys, "region_id", "kind", "site", "pos", "vtype", "ref_len", "alt_len", "alt_seq", "haps", "read_id", "allele"]
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         lo, hi, ref = int(pdf.a_st.iloc[0]) + 1, int(pdf.a_en.iloc[0]), pdf.a_ref_seq.iloc[0]
         rows = []
-        for r in pdf.sort_values("b_read_id").itertuples():
-            events = [Event(int(e["pos"]), e["op"], int(e["len"]), int(e["qi"]), e["alt"], bool(e["low_qual"])) for e in r.b_events]
-            rows.append((int(r.b_read_id), slice_of(events, r.b_seq, lo, hi), int(r.b_hap or 0), int(r.b_phase_set or -1), float(r.b_error_rate or 0)))
+        for r in pdf.sort_values("read_id").itertuples():
+            events = [Event(int(e["pos"]), e["op"], int(e["len"]), int(e["qi"]) - int(r.first), e["alt"], bool(e["low_qual"])) for e in r.events]
+            rows.append((int(r.read_id), slice_of(events, r.seq, lo, hi), int(r.hap or 0), int(r.phase_set or -1), float(r.error_rate or 0)))
         sites, alleles, single = call_region(lo, ref, rows, o)
         out = [(*key, "site", k, *s, None, None) for k, s in enumerate(sites)] + [(*key, "allele", k, None, None, None, None, None, None, r, a) for r, k, a in alleles] + [(*key, "single", -1, *v, None, r, None) for r, *v in single]
         kind = {"pos": "Int64", "vtype": "Int32", "ref_len": "Int32", "alt_len": "Int32", "haps": "Int32", "read_id": "Int64", "allele": "Int32"}
         return pd.DataFrame(out, columns=cols, dtype=object).astype(kind)  # through floats, 64-bit ids would lose their last bits
 
     schema = ", ".join(f"{k} {kinds[k]}" for k in [*keys, "region_id"]) + ", kind string, site int, pos long, vtype int, ref_len int, alt_len int, alt_seq string, haps int, read_id long, allele int"
-    return spans.withColumn("region_id", F.col("a_region_id")).groupBy(*keys, "region_id").applyInPandas(run, schema)
+    return spans.groupBy(*keys, "region_id").applyInPandas(run, schema)
 
 
 def read_candidates(called: DataFrame, keys: list[str], o: Options) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from helixloom.config import HIFI
 from helixloom.functions import align, dust, elements, poa
@@ -15,6 +17,8 @@ def _struct(**fields) -> StructType:
     return StructType([StructField(k, v) for k, v in fields.items()])
 
 
+#: Error rate of each quality.
+ERROR = 10.0 ** (-np.arange(256) / 10)
 #: Types as objects, since texts would need a running session at import.
 INT, TEXT = IntegerType(), StringType()
 
@@ -54,7 +58,17 @@ def poa_consensus(seqs: pd.Series) -> pd.Series:
     return seqs.map(lambda x: poa.consensus([s for s in x if s]))
 
 
-FUNCTIONS = {f.__name__: f for f in (dust_mask, infix_edit, edit_distance, cyclic_match, affine_align, insertion_marks, poa_consensus)}
+@F.arrow_udf(DoubleType())
+def mean_error(qual: pa.Array) -> pa.Array:
+    """Mean error rate of a read's bases by their qualities; 0 without any."""
+    at = qual.cast(pa.large_binary()).buffers()
+    offsets = np.frombuffer(at[1], np.int64)[qual.offset : qual.offset + len(qual) + 1]
+    total = np.concatenate([[0.0], np.cumsum(ERROR[np.frombuffer(at[2] or b"", np.uint8)[offsets[0] : offsets[-1]]])])[offsets - offsets[0]]
+    size = np.diff(offsets)
+    return pa.array(np.where(size > 0, np.diff(total) / np.maximum(size, 1), 0.0))
+
+
+FUNCTIONS = {f.__name__: f for f in (mean_error, dust_mask, infix_edit, edit_distance, cyclic_match, affine_align, insertion_marks, poa_consensus)}
 
 
 def register(spark: SparkSession) -> None:

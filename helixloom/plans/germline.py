@@ -15,21 +15,27 @@ from helixloom.lineage import cut
 from helixloom.functions import sequences as seq
 from helixloom.operators import genotype, intervals, noisy, phasing, pileup, sites
 from helixloom.operators.decode import decode
-from helixloom.operators.reads import workable
-from helixloom.plans.functions import dust_mask
+from helixloom.operators.reads import region_reads, workable
+from helixloom.plans.functions import dust_mask, mean_error
 from helixloom.schemas import DEL, INS, SITE_KEY, SNP
-from helixloom.sinks.alignments import haplotagged
+from helixloom.sinks.alignments import haplotagged, owned
 from helixloom.sources import fasta, sam
 
 
 def decoded(reads: DataFrame, contigs: DataFrame, reference: DataFrame, o: Options) -> DataFrame:
     """Usable reads with events and noisy intervals. Only reads that carry neither = and X, nor cs or MD, are joined with their reference slice."""
-    rows = sam.usable(reads, o.min_mapq).join(contigs.select("contig", F.col("length").alias("contig_length")), "contig").withColumn("read_id", F.xxhash64("qname", "contig", "pos", "flag"))
+    rows = sam.usable(reads, o.min_mapq).join(contigs.select("contig", F.col("length").alias("contig_length")), "contig")
     plain = F.col("cigar").rlike("[=X]") | F.map_contains_key("tags", "cs") | F.map_contains_key("tags", "MD")
     told = rows.filter(plain).withColumn("ref_beg", F.lit(1).cast("long")).withColumn("ref_seq", F.lit(None).cast("string"))
-    untold = rows.filter(~plain)
-    at = fasta.slices(reference, untold.select("read_id", "contig", F.col("pos").alias("beg"), "end"), 0).select("read_id", "ref_beg", "ref_seq")
-    return decode(told.unionByName(untold.join(at, "read_id", "left").withColumn("ref_beg", F.coalesce("ref_beg", F.lit(1)))), o).filter("kept").drop("ref_seq", "ref_beg")
+    untold = numbered(rows.filter(~plain), "_row")
+    at = fasta.slices(reference, untold.select("_row", "contig", F.col("pos").alias("beg"), "end"), 0).select("_row", "ref_beg", "ref_seq")
+    both = told.unionByName(untold.join(at, "_row", "left").withColumn("ref_beg", F.coalesce("ref_beg", F.lit(1))).drop("_row"))
+    return numbered(decode(both, o).filter("kept").drop("ref_seq", "ref_beg"), "read_id")
+
+
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """`rows` from a checkpoint, each with a number of its own: its partition and place there, the same whenever it is read. Unlike hashes, numbers never meet."""
+    return cut(rows).withColumn(name, F.monotonically_increasing_id())
 
 
 def site_events(reads: DataFrame, o: Options) -> DataFrame:
@@ -54,6 +60,31 @@ def observed(reads: DataFrame, events: DataFrame, found: DataFrame, o: Options)
     return pileup.cover(at.withColumn("pos", F.greatest("pos", F.lit(0))), reads.select("contig", "read_id", (F.col("flag").bitwiseAND(16) > 0).alias("rev"), (F.col("pos") - 1).alias("st"), F.col("end").alias("en")), alleles, ["contig"])
 
 
+def other_events(found: DataFrame, events: DataFrame, fuzzy: bool = False) -> DataFrame:
+    """contig, site_id, read_id where a read shows a difference that overlaps a site and isn't its allele; `fuzzy` counts long gaps that nearly overlap too."""
+    reach = F.when(F.lit(fuzzy) & (F.col("vtype") == INS), F.col("alt_len")).otherwise(1)
+    key = F.struct(*SITE_KEY)
+    a = found.select("contig", "site_id", key.alias("key"), (F.col("pos") - 1 - reach).alias("st"), (F.col("pos") + F.col("ref_len") + reach).alias("en"))
+    b = events.select("contig", "read_id", key.alias("key"), (F.col("pos") - 1).alias("st"), (F.col("pos") + F.col("ref_len") + 1).alias("en"))
+    near = intervals.overlap_join(a, b, ["contig"], 10_000).select("contig", F.col("a_site_id").alias("site_id"), F.col("b_read_id").alias("read_id"), F.col("a_key").alias("a"), F.col("b_key").alias("b"))
+    meet = sites.overlaps("a", "b") | (sites.nearly_overlaps("a", "b") if fuzzy else F.lit(False))
+    return near.filter((F.col("a") != F.col("b")) & meet).select("contig", "site_id", "read_id").distinct()
+
+
+def matrix(seen: DataFrame, found: DataFrame, reads: DataFrame, events: DataFrame, o: Options, fuzzy: bool = False) -> DataFrame:
+    """contig, site_id, read_id, allele of the sites `found`: 1 the allele, 0 the reference, -1 another difference there, -2 the allele in low quality.
+
+    A read that shows nothing at a site within one of its own noisy intervals says nothing about it.
+    """
+    own = seen.join(found.select("contig", "site_id"), ["contig", "site_id"], "left_semi")
+    other = other_events(found, events, fuzzy).withColumn("_other", F.lit(True))
+    noise = reads.select("contig", "read_id", F.explode("noisy").alias("n")).select("contig", "read_id", "n.st", "n.en")
+    blind = intervals.overlap_join(site_spans(found), noise, ["contig"], 10_000).select("contig", F.col("a_site_id").alias("site_id"), F.col("b_read_id").alias("read_id")).distinct().withColumn("_blind", F.lit(True))
+    told = own.join(other, ["contig", "site_id", "read_id"], "left").join(blind, ["contig", "site_id", "read_id"], "left")
+    allele = F.when(F.col("alt") & (F.col("bq") < o.min_base_quality), -2).when(F.col("alt"), 1).when(F.col("_other"), -1).otherwise(0)
+    return told.withColumn("allele", allele).filter("allele <> 0 OR _blind IS NULL").select("contig", "site_id", "read_id", "allele")
+
+
 def repeat_context(found: DataFrame, reference: DataFrame) -> DataFrame:
     """site_id, bases (the anchor and on), repeat: a short indel in or of a tandem repeat, by the reference around it."""
     left = fasta.base_at(reference, found.select("site_id", "contig", F.greatest(F.col("pos") - 18, F.lit(1)).alias("pos"), F.col("pos").alias("_p")), F.col("_p") - F.col("pos")).select("site_id", F.col("bases").alias("left"))
@@ -80,7 +111,7 @@ def noisy_regions(reads: DataFrame, reference: DataFrame, o: Options) -> DataFra
     spans = reads.select("contig", "read_id", F.explode("noisy").alias("n")).select("contig", "read_id", "n.st", "n.en", "n.label")
     places = cut(spans.select("contig", "st", "en", "label").distinct())
     wide = intervals.extend_by(places, cut(low_complexity(reference, places)), ["contig"], 10_000)
-    merged = intervals.merge_labelled(wide.select("contig", "st", "en", "label"), ["contig"]).withColumn("region_id", F.xxhash64("contig", "st", "en"))
+    merged = numbered(intervals.merge_labelled(wide.select("contig", "st", "en", "label"), ["contig"]), "region_id")
     fit = pileup.supported(pileup.noisy_read_ratio(merged, covers(reads), spans, ["contig"], 10_000), o)
     return merged.join(fit.select("contig", "region_id"), ["contig", "region_id"], "left_semi").filter("en > st")
 
@@ -113,7 +144,7 @@ def grown_regions(reads: DataFrame, judged: DataFrame, regions: DataFrame, refer
     added = wide.filter("sure").unionByName(wide.filter("NOT sure").join(fit.select("contig", "region_id"), ["contig", "region_id"], "left_semi"))
     merged = intervals.merge_labelled(regions.select("contig", "st", "en", "label").unionByName(added.select("contig", "st", "en", F.lit(1).cast(regions.schema["label"].dataType).alias("label"))), ["contig"])
     near = site_spans(judged.filter(F.col("category").isin("N", "I", "H", "R")))
-    return intervals.flanked(cut(merged), near, ["contig"], o.noisy_flank).withColumn("region_id", F.xxhash64("contig", "st", "en"))
+    return numbered(intervals.flanked(cut(merged), near, ["contig"], o.noisy_flank), "region_id")
 
 
 def phase(profile: DataFrame, variants: DataFrame, o: Options) -> tuple[DataFrame, DataFrame]:
@@ -131,6 +162,7 @@ class Analysis:
     """The tables that calls are made from; each is cut from its lineage."""
 
     reads: DataFrame  # decoded, with read_id, events, noisy
+    events: DataFrame  # contig, read_id, rev, site key, low_qual: every difference of every read
     seen: DataFrame  # contig, site_id, read_id, alt, rev, bq: every spanning read at every site
     regions: DataFrame  # noisy regions
     counted: DataFrame  # sites outside of them, with counters, bases and category
@@ -142,24 +174,25 @@ class Analysis:
 
 def analyse(reads: DataFrame, contigs: DataFrame, reference: DataFrame, o: Options = HIFI) -> Analysis:
     """Everything up to phased reads and variants. Work on a window of o.window bases is one group; everything else is joins and aggregates."""
-    rows = cut(decoded(reads, contigs, reference, o))
+    rows = decoded(reads, contigs, reference, o)
     events = cut(site_events(rows, o))
-    found = cut(sites.distinct_long_insertions(events.filter("NOT low_qual").select(*SITE_KEY), o.min_sv_length).withColumn("site_id", F.xxhash64(*SITE_KEY)))
+    # a difference that one read alone shows is no candidate of any mode, but a long insertion may be: most differences are errors, and go before any join
+    found = numbered(sites.distinct_long_insertions(events.filter("NOT low_qual").select(*SITE_KEY), o.min_sv_length, least=min(o.min_alt_depth, o.somatic_alt)), "site_id")
     seen = cut(observed(rows, events, found, o))
     noise = cut(noisy_regions(rows, reference, o))
     counted = pileup.counts(seen, ["contig", "site_id"], o.min_base_quality).join(found, ["contig", "site_id"]).join(repeat_context(found, reference), "site_id")
     judged = cut(pileup.classify(counted.join(contained(counted, noise), ["contig", "site_id"], "left_anti"), o, F.col("repeat")))
-    regions = cut(grown_regions(rows, judged, noise, reference, o))
+    regions = grown_regions(rows, judged, noise, reference, o)
     counted = cut(judged.join(contained(judged, regions), ["contig", "site_id"], "left_anti"))
 
     order = Window.partitionBy("contig", "chunk").orderBy(F.struct("pos", "vtype", "ref_len", "alt_len", "alt_seq"))
     clean = counted.filter(F.col("category").isin("N", "I", "H")).withColumn("chunk", F.floor((F.col("pos") - 1) / o.window).cast("long"))
     variants = cut(clean.withColumn("var_id", F.row_number().over(order).cast("long")))
-    alleles = seen.join(variants.select("contig", "site_id", "chunk", "var_id"), ["contig", "site_id"]).withColumn("allele", F.when(F.col("alt") & (F.col("bq") < o.min_base_quality), -2).otherwise(F.col("alt").cast("int")))
+    alleles = matrix(seen, variants, rows, events, o).join(variants.select("contig", "site_id", "chunk", "var_id"), ["contig", "site_id"])
     profile = alleles.join(rows.select("read_id", F.col("pos").alias("read_rank")), "read_id").select("contig", "chunk", "read_id", "read_rank", "var_id", "allele")
     profile = cut(profile)
     read_haps, var_haps = phase(profile, variants.select("contig", "chunk", "var_id", "pos", "vtype", "category", F.col("total_cov").cast("int").alias("total_cov"), "is_hp"), o)
-    return Analysis(rows, seen, regions, counted, variants, profile, read_haps, var_haps)
+    return Analysis(rows, events, seen, regions, counted, variants, profile, read_haps, var_haps)
 
 
 #: What genotype() reads.
@@ -169,23 +202,33 @@ GENOTYPED = ["contig", "pos", "vtype", "ref_len", "alt_len", "alt_seq", "ref_cov
 def calls_of(a: Analysis, reference: DataFrame, o: Options = HIFI) -> tuple[DataFrame, DataFrame]:
     """(germline calls, haplotypes of reads): clean variants and those of noisy regions by consensus, phased together.
 
-    The first sweep calls regions with the haplotypes of clean variants; then all variants phase the reads again, and regions that had
-    no call are tried once more with these.
+    The first sweep calls regions with the haplotypes of clean variants. Then all variants phase the reads again, and regions that had no
+    call are tried once more with these, until a sweep calls none.
     """
     clean = a.variants.select("contig", "chunk", F.col("site_id").alias("key"), "pos", "vtype", "ref_len", "alt_len", "alt_seq", "ref_cov", "alt_cov", "category", "is_hp", "bases", F.lit(True).alias("clean"))
     told = a.profile.join(a.variants.select("contig", "chunk", "var_id", F.col("site_id").alias("key")), ["contig", "chunk", "var_id"]).select("contig", "chunk", "key", "read_id", "read_rank", "allele")
     hard, alleles = (cut(x) for x in from_noisy(a.reads, a.regions, a.read_haps, reference, o))
     if hard.isEmpty():
-        variants, haps, of = clean, a.read_haps, a.var_haps.join(a.variants.select("contig", "chunk", "var_id", F.col("site_id").alias("key")), ["contig", "chunk", "var_id"]).drop("var_id")
+        names, variants, haps, of = told, clean, a.read_haps, a.var_haps.join(a.variants.select("contig", "chunk", "var_id", F.col("site_id").alias("key")), ["contig", "chunk", "var_id"]).drop("var_id")
     else:
-        variants, haps, of = together(clean, told, hard, alleles, o)
-        left = a.regions.join(hard.select("contig", "region_id").distinct(), ["contig", "region_id"], "left_anti")
-        late, late_alleles = (cut(x) for x in from_noisy(a.reads, left, haps, reference, o))
-        if not late.isEmpty():
-            variants, haps, of = together(clean, told, hard.unionByName(late), alleles.unionByName(late_alleles), o)
+        sweep = 0
+        while True:  # each sweep but the last calls a region more
+            variants, haps, of = together(clean, told, hard, alleles, o)
+            left = cut(a.regions.join(hard.select("contig", "region_id").distinct(), ["contig", "region_id"], "left_anti"))
+            sweep += 1
+            late, late_alleles = (cut(x) for x in from_noisy(a.reads, left, haps, reference, o, sweep))
+            if late.isEmpty():
+                break
+            hard, alleles = cut(hard.unionByName(late)), cut(alleles.unionByName(late_alleles))
+        names = told.select("contig", "key", "read_id", "allele").unionByName(alleles)
+    if o.read_names:
+        alt = names.filter("allele = 1").join(a.reads.select("read_id", "qname"), "read_id").select("contig", "key", "qname")
+        variants = genotype.with_names(variants, alt, ["contig", "key"])
     known = variants.join(of, ["contig", "chunk", "key"]).withColumn("top_allele", F.when(F.col("alt_cov") > F.col("ref_cov"), 1).otherwise(0))
-    both = genotype.genotype(known.filter("clean").select(*GENOTYPED), o, "bases").withColumn("clean", F.lit(True)).unionByName(genotype.genotype(known.filter("NOT clean").select(*GENOTYPED), o, "bases").withColumn("clean", F.lit(False)))
-    return genotype.final_filter(both, o).dropDuplicates(["contig", "pos", "ref", "alt"]), haps
+    cols = [*GENOTYPED, *(["alt_reads"] if o.read_names else [])]
+    of_kind = lambda is_clean: genotype.genotype(known.filter(F.col("clean") == is_clean).select(*cols), o, "bases").withColumn("clean", F.lit(is_clean))
+    who = a.reads.select("read_id", *(c for c in ("qname", "pos", "flag", "source_idx") if c in a.reads.columns))
+    return genotype.final_filter(of_kind(True).unionByName(of_kind(False)), o).dropDuplicates(["contig", "pos", "ref", "alt"]), haps.join(who, "read_id")
 
 
 def together(clean: DataFrame, told: DataFrame, hard: DataFrame, alleles: DataFrame, o: Options) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -207,25 +250,26 @@ def call(reads: DataFrame, contigs: DataFrame, reference: DataFrame, o: Options
 
 def tagged(reads: DataFrame, read_haps: DataFrame) -> DataFrame:
     """All `reads` with the HP and PS of their first window; reads that weren't used lose old ones."""
-    one = read_haps.groupBy("read_id").agg(F.min_by(F.struct("hap", "phase_set"), "chunk").alias("h")).select("read_id", "h.hap", "h.phase_set")
-    named = reads.select("qname", "contig", "pos", F.xxhash64("qname", "contig", "pos", "flag").alias("read_id")).join(one, "read_id").select("qname", "contig", "pos", "hap", "phase_set")
-    return haplotagged(reads, named)
+    return haplotagged(reads, owned(read_haps, [c for c in ("qname", "contig", "pos", "flag", "source_idx") if c in read_haps.columns]))
 
 
-def from_noisy(rows: DataFrame, regions: DataFrame, read_haps: DataFrame, reference: DataFrame, o: Options) -> tuple[DataFrame, DataFrame]:
-    """Sites of noisy regions from consensus of their reads (contig, region_id, key, the site's columns, ref_cov, alt_cov, haps, bases), and contig, key, read_id, allele."""
-    cover = intervals.overlap_join(regions.select("contig", "region_id", "st", "en"), rows.select("contig", "read_id", (F.col("pos") - 1).alias("st"), F.col("end").alias("en")), ["contig"], 10_000).select("contig", F.col("a_region_id").alias("region_id"), F.col("b_read_id").alias("read_id"))
+def from_noisy(rows: DataFrame, regions: DataFrame, read_haps: DataFrame, reference: DataFrame, o: Options, sweep: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Sites of noisy regions from consensus of their reads (contig, region_id, key, the site's columns, ref_cov, alt_cov, haps, bases), and contig, key, read_id, allele.
+
+    Keys are negative, so they never meet those of clean sites, and differ between sweeps.
+    """
+    cover = cut(region_reads(regions, covers(rows), ["contig"]))
     able = workable(regions, cover, ["contig"], o)
     sliced = fasta.slices(reference, able.select("contig", "region_id", (F.col("st") + 1).alias("beg"), F.col("en").alias("end")), 0).select("contig", "region_id", (F.col("beg") - 1).alias("st"), (F.col("beg") - 1 + F.length("ref_seq")).alias("en"), "ref_seq")
     one = read_haps.groupBy("read_id").agg(F.max_by(F.struct("hap", "phase_set"), F.struct(F.col("hap") > 0, -F.col("chunk"))).alias("h")).select("read_id", "h.hap", "h.phase_set")
-    quality = F.transform(F.sequence(F.lit(1), F.length("qual")), lambda i: F.pow(F.lit(10.0), -F.conv(F.hex(F.substring("qual", i, F.lit(1))), 16, 10).cast("int") / 10))
-    rate = F.when(F.length("qual") > 0, F.aggregate(quality, F.lit(0.0), lambda s, x: s + x) / F.length("qual")).otherwise(0.0)
-    own = rows.join(one, "read_id", "left").select("contig", "read_id", (F.col("pos") - 1).alias("st"), F.col("end").alias("en"), "seq", "events", F.coalesce("hap", F.lit(0)).alias("hap"), F.coalesce("phase_set", F.lit(-1).cast("long")).alias("phase_set"), rate.alias("error_rate"))
-    got = cut(noisy.call(sliced, own, ["contig"], o))
-    number = F.xxhash64("contig", "region_id", "site").alias("key")
-    alleles = got.filter("kind = 'allele'").select("contig", number, "read_id", "allele")
+    own = rows.join(one, "read_id", "left").select(
+        "contig", "read_id", "seq", "events", F.coalesce("hap", F.lit(0)).alias("hap"), F.coalesce("phase_set", F.lit(-1).cast("long")).alias("phase_set"), mean_error("qual").alias("error_rate"),
+    )
+    got = cut(noisy.call(sliced, cover, own, ["contig"], o))
+    placed = got.filter("kind = 'site'").withColumn("key", -1 - F.monotonically_increasing_id() - F.lit(sweep) * F.lit(1 << 53))
+    alleles = got.filter("kind = 'allele'").join(placed.select("contig", "region_id", "site", "key"), ["contig", "region_id", "site"]).select("contig", "key", "read_id", "allele")
     n = alleles.groupBy("contig", "key").agg(F.count_if(F.col("allele") == 0).alias("ref_cov"), F.count_if(F.col("allele") == 1).alias("alt_cov"))
-    s = got.filter("kind = 'site'").select("contig", "region_id", number, "pos", "vtype", "ref_len", "alt_len", "alt_seq", "haps").join(n, ["contig", "key"])
+    s = placed.select("contig", "region_id", "key", "pos", "vtype", "ref_len", "alt_len", "alt_seq", "haps").join(n, ["contig", "key"])
     snp = F.col("vtype") == SNP
     anchored = fasta.base_at(reference, s.withColumn("_at", F.col("pos")).withColumn("pos", F.when(snp, F.col("pos")).otherwise(F.col("pos") - 1)), F.col("ref_len") + F.when(snp, 0).otherwise(1))
     return anchored.withColumn("pos", F.col("_at")).drop("_at"), alleles

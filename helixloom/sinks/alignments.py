@@ -17,9 +17,9 @@ def haplotagged(reads: DataFrame, haps: DataFrame) -> DataFrame:
     return joined.withColumn("tags", F.map_concat(base, hp, ps)).select(*reads.columns)
 
 
-def owned(rows: DataFrame) -> DataFrame:
+def owned(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Of a read's rows in several windows, that of the first."""
-    return rows.groupBy("qname", "contig", "pos").agg(F.min_by(F.struct(*(c for c in rows.columns if c not in ("qname", "contig", "pos"))), "chunk").alias("r")).select("qname", "contig", "pos", "r.*")
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*(c for c in rows.columns if c not in keys)), "chunk").alias("r")).select(*keys, "r.*")
 
 
 def cigar_of(events: Column, hard_to_soft: bool = True) -> Column:
