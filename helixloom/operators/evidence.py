@@ -80,10 +80,27 @@ def homopolymer_error(read: str, reference: str, alt: str, ref: str, at: int) ->
     return True
 
 
+def haplotype(reference: str, lo: int, pos: int, known: list[dict], hap: int, phase_set: int) -> tuple[str, int]:
+    """The sequence of a haplotype over a stretch of reference from lo on, and the place of a site in it: the known variants that lie on it, homozygous
+    ones included, are put in. Variants that would change the site itself are left out."""
+    out, at = reference, pos - lo
+    own = [k for k in known if (k["hap1"] if hap == 1 else k["hap2"]) == 1 and (k["hap1"] == k["hap2"] or (phase_set > 0 and k["phase_set"] == phase_set))]
+    for k in sorted(own, key=lambda k: -k["pos"]):
+        st = k["pos"] - lo
+        gone = k["len"] if k["op"] == "D" else 0 if k["op"] == "I" else 1
+        if st < 0 or st + gone > len(reference) or st <= pos - lo < st + max(1, gone):
+            continue
+        out = out[:st] + (k["alt"] or "") + out[st + gone :]
+        if st <= pos - lo:
+            at += len(k["alt"] or "") - gone
+    return out, at
+
+
 def of_reads(rows: DataFrame) -> DataFrame:
-    """Rows (read_id, var_id, pos, op, len, qi, low_qual, events, seq, qual, rev, known: array of (pos, op, len), hap_seq, hap_lo, alt, ref) to read_id, var_id, rev and somatic.EVIDENCE columns.
+    """Rows (read_id, var_id, pos, op, len, qi, low_qual, events, seq, qual, rev, known: array of (pos, op, len, alt, phase_set, hap1, hap2), hap_seq, hap_lo, alt, ref, hap, phase_set)
+    to read_id, var_id, rev and somatic.EVIDENCE columns.
 
-    hap_seq: the bases around the site from hap_lo on; low complexity and homopolymers are judged on it.
+    hap_seq: the reference around the site from hap_lo on. Low complexity is judged on it, homopolymers on what the read's haplotype makes of it.
     """
     names = ["qual", "window_qual", "indel_distance", "dense", "near_clip", "low_complexity_error", "homopolymer_error"]
 
@@ -98,9 +115,10 @@ def of_reads(rows: DataFrame) -> DataFrame:
                 masked = [(a, b) for a, b in dust.mask(around, HIFI.dust_threshold, HIFI.dust_window) if a <= at < b]
                 own = slice_of(events, r["seq"], r["hap_lo"], r["hap_lo"] + len(around) - 1) if around and r["op"] == "X" else None
                 whole = own is not None and own.left and own.right
+                hap_seq, place = haplotype(around, r["hap_lo"], r["pos"], r["known"] or [], r["hap"], r["phase_set"]) if own is not None else ("", 0)
                 made = [
                     event_quality(r["op"], r["qi"], r["len"], qual, r["low_qual"]), window_quality(r["qi"], qual), gap_distance(r["pos"], events, known), int(dense(r["pos"], events)), int(near_clip(r["pos"], events)),
-                    int(any(error_within(r["hap_lo"] + a, r["hap_lo"] + b, events, known | {(r["pos"], r["op"], r["len"])}) for a, b in masked)), int(own is not None and (not whole or homopolymer_error(own.seq, around, r["alt"], r["ref"], at))),
+                    int(any(error_within(r["hap_lo"] + a, r["hap_lo"] + b, events, known | {(r["pos"], r["op"], r["len"])}) for a, b in masked)), int(own is not None and (not whole or homopolymer_error(own.seq, hap_seq, r["alt"], r["ref"], place))),
                 ]
                 for n, v in zip(names, made, strict=True):
                     out[n].append(v)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,12 +73,32 @@ def supported(ratios: DataFrame, o: Options) -> DataFrame:
     return ratios.filter((F.col("n_noisy") >= o.min_alt_depth) & (F.col("ratio") >= o.noisy_read_ratio))
 
 
+def quality_histogram(reads: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, bq, n: base qualities of reads (keys, qual binary), counted batch by batch, so that a base is never a row."""
+    kinds = {f.name: f.dataType.simpleString() for f in reads.schema.fields}
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            table: dict[tuple, np.ndarray] = {}
+            names = zip(*(b.column(k).to_pylist() for k in keys), strict=True)
+            for name, qual in zip(names, b.column("qual"), strict=True):
+                if qual.is_valid:
+                    table[name] = table.get(name, 0) + np.bincount(np.frombuffer(qual.as_buffer(), np.uint8), minlength=256)
+            rows = [(*name, q, int(h[q])) for name, h in table.items() for q in np.flatnonzero(h).tolist()]
+            cols = list(zip(*rows, strict=True)) if rows else [[] for _ in range(len(keys) + 2)]
+            types = [*(b.schema.field(k).type for k in keys), pa.int32(), pa.int64()]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[*keys, "bq", "n"])
+
+    parts = reads.select(*keys, "qual").mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", bq int, n long")
+    return parts.groupBy(*keys, "bq").agg(F.sum("n").alias("n"))
+
+
 def quality_quartiles(qualities: DataFrame, keys: list[str], least_share: float = 0.0001) -> DataFrame:
     """keys, q1, q2, q3: quarters of the list of distinct qualities, after those of too small a share are left out. Not weighted by counts; 0 of none.
 
-    The histogram has at most 256 rows a key.
+    qualities: keys, bq, one row a base, or rows of quality_histogram() with n. The histogram has at most 256 rows a key.
     """
-    h = qualities.groupBy(*keys, "bq").agg(F.count("*").alias("n"))
+    h = qualities if "n" in qualities.columns else qualities.groupBy(*keys, "bq").agg(F.count("*").alias("n"))
     lists = h.groupBy(*keys).agg(F.sum("n").alias("total"), F.array_sort(F.collect_list(F.struct("bq", "n"))).alias("all"))
     kept = lists.withColumn("kept", F.transform(F.filter("all", lambda x: x["n"] >= F.col("total") * least_share), lambda x: x["bq"]))
     at = lambda k: F.coalesce(F.get("kept", F.floor(F.size("kept") * k / 4).cast("int")), F.lit(0)).alias(f"q{k}")

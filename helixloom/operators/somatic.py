@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixloom.config import Options
+from helixloom.functions.align import cyclic_match
 from helixloom.functions.stats import array_lower_median
+from helixloom.operators.intervals import contain_join, merge_fixed
 from helixloom.operators.sites import dense_variants
+from helixloom.plans import functions as kernels
 from helixloom.schemas import DEL, INS, SNP
 
 
@@ -22,16 +26,39 @@ def is_candidate(o: Options) -> Column:
     return F.when(F.col("vtype") == SNP, alt >= o.somatic_alt).when(is_sv(o), (alt >= o.somatic_alt) | te).otherwise(False)
 
 
+def alike(vtype: int, a: tuple[int, int, str], b: tuple[int, int, str], ratio: float = 0.8) -> bool:
+    """Two long gaps (pos, length, bases) of a kind count as one: insertions no farther apart than the shorter is long, deletions that touch; lengths
+    within the ratio; and of insertions the bases, up to a rotation."""
+    (p, n, x), (q, m, y) = a, b
+    near = abs(p - q) <= min(n, m) if vtype == INS else p <= q + m and q <= p + n
+    return near and min(n, m) >= ratio * max(n, m) and (vtype != INS or not x or not y or cyclic_match(x, y, ratio))
+
+
 def merge_alike(svs: DataFrame, keys: list[str], ratio: float = 0.8) -> DataFrame:
-    """Of long indels of a kind that lie together and are alike in length, the one with most alt reads, the earlier of equals.
+    """Long indels of a kind that count as one: the one with most alt reads stays, the earlier of equals.
 
-    svs: keys, var_id, pos, vtype, len, alt_cov. Neighbours in a chain of positions no farther apart than the shorter is long are compared with their chain's best.
+    svs: keys, var_id, pos, vtype, len, alt_cov[, gap: their bases]. Likeness isn't transitive, so this is a fold in order of position, within
+    islands of gaps whose reaches touch; gaps of different islands can't be alike.
     """
-    order = Window.partitionBy(*keys, "vtype").orderBy("pos", "var_id")
-    near = F.coalesce((F.col("pos") - F.lag("pos").over(order) <= F.least("len", F.lag("len").over(order))) & (F.least("len", F.lag("len").over(order)) >= ratio * F.greatest("len", F.lag("len").over(order))), F.lit(False))
-    chained = svs.withColumn("_new", (~near).cast("int")).withColumn("_chain", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    best = chained.groupBy(*keys, "vtype", "_chain").agg(F.max_by("var_id", F.struct("alt_cov", -F.col("pos"), -F.col("var_id"))).alias("var_id"))
-    return svs.join(best.select(*keys, "var_id"), [*keys, "var_id"], "left_semi")
+    rows = svs if "gap" in svs.columns else svs.withColumn("gap", F.lit(""))
+    reach = rows.select(*keys, "vtype", (F.col("pos") - F.col("len")).alias("st"), (F.col("pos") + F.col("len") + 1).alias("en"))
+    islands = merge_fixed(reach, [*keys, "vtype"], 0).select(*keys, "vtype", "st", "en")
+    points = rows.select(*keys, "vtype", "var_id", "pos", "len", "alt_cov", "gap", F.col("pos").alias("st"), (F.col("pos") + 1).alias("en"))
+    at = contain_join(points, islands, [*keys, "vtype"], 10_000)
+    kinds = {f.name: f.dataType.simpleString() for f in svs.schema.fields}
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        kept: list[tuple] = []
+        for r in sorted(zip(pdf.a_pos, pdf.a_var_id, pdf.a_len, pdf.a_alt_cov, pdf.a_gap, strict=True)):
+            like = next((k for k, old in enumerate(kept) if alike(key[-2], (old[0], old[2], old[4]), (r[0], r[2], r[4]), ratio)), None)
+            if like is None:
+                kept.append(r)
+            elif r[3] > kept[like][3]:
+                kept[like] = r
+        return pd.DataFrame([(*key[: len(keys)], r[1]) for r in kept], columns=[*keys, "var_id"])
+
+    best = at.groupBy(*keys, "vtype", "b_st").applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in [*keys, "var_id"]))
+    return svs.join(best, [*keys, "var_id"], "left_semi")
 
 
 def conflicting_reads(profile: DataFrame, clean: DataFrame, keys: list[str], least: int = 2) -> DataFrame:
@@ -99,19 +126,28 @@ def passes(o: Options) -> Column:
     return F.when(F.col("vtype") == SNP, F.when(F.col("phase_set") > 0, snv_passes(o, True)).otherwise(snv_passes(o, False))).otherwise(sv_passes(o))
 
 
-def without_germline(candidates: DataFrame, germline: DataFrame, keys: list[str], least: int = 500, ratio: float = 0.8) -> DataFrame:
-    """Candidates with no germline variant of their kind within max(least, length) and alike in length. Both: keys, var_id, pos, vtype, len.
+def without_germline(candidates: DataFrame, germline: DataFrame, keys: list[str], least: int = 500, ratio: float = 0.8, close: int = 50) -> DataFrame:
+    """Candidates with no germline variant like them. Both: keys, var_id, pos, vtype, len[, gap: their bases].
 
-    Positions are dealt into bins of `reach`, the largest length or `least`, which an aggregate finds.
+    Like is one of their kind within max(least, length) that is alike in length and, where bases are told, in these up to a rotation; or an insertion
+    within `close` bases where one has more than the other by a stretch of low complexity. Positions meet in bins of 1000 bases.
     """
-    g = germline.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("pos").alias("g_pos"), F.col("vtype").alias("g_vtype"), F.col("len").alias("g_len"))
+    told = "gap" in candidates.columns and "gap" in germline.columns
+    extra = [F.col("gap").alias("g_gap")] if told else []
+    g = germline.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("pos").alias("g_pos"), F.col("vtype").alias("g_vtype"), F.col("len").alias("g_len"), *extra)
     reach = F.greatest(F.lit(least), F.col("len"))
     bins = candidates.withColumn("_bin", F.explode(F.sequence(F.floor((F.col("pos") - reach) / 1000), F.floor((F.col("pos") + reach) / 1000))))
-    on = (F.col("_bin") == F.floor(F.col("g_pos") / 1000)) & (F.col("vtype") == F.col("g_vtype")) & (F.abs(F.col("pos") - F.col("g_pos")) <= reach) & (F.least("len", "g_len") >= ratio * F.greatest("len", "g_len"))
+    apart = F.abs(F.col("pos") - F.col("g_pos"))
+    on = (F.col("_bin") == F.floor(F.col("g_pos") / 1000)) & (F.col("vtype") == F.col("g_vtype")) & (apart <= reach)
     for k in keys:
         on = on & (F.col(k) == F.col(f"_{k}"))
-    like = bins.join(g, on, "left_semi").select(*keys, "var_id").distinct()
-    return candidates.join(like, [*keys, "var_id"], "left_anti")
+    sized = F.least("len", "g_len") >= ratio * F.greatest("len", "g_len")
+    if not told:
+        like = bins.join(g, on & sized, "left_semi")
+    else:
+        both = bins.join(g, on & (sized | ((F.col("vtype") == INS) & (apart <= close))))
+        like = both.filter((sized & kernels.cyclic_match("gap", "g_gap")) | ((F.col("vtype") == INS) & (apart <= close) & kernels.low_complexity_difference("gap", "g_gap")))
+    return candidates.join(like.select(*keys, "var_id").distinct(), [*keys, "var_id"], "left_anti")
 
 
 def post_process(variants: DataFrame, alt_reads: DataFrame, keys: list[str], o: Options) -> DataFrame:

@@ -43,6 +43,11 @@ def cyclic_match(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([align.cyclic_match(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
 
 
+@F.pandas_udf(BooleanType())
+def low_complexity_difference(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([align.low_complexity_difference(x, y, HIFI.dust_threshold, HIFI.dust_window) for x, y in zip(a, b, strict=True)], dtype=bool)
+
+
 @F.pandas_udf(_struct(target=TEXT, query=TEXT))
 def affine_align(target: pd.Series, query: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([align.affine(t, q) for t, q in zip(target, query, strict=True)], columns=["target", "query"])
@@ -68,7 +73,7 @@ def mean_error(qual: pa.Array) -> pa.Array:
     return pa.array(np.where(size > 0, np.diff(total) / np.maximum(size, 1), 0.0))
 
 
-FUNCTIONS = {f.__name__: f for f in (mean_error, dust_mask, infix_edit, edit_distance, cyclic_match, affine_align, insertion_marks, poa_consensus)}
+FUNCTIONS = {f.__name__: f for f in (mean_error, dust_mask, infix_edit, edit_distance, cyclic_match, low_complexity_difference, affine_align, insertion_marks, poa_consensus)}
 
 
 def register(spark: SparkSession) -> None:
