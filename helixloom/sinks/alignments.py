@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helixloom.sinks.blocks import write_blocks, write_end
+from helixloom.sources import bam, bgzf
+
 
 def haplotagged(reads: DataFrame, haps: DataFrame) -> DataFrame:
     """HP and PS of `haps` (qname, contig, pos, flag and, where both have one, source_idx; hap, phase_set; one row a read) on reads; old ones go, also
@@ -76,5 +82,40 @@ def sam_line(reads: DataFrame) -> DataFrame:
     return reads.select(F.concat_ws("\t", *cols, F.when(F.length(tag) > 0, tag)).alias("value"))
 
 
-def header_text(contigs: list[tuple[str, int]], sample: str, program: str = "helixloom") -> str:
-    return "@HD\tVN:1.6\tSO:coordinate\n" + "".join(f"@SQ\tSN:{n}\tLN:{k}\n" for n, k in contigs) + f"@RG\tID:{sample}\tSM:{sample}\n@PG\tID:{program}\tPN:{program}\n"
+def header_text(contigs: list[tuple[str, int]], sample: str, program: str = "helixloom", version: str = "", command: str = "") -> str:
+    more = "".join(f"\t{k}:{v}" for k, v in (("VN", version), ("CL", command)) if v)
+    return "@HD\tVN:1.6\tSO:coordinate\n" + "".join(f"@SQ\tSN:{n}\tLN:{k}\n" for n, k in contigs) + f"@RG\tID:{sample}\tSM:{sample}\n@PG\tID:{program}\tPN:{program}{more}\n"
+
+
+def write_bam(reads: DataFrame, path: str, contigs: list[tuple[str, int]], text: str, program: str = "helixloom") -> None:
+    """A folder of parts in coordinate order, written by the tasks: a-header, body, z-end. Put behind each other (sinks.vcf.merge_parts) they are one BAM file.
+
+    Every record ends with the tag PG:Z of the program, and so with the byte 0 that write_blocks() asks for. Reads without a contig come last.
+    """
+    ids = {n: k for k, (n, _) in enumerate(contigs)}
+    cols = ["qname", "flag", "contig", "pos", "mapq", "cigar", "seq", "qual", "tags"]
+    place = F.coalesce(F.nullif(F.array_position(F.array(*(F.lit(n) for n, _ in contigs)), F.col("contig")), F.lit(0)), F.lit(1 << 40))
+    tags = F.map_concat(F.map_filter("tags", lambda k, v: k != "PG"), F.create_map(F.lit("PG"), F.lit(program)))
+    rows = reads.select(*cols).withColumn("tags", tags).withColumn("_o", place).orderBy("_o", "pos", "qname", "flag").drop("_o")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held: list[bytes] = []
+            out, size = [], 0
+            for r in b.to_pylist():
+                r["tags"] = dict(r["tags"] or [])
+                r["tags"]["PG"] = r["tags"].pop("PG")  # the last one
+                held.append(bam.encode(r, ids))
+                size += len(held[-1])
+                if size > 1 << 20:
+                    out.append(bgzf.packed(b"".join(held)[:-1]))
+                    held, size = [], 0
+            if held:
+                out.append(bgzf.packed(b"".join(held)[:-1]))
+            yield pa.record_batch([pa.array(out, pa.binary())], names=["data"])
+
+    head = bam.header_bytes(contigs, text)
+    spark = reads.sparkSession
+    write_blocks(spark.createDataFrame([(bytearray(bgzf.packed(head[:-1])),)], "data binary").coalesce(1), f"{path}/a-header", head[-1:])
+    write_blocks(rows.mapInArrow(run, "data binary"), f"{path}/body", b"\0")
+    write_end(spark, f"{path}/z-end")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixloom.operators.genotype import body_line
+from helixloom.sinks.blocks import write_blocks, write_end
+from helixloom.sources.bgzf import packed
 
 #: The declared fields.
 INFO = [
@@ -19,8 +24,13 @@ FORMAT = [
 ]
 
 
+#: The declared filters.
+FILTER = [("PASS", "All filters passed"), ("LowQual", "Low quality variant"), ("RefCall", "Reference call"), ("NoCall", "Site has depth=0 resulting in no call")]
+
+
 def header(contigs: list[tuple[str, int]], sample: str, extra: tuple[str, ...] = ()) -> str:
-    lines = ["##fileformat=VCFv4.3", *extra, '##FILTER=<ID=PASS,Description="All filters passed">']
+    """extra: lines such as ##fileDate, ##source, ##reference and the command line."""
+    lines = ["##fileformat=VCFv4.3", *extra, *(f'##FILTER=<ID={a},Description="{d}">' for a, d in FILTER)]
     lines += [f"##contig=<ID={n},length={k}>" for n, k in contigs]
     for kind, fields in (("INFO", INFO), ("FORMAT", FORMAT)):
         lines += [f'##{kind}=<ID={a},Number={b},Type={c},Description="{d}">' for a, b, c, d in fields]
@@ -33,20 +43,38 @@ def lines(calls: DataFrame, contigs: list[tuple[str, int]]) -> DataFrame:
     return body_line(calls).withColumn("_o", order).orderBy("_o", "pos", "line").drop("_o")
 
 
-def write(calls: DataFrame, path: str, contigs: list[tuple[str, int]], sample: str, compression: str = "none") -> None:
-    """A folder of sorted text parts; the header is the first line of a part of its own, which sorts first. compression: none or gzip."""
+def write(calls: DataFrame, path: str, contigs: list[tuple[str, int]], sample: str, compression: str = "none", extra: tuple[str, ...] = ()) -> None:
+    """A folder of sorted parts, written by the tasks wherever Spark writes; the header is a part of its own, which sorts first.
+    compression: none, gzip, or bgzf: blocked gzip, whose parts make one file when they are put behind each other."""
     spark = calls.sparkSession
     body = lines(calls, contigs).select("line")
+    head = spark.createDataFrame([(header(contigs, sample, extra).rstrip("\n"),)], "line string").coalesce(1)
+    if compression == "bgzf":
+        write_blocks(_packed_lines(head), f"{path}/a-header", b"\n")
+        write_blocks(_packed_lines(body), f"{path}/body", b"\n")
+        write_end(spark, f"{path}/z-end")
+        return
     body.write.mode("overwrite").option("compression", compression).text(f"{path}/body")
-    spark.createDataFrame([(header(contigs, sample).rstrip("\n"),)], "line string").coalesce(1).write.mode("overwrite").option("compression", compression).text(f"{path}/a-header")
+    head.write.mode("overwrite").option("compression", compression).text(f"{path}/a-header")
 
 
-def merge_parts(path: str, to: str, compressed: bool = False) -> None:
-    """Joins a local folder's parts to one VCF file, plain or as blocked gzip."""
-    from glob import glob
+def _packed_lines(rows: DataFrame) -> DataFrame:
+    """data: blocks of some lines each, without the last line's end."""
 
-    from helixloom.sources.bgzf import compress
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.record_batch([pa.array([packed("\n".join(b.column(0).to_pylist()).encode())], pa.binary())], names=["data"])
+
+    return rows.mapInArrow(run, "data binary")
+
+
+def merge_parts(path: str, to: str) -> None:
+    """Joins a local folder's parts, of VCF or BAM, to one file, a piece at a time."""
+    import shutil
+    from glob import glob
 
-    data = b"".join(open(p, "rb").read() for d in ("a-header", "body") for p in sorted(glob(f"{path}/{d}/part-*")))
     with open(to, "wb") as f:
-        f.write(compress(data) if compressed else data)
+        for p in (p for d in ("a-header", "body", "z-end") for p in sorted(glob(f"{path}/{d}/part-*"))):
+            with open(p, "rb") as part:
+                shutil.copyfileobj(part, f, 1 << 20)

@@ -1,5 +1,5 @@
-"""BAM as a Spark data source: `spark.read.format("bam")`. With an index (path + ".bai") regions become partitions that
-seek to their place; without one a file is one partition. CRAM isn't supported."""
+"""BAM as a Spark data source: `spark.read.format("bam")`, in Arrow batches. With an index (path + ".bai") regions become partitions that
+seek to their place; without one a file is one partition; the rows are the same. CRAM and .csi indexes aren't supported."""
 
 from __future__ import annotations
 
@@ -9,11 +9,13 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition
 from pyspark.sql.types import StructType
 
 from helixloom.schemas import READS
-from helixloom.sources.bgzf import Reader, compress
+from helixloom.sources.bgzf import Reader, compress, packed
 
 #: Fixed values of the format: packed bases, operation codes, widths of tag values.
 BASES = "=ACMGRSVTWYHKDBN"
@@ -53,6 +55,10 @@ def _tags(raw: bytes) -> dict[str, str]:
     return out
 
 
+#: Two bases of each packed byte.
+PAIRS = [BASES[b >> 4] + BASES[b & 15] for b in range(256)]
+
+
 def decode(raw: bytes, contigs: Sequence[tuple[str, int]]) -> tuple:
     """A record's bytes to a row of schemas.READS."""
     ref, pos, n_name, mapq, _, n_ops, flag, n_seq = struct.unpack_from("<iiBBHHHi", raw)
@@ -61,7 +67,7 @@ def decode(raw: bytes, contigs: Sequence[tuple[str, int]]) -> tuple:
     ops = struct.unpack_from(f"<{n_ops}I", raw, k)
     k += 4 * n_ops
     packed = raw[k : k + (n_seq + 1) // 2]
-    seq = "".join(BASES[b >> 4] + BASES[b & 15] for b in packed)[:n_seq]
+    seq = "".join(map(PAIRS.__getitem__, packed))[:n_seq]
     k += len(packed)
     qual = raw[k : k + n_seq]
     tags = _tags(raw[k + n_seq :])
@@ -117,47 +123,101 @@ def linear_index(path: str) -> list[list[int]]:
 @dataclass
 class Span(InputPartition):
     path: str
+    source: int = 0
     contig: str | None = None
     beg: int = 1
     end: int = 1 << 60
     offset: int = 0
+    unplaced: bool = False  # only reads without a contig, from offset on
+
+
+#: Arrow types of schemas.READS, and rows of a batch.
+TYPES = pa.schema([
+    ("qname", pa.string()), ("flag", pa.int32()), ("contig", pa.string()), ("pos", pa.int64()), ("mapq", pa.int32()), ("cigar", pa.string()), ("seq", pa.string()), ("qual", pa.binary()),
+    ("tags", pa.map_(pa.string(), pa.string())),
+])
+ROWS = 1024
 
 
 class BamReader(DataSourceReader):
+    """Options: window (bases of a partition where there is an index), exclude_flags and min_mapq (reads left out before they are decoded), source_idx (true adds the file's place)."""
+
     def __init__(self, options: dict[str, str]):
         self.paths = [p for p in options["path"].split(",") if p]
         self.window = int(options.get("window", 20_000_000))
+        self.exclude, self.min_mapq = int(options.get("exclude_flags", 0)), int(options.get("min_mapq", 0))
+        self.with_source = options.get("source_idx", "false").lower() == "true"
+        self.contig: str | None = None
 
     def partitions(self) -> list[Span]:
         out = []
-        for path in self.paths:
+        for source, path in enumerate(self.paths):
             if not os.path.exists(f"{path}.bai"):
-                out.append(Span(path))
+                out.append(Span(path, source))
                 continue
             with open(path, "rb") as f:
                 contigs = read_header(Reader(f))[1]
-            for (name, length), offsets in zip(contigs, linear_index(f"{path}.bai"), strict=True):
-                if any(offsets):
+            index = linear_index(f"{path}.bai")
+            for (name, length), offsets in zip(contigs, index, strict=True):
+                if any(offsets) and self.contig in (None, name):
                     for beg in range(1, length + 1, self.window):
                         at = next((o for o in offsets[(beg - 1) >> 14 :] if o), 0)
                         if at:
-                            out.append(Span(path, name, beg, min(length, beg + self.window - 1), at))
+                            out.append(Span(path, source, name, beg, min(length, beg + self.window - 1), at))
+            # reads without a contig come last; an index must not change what is read
+            if self.contig is None:
+                out.append(Span(path, source, offset=max((o for offsets in index for o in offsets), default=0), unplaced=True))
         return out
 
-    def read(self, part: Span) -> Iterator[tuple]:
+    def read(self, part: Span) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for row in self._rows(part):
+            rows.append(row)
+            if len(rows) == ROWS:
+                yield self._batch(rows, part)
+                rows = []
+        if rows:
+            yield self._batch(rows, part)
+
+    def _batch(self, rows: list[tuple], part: Span) -> pa.RecordBatch:
+        cols = [pa.array([list(x.items()) for x in c] if f.name == "tags" else c, f.type) for c, f in zip(zip(*rows, strict=True), TYPES, strict=True)]
+        names = TYPES.names
+        if self.with_source:
+            cols, names = [*cols, pa.array([part.source] * len(rows), pa.int32())], [*names, "source_idx"]
+        return pa.record_batch(cols, names=names)
+
+    def _rows(self, part: Span) -> Iterator[tuple]:
         with open(part.path, "rb") as f:
             r = Reader(f)
             contigs = read_header(r)[1]
+            names = [n for n, _ in contigs]
             if part.offset:
                 r = Reader(f, part.offset)
             while len(head := r.read(4)) == 4:
-                row = decode(r.read(struct.unpack("<i", head)[0]), contigs)
+                raw = r.read(struct.unpack("<i", head)[0])
+                ref, pos, _, mapq, _, _, flag = struct.unpack_from("<iiBBHHH", raw)
+                contig = names[ref] if ref >= 0 else None
+                if part.unplaced and ref >= 0:
+                    continue
                 if part.contig:  # a read belongs to the span that it begins in
-                    if row[2] != part.contig or row[3] > part.end:
+                    if contig != part.contig or pos + 1 > part.end:
                         break
-                    if row[3] < part.beg:
+                    if pos + 1 < part.beg:
                         continue
-                yield row
+                if flag & self.exclude or mapq < self.min_mapq or self.contig not in (None, contig):
+                    continue
+                yield decode(raw, contigs)
+
+
+class PushingReader(BamReader):
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Takes a least mapping quality and a contig; Spark applies what is left, and these again."""
+        for f in filters:
+            if isinstance(f, (GreaterThan, GreaterThanOrEqual)) and f.attribute == ("mapq",) and isinstance(f.value, int):
+                self.min_mapq = max(self.min_mapq, f.value + isinstance(f, GreaterThan))
+            elif isinstance(f, EqualTo) and f.attribute == ("contig",) and isinstance(f.value, str):
+                self.contig = f.value
+            yield f
 
 
 class Bam(DataSource):
@@ -166,18 +226,36 @@ class Bam(DataSource):
         return "bam"
 
     def schema(self) -> str:
-        return READS
+        return READS + (", source_idx int" if self.options.get("source_idx", "false").lower() == "true" else "")
 
     def reader(self, schema: StructType) -> BamReader:
-        return BamReader(self.options)
+        # Spark refuses a reader that takes filters where the session doesn't allow it, so one is asked for: read() does
+        return (PushingReader if self.options.get("push", "false").lower() == "true" else BamReader)(self.options)
 
 
-def write_bam(path: str, rows: Iterator[Any], contigs: list[tuple[str, int]], text: str = "") -> None:
-    """One BAM file from sorted rows: a task's output, or a whole small one."""
+def read(spark: SparkSession, paths: str | list[str], **options: str) -> DataFrame:
+    """Reads of one or more files, with filters on mapping quality and contig taken by the source."""
+    spark.dataSource.register(Bam)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    return spark.read.format("bam").options(push="true", **options).load(paths if isinstance(paths, str) else ",".join(paths))
+
+
+def header_bytes(contigs: list[tuple[str, int]], text: str = "") -> bytes:
     text = text or "@HD\tVN:1.6\tSO:coordinate\n" + "".join(f"@SQ\tSN:{n}\tLN:{k}\n" for n, k in contigs)
     head = b"BAM\1" + struct.pack("<i", len(text)) + text.encode() + struct.pack("<i", len(contigs))
     for n, k in contigs:
         head += struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", k)
+    return head
+
+
+def write_bam(path: str, rows: Iterator[Any], contigs: list[tuple[str, int]], text: str = "") -> None:
+    """One BAM file from sorted rows, block by block; sinks.alignments.write_bam() writes tables of any size."""
     ids = {n: k for k, (n, _) in enumerate(contigs)}
     with open(path, "wb") as f:
-        f.write(compress(head + b"".join(encode(r, ids) for r in rows)))
+        held = header_bytes(contigs, text)
+        for r in rows:
+            held += encode(r, ids)
+            if len(held) >= 1 << 20:
+                f.write(packed(held))
+                held = b""
+        f.write(compress(held))

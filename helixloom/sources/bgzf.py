@@ -19,8 +19,13 @@ def block(data: bytes, level: int = 6) -> bytes:
     return head + body + struct.pack("<II", zlib.crc32(data), len(data))
 
 
+def packed(data: bytes) -> bytes:
+    """The blocks of `data`, without the last empty one: blocks of several parts follow each other to one file."""
+    return b"".join(block(data[k : k + BLOCK]) for k in range(0, len(data), BLOCK))
+
+
 def compress(data: bytes) -> bytes:
-    return b"".join(block(data[k : k + BLOCK]) for k in range(0, len(data), BLOCK)) + END_OF_FILE
+    return packed(data) + END_OF_FILE
 
 
 def blocks(f: BinaryIO, at: int = 0) -> Iterator[tuple[int, bytes]]:
