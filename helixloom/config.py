@@ -57,6 +57,8 @@ class Options:
     somatic: bool = False
     #: Whether calls name their alt reads.
     read_names: bool = False
+    #: Whether regions give the alignments that reads are rewritten by.
+    refine: bool = False
 
 
 #: Presets of the two read technologies: the dense-event window differs, and only ONT reads are tested for strand bias and palindromes.

@@ -83,25 +83,32 @@ def consensus_of(rows: list[tuple[int, Slice, int, int, float]], length: int, o:
     return [(c, [full[k][0] for k in members]) for c, members in poa.split([r[1].seq for r in full], o.min_alt_fraction)]
 
 
-def call_region(lo: int, ref: str, rows: list[tuple[int, Slice, int, int, float]], o: Options) -> tuple[list[tuple], list[tuple[int, int, int]], list[tuple]]:
-    """Sites (pos, vtype, ref_len, alt_len, alt_seq, haps) of a region whose first reference base is at lo; (read, site index, allele); and, in
-    somatic mode, differences of single reads that no consensus has (read, pos ... alt_seq): SNVs and long indels.
+def call_region(lo: int, ref: str, rows: list[tuple[int, Slice, int, int, float]], o: Options) -> tuple[list[tuple], list[tuple[int, int, int]], list[tuple], list[tuple[int, str, str]]]:
+    """Sites (pos, vtype, ref_len, alt_len, alt_seq, haps) of a region whose first reference base is at lo; (read, site index, allele); in
+    somatic mode, differences of single reads that no consensus has (read, pos ... alt_seq): SNVs and long indels; and, where reads are to be
+    refined, (read, gapped reference, gapped read) of those that cover the region.
 
-    haps: 3 on both consensus sequences (homozygous), else the one that has it.
+    haps: 3 on both consensus sequences (homozygous), else the one that has it. A read of a consensus is aligned to it, and through it to the reference.
     """
     found = consensus_of(rows, len(ref), o)
     if not found:
-        return [], [], []
-    per = [set(align.gapped_variants(*align.affine(ref, c, o.mismatch, o.gap_open, o.gap_extend), lo)) for c, _ in found]
+        return [], [], [], []
+    scores = (o.mismatch, o.gap_open, o.gap_extend)
+    to_ref = [align.affine(ref, c, *scores) for c, _ in found]
+    of = {read: k for k, (_, members) in enumerate(found) for read in members}
+    per = [set(align.gapped_variants(*pair, lo)) for pair in to_ref]
     haps = {v: 3 if len(per) == 1 else 1 for v in per[0]}
     for v in per[1] if len(per) > 1 else ():
         haps[v] = 3 if v in haps else 2
     sites = sorted(haps, key=lambda v: (v[0] - (v[1] != 8), *v[1:]))
-    alleles, single = [], []
+    alleles, single, pairs = [], [], []
     for read, s, *_ in rows:
         if s.left and s.right:
-            pair = align.affine(ref, s.seq, o.mismatch, o.gap_open, o.gap_extend)
+            k = of.get(read)
+            pair = align.affine(ref, s.seq, *scores) if k is None else align.composed(to_ref[k], align.affine(found[k][0], s.seq, *scores))
             beg, end = lo, lo + len(ref) - 1
+            if o.refine and s.seq:
+                pairs.append((read, *pair))
         elif s.left or s.right:
             got = align.partial(ref, s.seq, s.left, o.partial_ratio)
             if got is None:
@@ -115,7 +122,7 @@ def call_region(lo: int, ref: str, rows: list[tuple[int, Slice, int, int, float]
                 alleles.append((read, k, align.allele_in(*pair, beg, v)))
         if o.somatic:
             single += [(read, *v) for v in align.gapped_variants(*pair, beg) if v not in haps and (v[1] == SNP or max(v[2], v[3]) >= o.min_sv_length)]
-    return [(*v, haps[v]) for v in sites], alleles, single
+    return [(*v, haps[v]) for v in sites], alleles, single, pairs
 
 
 def sliced_events(events: Column, lo: Column, hi: Column) -> Column:
@@ -145,13 +152,13 @@ def slices(cover: DataFrame, regions: DataFrame, reads: DataFrame, keys: list[st
 
 
 def call(regions: DataFrame, cover: DataFrame, reads: DataFrame, keys: list[str], o: Options) -> DataFrame:
-    """Rows of each region (keys, region_id, st, en: half-open; ref_seq of just its bases): kind site (pos ... haps) or allele (read_id, allele), by site index; in somatic mode also single (pos ... alt_seq, read_id).
+    """Rows of each region (keys, region_id, st, en: half-open; ref_seq of just its bases): kind site (pos ... haps) or allele (read_id, allele), by site index; in somatic mode also single (pos ... alt_seq, read_id); where reads are to be refined also pair (alt_seq: the gapped reference, query: the gapped read).
 
     cover: keys, region_id, read_id; reads: keys, read_id, seq, events, hap, phase_set, error_rate.
     """
     spans = slices(cover, regions, reads, keys)
     kinds = {f.name: f.dataType.simpleString() for f in regions.schema.fields}
-    cols = [*keys, "region_id", "kind", "site", "pos", "vtype", "ref_len", "alt_len", "alt_seq", "haps", "read_id", "allele"]
+    cols = [*keys, "region_id", "kind", "site", "pos", "vtype", "ref_len", "alt_len", "alt_seq", "haps", "read_id", "allele", "query"]
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         lo, hi, ref = int(pdf.a_st.iloc[0]) + 1, int(pdf.a_en.iloc[0]), pdf.a_ref_seq.iloc[0]
@@ -159,12 +166,15 @@ def call(regions: DataFrame, cover: DataFrame, reads: DataFrame, keys: list[str]
         for r in pdf.sort_values("read_id").itertuples():
             events = [Event(int(e["pos"]), e["op"], int(e["len"]), int(e["qi"]) - int(r.first), e["alt"], bool(e["low_qual"])) for e in r.events]
             rows.append((int(r.read_id), slice_of(events, r.seq, lo, hi), int(r.hap or 0), int(r.phase_set or -1), float(r.error_rate or 0)))
-        sites, alleles, single = call_region(lo, ref, rows, o)
-        out = [(*key, "site", k, *s, None, None) for k, s in enumerate(sites)] + [(*key, "allele", k, None, None, None, None, None, None, r, a) for r, k, a in alleles] + [(*key, "single", -1, *v, None, r, None) for r, *v in single]
+        sites, alleles, single, pairs = call_region(lo, ref, rows, o)
+        out = [(*key, "site", k, *s, None, None, None) for k, s in enumerate(sites)]
+        out += [(*key, "allele", k, None, None, None, None, None, None, r, a, None) for r, k, a in alleles]
+        out += [(*key, "single", -1, *v, None, r, None, None) for r, *v in single]
+        out += [(*key, "pair", -1, lo, None, len(ref), None, t, None, r, None, q) for r, t, q in pairs]
         kind = {"pos": "Int64", "vtype": "Int32", "ref_len": "Int32", "alt_len": "Int32", "haps": "Int32", "read_id": "Int64", "allele": "Int32"}
         return pd.DataFrame(out, columns=cols, dtype=object).astype(kind)  # through floats, 64-bit ids would lose their last bits
 
-    schema = ", ".join(f"{k} {kinds[k]}" for k in [*keys, "region_id"]) + ", kind string, site int, pos long, vtype int, ref_len int, alt_len int, alt_seq string, haps int, read_id long, allele int"
+    schema = ", ".join(f"{k} {kinds[k]}" for k in [*keys, "region_id"]) + ", kind string, site int, pos long, vtype int, ref_len int, alt_len int, alt_seq string, haps int, read_id long, allele int, query string"
     return spans.groupBy(*keys, "region_id").applyInPandas(run, schema)
 
 

@@ -207,7 +207,7 @@ def calls_of(a: Analysis, reference: DataFrame, o: Options = HIFI) -> tuple[Data
     """
     clean = a.variants.select("contig", "chunk", F.col("site_id").alias("key"), "pos", "vtype", "ref_len", "alt_len", "alt_seq", "ref_cov", "alt_cov", "category", "is_hp", "bases", F.lit(True).alias("clean"))
     told = a.profile.join(a.variants.select("contig", "chunk", "var_id", F.col("site_id").alias("key")), ["contig", "chunk", "var_id"]).select("contig", "chunk", "key", "read_id", "read_rank", "allele")
-    hard, alleles = (cut(x) for x in from_noisy(a.reads, a.regions, a.read_haps, reference, o))
+    hard, alleles = (cut(x) for x in from_noisy(a, a.regions, a.read_haps, reference, o))
     if hard.isEmpty():
         names, variants, haps, of = told, clean, a.read_haps, a.var_haps.join(a.variants.select("contig", "chunk", "var_id", F.col("site_id").alias("key")), ["contig", "chunk", "var_id"]).drop("var_id")
     else:
@@ -216,7 +216,7 @@ def calls_of(a: Analysis, reference: DataFrame, o: Options = HIFI) -> tuple[Data
             variants, haps, of = together(clean, told, hard, alleles, o)
             left = cut(a.regions.join(hard.select("contig", "region_id").distinct(), ["contig", "region_id"], "left_anti"))
             sweep += 1
-            late, late_alleles = (cut(x) for x in from_noisy(a.reads, left, haps, reference, o, sweep))
+            late, late_alleles = (cut(x) for x in from_noisy(a, left, haps, reference, o, sweep))
             if late.isEmpty():
                 break
             hard, alleles = cut(hard.unionByName(late)), cut(alleles.unionByName(late_alleles))
@@ -253,19 +253,30 @@ def tagged(reads: DataFrame, read_haps: DataFrame) -> DataFrame:
     return haplotagged(reads, owned(read_haps, [c for c in ("qname", "contig", "pos", "flag", "source_idx") if c in read_haps.columns]))
 
 
-def from_noisy(rows: DataFrame, regions: DataFrame, read_haps: DataFrame, reference: DataFrame, o: Options, sweep: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Sites of noisy regions from consensus of their reads (contig, region_id, key, the site's columns, ref_cov, alt_cov, haps, bases), and contig, key, read_id, allele.
+def best_haplotype(read_haps: DataFrame) -> DataFrame:
+    """read_id, hap, phase_set: of a read's windows the first that gives it a haplotype."""
+    first = F.max_by(F.struct("hap", "phase_set"), F.struct(F.col("hap") > 0, -F.col("chunk"))).alias("h")
+    return read_haps.groupBy("read_id").agg(first).select("read_id", "h.hap", "h.phase_set")
 
-    Keys are negative, so they never meet those of clean sites, and differ between sweeps.
-    """
-    cover = cut(region_reads(regions, covers(rows), ["contig"]))
+
+def regions_of(a: Analysis, regions: DataFrame, read_haps: DataFrame, reference: DataFrame, o: Options) -> DataFrame:
+    """noisy.call() of the regions that are neither too long nor too deep, with the reads that lie over them."""
+    cover = cut(region_reads(regions, covers(a.reads), ["contig"]))
     able = workable(regions, cover, ["contig"], o)
-    sliced = fasta.slices(reference, able.select("contig", "region_id", (F.col("st") + 1).alias("beg"), F.col("en").alias("end")), 0).select("contig", "region_id", (F.col("beg") - 1).alias("st"), (F.col("beg") - 1 + F.length("ref_seq")).alias("en"), "ref_seq")
-    one = read_haps.groupBy("read_id").agg(F.max_by(F.struct("hap", "phase_set"), F.struct(F.col("hap") > 0, -F.col("chunk"))).alias("h")).select("read_id", "h.hap", "h.phase_set")
-    own = rows.join(one, "read_id", "left").select(
+    spans = able.select("contig", "region_id", (F.col("st") + 1).alias("beg"), F.col("en").alias("end"))
+    sliced = fasta.slices(reference, spans, 0).select("contig", "region_id", (F.col("beg") - 1).alias("st"), (F.col("beg") - 1 + F.length("ref_seq")).alias("en"), "ref_seq")
+    own = a.reads.join(best_haplotype(read_haps), "read_id", "left").select(
         "contig", "read_id", "seq", "events", F.coalesce("hap", F.lit(0)).alias("hap"), F.coalesce("phase_set", F.lit(-1).cast("long")).alias("phase_set"), mean_error("qual").alias("error_rate"),
     )
-    got = cut(noisy.call(sliced, cover, own, ["contig"], o))
+    return cut(noisy.call(sliced, cover, own, ["contig"], o))
+
+
+def from_noisy(a: Analysis, regions: DataFrame, read_haps: DataFrame, reference: DataFrame, o: Options, sweep: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Sites of noisy regions from consensus of their reads (contig, region_id, key, the site's columns, ref_cov, alt_cov, haps, bases), and contig, key, read_id, allele.
+
+    Keys are negative, so they never meet those of clean sites, and differ between sweeps.
+    """
+    got = regions_of(a, regions, read_haps, reference, o)
     placed = got.filter("kind = 'site'").withColumn("key", -1 - F.monotonically_increasing_id() - F.lit(sweep) * F.lit(1 << 53))
     alleles = got.filter("kind = 'allele'").join(placed.select("contig", "region_id", "site", "key"), ["contig", "region_id", "site"]).select("contig", "key", "read_id", "allele")
     n = alleles.groupBy("contig", "key").agg(F.count_if(F.col("allele") == 0).alias("ref_cov"), F.count_if(F.col("allele") == 1).alias("alt_cov"))

@@ -10,9 +10,9 @@ from helixloom.functions import stats
 from helixloom.lineage import cut
 from helixloom.operators import evidence, genotype, noisy, pileup, sites, somatic
 from helixloom.operators.elements import match
-from helixloom.operators.reads import region_reads, workable
+from helixloom.operators.reads import LEFT, RIGHT, region_reads
 from helixloom.plans import functions as kernels
-from helixloom.plans.germline import Analysis, covers, matrix, numbered
+from helixloom.plans.germline import Analysis, best_haplotype, covers, matrix, numbered, regions_of
 from helixloom.schemas import DEL, INS, SNP
 from helixloom.sources import fasta
 
@@ -59,19 +59,11 @@ def demoted(a: Analysis) -> DataFrame:
 def in_noisy(a: Analysis, reference: DataFrame, o: Options) -> tuple[DataFrame, DataFrame]:
     """Differences of noisy regions that single reads share and no consensus has, as sites (SITE, total_cov); and contig, site_id, read_id, alt, rev, bq of the
     reads that cover their regions."""
-    cover = cut(region_reads(a.regions, covers(a.reads), ["contig"]))
-    able = workable(a.regions, cover, ["contig"], o)
-    spans = able.select("contig", "region_id", (F.col("st") + 1).alias("beg"), F.col("en").alias("end"))
-    sliced = fasta.slices(reference, spans, 0).select("contig", "region_id", (F.col("beg") - 1).alias("st"), (F.col("beg") - 1 + F.length("ref_seq")).alias("en"), "ref_seq")
-    haps = best_haplotype(a)
-    reads = a.reads.join(haps, "read_id", "left").select(
-        "contig", "read_id", "seq", "events", F.coalesce("hap", F.lit(0)).alias("hap"), F.coalesce("phase_set", F.lit(-1).cast("long")).alias("phase_set"), kernels.mean_error("qual").alias("error_rate"),
-    )
-    called = cut(noisy.call(sliced, cover, reads, ["contig"], o))
+    called = regions_of(a, a.regions, a.read_haps, reference, o)
     key = ["contig", "region_id", "pos", "vtype", "ref_len", "alt_len", "alt_seq"]
     found = numbered(noisy.read_candidates(called, ["contig"], o), "_n").withColumn("site_id", -1 - F.col("_n")).drop("_n")
     single = called.filter("kind = 'single'").join(found.select(*key, "site_id"), key).select("contig", "site_id", "read_id").distinct().withColumn("alt", F.lit(True))
-    whole = cover.filter(F.col("cover") == 3).join(found.select("contig", "region_id", "site_id"), ["contig", "region_id"])
+    whole = region_reads(a.regions, covers(a.reads), ["contig"]).filter(F.col("cover") == LEFT + RIGHT).join(found.select("contig", "region_id", "site_id"), ["contig", "region_id"])
     strand = a.reads.select("read_id", (F.col("flag").bitwiseAND(16) > 0).alias("rev"))
     seen = whole.select("contig", "site_id", "read_id").join(single, ["contig", "site_id", "read_id"], "full_outer").join(strand, "read_id")
     seen = cut(seen.select("contig", "site_id", "read_id", F.coalesce("alt", F.lit(False)).alias("alt"), "rev", F.lit(255).alias("bq")))
@@ -106,15 +98,9 @@ def candidates(a: Analysis, reference: DataFrame, o: Options, elements: DataFram
     return found, a.seen.select(*extra_seen.columns).unionByName(extra_seen).join(found.select("contig", "site_id"), ["contig", "site_id"], "left_semi")
 
 
-def best_haplotype(a: Analysis) -> DataFrame:
-    """read_id, hap, phase_set: of a read's windows the first that gives it a haplotype."""
-    first = F.max_by(F.struct("hap", "phase_set"), F.struct(F.col("hap") > 0, -F.col("chunk"))).alias("h")
-    return a.read_haps.groupBy("read_id").agg(first).select("read_id", "h.hap", "h.phase_set")
-
-
 def alt_evidence(a: Analysis, found: DataFrame, seen: DataFrame, reference: DataFrame, o: Options) -> tuple[DataFrame, DataFrame]:
     """Evidence columns of each candidate over its alt reads on the chosen phase set and haplotype, with that choice; and those reads."""
-    alleles = matrix(seen, found, a.reads, a.events, o, fuzzy=True).join(best_haplotype(a), "read_id", "left")
+    alleles = matrix(seen, found, a.reads, a.events, o, fuzzy=True).join(best_haplotype(a.read_haps), "read_id", "left")
     profile = cut(alleles.select("contig", F.col("site_id").alias("var_id"), "read_id", "allele", F.coalesce("hap", F.lit(0)).alias("hap"), F.coalesce("phase_set", F.lit(-1).cast("long")).alias("phase_set")))
     snps = a.variants.filter("category = 'N'").select("contig", "chunk", "site_id", "var_id")
     on_snps = a.seen.join(snps, ["contig", "site_id"]).join(a.read_haps, ["contig", "chunk", "read_id"])

@@ -202,8 +202,9 @@ def test_region_call_and_splice():
         t, q = align.affine(ref, seq)
         cigar = "".join(f"1{'I' if a == '-' else 'D' if b == '-' else '=' if a == b else 'X'}" for a, b in zip(t, q, strict=True))
         rows.append((k, slice_of(events_of(101, cigar, seq, b"", {}, None, 1, HIFI), seq, 101, 180), k % 2 + 1 if k < 8 else 0, 5 if k < 8 else -1, 0.0))
-    sites, alleles, single = call_region(101, ref, rows, replace(HIFI, somatic=True))
+    sites, alleles, single, pairs = call_region(101, ref, rows, replace(HIFI, somatic=True, refine=True))
     assert not single
+    assert all(t.replace("-", "") == ref and q.replace("-", "") == (hap2 if r % 2 else ref) for r, t, q in pairs) and len(pairs) == 12
     assert {(s[1], s[2], s[3], s[5]) for s in sites} == {(1, 0, 14, 2), (2, 6, 0, 2)}
     assert all(a == r % 2 for r, _, a in alleles) and len(alleles) == 24
     e = events_of(101, "80=", ref, b"", {}, None, 1, HIFI)
@@ -247,6 +248,32 @@ def mutated(rng, s, rate):
     return "".join(out)
 
 
+def test_composed_pairs():
+    rng = random.Random(6)
+    for _ in range(60):
+        a = "".join(rng.choice("ACGT") for _ in range(60))
+        b = mutated(rng, a, 0.2)
+        c = mutated(rng, b, 0.2)
+        first, second = align.affine(a, b), align.affine(b, c)
+        x, y = align.composed(first, second)
+        assert x.replace("-", "") == a and y.replace("-", "") == c and len(x) == len(y) and ("-", "-") not in set(zip(x, y))
+        # bases of a and c stand together just where the same base of b holds them together
+        place = lambda top, low: {i: j for i, j in _columns(top, low)}
+        ab, bc = place(*first), place(*second)
+        assert place(x, y) == {i: bc[j] for i, j in ab.items() if j in bc}
+    same = ("ACGT", "ACGT")
+    assert align.composed(same, same) == same
+
+
+def _columns(top, low):
+    """Places of bases that share a column."""
+    i = j = 0
+    for a, b in zip(top, low, strict=True):
+        if a != "-" and b != "-":
+            yield i, j
+        i, j = i + (a != "-"), j + (b != "-")
+
+
 def test_bands_give_what_whole_matrices_give(monkeypatch):
     """From a band of one column on, doubled as needed, results equal those of a band wider than the matrix."""
     rng = random.Random(9)
