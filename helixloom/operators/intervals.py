@@ -43,6 +43,13 @@ def contain_join(a: DataFrame, b: DataFrame, keys: list[str], width: int) -> Dat
     return x.join(y, [*keys, "_bin"]).filter((F.col("b_st") <= F.col("a_st")) & (F.col("b_en") >= F.col("a_en"))).drop("_bin")
 
 
+def containing_join(a: DataFrame, b: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """All pairs where a contains b: contain_join() from the other side."""
+    held = contain_join(b, a, keys, width)
+    of = {c: f"b_{c[2:]}" if c.startswith("a_") else f"a_{c[2:]}" for c in held.columns if c not in keys}
+    return held.select(*keys, *(F.col(c).alias(n) for c, n in of.items()))
+
+
 def overlap_semi(a: DataFrame, b: DataFrame, keys: list[str], width: int, how: str = "left_semi") -> DataFrame:
     """Rows of a that overlap some row of b; with how="left_anti" those that overlap none. Rows of a must be distinct for an anti join.
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,20 +12,7 @@ from helixloom.functions import sequences as seq
 from helixloom.functions import stats
 from helixloom.operators import genotype, intervals, phasing, pileup, sites
 from helixloom.plans import bindings as b
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(oracle: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLES[f.__name__] = oracle
-        return f
-
-    return register
-
+from helixloom.plans.registry import ORACLES, QUERIES, query
 
 def longs(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("long") for c in cols})
@@ -504,13 +490,6 @@ def dense_window(spark, d):
     return dense_spans(rows, ["read_id"], 24, 5)
 
 
-@query()
-def dust_mask(spark, d):
-    from helixloom.plans import functions as f
-
-    return b.sequences(spark, d, "benchmark").select("id", F.inline(f.dust_mask("seq")))
-
-
 @query()
 def infix_similarity(spark, d):
     """Each benchmark passage against the next one, within it."""
@@ -628,3 +607,8 @@ def germline_calls(spark, d):
     reads = s.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(11)))).select(F.concat(F.lit("r"), "r").alias("qname"), F.when(F.col("r") % 4 < 2, 0).otherwise(16).alias("flag"), "contig", F.lit(1).cast("long").alias("pos"), F.lit(60).alias("mapq"), F.when(F.col("r") % 2 == 1, cigar).otherwise(F.concat(F.length("seq"), F.lit("="))).alias("cigar"), F.when(F.col("r") % 2 == 1, alt).otherwise(F.col("seq")).alias("seq"), F.lit(None).cast("binary").alias("qual"), F.create_map().cast("map<string,string>").alias("tags"))
     calls, _ = germline.call(reads, s.select("contig", F.length("seq").cast("long").alias("length")), fasta.binned(s), HIFI)
     return calls.select("contig", "pos", "ref", "alt", F.col("gt").isin("0|1", "1|0").alias("het"), F.size(F.collect_set("gt").over(Window.partitionBy("contig", "ps"))).alias("phases"), "dp", "alt_ad", "qual", "gq", "ps")
+
+
+from helixloom.plans import read_queries  # noqa: E402, F401
+
+__all__ = ["ORACLES", "QUERIES"]
