@@ -21,6 +21,11 @@ def ln_fact(n: Column) -> Column:
     return F.when(n <= TABLE, F.get(F.lit(_LN_FACT), n.cast("int"))).otherwise(far)
 
 
+def clamped_log10(x: Column, least: float = 1e-300) -> Column:
+    """The decimal logarithm of a probability, which is taken as at least `least`."""
+    return F.log10(F.greatest(x, F.lit(least)))
+
+
 def ln_choose(n: Column, k: Column) -> Column:
     return ln_fact(n) - ln_fact(k) - ln_fact(n - k)
 

@@ -5,6 +5,7 @@ Regions too long or too deep are left out before (reads.workable), so a group's
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from typing import NamedTuple
 
@@ -83,6 +84,12 @@ def consensus_of(rows: list[tuple[int, Slice, int, int, float]], length: int, o:
     return [(c, [full[k][0] for k in members]) for c, members in poa.split([r[1].seq for r in full], o.min_alt_fraction)]
 
 
+def in_homopolymer(ref: str, flank: int, longest: int = 50, run: int = 6) -> bool:
+    """A region whose bases between its flanks are few and hold a run of one base: a read that covers one end alone says nothing there."""
+    inner = len(ref) - 2 * flank
+    return 0 <= inner <= longest and re.search(r"([ACGT])\1{%d,}" % (run - 1), ref[max(0, flank - 2) : len(ref) - flank + 1]) is not None
+
+
 def call_region(lo: int, ref: str, rows: list[tuple[int, Slice, int, int, float]], o: Options) -> tuple[list[tuple], list[tuple[int, int, int]], list[tuple], list[tuple[int, str, str]]]:
     """Sites (pos, vtype, ref_len, alt_len, alt_seq, haps) of a region whose first reference base is at lo; (read, site index, allele); in
     somatic mode, differences of single reads that no consensus has (read, pos ... alt_seq): SNVs and long indels; and, where reads are to be
@@ -102,7 +109,10 @@ def call_region(lo: int, ref: str, rows: list[tuple[int, Slice, int, int, float]
         haps[v] = 3 if v in haps else 2
     sites = sorted(haps, key=lambda v: (v[0] - (v[1] != 8), *v[1:]))
     alleles, single, pairs = [], [], []
+    full_only = in_homopolymer(ref, o.noisy_flank)
     for read, s, *_ in rows:
+        if full_only and not (s.left and s.right):
+            continue
         if s.left and s.right:
             k = of.get(read)
             pair = align.affine(ref, s.seq, *scores) if k is None else align.composed(to_ref[k], align.affine(found[k][0], s.seq, *scores))

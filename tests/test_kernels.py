@@ -314,3 +314,34 @@ def test_consensus_within_a_band(monkeypatch):
     whole = poa.consensus(seqs)
     monkeypatch.setattr(poa, "CELLS", 1_000_000)
     assert poa.consensus(seqs) == whole == t
+
+
+def test_homopolymer_regions():
+    from helixloom.operators.noisy import in_homopolymer
+
+    flank = "ACGTACGTAC"
+    assert in_homopolymer(flank + "GAAAAAAG" + flank, 10) and not in_homopolymer(flank + "GAAAAG" + flank, 10)
+    assert not in_homopolymer(flank + "GAAAAAAG" + "CT" * 40 + flank, 10) and not in_homopolymer("AAAAAAA", 10)
+
+
+def test_haplotype_sequence():
+    from helixloom.operators.evidence import haplotype
+
+    ref, lo = "ACGTACGTAC", 101
+    known = [
+        {"pos": 102, "op": "X", "len": 1, "alt": "T", "phase_set": 5, "hap1": 1, "hap2": 0}, {"pos": 104, "op": "I", "len": 2, "alt": "GG", "phase_set": 5, "hap1": 0, "hap2": 1},
+        {"pos": 105, "op": "D", "len": 2, "alt": "", "phase_set": 9, "hap1": 1, "hap2": 1}, {"pos": 108, "op": "X", "len": 1, "alt": "A", "phase_set": 5, "hap1": 1, "hap2": 0},
+    ]
+    assert haplotype(ref, lo, 108, known, 1, 5) == ("ATGTGTAC", 5)  # the deletion is on both; what changes the site itself is left out
+    assert haplotype(ref, lo, 110, known, 2, 5) == ("ACGGGTGTAC", 9)
+    assert haplotype(ref, lo, 110, known, 1, 7) == ("ACGTGTAC", 7)  # of another phase set only what is homozygous
+
+
+def test_alike_gaps():
+    from helixloom.operators.somatic import alike
+    from helixloom.schemas import DEL, INS
+
+    unit = "ACGTTGCA"
+    assert alike(INS, (100, 40, unit * 5), (120, 40, (unit * 5)[3:] + unit[:3])) and not alike(INS, (100, 40, unit * 5), (120, 40, "G" * 40))
+    assert not alike(INS, (100, 40, unit * 5), (141, 40, unit * 5)) and not alike(INS, (100, 40, unit * 5), (100, 60, unit * 7 + "ACGT"))
+    assert alike(DEL, (100, 50, ""), (150, 45, "")) and not alike(DEL, (100, 50, ""), (151, 45, ""))

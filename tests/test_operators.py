@@ -292,3 +292,39 @@ def test_kernel_queries_take_whole_texts(spark, tmp_path):
         t = seqs[r.id]
         assert r.target.replace("-", "") == t and r.query.replace("-", "") == t[:50] + t[57:]
     assert {r.id: (r.s, r.consensus) for r in QUERIES["poa_consensus"](spark, str(tmp_path)).collect()} == {k: (t, t) for k, t in enumerate(seqs)}
+
+
+def test_sequence_likeness_of_somatic_gaps(spark):
+    from helixloom.schemas import INS
+
+    unit, other = "ACGTTGCA", "TTGACCAGGATTACAGCATTCAGGA"
+    rows = [
+        ("c", 1, 1000, INS, 40, 3, unit * 5), ("c", 2, 1010, INS, 40, 5, (unit * 5)[3:] + unit[:3]), ("c", 3, 1020, INS, 40, 9, (other * 2)[:40]),
+        ("c", 4, 5_000_000, INS, 40, 2, unit * 5), ("d", 5, 1000, INS, 40, 2, unit * 5),
+    ]
+    svs = spark.createDataFrame(rows, "contig string, var_id long, pos long, vtype int, len int, alt_cov long, gap string")
+    merged = somatic.merge_alike(svs, ["contig"])
+    assert {r.var_id for r in merged.collect()} == {2, 3, 4, 5}
+    known = spark.createDataFrame([("c", 90, 1300, INS, 40, unit * 5), ("c", 91, 5_000_040, INS, 75, unit * 5 + "A" * 35)], "contig string, var_id long, pos long, vtype int, len int, gap string")
+    left = somatic.without_germline(merged, known, ["contig"])
+    # 2 is a rotation of a germline insertion 290 bases on; 4 differs from one close by by a run of A; 3 and 5 are like none
+    assert {r.var_id for r in left.collect()} == {3, 5}
+
+
+def test_element_library(spark, tmp_path):
+    from helixloom.sources.embl import read_embl
+
+    (tmp_path / "x.embl").write_text(
+        "ID   DF0000001; SV 4; linear; DNA; STD; UNC; 12 BP.\nNM   AluX\nXX\nCC   RepeatMasker Annotations\nCC        Type: SINE\nCC        SubType: Alu\nXX\nSQ   Sequence 12 BP; 3 A;\n     acgt nacg      8\n     tttt          12\n//\n"
+        "ID   DF0000002; SV 1; linear;\nNM   L1Y\nSQ   Sequence 3 BP;\n     ggg 3\n//\n"
+    )
+    got = [tuple(r) for r in read_embl(spark, str(tmp_path / "x.embl")).orderBy("accession").collect()]
+    assert got == [("DF0000001", "4", "AluX", "SINE", "Alu", "ACGTNACGTTTT"), ("DF0000002", "1", "L1Y", None, None, "GGG")]
+
+
+def test_quality_histogram(spark):
+    from helixloom.operators import pileup
+
+    rows = [("a", bytearray([10, 10, 20])), ("a", bytearray([20])), ("b", bytearray()), ("b", None), (None, bytearray([255]))]
+    got = pileup.quality_histogram(spark.createDataFrame(rows, "k string, qual binary").repartition(2), ["k"])
+    assert {tuple(r) for r in got.collect()} == {("a", 10, 2), ("a", 20, 2), (None, 255, 1)}
