@@ -532,7 +532,14 @@ def poa_consensus(spark, d):
     return s.select("id", "s", f.poa_consensus(copies).alias("consensus"))
 
 
-@query()
+#: The duplication lasts while at most one base differs; the tail, read from the gap's end, has at least four A in five, up to another base beyond twenty.
+@query("""WITH s AS ({s}), g AS (SELECT id, substr(seq, 1, 12) || substr(seq, 40) || repeat('A', 14) AS gap, substr(seq, 1, 12) || substr(seq, 90) AS flank FROM s),
+ d AS (SELECT id, k, substr(gap, CAST(k AS INT), 1) = substr(flank, CAST(k AS INT), 1) AS m FROM (SELECT *, unnest(range(1, least(length(gap), length(flank)) + 1)) AS k FROM g)),
+ w AS (SELECT *, sum(CASE WHEN m THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY k) AS wrong FROM d), dup AS (SELECT id, coalesce(max(k) FILTER (m AND wrong <= 1), 0) AS n FROM w GROUP BY id),
+ t AS (SELECT id, k, substr(reverse(gap), CAST(k AS INT), 1) = 'A' AS y FROM (SELECT *, unnest(range(1, length(gap) + 1)) AS k FROM g)),
+ c AS (SELECT *, sum(CASE WHEN y THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY k) AS seen, min(CASE WHEN NOT y AND k > 20 THEN k END) OVER (PARTITION BY id) AS stop FROM t),
+ a AS (SELECT id, coalesce(max(k) FILTER (y AND k >= 10 AND seen >= CAST(0.8 AS DOUBLE) * k AND k < coalesce(stop, 1000000000)), 0) AS n FROM c GROUP BY id)
+ SELECT id, CASE WHEN dup.n BETWEEN 2 AND 100 AND a.n > 0 THEN dup.n ELSE 0 END AS tsd_len, CASE WHEN dup.n BETWEEN 2 AND 100 THEN a.n ELSE 0 END AS tail_len FROM dup JOIN a USING (id)""".format(s=b.SEQ_SQL))
 def te_annotate(spark, d):
     """Gaps with a duplication and a tail made from passages."""
     from helixloom.plans import functions as f
