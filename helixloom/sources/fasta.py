@@ -42,12 +42,12 @@ def slices(bins: DataFrame, regions: DataFrame, flank: int = 50_000, width: int
     return whole.select(*regions.columns, "ref_beg", F.substring("_seq", skip.cast("int"), (F.col("_to") - F.col("ref_beg") + 1).cast("int")).alias("ref_seq"))
 
 
-def points(bins: DataFrame, width: int = BIN) -> DataFrame:
-    """contig, piece, seq: two POINT-base pieces from every POINT-th base on, over the ends of bins."""
-    ahead = bins.select("contig", (F.col("bin") - 1).alias("bin"), F.substring("seq", 1, POINT).alias("_next"))
-    both = bins.join(ahead, ["contig", "bin"], "left").withColumn("_n", F.ceil(F.length("seq") / POINT).cast("int"))
-    pieces = F.slice(seq.windows(F.concat("seq", F.coalesce("_next", F.lit(""))), 2 * POINT, POINT, least=1, block=16, blocks=16), F.lit(1), F.col("_n"))
-    return both.select("contig", "bin", F.posexplode(pieces).alias("_k", "seq")).select("contig", (F.col("bin") * (width // POINT) + F.col("_k")).alias("piece"), "seq")
+def points(bins: DataFrame, step: int, width: int = BIN) -> DataFrame:
+    """contig, piece, seq: two steps of bases from every step on, over the ends of bins, whose width is a multiple of `step`."""
+    ahead = bins.select("contig", (F.col("bin") - 1).alias("bin"), F.substring("seq", 1, step).alias("_next"))
+    both = bins.join(ahead, ["contig", "bin"], "left").withColumn("_n", F.ceil(F.length("seq") / step).cast("int"))
+    pieces = F.slice(seq.windows(F.concat("seq", F.coalesce("_next", F.lit(""))), 2 * step, step, least=1, block=16, blocks=16), F.lit(1), F.col("_n"))
+    return both.select("contig", "bin", F.posexplode(pieces).alias("_k", "seq")).select("contig", (F.col("bin") * (width // step) + F.col("_k")).alias("piece"), "seq")
 
 
 def base_at(bins: DataFrame, sites: DataFrame, length: Column, width: int = BIN) -> DataFrame:
@@ -55,10 +55,11 @@ def base_at(bins: DataFrame, sites: DataFrame, length: Column, width: int = BIN)
 
     Lengths up to POINT look up one short piece; longer ones, such as those of long gaps, are cut out of slices.
     """
+    step = POINT if width % POINT == 0 else width
     asked = sites.withColumn("_length", length.cast("int"))
-    short = asked.filter("_length <= %d" % POINT).withColumn("piece", F.floor((F.col("pos") - 1) / POINT))
-    near = short.join(points(bins, width), ["contig", "piece"], "left")
-    near = near.select(*sites.columns, F.substring("seq", (F.col("pos") - F.col("piece") * POINT).cast("int"), F.col("_length")).alias("bases"))
-    long = asked.filter("_length > %d" % POINT).select(F.col("contig"), F.col("pos").cast("long").alias("beg"), (F.col("pos") + F.col("_length") - 1).cast("long").alias("end"), F.struct(*sites.columns).alias("_site"))
+    short = asked.filter("_length <= %d" % step).withColumn("piece", F.floor((F.col("pos") - 1) / step))
+    near = short.join(points(bins, step, width), ["contig", "piece"], "left")
+    near = near.select(*sites.columns, F.substring("seq", (F.col("pos") - F.col("piece") * step).cast("int"), F.col("_length")).alias("bases"))
+    long = asked.filter("_length > %d" % step).select(F.col("contig"), F.col("pos").cast("long").alias("beg"), (F.col("pos") + F.col("_length") - 1).cast("long").alias("end"), F.struct(*sites.columns).alias("_site"))
     far = slices(bins, long, 0, width).select("_site.*", F.col("ref_seq").alias("bases"))
     return near.unionByName(far.select(*near.columns))

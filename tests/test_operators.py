@@ -184,6 +184,13 @@ def test_fasta(spark, tmp_path):
         assert r.ref_beg == lo and r.ref_seq == seq[lo - 1 : r.end + 20]
     at = spark.createDataFrame([("c1", 98), ("c1", 950)], "contig string, pos long")
     assert {r.pos: r.bases for r in fasta.base_at(bins, at, F.lit(6), 100).collect()} == {98: seq[97:103], 950: seq[949:]}
+    for step, n in ((50, 30), (50, 120), (100, 100), (1000, 700)):
+        fasta.POINT = step
+        try:
+            got = fasta.base_at(bins, spark.range(1, 951).select(F.lit("c1").alias("contig"), F.col("id").alias("pos")), F.lit(n), 100).collect()
+        finally:
+            fasta.POINT = 1_000
+        assert {r.pos: r.bases for r in got} == {p: seq[p - 1 : p - 1 + n] for p in range(1, 951)}
     (tmp_path / "x.fai").write_text("chr11\t2000000\t7\t70\t71\n")
     assert tuple(fasta.read_index(spark, str(tmp_path / "x.fai")).first()) == ("chr11", 2000000, 7, 70, 71)
 
