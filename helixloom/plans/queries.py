@@ -490,7 +490,22 @@ def dense_window(spark, d):
     return dense_spans(rows, ["read_id"], 24, 5)
 
 
-@query()
+#: The matrix row by row, as lists, and the way back from the first least cell of the last row: a pair before a base of the query alone before one of the target.
+INFIX = """WITH RECURSIVE s AS ({s}), p AS (SELECT x.id, x.seq AS q, y.seq AS t, string_split(x.seq, '') AS qs, string_split(y.seq, '') AS ts, range(0, length(y.seq) + 1) AS cols FROM s x JOIN s y ON y.id = x.id + 1),
+ r(id, i, cells) AS (SELECT id, 0, list_transform(cols, lambda j: 0) FROM p UNION ALL
+  SELECT id, i, list_transform(cols, lambda j: CAST(j AS INT) + list_min(list_transform(cand[1:j + 1], lambda c, k: c - CAST(k AS INT) + 1))) FROM (
+   SELECT r.id, r.i + 1 AS i, p.cols, list_transform(p.cols, lambda j: CASE WHEN j = 0 THEN r.i + 1 ELSE least(cells[j + 1] + 1, cells[j] + CASE WHEN ts[j] = qs[r.i + 1] THEN 0 ELSE 1 END) END) AS cand FROM r JOIN p ON r.id = p.id WHERE r.i < length(p.q))),
+ m AS MATERIALIZED (SELECT * FROM r),
+ w(id, i, j, path) AS (SELECT m.id, m.i, list_position(cells, list_min(cells)) - 1, '' FROM m JOIN p ON m.id = p.id AND m.i = length(p.q) UNION ALL
+  SELECT id, CASE WHEN op IN ('=', 'X', 'I') THEN i - 1 ELSE i END, CASE WHEN op IN ('=', 'X', 'D') THEN j - 1 ELSE j END, op || path FROM (
+   SELECT w.id, w.i, w.j, w.path, CASE WHEN w.j > 0 AND now.cells[w.j + 1] = above.cells[w.j] + CASE WHEN ts[w.j] = qs[w.i] THEN 0 ELSE 1 END THEN CASE WHEN ts[w.j] = qs[w.i] THEN '=' ELSE 'X' END
+     WHEN now.cells[w.j + 1] = above.cells[w.j + 1] + 1 THEN 'I' ELSE 'D' END AS op
+   FROM w JOIN m now ON now.id = w.id AND now.i = w.i JOIN m above ON above.id = w.id AND above.i = w.i - 1 JOIN p ON p.id = w.id)),
+ l AS (SELECT m.id, list_min(cells) AS distance, list_position(cells, list_min(cells)) - 2 AS fin FROM m JOIN p ON m.id = p.id AND m.i = length(p.q))
+ SELECT w.id, l.distance, CAST(w.j AS INT) AS start, CAST(l.fin AS INT) AS "end", w.path FROM w JOIN l ON w.id = l.id WHERE w.i = 0""".format(s=b.SEQ_SQL)
+
+
+@query(INFIX)
 def infix_similarity(spark, d):
     """Each benchmark passage against the next one, within it."""
     from helixloom.plans import functions as f
