@@ -35,7 +35,10 @@ def _pieces(s: Column, size: int, step: int, most: int) -> Column:
     """Substrings of up to `size` from every step-th place on, as many as have at least `most` characters."""
     n = F.floor((F.length(s) - most) / step + 1).cast("int")
     one = lambda t: F.substring(t["text"], t["at"] * step + 1, F.lit(size))
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: one({"text": s, "at": i}))).otherwise(F.array().cast("array<string>"))
+    return (
+        F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: one({"text": s, "at": i})))
+        .otherwise(F.array().cast("array<string>"))
+    )
 
 
 def windows(s: Column, size: int, step: int = 1, least: int | None = None, block: int | None = None, blocks: int | None = None) -> Column:
@@ -48,7 +51,12 @@ def windows(s: Column, size: int, step: int = 1, least: int | None = None, block
     whole = within * many
     # stretches and blocks hold size - step characters more than are theirs, for the pieces that begin in them; what begins there is the next one's
     of = lambda t: F.slice(_pieces(t, within + size - step, within, 1), 1, many)
-    parts = F.transform(_pieces(s, whole + size - step, whole, 1), lambda t: F.transform(of(t), lambda b: F.slice(_pieces(b, size, step, least), 1, block)))
+    parts = (
+        F.transform(
+            _pieces(s, whole + size - step, whole, 1),
+            lambda t: F.transform(of(t), lambda b: F.slice(_pieces(b, size, step, least), 1, block)),
+        )
+    )
     return F.flatten(F.flatten(parts))
 
 

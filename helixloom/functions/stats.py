@@ -100,7 +100,12 @@ def variant_qual(ref: Column, alt: Column, error: float = 0.001, log10_error: fl
 def phred_likelihoods(ref: Column, alt: Column, error: float = 0.001, log10_error: float = -3.0, log10_two: float = 0.301023) -> Column:
     """Truncated phred likelihoods of the genotypes 0/0, 0/1 and 1/1."""
     right = math.log10(1 - error)
-    return F.array((-10 * (ref * right + alt * log10_error)).cast("int"), (10 * (ref + alt) * log10_two).cast("int"), (-10 * (ref * log10_error + alt * right)).cast("int"))
+    return (
+        F.array(
+            (-10 * (ref * right + alt * log10_error)).cast("int"), (10 * (ref + alt) * log10_two).cast("int"),
+            (-10 * (ref * log10_error + alt * right)).cast("int"),
+        )
+    )
 
 
 def genotype_quality(ref: Column, alt: Column, most: int = 60) -> Column:

@@ -23,7 +23,12 @@ def cigar_ops(cigar: Column, pos: Column) -> Column:
     n = F.regexp_extract_all(cigar, F.lit("([0-9]+)([MIDNSHP=X])"), F.lit(1))
     o = F.regexp_extract_all(cigar, F.lit("([0-9]+)([MIDNSHP=X])"), F.lit(2))
     ops = F.zip_with(o, n, lambda op, k: F.struct(op.alias("op"), k.cast("int").alias("len")))
-    zero = F.struct(pos.cast("long").alias("ref"), F.lit(0).alias("qi"), F.array().cast("array<struct<op:string,len:int,ref_pos:bigint,qi:int>>").alias("out"))
+    zero = (
+        F.struct(
+            pos.cast("long").alias("ref"), F.lit(0).alias("qi"),
+            F.array().cast("array<struct<op:string,len:int,ref_pos:bigint,qi:int>>").alias("out"),
+        )
+    )
 
     def step(s: Column, x: Column) -> Column:
         here = F.struct(x["op"].alias("op"), x["len"].alias("len"), s["ref"].alias("ref_pos"), s["qi"].alias("qi"))

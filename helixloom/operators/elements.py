@@ -10,7 +10,12 @@ from helixloom.functions import sequences as seq
 
 def index(elements: DataFrame, k: int = 15) -> DataFrame:
     """te_id, rev, kmer: distinct k-mers of element sequences (te_id, seq), forward and reverse-complemented, simple ones left out."""
-    both = elements.select("te_id", F.explode(F.array(F.struct(F.lit(False).alias("rev"), F.col("seq").alias("s")), F.struct(F.lit(True).alias("rev"), seq.reverse_complement(F.col("seq")).alias("s")))).alias("x"))
+    both = (
+        elements.select(
+            "te_id",
+            F.explode(F.array(F.struct(F.lit(False).alias("rev"), F.col("seq").alias("s")), F.struct(F.lit(True).alias("rev"), seq.reverse_complement(F.col("seq")).alias("s")))).alias("x"),
+        )
+    )
     words = both.select("te_id", "x.rev", F.explode(seq.kmers(F.col("x.s"), k)).alias("kmer"))
     return words.filter(seq.plain_kmer(F.col("kmer"))).distinct()
 

@@ -45,14 +45,20 @@ def with_names(variants: DataFrame, alt_reads: DataFrame, keys: list[str]) -> Da
     """Adds `alt_reads`, the names of a variant's alt reads (keys, qname), comma-joined; its alt count becomes their number. Variants without any keep their count."""
     names = alt_reads.groupBy(*keys).agg(F.array_sort(F.collect_set("qname")).alias("_names"))  # a variant's depth bounds it
     joined = variants.join(names, keys, "left")
-    return joined.withColumn("alt_cov", F.when(F.col("_names").isNull(), F.col("alt_cov")).otherwise(F.size("_names"))).withColumn("alt_reads", F.array_join("_names", ",")).drop("_names")
+    return (
+        joined.withColumn("alt_cov", F.when(F.col("_names").isNull(), F.col("alt_cov")).otherwise(F.size("_names")))
+        .withColumn("alt_reads", F.array_join("_names", ",")).drop("_names")
+    )
 
 
 def final_filter(calls: DataFrame, o: Options) -> DataFrame:
     """What is written: deep enough, enough alt reads, and no ambiguous base unless asked for. Mobile elements need less."""
     somatic = F.coalesce(F.col("somatic"), F.lit(False)) if "somatic" in calls.columns else F.lit(False)
     tsd = (F.col("tsdlen") > 0) if "tsdlen" in calls.columns else F.lit(False)
-    enough = F.when(somatic, (F.col("alt_ad") >= o.somatic_te_alt) & ((F.col("alt_ad") >= o.somatic_alt) | tsd)).otherwise(F.col("alt_ad") >= o.min_alt_depth)
+    enough = (
+        F.when(somatic, (F.col("alt_ad") >= o.somatic_te_alt) & ((F.col("alt_ad") >= o.somatic_alt) | tsd))
+        .otherwise(F.col("alt_ad") >= o.min_alt_depth)
+    )
     plain = F.lit(True) if o.amb_bases else ~(F.col("ref").contains("N") | F.col("alt").contains("N"))
     return calls.filter((F.col("dp") >= o.min_depth) & enough & plain)
 
@@ -72,6 +78,16 @@ def body_line(calls: DataFrame) -> DataFrame:
     has_ps = F.coalesce(F.col("ps") > 0, F.lit(False))
     form = F.concat(F.lit("GT:DP:AD:VAF:GQ"), F.when(has_ps, ":PS").otherwise(""), F.when(names.isNotNull(), ":ALTREADS").otherwise(""))
     vaf = three_places(F.col("alt_ad") / F.col("dp"))
-    sample = F.concat_ws(":", "gt", F.col("dp").cast("string"), F.concat_ws(",", F.col("ref_ad").cast("string"), F.col("alt_ad").cast("string")), vaf, F.col("gq").cast("string"), F.when(has_ps, F.col("ps").cast("string")), names)
-    line = F.concat_ws("\t", "contig", F.col("pos").cast("string"), F.lit("."), "ref", "alt", F.col("qual").cast("string"), F.lit("PASS"), F.concat_ws(";", *info), form, sample)
+    sample = (
+        F.concat_ws(
+            ":", "gt", F.col("dp").cast("string"), F.concat_ws(",", F.col("ref_ad").cast("string"), F.col("alt_ad").cast("string")), vaf,
+            F.col("gq").cast("string"), F.when(has_ps, F.col("ps").cast("string")), names,
+        )
+    )
+    line = (
+        F.concat_ws(
+            "\t", "contig", F.col("pos").cast("string"), F.lit("."), "ref", "alt", F.col("qual").cast("string"), F.lit("PASS"),
+            F.concat_ws(";", *info), form, sample,
+        )
+    )
     return calls.select("contig", "pos", line.alias("line"))

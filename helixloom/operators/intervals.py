@@ -57,7 +57,10 @@ def overlap_semi(a: DataFrame, b: DataFrame, keys: list[str], width: int, how: s
     """
     merged = merge_fixed(b.select(*keys, "st", "en"), keys, 0, 64 * width).select(*keys, "st", "en")
     spread = _dealt(a, "st", "en", width, "_bin")
-    y = _dealt(merged.select(*keys, F.col("st").alias("b_st"), F.col("en").alias("b_en")), "b_st", "b_en", width, "_bin").select(*(F.col(k).alias(f"_{k}") for k in keys), "b_st", "b_en", F.col("_bin").alias("_b_bin"))
+    y = (
+        _dealt(merged.select(*keys, F.col("st").alias("b_st"), F.col("en").alias("b_en")), "b_st", "b_en", width, "_bin")
+        .select(*(F.col(k).alias(f"_{k}") for k in keys), "b_st", "b_en", F.col("_bin").alias("_b_bin"))
+    )
     on = (F.col("_bin") == F.col("_b_bin")) & (F.col("st") < F.col("b_en")) & (F.col("b_st") < F.col("en"))
     for k in keys:
         on = on & (F.col(k) == F.col(f"_{k}"))
@@ -77,7 +80,10 @@ def _with_prior(df: DataFrame, keys: list[str], cols: list[str], stretch: int) -
     rows = df.withColumn("_bin", _bin(F.col("st"), stretch))
     inner = Window.partitionBy(*keys, "_bin").orderBy("st", "en").rowsBetween(Window.unboundedPreceding, -1)
     outer = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = rows.groupBy(*keys, "_bin").agg(*(F.max(c).alias(c) for c in cols)).select(*keys, "_bin", *(F.max(c).over(outer).alias(f"_carry_{c}") for c in cols))
+    bins = (
+        rows.groupBy(*keys, "_bin").agg(*(F.max(c).alias(c) for c in cols))
+        .select(*keys, "_bin", *(F.max(c).over(outer).alias(f"_carry_{c}") for c in cols))
+    )
     out = rows.select("*", *(F.max(c).over(inner).alias(f"_inner_{c}") for c in cols)).join(bins, [*keys, "_bin"])
     return out.select(*df.columns, "_bin", *(F.greatest(f"_inner_{c}", f"_carry_{c}").alias(f"_max_{c}") for c in cols))
 
@@ -88,8 +94,14 @@ def _numbered(df: DataFrame, keys: list[str], new: Column) -> DataFrame:
     # of rows with equal st and en only the first can be new, and must be counted first here too
     inner = Window.partitionBy(*keys, "_bin").orderBy("st", "en", F.desc("_new")).rowsBetween(Window.unboundedPreceding, 0)
     outer = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = rows.groupBy(*keys, "_bin").agg(F.sum("_new").alias("_n")).select(*keys, "_bin", F.coalesce(F.sum("_n").over(outer), F.lit(0)).alias("_carry"))
-    return rows.withColumn("_inner", F.sum("_new").over(inner)).join(bins, [*keys, "_bin"]).withColumn("_island", F.col("_inner") + F.col("_carry"))
+    bins = (
+        rows.groupBy(*keys, "_bin").agg(F.sum("_new").alias("_n"))
+        .select(*keys, "_bin", F.coalesce(F.sum("_n").over(outer), F.lit(0)).alias("_carry"))
+    )
+    return (
+        rows.withColumn("_inner", F.sum("_new").over(inner)).join(bins, [*keys, "_bin"])
+        .withColumn("_island", F.col("_inner") + F.col("_carry"))
+    )
 
 
 def merge_fixed(df: DataFrame, keys: list[str], gap: int, stretch: int = STRETCH) -> DataFrame:
@@ -97,7 +109,10 @@ def merge_fixed(df: DataFrame, keys: list[str], gap: int, stretch: int = STRETCH
     label = ["label"] if "label" in df.columns else []
     rows = _with_prior(df.select(*keys, "st", "en", *label), keys, ["en"], stretch)
     island = _numbered(rows, keys, F.col("_max_en").isNull() | (F.col("st") > F.col("_max_en") + gap))
-    return island.groupBy(*keys, "_island").agg(F.min("st").alias("st"), F.max("en").alias("en"), F.count("*").alias("n"), *(F.max(c).alias(c) for c in label)).drop("_island")
+    return (
+        island.groupBy(*keys, "_island")
+        .agg(F.min("st").alias("st"), F.max("en").alias("en"), F.count("*").alias("n"), *(F.max(c).alias(c) for c in label)).drop("_island")
+    )
 
 
 class LabelledFold:
@@ -151,7 +166,12 @@ def _folded(rows: DataFrame, by: list[str]) -> DataFrame:
 
         def out() -> pa.RecordBatch:
             cols = list(zip(*fold.rows, strict=True))
-            return pa.record_batch([*(pa.array([x] * len(fold.rows), t) for x, t in zip(now, types, strict=True)), *(pa.array(c, pa.int64()) for c in cols)], names=[*by, "st", "en", "label"])
+            return (
+                pa.record_batch(
+                    [*(pa.array([x] * len(fold.rows), t) for x, t in zip(now, types, strict=True)), *(pa.array(c, pa.int64()) for c in cols)],
+                    names=[*by, "st", "en", "label"],
+                )
+            )
 
         for b in batches:
             types = [b.schema.field(c).type for c in by]
@@ -176,12 +196,20 @@ def merge_labelled(df: DataFrame, keys: list[str], stretch: int = STRETCH) -> Da
     reach over one of its ends, by their label, meet those of other stretches, in one short fold a key. Clusters that lie
     under what these became are absorbed. If a cluster grew in label by that, it may reach others in its stretches, so all is done once more.
     """
-    long = df.select(*keys, *(F.col(c).cast("long").alias(c) for c in ("st", "en", "label"))).groupBy(*keys, "st", "en").agg(F.max("label").alias("label"))
+    long = (
+        df.select(*keys, *(F.col(c).cast("long").alias(c) for c in ("st", "en", "label"))).groupBy(*keys, "st", "en")
+        .agg(F.max("label").alias("label"))
+    )
     rows, ends = long, {"lo": F.col("_s") * stretch, "hi": (F.col("_s") + 1) * stretch}
     while True:
         pieces = _dealt(rows, "st", "en", stretch, "_s")
         # a piece that ends at a stretch's end touches the next one's, which begins there
-        pieces = pieces.select(*keys, "_s", F.greatest("st", ends["lo"]).alias("st"), F.when(F.col("en") > ends["hi"], ends["hi"]).otherwise(F.col("en")).alias("en"), "label")
+        pieces = (
+            pieces.select(
+                *keys, "_s", F.greatest("st", ends["lo"]).alias("st"),
+                F.when(F.col("en") > ends["hi"], ends["hi"]).otherwise(F.col("en")).alias("en"), "label",
+            )
+        )
         local = cut(_folded(pieces, [*keys, "_s"]))
         open_end = (F.col("st") - F.col("label") <= ends["lo"]) | (F.col("en") + F.col("label") >= ends["hi"])
         if (opened := local.filter(open_end)).isEmpty():
@@ -189,7 +217,10 @@ def merge_labelled(df: DataFrame, keys: list[str], stretch: int = STRETCH) -> Da
             break
         met = cut(_folded(opened, keys))
         closed = local.filter(~open_end)
-        hits = overlap_join(closed.drop("_s").withColumn("en", F.greatest("en", F.col("st") + 1)), met, keys, stretch).filter("a_st >= b_st AND a_en <= greatest(b_en, b_st + 1)")
+        hits = (
+            overlap_join(closed.drop("_s").withColumn("en", F.greatest("en", F.col("st") + 1)), met, keys, stretch)
+            .filter("a_st >= b_st AND a_en <= greatest(b_en, b_st + 1)")
+        )
         under = cut(hits.select(*keys, *(F.col(f"{s}_{c}").alias(f"{s}_{c}") for s in "ab" for c in ("st", "label")), F.col("b_en")))
         grown = under.groupBy(*keys, F.col("b_st").alias("st")).agg(F.max("a_label").alias("_l"))
         whole = met.join(grown, [*keys, "st"], "left").select(*keys, "st", "en", F.greatest("label", F.coalesce("_l", "label")).alias("label"))
@@ -205,20 +236,38 @@ def merge_labelled(df: DataFrame, keys: list[str], stretch: int = STRETCH) -> Da
 def extend_by(a: DataFrame, b: DataFrame, keys: list[str], width: int) -> DataFrame:
     """Each interval of a, stretched over all intervals of b that overlap it. Other columns of a are kept; rows of a must be distinct."""
     rest = [c for c in a.columns if c not in keys]
-    hits = overlap_join(a, b.select(*keys, "st", "en"), keys, width).groupBy(*keys, *(f"a_{c}" for c in rest)).agg(F.min("b_st").alias("_lo"), F.max("b_en").alias("_hi"))
+    hits = (
+        overlap_join(a, b.select(*keys, "st", "en"), keys, width).groupBy(*keys, *(f"a_{c}" for c in rest))
+        .agg(F.min("b_st").alias("_lo"), F.max("b_en").alias("_hi"))
+    )
     hits = hits.select(*keys, *(F.col(f"a_{c}").alias(c) for c in rest), "_lo", "_hi")
     out = a.join(hits, [*keys, *rest], "left")
-    return out.select(*keys, *(F.coalesce(F.least("st", "_lo"), F.col("st")).alias(c) if c == "st" else F.coalesce(F.greatest("en", "_hi"), F.col("en")).alias(c) if c == "en" else F.col(c) for c in rest))
+    return (
+        out.select(
+            *keys,
+            *(F.coalesce(F.least("st", "_lo"), F.col("st")).alias(c) if c == "st" else F.coalesce(F.greatest("en", "_hi"), F.col("en")).alias(c) if c == "en" else F.col(c) for c in rest),
+        )
+    )
 
 
 def low_complexity_class(sites: DataFrame, regions: DataFrame, keys: list[str], near: int = 5, width: int = 10_000) -> DataFrame:
     """Adds to each site (st, en) `place`: 1 inside a region, 2 within `near` of one, else 0; and the span lo, hi of what it met. Sites must be distinct."""
-    wide = regions.select(*keys, (F.col("st") - near).alias("st"), (F.col("en") + near).alias("en"), F.col("st").alias("r_st"), F.col("en").alias("r_en"))
+    wide = (
+        regions.select(
+            *keys, (F.col("st") - near).alias("st"), (F.col("en") + near).alias("en"), F.col("st").alias("r_st"), F.col("en").alias("r_en"),
+        )
+    )
     rest = [c for c in sites.columns if c not in keys]
     inside = (F.col("a_st") < F.col("b_r_en")) & (F.col("b_r_st") < F.col("a_en"))
-    hits = overlap_join(sites, wide, keys, width).groupBy(*keys, *(f"a_{c}" for c in rest)).agg(F.max(inside).alias("_in"), F.min("b_r_st").alias("lo"), F.max("b_r_en").alias("hi"))
+    hits = (
+        overlap_join(sites, wide, keys, width).groupBy(*keys, *(f"a_{c}" for c in rest))
+        .agg(F.max(inside).alias("_in"), F.min("b_r_st").alias("lo"), F.max("b_r_en").alias("hi"))
+    )
     hits = hits.select(*keys, *(F.col(f"a_{c}").alias(c) for c in rest), "_in", "lo", "hi")
-    return sites.join(hits, [*keys, *rest], "left").withColumn("place", F.when(F.col("_in"), 1).when(F.col("_in").isNotNull(), 2).otherwise(0)).drop("_in")
+    return (
+        sites.join(hits, [*keys, *rest], "left").withColumn("place", F.when(F.col("_in"), 1).when(F.col("_in").isNotNull(), 2).otherwise(0))
+        .drop("_in")
+    )
 
 
 def flank_reach(start: int, end: int, variants: list[tuple[int, int]], gap: int = 10) -> tuple[int, int]:
@@ -236,8 +285,24 @@ def flank_reach(start: int, end: int, variants: list[tuple[int, int]], gap: int
 def flanked(regions: DataFrame, variants: DataFrame, keys: list[str], gap: int = 10) -> DataFrame:
     """flank_reach() for every region, then regions that touch are merged. Variants within reach are gathered through chains of variants less than `gap` apart."""
     chains = merge_fixed(variants.select(*keys, "st", "en"), keys, gap - 1).select(*keys, "st", "en")
-    wide = regions.select(*keys, (F.col("st") - gap).alias("st"), (F.col("en") + gap).alias("en"), F.col("st").alias("o_st"), F.col("en").alias("o_en")).distinct()
-    grown = overlap_join(wide, chains, keys, 100_000).groupBy(*keys, "a_o_st", "a_o_en").agg(F.min("b_st").alias("lo"), F.max("b_en").alias("hi"))
-    all_of = regions.select(*keys, F.col("st").alias("a_o_st"), F.col("en").alias("a_o_en")).distinct().join(grown, [*keys, "a_o_st", "a_o_en"], "left")
-    out = all_of.select(*keys, (F.least("a_o_st", F.coalesce("lo", "a_o_st")) - gap).alias("st"), (F.greatest("a_o_en", F.coalesce("hi", "a_o_en")) + gap).alias("en"))
+    wide = (
+        regions.select(
+            *keys, (F.col("st") - gap).alias("st"), (F.col("en") + gap).alias("en"), F.col("st").alias("o_st"), F.col("en").alias("o_en"),
+        )
+        .distinct()
+    )
+    grown = (
+        overlap_join(wide, chains, keys, 100_000).groupBy(*keys, "a_o_st", "a_o_en")
+        .agg(F.min("b_st").alias("lo"), F.max("b_en").alias("hi"))
+    )
+    all_of = (
+        regions.select(*keys, F.col("st").alias("a_o_st"), F.col("en").alias("a_o_en")).distinct()
+        .join(grown, [*keys, "a_o_st", "a_o_en"], "left")
+    )
+    out = (
+        all_of.select(
+            *keys, (F.least("a_o_st", F.coalesce("lo", "a_o_st")) - gap).alias("st"),
+            (F.greatest("a_o_en", F.coalesce("hi", "a_o_en")) + gap).alias("en"),
+        )
+    )
     return merge_fixed(out.withColumn("st", F.greatest("st", F.lit(0))), keys, 0).select(*keys, "st", "en")

@@ -143,7 +143,12 @@ def sliced_events(events: Column, lo: Column, hi: Column) -> Column:
         st = F.when(e["op"] == "I", e["pos"]).otherwise(F.greatest(e["pos"], lo))
         n = F.when(e["op"] == "I", e["len"]).otherwise((F.least(e["pos"] + e["len"] - 1, hi) - st + 1).cast("int"))
         qi = (e["qi"] + F.when(e["op"].isin("=", "X"), st - e["pos"]).otherwise(0)).cast("int")
-        return F.struct(st.alias("pos"), e["op"].alias("op"), n.alias("len"), qi.alias("qi"), e["alt"].alias("alt"), e["low_qual"].alias("low_qual"))
+        return (
+            F.struct(
+                st.alias("pos"), e["op"].alias("op"), n.alias("len"), qi.alias("qi"), e["alt"].alias("alt"),
+                e["low_qual"].alias("low_qual"),
+            )
+        )
 
     return F.transform(F.filter(events, touch), cut_to)
 
@@ -191,7 +196,10 @@ def call(regions: DataFrame, cover: DataFrame, reads: DataFrame, keys: list[str]
 def read_candidates(called: DataFrame, keys: list[str], o: Options) -> DataFrame:
     """Somatic candidates of noisy regions: differences that enough single reads share, with their number."""
     site = ["pos", "vtype", "ref_len", "alt_len", "alt_seq"]
-    return called.filter("kind = 'single'").groupBy(*keys, "region_id", *site).agg(F.countDistinct("read_id").alias("alt_cov")).filter(F.col("alt_cov") >= o.somatic_alt)
+    return (
+        called.filter("kind = 'single'").groupBy(*keys, "region_id", *site).agg(F.countDistinct("read_id").alias("alt_cov"))
+        .filter(F.col("alt_cov") >= o.somatic_alt)
+    )
 
 
 def splice(events: list[Event], pair: tuple[str, str], lo: int, hi: int, seq: str) -> list[Event] | None:

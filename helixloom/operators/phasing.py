@@ -32,10 +32,18 @@ def agree_conflict(profile: DataFrame, variants: DataFrame, keys: list[str]) ->
     profile: keys, read_id, var_id, allele (0 or 1 counts). Every variant gets a row; the first one of a key has zeros.
     """
     het = neighbours(variants, keys)
-    side = profile.filter("allele >= 0").join(het.select(*keys, "var_id", "hap1", "previous"), [*keys, "var_id"]).withColumn("on1", F.col("allele") == F.col("hap1"))
+    side = (
+        profile.filter("allele >= 0").join(het.select(*keys, "var_id", "hap1", "previous"), [*keys, "var_id"])
+        .withColumn("on1", F.col("allele") == F.col("hap1"))
+    )
     left = side.select(*keys, "read_id", F.col("var_id").alias("previous"), F.col("on1").alias("before1"))
     pairs = side.filter("previous is not null").join(left, [*keys, "read_id", "previous"])
-    n = pairs.groupBy(*keys, "var_id").agg(F.count_if(F.col("on1") == F.col("before1")).alias("n_agree"), F.count_if(F.col("on1") != F.col("before1")).alias("n_conflict"))
+    n = (
+        pairs.groupBy(*keys, "var_id")
+        .agg(
+            F.count_if(F.col("on1") == F.col("before1")).alias("n_agree"), F.count_if(F.col("on1") != F.col("before1")).alias("n_conflict"),
+        )
+    )
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return het.select(*keys, "var_id").join(n, [*keys, "var_id"], "left").select(*keys, "var_id", zero("n_agree"), zero("n_conflict"))
 
@@ -59,7 +67,11 @@ def phase_segments(variants: DataFrame, keys: list[str], least: int = 2) -> Data
 
 def pivot_rank() -> Column:
     """Which variant phasing starts at: clean het SNPs, clean het indels, noisy het SNPs, other noisy ones; the deepest, the first of equals."""
-    kind = F.when(F.col("category") == CLEAN_SNP, 0).when(F.col("category") == CLEAN_INDEL, 1).when((F.col("category") == NOISY_HET) & (F.col("vtype") == 8), 2).when((F.col("category") == NOISY_HET) & ~F.col("is_hp"), 3).otherwise(9)
+    kind = (
+        F.when(F.col("category") == CLEAN_SNP, 0).when(F.col("category") == CLEAN_INDEL, 1)
+        .when((F.col("category") == NOISY_HET) & (F.col("vtype") == 8), 2).when((F.col("category") == NOISY_HET) & ~F.col("is_hp"), 3)
+        .otherwise(9)
+    )
     return F.struct(kind, -F.col("total_cov"), F.col("var_id"))
 
 
@@ -207,7 +219,10 @@ def two_means(profile: DataFrame, variants: DataFrame, keys: list[str], o: Optio
             reads.setdefault(r, {})[i] = a
         by_read, by_var = phase_window(many, list(reads.items()), o)
         rows = [(*key, "read", r, ps, hap, None, None) for r, (hap, ps) in by_read.items()] + [(*key, "variant", i, ps, None, a, b) for i, (ps, a, b) in by_var.items()]
-        return pd.DataFrame(rows, columns=[*keys, "kind", "id", "phase_set", "hap", "hap1", "hap2"]).astype({"hap": "Int32", "hap1": "Int32", "hap2": "Int32"})
+        return (
+            pd.DataFrame(rows, columns=[*keys, "kind", "id", "phase_set", "hap", "hap1", "hap2"])
+            .astype({"hap": "Int32", "hap1": "Int32", "hap2": "Int32"})
+        )
 
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", kind string, id long, phase_set long, hap int, hap1 int, hap2 int"
     # new names for the same columns: profile often comes from these very variants
@@ -223,7 +238,13 @@ def stitch_votes(haps: DataFrame) -> DataFrame:
     cur = haps.filter("hap > 0").select("contig", "read_id", "chunk", F.col("hap").alias("h"), F.col("phase_set").alias("ps"))
     pre = cur.select("contig", "read_id", (F.col("chunk") + 1).alias("chunk"), F.col("h").alias("pre_h"), F.col("ps").alias("pre_ps"))
     both = cur.join(pre, ["contig", "read_id", "chunk"])
-    return both.groupBy("contig", "chunk").agg(F.sum(F.when(F.col("h") != F.col("pre_h"), 1).otherwise(-1)).alias("score"), F.max("pre_ps").alias("pre_ps"), F.min("ps").alias("cur_ps"))
+    return (
+        both.groupBy("contig", "chunk")
+        .agg(
+            F.sum(F.when(F.col("h") != F.col("pre_h"), 1).otherwise(-1)).alias("score"), F.max("pre_ps").alias("pre_ps"),
+            F.min("ps").alias("cur_ps"),
+        )
+    )
 
 
 def stitch_chains(votes: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -240,7 +261,10 @@ def stitch_chains(votes: DataFrame, chunks: DataFrame) -> DataFrame:
     rows = rows.withColumn("_chain", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     chain = Window.partitionBy("contig", "_chain").orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)
     flip = F.sum((F.col("score") > 0).cast("int")).over(chain) % 2 == 1
-    return rows.withColumn("flip", flip).withColumn("root_ps", F.first("pre_ps").over(chain)).filter("linked").select("contig", "chunk", "cur_ps", "flip", "root_ps")
+    return (
+        rows.withColumn("flip", flip).withColumn("root_ps", F.first("pre_ps").over(chain)).filter("linked")
+        .select("contig", "chunk", "cur_ps", "flip", "root_ps")
+    )
 
 
 def apply_stitch(rows: DataFrame, chains: DataFrame, haps: list[str]) -> DataFrame:

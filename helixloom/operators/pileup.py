@@ -55,8 +55,14 @@ def cover(sites: DataFrame, reads: DataFrame, alleles: DataFrame, keys: list[str
     at = sites.select(*keys, "site_id", F.col("pos").alias("st"), F.col("end").alias("en"))
     from helixloom.operators.intervals import contain_join
 
-    seen = contain_join(at, spans, keys, width).select(*keys, F.col("a_site_id").alias("site_id"), F.col("b_read_id").alias("read_id"), F.col("b_rev").alias("rev"))
-    return seen.join(alleles, ["read_id", "site_id"], "left").withColumn("alt", F.coalesce("alt", F.lit(False))).withColumn("bq", F.coalesce("bq", F.lit(255)))
+    seen = (
+        contain_join(at, spans, keys, width)
+        .select(*keys, F.col("a_site_id").alias("site_id"), F.col("b_read_id").alias("read_id"), F.col("b_rev").alias("rev"))
+    )
+    return (
+        seen.join(alleles, ["read_id", "site_id"], "left").withColumn("alt", F.coalesce("alt", F.lit(False)))
+        .withColumn("bq", F.coalesce("bq", F.lit(255)))
+    )
 
 
 def noisy_read_ratio(regions: DataFrame, reads: DataFrame, events: DataFrame, keys: list[str], width: int) -> DataFrame:
@@ -64,7 +70,10 @@ def noisy_read_ratio(regions: DataFrame, reads: DataFrame, events: DataFrame, ke
     from helixloom.operators.intervals import overlap_join
 
     of = lambda other, name: overlap_join(regions.select(*keys, "region_id", "st", "en"), other.select(*keys, "read_id", "st", "en"), keys, width).groupBy(*keys, F.col("a_region_id").alias("region_id")).agg(F.countDistinct("b_read_id").alias(name))
-    both = of(reads, "n_reads").join(of(events, "n_noisy"), [*keys, "region_id"], "left").withColumn("n_noisy", F.coalesce("n_noisy", F.lit(0)))
+    both = (
+        of(reads, "n_reads").join(of(events, "n_noisy"), [*keys, "region_id"], "left")
+        .withColumn("n_noisy", F.coalesce("n_noisy", F.lit(0)))
+    )
     return both.withColumn("ratio", F.col("n_noisy") / F.col("n_reads"))
 
 

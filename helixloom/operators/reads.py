@@ -11,7 +11,11 @@ from helixloom.operators.intervals import overlap_join
 
 def read_rank(reads: DataFrame, keys: list[str]) -> DataFrame:
     """Adds read_rank: by begin, longest first, edit distance (none is 0), name."""
-    return reads.withColumn("read_rank", F.row_number().over(Window.partitionBy(*keys).orderBy("pos", F.desc("end"), F.coalesce("nm", F.lit(0)), "qname")))
+    return (
+        reads.withColumn(
+            "read_rank", F.row_number().over(Window.partitionBy(*keys).orderBy("pos", F.desc("end"), F.coalesce("nm", F.lit(0)), "qname")),
+        )
+    )
 
 
 #: How a read lies over a region.
@@ -26,7 +30,12 @@ def cover_flags(st: Column, en: Column, lo: Column, hi: Column, has_gap: Column
 def region_reads(regions: DataFrame, reads: DataFrame, keys: list[str], width: int = 10_000) -> DataFrame:
     """keys, region_id, read_id, cover: reads that overlap each region."""
     j = overlap_join(regions.select(*keys, "region_id", "st", "en"), reads.select(*keys, "read_id", "st", "en"), keys, width)
-    return j.select(*keys, F.col("a_region_id").alias("region_id"), F.col("b_read_id").alias("read_id"), cover_flags(F.col("b_st"), F.col("b_en"), F.col("a_st"), F.col("a_en")).alias("cover"))
+    return (
+        j.select(
+            *keys, F.col("a_region_id").alias("region_id"), F.col("b_read_id").alias("read_id"),
+            cover_flags(F.col("b_st"), F.col("b_en"), F.col("a_st"), F.col("a_en")).alias("cover"),
+        )
+    )
 
 
 def region_order(regions: DataFrame, keys: list[str]) -> DataFrame:
@@ -37,7 +46,10 @@ def region_order(regions: DataFrame, keys: list[str]) -> DataFrame:
 def workable(regions: DataFrame, depth: DataFrame, keys: list[str], o: Options) -> DataFrame:
     """Regions that aren't too long or too deep, before any group is gathered."""
     n = depth.groupBy(*keys, "region_id").agg(F.countDistinct("read_id").alias("_n"))
-    return regions.filter(F.col("en") - F.col("st") <= o.max_noisy_length).join(n, [*keys, "region_id"], "left").filter(F.coalesce("_n", F.lit(0)) <= o.max_noisy_reads).drop("_n")
+    return (
+        regions.filter(F.col("en") - F.col("st") <= o.max_noisy_length).join(n, [*keys, "region_id"], "left")
+        .filter(F.coalesce("_n", F.lit(0)) <= o.max_noisy_reads).drop("_n")
+    )
 
 
 def phase_set_of_region(reads: DataFrame, keys: list[str], o: Options) -> DataFrame:
@@ -46,6 +58,12 @@ def phase_set_of_region(reads: DataFrame, keys: list[str], o: Options) -> DataFr
     reads: keys, read_id, phase_set, hap, full (covers the region).
     """
     n = lambda hap, full: F.count_if((F.col("hap") == hap) & (F.col("full") if full else F.lit(True)))
-    g = reads.filter("hap > 0 AND phase_set > 0").groupBy(*keys, "phase_set").agg(n(1, True).alias("f1"), n(2, True).alias("f2"), n(1, False).alias("a1"), n(2, False).alias("a2"))
+    g = (
+        reads.filter("hap > 0 AND phase_set > 0").groupBy(*keys, "phase_set")
+        .agg(n(1, True).alias("f1"), n(2, True).alias("f2"), n(1, False).alias("a1"), n(2, False).alias("a2"))
+    )
     fit = g.filter((F.least("f1", "f2") >= o.min_hap_full_reads) & (F.least("a1", "a2") >= o.min_hap_reads))
-    return fit.groupBy(*keys).agg(F.max_by("phase_set", F.struct(F.least("f1", "f2"), F.greatest("f1", "f2"), -F.col("phase_set"))).alias("phase_set"))
+    return (
+        fit.groupBy(*keys)
+        .agg(F.max_by("phase_set", F.struct(F.least("f1", "f2"), F.greatest("f1", "f2"), -F.col("phase_set"))).alias("phase_set"))
+    )

@@ -24,7 +24,12 @@ def distinct_sites(sites: DataFrame) -> DataFrame:
 def leader_fold(lengths: Column, ratio: float = 0.8) -> Column:
     """Kept lengths of an ascending array: a length joins the last kept one if that is at least `ratio` of it, else it is kept itself."""
     zero = F.array().cast("array<int>")
-    return F.aggregate(lengths, zero, lambda kept, x: F.when(F.coalesce(F.element_at(F.when(F.size(kept) > 0, kept), -1) >= ratio * x, F.lit(False)), kept).otherwise(F.array_append(kept, x)))
+    return (
+        F.aggregate(
+            lengths, zero,
+            lambda kept, x: F.when(F.coalesce(F.element_at(F.when(F.size(kept) > 0, kept), -1) >= ratio * x, F.lit(False)), kept).otherwise(F.array_append(kept, x)),
+        )
+    )
 
 
 def distinct_long_insertions(sites: DataFrame, min_sv: int = 30, ratio: float = 0.8, least: int = 1) -> DataFrame:
@@ -67,14 +72,22 @@ def nearest(sites: DataFrame, others: DataFrame, keys: list[str], stretch: int =
 
     Rows are ordered within stretches of a key; the last of the others before a stretch and the first behind it come from one row a stretch.
     """
-    both = sites.withColumn("_o", F.lit(None).cast("long")).unionByName(others.select(*keys, "pos").distinct().withColumn("_o", F.col("pos").cast("long")), allowMissingColumns=True)
+    both = (
+        sites.withColumn("_o", F.lit(None).cast("long"))
+        .unionByName(others.select(*keys, "pos").distinct().withColumn("_o", F.col("pos").cast("long")), allowMissingColumns=True)
+    )
     both = both.withColumn("_bin", F.floor(F.col("pos") / stretch))
     w = Window.partitionBy(*keys, "_bin")
     # at a position the other rows come first going up, and again first going down
     up, down = w.orderBy("pos", F.col("_o").isNull()), w.orderBy(F.desc("pos"), F.col("_o").isNull())
     across = Window.partitionBy(*keys).orderBy("_bin")
     ends = both.groupBy(*keys, "_bin").agg(F.max("_o").alias("_last"), F.min("_o").alias("_first"))
-    ends = ends.select(*keys, "_bin", F.max("_last").over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("_lo"), F.min("_first").over(across.rowsBetween(1, Window.unboundedFollowing)).alias("_hi"))
+    ends = (
+        ends.select(
+            *keys, "_bin", F.max("_last").over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("_lo"),
+            F.min("_first").over(across.rowsBetween(1, Window.unboundedFollowing)).alias("_hi"),
+        )
+    )
     before, after = F.last("_o", ignorenulls=True).over(up), F.last("_o", ignorenulls=True).over(down)
     placed = both.withColumn("_before", before).withColumn("_after", after).filter("_o is null").join(ends, [*keys, "_bin"])
     lo, hi = F.coalesce("_before", "_lo"), F.coalesce("_after", "_hi")

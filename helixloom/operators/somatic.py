@@ -65,7 +65,10 @@ def conflicting_reads(profile: DataFrame, clean: DataFrame, keys: list[str], lea
     """keys, read_id: reads that contradict their haplotype at `least` or more clean SNPs. profile: keys, read_id, hap, var_id, allele; clean: keys, var_id, hap1, hap2."""
     own = F.when(F.col("hap") == 1, F.col("hap1")).otherwise(F.col("hap2"))
     j = profile.filter("hap > 0 AND allele >= 0").join(clean, [*keys, "var_id"])
-    return j.filter((own >= 0) & (F.col("allele") != own)).groupBy(*keys, "read_id").agg(F.count("*").alias("n")).filter(F.col("n") >= least).drop("n")
+    return (
+        j.filter((own >= 0) & (F.col("allele") != own)).groupBy(*keys, "read_id").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+        .drop("n")
+    )
 
 
 def choose_phase_set(profile: DataFrame, keys: list[str], o: Options) -> DataFrame:
@@ -75,14 +78,20 @@ def choose_phase_set(profile: DataFrame, keys: list[str], o: Options) -> DataFra
     """
     rows = profile.filter("hap > 0 AND phase_set > 0 AND allele >= 0")
     n = lambda hap, a: F.count_if((F.col("hap") == hap) & (F.col("allele") == a))
-    g = rows.groupBy(*keys, "var_id", "phase_set").agg(F.count("*").alias("depth"), n(1, 0).alias("r1"), n(1, 1).alias("a1"), n(2, 0).alias("r2"), n(2, 1).alias("a2"))
+    g = (
+        rows.groupBy(*keys, "var_id", "phase_set")
+        .agg(F.count("*").alias("depth"), n(1, 0).alias("r1"), n(1, 1).alias("a1"), n(2, 0).alias("r2"), n(2, 1).alias("a2"))
+    )
     one = (F.col("a1") > 0) != (F.col("a2") > 0)
     hap = F.when(F.col("a1") > 0, 1).otherwise(2)
     alt, ref = F.greatest("a1", "a2"), F.when(F.col("a1") > 0, F.col("r1")).otherwise(F.col("r2"))
     fit = g.filter(one & (alt <= ref) & (F.col("depth") >= o.min_depth)).withColumn("alt_hap", hap)
     best = fit.groupBy(*keys, "var_id").agg(F.max_by(F.struct("phase_set", "alt_hap"), F.struct("depth", -F.col("phase_set"))).alias("b"))
     all_vars = profile.select(*keys, "var_id").distinct()
-    return all_vars.join(best, [*keys, "var_id"], "left").select(*keys, "var_id", F.coalesce("b.phase_set", F.lit(0)).alias("phase_set"), F.coalesce("b.alt_hap", F.lit(2)).alias("alt_hap"))
+    return (
+        all_vars.join(best, [*keys, "var_id"], "left")
+        .select(*keys, "var_id", F.coalesce("b.phase_set", F.lit(0)).alias("phase_set"), F.coalesce("b.alt_hap", F.lit(2)).alias("alt_hap"))
+    )
 
 
 #: What is gathered of each alt read.
@@ -123,7 +132,10 @@ def sv_passes(o: Options) -> Column:
 
 def passes(o: Options) -> Column:
     """The filter of a candidate by its kind and whether a phase set was found."""
-    return F.when(F.col("vtype") == SNP, F.when(F.col("phase_set") > 0, snv_passes(o, True)).otherwise(snv_passes(o, False))).otherwise(sv_passes(o))
+    return (
+        F.when(F.col("vtype") == SNP, F.when(F.col("phase_set") > 0, snv_passes(o, True)).otherwise(snv_passes(o, False)))
+        .otherwise(sv_passes(o))
+    )
 
 
 def without_germline(candidates: DataFrame, germline: DataFrame, keys: list[str], least: int = 500, ratio: float = 0.8, close: int = 50) -> DataFrame:
@@ -134,7 +146,12 @@ def without_germline(candidates: DataFrame, germline: DataFrame, keys: list[str]
     """
     told = "gap" in candidates.columns and "gap" in germline.columns
     extra = [F.col("gap").alias("g_gap")] if told else []
-    g = germline.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("pos").alias("g_pos"), F.col("vtype").alias("g_vtype"), F.col("len").alias("g_len"), *extra)
+    g = (
+        germline.select(
+            *(F.col(k).alias(f"_{k}") for k in keys), F.col("pos").alias("g_pos"), F.col("vtype").alias("g_vtype"),
+            F.col("len").alias("g_len"), *extra,
+        )
+    )
     reach = F.greatest(F.lit(least), F.col("len"))
     bins = candidates.withColumn("_bin", F.explode(F.sequence(F.floor((F.col("pos") - reach) / 1000), F.floor((F.col("pos") + reach) / 1000))))
     apart = F.abs(F.col("pos") - F.col("g_pos"))
@@ -152,9 +169,18 @@ def without_germline(candidates: DataFrame, germline: DataFrame, keys: list[str]
 
 def post_process(variants: DataFrame, alt_reads: DataFrame, keys: list[str], o: Options) -> DataFrame:
     """Drops variants in dense runs, and those at least half of whose alt reads carry one. variants: keys, var_id, beg, end; alt_reads: keys, var_id, read_id."""
-    marked = dense_variants(variants.withColumnRenamed("var_id", "id"), keys, o.somatic_window, o.somatic_window_variants).withColumnRenamed("id", "var_id")
-    bad_reads = alt_reads.join(marked.filter("dense").select(*keys, "var_id"), [*keys, "var_id"], "left_semi").select(*keys, "read_id").distinct().withColumn("_bad", F.lit(1))
-    share = alt_reads.join(bad_reads, [*keys, "read_id"], "left").groupBy(*keys, "var_id").agg(F.count("_bad").alias("n_bad"), F.count("*").alias("n"))
+    marked = (
+        dense_variants(variants.withColumnRenamed("var_id", "id"), keys, o.somatic_window, o.somatic_window_variants)
+        .withColumnRenamed("id", "var_id")
+    )
+    bad_reads = (
+        alt_reads.join(marked.filter("dense").select(*keys, "var_id"), [*keys, "var_id"], "left_semi").select(*keys, "read_id").distinct()
+        .withColumn("_bad", F.lit(1))
+    )
+    share = (
+        alt_reads.join(bad_reads, [*keys, "read_id"], "left").groupBy(*keys, "var_id")
+        .agg(F.count("_bad").alias("n_bad"), F.count("*").alias("n"))
+    )
     out = share.filter(2 * F.col("n_bad") >= F.col("n")).select(*keys, "var_id")
     return marked.filter("NOT dense").drop("dense").join(out, [*keys, "var_id"], "left_anti")
 
@@ -171,6 +197,15 @@ def indel_distance(events: DataFrame, sites: DataFrame, variants: DataFrame, key
 
     events: keys, read_id, pos, vtype, len; sites: keys, read_id, var_id, pos; variants: keys, pos, vtype, len.
     """
-    own = events.filter(F.col("vtype").isin(INS, DEL)).join(variants, [*keys, "pos", "vtype", "len"], "left_anti").select(*keys, "read_id", F.col("pos").alias("_p"))
-    near = sites.withColumn("_b", F.explode(F.array(*(F.floor((F.col("pos") + d) / cap) for d in (-cap, 0, cap))))).join(own.withColumn("_b", F.floor(F.col("_p") / cap)), [*keys, "read_id", "_b"], "left")
-    return near.groupBy(*keys, "read_id", "var_id").agg(F.least(F.lit(cap), F.coalesce(F.min(F.abs(F.col("pos") - F.col("_p"))), F.lit(cap))).alias("indel_distance"))
+    own = (
+        events.filter(F.col("vtype").isin(INS, DEL)).join(variants, [*keys, "pos", "vtype", "len"], "left_anti")
+        .select(*keys, "read_id", F.col("pos").alias("_p"))
+    )
+    near = (
+        sites.withColumn("_b", F.explode(F.array(*(F.floor((F.col("pos") + d) / cap) for d in (-cap, 0, cap)))))
+        .join(own.withColumn("_b", F.floor(F.col("_p") / cap)), [*keys, "read_id", "_b"], "left")
+    )
+    return (
+        near.groupBy(*keys, "read_id", "var_id")
+        .agg(F.least(F.lit(cap), F.coalesce(F.min(F.abs(F.col("pos") - F.col("_p"))), F.lit(cap))).alias("indel_distance"))
+    )

@@ -14,7 +14,17 @@ def dense_spans(events: DataFrame, keys: list[str], window: int, most: int, long
     """
     order = Window.partitionBy(*keys).orderBy("pos").rangeBetween(-(window + longest), 0)
     near = F.collect_list(F.struct("k", "pos", "len", "cnt")).over(order)
-    rows = events.withColumn("_near", F.filter(near, lambda e: (e["k"] <= F.col("k")) & ((e["k"] == F.col("k")) | (e["pos"] + e["len"] - 1 > F.col("pos") - window))))
+    rows = (
+        events.withColumn(
+            "_near",
+            F.filter(near, lambda e: (e["k"] <= F.col("k")) & ((e["k"] == F.col("k")) | (e["pos"] + e["len"] - 1 > F.col("pos") - window))),
+        )
+    )
     total = F.aggregate("_near", F.lit(0).cast("long"), lambda s, e: s + e["cnt"].cast("long"))
-    out = rows.select(*keys, "k", total.alias("total"), F.array_min(F.transform("_near", lambda e: e["pos"])).alias("st"), (F.col("pos") + F.col("len")).alias("en"))
+    out = (
+        rows.select(
+            *keys, "k", total.alias("total"), F.array_min(F.transform("_near", lambda e: e["pos"])).alias("st"),
+            (F.col("pos") + F.col("len")).alias("en"),
+        )
+    )
     return out.filter(F.col("total") > most)

@@ -40,11 +40,19 @@ def numbered(rows: DataFrame, name: str) -> DataFrame:
 
 def site_events(reads: DataFrame, o: Options) -> DataFrame:
     """contig, read_id, rev and the site keys of every difference, with low_qual."""
-    e = reads.select("contig", "read_id", (F.col("flag").bitwiseAND(16) > 0).alias("rev"), F.explode("events").alias("e")).filter(F.col("e.op").isin("X", "I", "D"))
+    e = (
+        reads.select("contig", "read_id", (F.col("flag").bitwiseAND(16) > 0).alias("rev"), F.explode("events").alias("e"))
+        .filter(F.col("e.op").isin("X", "I", "D"))
+    )
     vtype = F.when(F.col("e.op") == "I", INS).when(F.col("e.op") == "D", DEL).otherwise(SNP)
     ref_len = F.when(F.col("e.op") == "I", 0).otherwise(F.col("e.len"))
     alt_len = F.when(F.col("e.op") == "D", 0).otherwise(F.col("e.len"))
-    return e.select("contig", "read_id", "rev", F.col("e.pos").alias("pos"), vtype.alias("vtype"), ref_len.alias("ref_len"), alt_len.alias("alt_len"), F.coalesce("e.alt", F.lit("")).alias("alt_seq"), F.col("e.low_qual").alias("low_qual"))
+    return (
+        e.select(
+            "contig", "read_id", "rev", F.col("e.pos").alias("pos"), vtype.alias("vtype"), ref_len.alias("ref_len"),
+            alt_len.alias("alt_len"), F.coalesce("e.alt", F.lit("")).alias("alt_seq"), F.col("e.low_qual").alias("low_qual"),
+        )
+    )
 
 
 def observed(reads: DataFrame, events: DataFrame, found: DataFrame, o: Options) -> DataFrame:
@@ -53,20 +61,53 @@ def observed(reads: DataFrame, events: DataFrame, found: DataFrame, o: Options)
     exact = events.filter(~long).join(found.filter(~long).select(*SITE_KEY, "site_id"), SITE_KEY).select("read_id", "site_id", "low_qual")
     led = found.filter(long).select("contig", "pos", F.col("alt_len").alias("_l"), "site_id")
     like = events.filter(long).join(led, ["contig", "pos"]).filter(F.least("alt_len", "_l") >= 0.8 * F.greatest("alt_len", "_l"))
-    like = like.groupBy("read_id", "contig", "pos", "alt_len", "low_qual").agg(F.min_by("site_id", F.struct(F.abs(F.col("_l") - F.col("alt_len")), "site_id")).alias("site_id")).select("read_id", "site_id", "low_qual")
-    alleles = exact.unionByName(like).groupBy("read_id", "site_id").agg(F.min("low_qual").alias("low")).select("read_id", "site_id", F.lit(True).alias("alt"), F.when(F.col("low"), 0).otherwise(255).alias("bq"))
+    like = (
+        like.groupBy("read_id", "contig", "pos", "alt_len", "low_qual")
+        .agg(F.min_by("site_id", F.struct(F.abs(F.col("_l") - F.col("alt_len")), "site_id")).alias("site_id"))
+        .select("read_id", "site_id", "low_qual")
+    )
+    alleles = (
+        exact.unionByName(like).groupBy("read_id", "site_id").agg(F.min("low_qual").alias("low"))
+        .select("read_id", "site_id", F.lit(True).alias("alt"), F.when(F.col("low"), 0).otherwise(255).alias("bq"))
+    )
     # a site's span begins at the base before a gap, so that only reads beyond it count
-    at = found.select("contig", "site_id", F.when(F.col("vtype") == SNP, F.col("pos") - 1).otherwise(F.col("pos") - 2).alias("pos"), (F.col("pos") + F.greatest("ref_len", F.lit(1)) - 1 + (F.col("vtype") != SNP).cast("int")).alias("end"))
-    return pileup.cover(at.withColumn("pos", F.greatest("pos", F.lit(0))), reads.select("contig", "read_id", (F.col("flag").bitwiseAND(16) > 0).alias("rev"), (F.col("pos") - 1).alias("st"), F.col("end").alias("en")), alleles, ["contig"])
+    at = (
+        found.select(
+            "contig", "site_id", F.when(F.col("vtype") == SNP, F.col("pos") - 1).otherwise(F.col("pos") - 2).alias("pos"),
+            (F.col("pos") + F.greatest("ref_len", F.lit(1)) - 1 + (F.col("vtype") != SNP).cast("int")).alias("end"),
+        )
+    )
+    return (
+        pileup.cover(
+            at.withColumn("pos", F.greatest("pos", F.lit(0))),
+            reads.select("contig", "read_id", (F.col("flag").bitwiseAND(16) > 0).alias("rev"), (F.col("pos") - 1).alias("st"), F.col("end").alias("en")),
+            alleles, ["contig"],
+        )
+    )
 
 
 def other_events(found: DataFrame, events: DataFrame, fuzzy: bool = False) -> DataFrame:
     """contig, site_id, read_id where a read shows a difference that overlaps a site and isn't its allele; `fuzzy` counts long gaps that nearly overlap too."""
     reach = F.when(F.lit(fuzzy) & (F.col("vtype") == INS), F.col("alt_len")).otherwise(1)
     key = F.struct(*SITE_KEY)
-    a = found.select("contig", "site_id", key.alias("key"), (F.col("pos") - 1 - reach).alias("st"), (F.col("pos") + F.col("ref_len") + reach).alias("en"))
-    b = events.select("contig", "read_id", key.alias("key"), (F.col("pos") - 1).alias("st"), (F.col("pos") + F.col("ref_len") + 1).alias("en"))
-    near = intervals.overlap_join(a, b, ["contig"], 10_000).select("contig", F.col("a_site_id").alias("site_id"), F.col("b_read_id").alias("read_id"), F.col("a_key").alias("a"), F.col("b_key").alias("b"))
+    a = (
+        found.select(
+            "contig", "site_id", key.alias("key"), (F.col("pos") - 1 - reach).alias("st"),
+            (F.col("pos") + F.col("ref_len") + reach).alias("en"),
+        )
+    )
+    b = (
+        events.select(
+            "contig", "read_id", key.alias("key"), (F.col("pos") - 1).alias("st"), (F.col("pos") + F.col("ref_len") + 1).alias("en"),
+        )
+    )
+    near = (
+        intervals.overlap_join(a, b, ["contig"], 10_000)
+        .select(
+            "contig", F.col("a_site_id").alias("site_id"), F.col("b_read_id").alias("read_id"), F.col("a_key").alias("a"),
+            F.col("b_key").alias("b"),
+        )
+    )
     meet = sites.overlaps("a", "b") | (sites.nearly_overlaps("a", "b") if fuzzy else F.lit(False))
     return near.filter((F.col("a") != F.col("b")) & meet).select("contig", "site_id", "read_id").distinct()
 
@@ -79,7 +120,11 @@ def matrix(seen: DataFrame, found: DataFrame, reads: DataFrame, events: DataFram
     own = seen.join(found.select("contig", "site_id"), ["contig", "site_id"], "left_semi")
     other = other_events(found, events, fuzzy).withColumn("_other", F.lit(True))
     noise = reads.select("contig", "read_id", F.explode("noisy").alias("n")).select("contig", "read_id", "n.st", "n.en")
-    blind = intervals.overlap_join(site_spans(found), noise, ["contig"], 10_000).select("contig", F.col("a_site_id").alias("site_id"), F.col("b_read_id").alias("read_id")).distinct().withColumn("_blind", F.lit(True))
+    blind = (
+        intervals.overlap_join(site_spans(found), noise, ["contig"], 10_000)
+        .select("contig", F.col("a_site_id").alias("site_id"), F.col("b_read_id").alias("read_id")).distinct()
+        .withColumn("_blind", F.lit(True))
+    )
     told = own.join(other, ["contig", "site_id", "read_id"], "left").join(blind, ["contig", "site_id", "read_id"], "left")
     allele = F.when(F.col("alt") & (F.col("bq") < o.min_base_quality), -2).when(F.col("alt"), 1).when(F.col("_other"), -1).otherwise(0)
     return told.withColumn("allele", allele).filter("allele <> 0 OR _blind IS NULL").select("contig", "site_id", "read_id", "allele")
@@ -87,15 +132,29 @@ def matrix(seen: DataFrame, found: DataFrame, reads: DataFrame, events: DataFram
 
 def repeat_context(found: DataFrame, reference: DataFrame) -> DataFrame:
     """site_id, bases (the anchor and on), repeat: a short indel in or of a tandem repeat, by the reference around it."""
-    left = fasta.base_at(reference, found.select("site_id", "contig", F.greatest(F.col("pos") - 18, F.lit(1)).alias("pos"), F.col("pos").alias("_p")), F.col("_p") - F.col("pos")).select("site_id", F.col("bases").alias("left"))
+    left = (
+        fasta.base_at(
+            reference, found.select("site_id", "contig", F.greatest(F.col("pos") - 18, F.lit(1)).alias("pos"), F.col("pos").alias("_p")),
+            F.col("_p") - F.col("pos"),
+        )
+        .select("site_id", F.col("bases").alias("left"))
+    )
     right = fasta.base_at(reference, found.select("site_id", "contig", "pos", "vtype", "ref_len", "alt_seq"), F.lit(60) + F.col("ref_len"))
     both = right.withColumnRenamed("bases", "right").join(left, "site_id")
     short = F.greatest(F.col("ref_len"), F.length("alt_seq")) <= 5
     unit = F.when(F.col("vtype") == DEL, F.substring("right", F.lit(1), F.col("ref_len"))).otherwise(F.col("alt_seq"))
     hit = seq.tandem_right(F.col("right")) | seq.tandem_left(F.col("left")) | seq.triple_repeat(unit, F.col("right"))
-    bases = F.when(F.col("vtype") == SNP, F.substring("right", 1, 1)).otherwise(F.concat(F.substring(F.col("left"), F.greatest(F.length("left"), F.lit(1)), F.lit(1)), F.substring("right", F.lit(1), F.col("ref_len"))))
+    bases = (
+        F.when(F.col("vtype") == SNP, F.substring("right", 1, 1))
+        .otherwise(F.concat(F.substring(F.col("left"), F.greatest(F.length("left"), F.lit(1)), F.lit(1)), F.substring("right", F.lit(1), F.col("ref_len"))))
+    )
     hp = (F.col("vtype") == DEL) & F.coalesce(seq.homopolymer_at(F.col("right"), F.lit(1)), F.lit(False))
-    return both.select("site_id", bases.alias("bases"), ((F.col("vtype") != SNP) & short & F.coalesce(hit, F.lit(False))).alias("repeat"), hp.alias("is_hp"))
+    return (
+        both.select(
+            "site_id", bases.alias("bases"), ((F.col("vtype") != SNP) & short & F.coalesce(hit, F.lit(False))).alias("repeat"),
+            hp.alias("is_hp"),
+        )
+    )
 
 
 def low_complexity(reference: DataFrame, places: DataFrame, width: int = fasta.BIN) -> DataFrame:
@@ -103,7 +162,12 @@ def low_complexity(reference: DataFrame, places: DataFrame, width: int = fasta.B
     ahead = reference.select("contig", (F.col("bin") - 1).alias("bin"), F.substring("seq", 1, HIFI.dust_window).alias("_next"))
     own = reference.join(places.select("contig").distinct(), "contig", "left_semi").join(ahead, ["contig", "bin"], "left")
     found = own.select("contig", (F.col("bin") * width).alias("_at"), F.inline(dust_mask(F.concat("seq", F.coalesce("_next", F.lit(""))))))
-    return intervals.merge_fixed(found.select("contig", (F.col("_at") + F.col("st")).alias("st"), (F.col("_at") + F.col("en")).alias("en")), ["contig"], 0).select("contig", "st", "en")
+    return (
+        intervals.merge_fixed(
+            found.select("contig", (F.col("_at") + F.col("st")).alias("st"), (F.col("_at") + F.col("en")).alias("en")), ["contig"], 0,
+        )
+        .select("contig", "st", "en")
+    )
 
 
 def noisy_regions(reads: DataFrame, reference: DataFrame, o: Options) -> DataFrame:
@@ -122,11 +186,18 @@ def covers(reads: DataFrame) -> DataFrame:
 
 def contained(counted: DataFrame, regions: DataFrame) -> DataFrame:
     """contig, site_id of the sites that lie in a region."""
-    return intervals.contain_join(site_spans(counted), regions.select("contig", "st", "en"), ["contig"], 10_000).select("contig", F.col("a_site_id").alias("site_id")).distinct()
+    return (
+        intervals.contain_join(site_spans(counted), regions.select("contig", "st", "en"), ["contig"], 10_000)
+        .select("contig", F.col("a_site_id").alias("site_id")).distinct()
+    )
 
 
 def site_spans(counted: DataFrame) -> DataFrame:
-    return counted.select("contig", "site_id", (F.col("pos") - 1).alias("st"), (F.col("pos") - 1 + F.greatest("ref_len", F.lit(1))).alias("en"))
+    return (
+        counted.select(
+            "contig", "site_id", (F.col("pos") - 1).alias("st"), (F.col("pos") - 1 + F.greatest("ref_len", F.lit(1))).alias("en"),
+        )
+    )
 
 
 def grown_regions(reads: DataFrame, judged: DataFrame, regions: DataFrame, reference: DataFrame, o: Options) -> DataFrame:
@@ -135,14 +206,28 @@ def grown_regions(reads: DataFrame, judged: DataFrame, regions: DataFrame, refer
     repeats = site_spans(judged.filter("category = 'R'"))
     rest = site_spans(judged.filter(~F.col("category").isin("L", "B", "R")))
     others = site_spans(judged.filter(~F.col("category").isin("L", "B")))
-    met = intervals.overlap_join(rest, others, ["contig"], 10_000).filter("a_site_id <> b_site_id").select("contig", F.col("a_site_id").alias("site_id")).distinct()
+    met = (
+        intervals.overlap_join(rest, others, ["contig"], 10_000).filter("a_site_id <> b_site_id")
+        .select("contig", F.col("a_site_id").alias("site_id")).distinct()
+    )
     crossing = rest.join(met, ["contig", "site_id"], "left_semi")
     hard = cut(repeats.withColumn("sure", F.lit(True)).unionByName(crossing.withColumn("sure", F.lit(False))).withColumnRenamed("site_id", "region_id"))
     wide = cut(intervals.extend_by(hard, cut(low_complexity(reference, hard)), ["contig"], 10_000))
     noise = reads.select("contig", "read_id", F.explode("noisy").alias("n")).select("contig", "read_id", "n.st", "n.en")
-    fit = pileup.noisy_read_ratio(wide.filter("NOT sure"), covers(reads), noise, ["contig"], 10_000).filter(F.col("ratio") >= o.min_alt_fraction)
-    added = wide.filter("sure").unionByName(wide.filter("NOT sure").join(fit.select("contig", "region_id"), ["contig", "region_id"], "left_semi"))
-    merged = intervals.merge_labelled(regions.select("contig", "st", "en", "label").unionByName(added.select("contig", "st", "en", F.lit(1).cast(regions.schema["label"].dataType).alias("label"))), ["contig"])
+    fit = (
+        pileup.noisy_read_ratio(wide.filter("NOT sure"), covers(reads), noise, ["contig"], 10_000)
+        .filter(F.col("ratio") >= o.min_alt_fraction)
+    )
+    added = (
+        wide.filter("sure")
+        .unionByName(wide.filter("NOT sure").join(fit.select("contig", "region_id"), ["contig", "region_id"], "left_semi"))
+    )
+    merged = (
+        intervals.merge_labelled(
+            regions.select("contig", "st", "en", "label").unionByName(added.select("contig", "st", "en", F.lit(1).cast(regions.schema["label"].dataType).alias("label"))),
+            ["contig"],
+        )
+    )
     near = site_spans(judged.filter(F.col("category").isin("N", "I", "H", "R")))
     return numbered(intervals.flanked(cut(merged), near, ["contig"], o.noisy_flank), "region_id")
 
@@ -177,10 +262,18 @@ def analyse(reads: DataFrame, contigs: DataFrame, reference: DataFrame, o: Optio
     rows = decoded(reads, contigs, reference, o)
     events = cut(site_events(rows, o))
     # a difference that one read alone shows is no candidate of any mode, but a long insertion may be: most differences are errors, and go before any join
-    found = numbered(sites.distinct_long_insertions(events.filter("NOT low_qual").select(*SITE_KEY), o.min_sv_length, least=min(o.min_alt_depth, o.somatic_alt)), "site_id")
+    found = (
+        numbered(
+            sites.distinct_long_insertions(events.filter("NOT low_qual").select(*SITE_KEY), o.min_sv_length, least=min(o.min_alt_depth, o.somatic_alt)),
+            "site_id",
+        )
+    )
     seen = cut(observed(rows, events, found, o))
     noise = cut(noisy_regions(rows, reference, o))
-    counted = pileup.counts(seen, ["contig", "site_id"], o.min_base_quality).join(found, ["contig", "site_id"]).join(repeat_context(found, reference), "site_id")
+    counted = (
+        pileup.counts(seen, ["contig", "site_id"], o.min_base_quality).join(found, ["contig", "site_id"])
+        .join(repeat_context(found, reference), "site_id")
+    )
     judged = cut(pileup.classify(counted.join(contained(counted, noise), ["contig", "site_id"], "left_anti"), o, F.col("repeat")))
     regions = grown_regions(rows, judged, noise, reference, o)
     counted = cut(judged.join(contained(judged, regions), ["contig", "site_id"], "left_anti"))
@@ -189,9 +282,18 @@ def analyse(reads: DataFrame, contigs: DataFrame, reference: DataFrame, o: Optio
     clean = counted.filter(F.col("category").isin("N", "I", "H")).withColumn("chunk", F.floor((F.col("pos") - 1) / o.window).cast("long"))
     variants = cut(clean.withColumn("var_id", F.row_number().over(order).cast("long")))
     alleles = matrix(seen, variants, rows, events, o).join(variants.select("contig", "site_id", "chunk", "var_id"), ["contig", "site_id"])
-    profile = alleles.join(rows.select("read_id", F.col("pos").alias("read_rank")), "read_id").select("contig", "chunk", "read_id", "read_rank", "var_id", "allele")
+    profile = (
+        alleles.join(rows.select("read_id", F.col("pos").alias("read_rank")), "read_id")
+        .select("contig", "chunk", "read_id", "read_rank", "var_id", "allele")
+    )
     profile = cut(profile)
-    read_haps, var_haps = phase(profile, variants.select("contig", "chunk", "var_id", "pos", "vtype", "category", F.col("total_cov").cast("int").alias("total_cov"), "is_hp"), o)
+    read_haps, var_haps = (
+        phase(
+            profile,
+            variants.select("contig", "chunk", "var_id", "pos", "vtype", "category", F.col("total_cov").cast("int").alias("total_cov"), "is_hp"),
+            o,
+        )
+    )
     return Analysis(rows, events, seen, regions, counted, variants, profile, read_haps, var_haps)
 
 
@@ -205,8 +307,17 @@ def calls_of(a: Analysis, reference: DataFrame, o: Options = HIFI) -> tuple[Data
     The first sweep calls regions with the haplotypes of clean variants. Then all variants phase the reads again, and regions that had no
     call are tried once more with these, until a sweep calls none.
     """
-    clean = a.variants.select("contig", "chunk", F.col("site_id").alias("key"), "pos", "vtype", "ref_len", "alt_len", "alt_seq", "ref_cov", "alt_cov", "category", "is_hp", "bases", F.lit(True).alias("clean"))
-    told = a.profile.join(a.variants.select("contig", "chunk", "var_id", F.col("site_id").alias("key")), ["contig", "chunk", "var_id"]).select("contig", "chunk", "key", "read_id", "read_rank", "allele")
+    clean = (
+        a.variants
+        .select(
+            "contig", "chunk", F.col("site_id").alias("key"), "pos", "vtype", "ref_len", "alt_len", "alt_seq", "ref_cov", "alt_cov",
+            "category", "is_hp", "bases", F.lit(True).alias("clean"),
+        )
+    )
+    told = (
+        a.profile.join(a.variants.select("contig", "chunk", "var_id", F.col("site_id").alias("key")), ["contig", "chunk", "var_id"])
+        .select("contig", "chunk", "key", "read_id", "read_rank", "allele")
+    )
     hard, alleles = (cut(x) for x in from_noisy(a, a.regions, a.read_haps, reference, o))
     if hard.isEmpty():
         names, variants, haps, of = told, clean, a.read_haps, a.var_haps.join(a.variants.select("contig", "chunk", "var_id", F.col("site_id").alias("key")), ["contig", "chunk", "var_id"]).drop("var_id")
@@ -233,13 +344,31 @@ def calls_of(a: Analysis, reference: DataFrame, o: Options = HIFI) -> tuple[Data
 
 def together(clean: DataFrame, told: DataFrame, hard: DataFrame, alleles: DataFrame, o: Options) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Clean and noisy variants in one order, and the haplotypes of reads and variants that both give."""
-    extra = hard.select("contig", F.floor((F.col("pos") - 1) / o.window).cast("long").alias("chunk"), "key", "pos", "vtype", "ref_len", "alt_len", "alt_seq", "ref_cov", "alt_cov", F.when(F.col("haps") == 3, phasing.NOISY_HOM).otherwise(phasing.NOISY_HET).alias("category"), F.lit(False).alias("is_hp"), "bases", F.lit(False).alias("clean"))
+    extra = (
+        hard.select(
+            "contig", F.floor((F.col("pos") - 1) / o.window).cast("long").alias("chunk"), "key", "pos", "vtype", "ref_len", "alt_len",
+            "alt_seq", "ref_cov", "alt_cov", F.when(F.col("haps") == 3, phasing.NOISY_HOM).otherwise(phasing.NOISY_HET).alias("category"),
+            F.lit(False).alias("is_hp"), "bases", F.lit(False).alias("clean"),
+        )
+    )
     order = Window.partitionBy("contig", "chunk").orderBy(F.struct("pos", "vtype", "ref_len", "alt_len", "alt_seq", "key"))
     variants = cut(clean.unionByName(extra).withColumn("var_id", F.row_number().over(order).cast("long")))
     rank = told.groupBy("read_id").agg(F.min("read_rank").alias("read_rank"))
-    more = alleles.join(extra.select("contig", "chunk", "key"), ["contig", "key"]).join(rank, "read_id", "left").select("contig", "chunk", "key", "read_id", F.coalesce("read_rank", F.lit(0)).alias("read_rank"), "allele")
-    profile = told.unionByName(more).join(variants.select("contig", "chunk", "key", "var_id"), ["contig", "chunk", "key"]).select("contig", "chunk", "read_id", "read_rank", "var_id", "allele")
-    haps, of = phase(profile, variants.select("contig", "chunk", "var_id", "pos", "vtype", "category", (F.col("ref_cov") + F.col("alt_cov")).cast("int").alias("total_cov"), "is_hp"), o)
+    more = (
+        alleles.join(extra.select("contig", "chunk", "key"), ["contig", "key"]).join(rank, "read_id", "left")
+        .select("contig", "chunk", "key", "read_id", F.coalesce("read_rank", F.lit(0)).alias("read_rank"), "allele")
+    )
+    profile = (
+        told.unionByName(more).join(variants.select("contig", "chunk", "key", "var_id"), ["contig", "chunk", "key"])
+        .select("contig", "chunk", "read_id", "read_rank", "var_id", "allele")
+    )
+    haps, of = (
+        phase(
+            profile,
+            variants.select("contig", "chunk", "var_id", "pos", "vtype", "category", (F.col("ref_cov") + F.col("alt_cov")).cast("int").alias("total_cov"), "is_hp"),
+            o,
+        )
+    )
     return variants.drop("var_id"), haps, of.join(variants.select("contig", "chunk", "var_id", "key"), ["contig", "chunk", "var_id"]).drop("var_id")
 
 
@@ -264,7 +393,10 @@ def regions_of(a: Analysis, regions: DataFrame, read_haps: DataFrame, reference:
     cover = cut(region_reads(regions, covers(a.reads), ["contig"]))
     able = workable(regions, cover, ["contig"], o)
     spans = able.select("contig", "region_id", (F.col("st") + 1).alias("beg"), F.col("en").alias("end"))
-    sliced = fasta.slices(reference, spans, 0).select("contig", "region_id", (F.col("beg") - 1).alias("st"), (F.col("beg") - 1 + F.length("ref_seq")).alias("en"), "ref_seq")
+    sliced = (
+        fasta.slices(reference, spans, 0)
+        .select("contig", "region_id", (F.col("beg") - 1).alias("st"), (F.col("beg") - 1 + F.length("ref_seq")).alias("en"), "ref_seq")
+    )
     own = a.reads.join(best_haplotype(read_haps), "read_id", "left").select(
         "contig", "read_id", "seq", "events", F.coalesce("hap", F.lit(0)).alias("hap"), F.coalesce("phase_set", F.lit(-1).cast("long")).alias("phase_set"), mean_error("qual").alias("error_rate"),
     )
@@ -278,9 +410,20 @@ def from_noisy(a: Analysis, regions: DataFrame, read_haps: DataFrame, reference:
     """
     got = regions_of(a, regions, read_haps, reference, o)
     placed = got.filter("kind = 'site'").withColumn("key", -1 - F.monotonically_increasing_id() - F.lit(sweep) * F.lit(1 << 53))
-    alleles = got.filter("kind = 'allele'").join(placed.select("contig", "region_id", "site", "key"), ["contig", "region_id", "site"]).select("contig", "key", "read_id", "allele")
-    n = alleles.groupBy("contig", "key").agg(F.count_if(F.col("allele") == 0).alias("ref_cov"), F.count_if(F.col("allele") == 1).alias("alt_cov"))
+    alleles = (
+        got.filter("kind = 'allele'").join(placed.select("contig", "region_id", "site", "key"), ["contig", "region_id", "site"])
+        .select("contig", "key", "read_id", "allele")
+    )
+    n = (
+        alleles.groupBy("contig", "key")
+        .agg(F.count_if(F.col("allele") == 0).alias("ref_cov"), F.count_if(F.col("allele") == 1).alias("alt_cov"))
+    )
     s = placed.select("contig", "region_id", "key", "pos", "vtype", "ref_len", "alt_len", "alt_seq", "haps").join(n, ["contig", "key"])
     snp = F.col("vtype") == SNP
-    anchored = fasta.base_at(reference, s.withColumn("_at", F.col("pos")).withColumn("pos", F.when(snp, F.col("pos")).otherwise(F.col("pos") - 1)), F.col("ref_len") + F.when(snp, 0).otherwise(1))
+    anchored = (
+        fasta.base_at(
+            reference, s.withColumn("_at", F.col("pos")).withColumn("pos", F.when(snp, F.col("pos")).otherwise(F.col("pos") - 1)),
+            F.col("ref_len") + F.when(snp, 0).otherwise(1),
+        )
+    )
     return anchored.withColumn("pos", F.col("_at")).drop("_at"), alleles

@@ -24,7 +24,10 @@ SITE = ["contig", "site_id", "pos", "vtype", "ref_len", "alt_len", "alt_seq", "r
 
 def gap_bases() -> Column:
     """An insertion's own bases, a deletion's from the reference (`bases`: the anchor and on)."""
-    return F.when(F.col("vtype") == INS, F.col("alt_seq")).when(F.col("vtype") == DEL, F.substring("bases", F.lit(2), F.col("ref_len"))).otherwise("")
+    return (
+        F.when(F.col("vtype") == INS, F.col("alt_seq")).when(F.col("vtype") == DEL, F.substring("bases", F.lit(2), F.col("ref_len")))
+        .otherwise("")
+    )
 
 
 def op_of(vtype: str = "vtype") -> Column:
@@ -39,10 +42,23 @@ def marks(candidates: DataFrame, reference: DataFrame, o: Options, elements: Dat
     gap = F.when(is_ins, F.col("alt_seq")).otherwise(F.substring("bases", F.lit(1), F.col("_n")))
     flank = F.when(is_ins, F.substring("bases", F.lit(1), F.col("_n"))).otherwise(F.substring("bases", F.col("_n") + 1, F.col("_n")))
     got = around.select("site_id", gap.alias("seq"), kernels.insertion_marks(gap, flank).alias("m"))
-    got = got.select("site_id", "seq", F.substring("seq", F.lit(1), F.col("m.tsd_len")).alias("tsd"), F.col("m.tsd_len").alias("tsd_len"), F.col("m.tail_len").alias("polya_len"))
+    got = (
+        got.select(
+            "site_id", "seq", F.substring("seq", F.lit(1), F.col("m.tsd_len")).alias("tsd"), F.col("m.tsd_len").alias("tsd_len"),
+            F.col("m.tail_len").alias("polya_len"),
+        )
+    )
     if te_index is None:
-        return got.select("site_id", "tsd", "tsd_len", "polya_len", F.lit(None).cast("long").alias("te_id"), F.lit(None).cast("string").alias("repname"))
-    hits = match(got.select(F.col("site_id").alias("id"), "seq"), te_index, o.te_kmer).select(F.col("id").alias("site_id"), F.col("te_id").cast("long").alias("te_id"))
+        return (
+            got.select(
+                "site_id", "tsd", "tsd_len", "polya_len", F.lit(None).cast("long").alias("te_id"),
+                F.lit(None).cast("string").alias("repname"),
+            )
+        )
+    hits = (
+        match(got.select(F.col("site_id").alias("id"), "seq"), te_index, o.te_kmer)
+        .select(F.col("id").alias("site_id"), F.col("te_id").cast("long").alias("te_id"))
+    )
     if elements is not None and "name" in elements.columns:
         hits = hits.join(elements.select(F.col("te_id").cast("long").alias("te_id"), F.col("name").alias("repname")), "te_id", "left")
     else:
@@ -62,8 +78,14 @@ def in_noisy(a: Analysis, reference: DataFrame, o: Options) -> tuple[DataFrame,
     called = regions_of(a, a.regions, a.read_haps, reference, o)
     key = ["contig", "region_id", "pos", "vtype", "ref_len", "alt_len", "alt_seq"]
     found = numbered(noisy.read_candidates(called, ["contig"], o), "_n").withColumn("site_id", -1 - F.col("_n")).drop("_n")
-    single = called.filter("kind = 'single'").join(found.select(*key, "site_id"), key).select("contig", "site_id", "read_id").distinct().withColumn("alt", F.lit(True))
-    whole = region_reads(a.regions, covers(a.reads), ["contig"]).filter(F.col("cover") == LEFT + RIGHT).join(found.select("contig", "region_id", "site_id"), ["contig", "region_id"])
+    single = (
+        called.filter("kind = 'single'").join(found.select(*key, "site_id"), key).select("contig", "site_id", "read_id").distinct()
+        .withColumn("alt", F.lit(True))
+    )
+    whole = (
+        region_reads(a.regions, covers(a.reads), ["contig"]).filter(F.col("cover") == LEFT + RIGHT)
+        .join(found.select("contig", "region_id", "site_id"), ["contig", "region_id"])
+    )
     strand = a.reads.select("read_id", (F.col("flag").bitwiseAND(16) > 0).alias("rev"))
     seen = whole.select("contig", "site_id", "read_id").join(single, ["contig", "site_id", "read_id"], "full_outer").join(strand, "read_id")
     seen = cut(seen.select("contig", "site_id", "read_id", F.coalesce("alt", F.lit(False)).alias("alt"), "rev", F.lit(255).alias("bq")))
@@ -92,7 +114,10 @@ def candidates(a: Analysis, reference: DataFrame, o: Options, elements: DataFram
     svs = maybe.filter(somatic.is_sv(o)).select(*named, "alt_cov")
     kept = somatic.without_germline(somatic.merge_alike(svs, ["contig"]), germline.select(*named), ["contig"])
     is_snp = F.col("vtype") == SNP
-    out = maybe.filter(is_snp).unionByName(maybe.join(kept.select("contig", F.col("var_id").alias("site_id")), ["contig", "site_id"], "left_semi"))
+    out = (
+        maybe.filter(is_snp)
+        .unionByName(maybe.join(kept.select("contig", F.col("var_id").alias("site_id")), ["contig", "site_id"], "left_semi"))
+    )
     covered = F.aggregate(kernels.dust_mask("alt_seq"), F.lit(0), lambda s, x: s + x["en"] - x["st"])
     found = cut(out.withColumn("is_low_complexity", (F.col("vtype") == INS) & (covered > 0.8 * F.length("alt_seq"))))
     return found, a.seen.select(*extra_seen.columns).unionByName(extra_seen).join(found.select("contig", "site_id"), ["contig", "site_id"], "left_semi")
@@ -111,7 +136,12 @@ def alt_evidence(a: Analysis, found: DataFrame, seen: DataFrame, reference: Data
     own = fair.filter("allele = 1").join(chosen.withColumnRenamed("phase_set", "_ps"), ["contig", "var_id"])
     own = cut(own.filter("_ps = 0 OR (phase_set = _ps AND hap = alt_hap)").select("contig", "var_id", "read_id", "alt_hap", "_ps"))
     first = F.substring("bases", 1, 1).alias("ref")
-    at = own.join(found.select("contig", F.col("site_id").alias("var_id"), "pos", "vtype", "ref_len", "alt_len", "alt_seq", first), ["contig", "var_id"])
+    at = (
+        own.join(
+            found.select("contig", F.col("site_id").alias("var_id"), "pos", "vtype", "ref_len", "alt_len", "alt_seq", first),
+            ["contig", "var_id"],
+        )
+    )
     r = a.reads.select("contig", "read_id", "events", "seq", "qual", (F.col("flag").bitwiseAND(16) > 0).alias("rev"))
     with_read = at.join(r, ["contig", "read_id"]).withColumn("op", op_of())
     here = lambda e: (e["pos"] == F.col("pos")) & (e["op"] == F.col("op"))
@@ -121,9 +151,15 @@ def alt_evidence(a: Analysis, found: DataFrame, seen: DataFrame, reference: Data
         F.struct("pos", op_of().alias("op"), F.greatest("ref_len", "alt_len").cast("int").alias("len"), F.col("alt_seq").alias("alt"), "phase_set", "hap1", "hap2").alias("k"),
     )
     known = told.groupBy("contig", "_b").agg(F.collect_list("k").alias("known"))  # variants of a kilobase
-    rows = with_read.withColumn("_e", F.try_element_at(F.filter("events", here), F.lit(1))).filter("_e IS NOT NULL").withColumn("_b", F.floor(F.col("pos") / 1000)).join(known, ["contig", "_b"], "left")
+    rows = (
+        with_read.withColumn("_e", F.try_element_at(F.filter("events", here), F.lit(1))).filter("_e IS NOT NULL")
+        .withColumn("_b", F.floor(F.col("pos") / 1000)).join(known, ["contig", "_b"], "left")
+    )
     lo = F.greatest(F.col("pos") - AROUND, F.lit(1))
-    near = fasta.base_at(reference, found.select("site_id", "contig", lo.alias("pos")), F.lit(2 * AROUND + 1)).select(F.col("site_id").alias("var_id"), F.col("bases").alias("hap_seq"), F.col("pos").alias("hap_lo"))
+    near = (
+        fasta.base_at(reference, found.select("site_id", "contig", lo.alias("pos")), F.lit(2 * AROUND + 1))
+        .select(F.col("site_id").alias("var_id"), F.col("bases").alias("hap_seq"), F.col("pos").alias("hap_lo"))
+    )
     rows = rows.join(near, "var_id", "left")
     told = evidence.of_reads(rows.select(
         "read_id", "var_id", "rev", "pos", "op", F.col("_e.len").alias("len"), F.col("_e.qi").alias("qi"), F.col("_e.low_qual").alias("low_qual"), "events", "seq", "qual", "known",
@@ -139,13 +175,23 @@ def call(a: Analysis, reference: DataFrame, o: Options, te_index: DataFrame | No
     told, own = alt_evidence(a, found, seen, reference, o)
     told = cut(told)
     chunk = F.floor((F.col("pos") - 1) / o.window).alias("chunk")
-    quartiles = pileup.quality_quartiles(pileup.quality_histogram(a.reads.select("contig", chunk, "qual"), ["contig", "chunk"]), ["contig", "chunk"])
+    quartiles = (
+        pileup.quality_quartiles(
+            pileup.quality_histogram(a.reads.select("contig", chunk, "qual"), ["contig", "chunk"]), ["contig", "chunk"],
+        )
+    )
     germline = a.variants.join(demoted(a), ["contig", "site_id"], "left_anti")
     near = sites.nearest(found.select("contig", "pos", "site_id"), germline.select("contig", "pos"), ["contig"])
     near = near.select(F.col("site_id").alias("var_id"), F.col("distance").cast("int").alias("var_distance"))
-    rows = told.drop("contig").join(found.withColumnRenamed("site_id", "var_id"), "var_id").join(near, "var_id", "left").withColumn("chunk", chunk).join(quartiles, ["contig", "chunk"], "left")
+    rows = (
+        told.drop("contig").join(found.withColumnRenamed("site_id", "var_id"), "var_id").join(near, "var_id", "left")
+        .withColumn("chunk", chunk).join(quartiles, ["contig", "chunk"], "left")
+    )
     # candidates() has left out those like germline variants
-    rows = rows.withColumn("like_germline", F.lit(False)).withColumns({c: F.coalesce(c, F.lit(0)) for c in ("q1", "q2", "q3", "tsd_len", "polya_len")})
+    rows = (
+        rows.withColumn("like_germline", F.lit(False))
+        .withColumns({c: F.coalesce(c, F.lit(0)) for c in ("q1", "q2", "q3", "tsd_len", "polya_len")})
+    )
     good = cut(rows.filter(somatic.passes(o)))
     spans = good.select("contig", "var_id", F.col("pos").alias("beg"), (F.col("pos") + F.greatest("ref_len", F.lit(1)) - 1).alias("end"))
     kept = somatic.post_process(spans, own.join(good.select("contig", "var_id"), ["contig", "var_id"], "left_semi"), ["contig"], o)

@@ -60,7 +60,10 @@ def category_histogram(spark, d):
 
 @query(f"WITH {COUNTS}, {FISHER} SELECT counts.pos, alt_fwd, alt_rev, round(p, 7) AS p FROM counts LEFT JOIN fisher USING (pos)")
 def strand_bias_fisher(spark, d):
-    return _counts(spark, d).select("pos", "alt_fwd", "alt_rev", F.round(stats.strand_bias_p(F.col("alt_fwd"), F.col("alt_rev")), 7).alias("p"))
+    return (
+        _counts(spark, d)
+        .select("pos", "alt_fwd", "alt_rev", F.round(stats.strand_bias_p(F.col("alt_fwd"), F.col("alt_rev")), 7).alias("p"))
+    )
 
 
 ONE_SIDED = """WITH {counts}, t AS (SELECT pos, alt_fwd AS a, alt_rev AS b, ref_fwd AS c, ref_rev AS d FROM counts),
@@ -72,14 +75,23 @@ ONE_SIDED = """WITH {counts}, t AS (SELECT pos, alt_fwd AS a, alt_rev AS b, ref_
 @query(ONE_SIDED)
 def fisher_one_sided(spark, d):
     t = [F.col(c) for c in ("alt_fwd", "alt_rev", "ref_fwd", "ref_rev")]
-    return _counts(spark, d).select("pos", F.round(stats.fisher_left(*t), 7).alias("p_left"), F.round(stats.fisher_right(*t), 7).alias("p_right"))
+    return (
+        _counts(spark, d)
+        .select("pos", F.round(stats.fisher_left(*t), 7).alias("p_left"), F.round(stats.fisher_right(*t), 7).alias("p_right"))
+    )
 
 
 @query(f"""WITH {COUNTS} SELECT pos, round(lgamma(total_cov+1) - lgamma(alt_cov+1) - lgamma(total_cov-alt_cov+1) + total_cov * ln(0.5), 6) AS ln_binomial,
  round(lgamma(total_cov+1) - lgamma(alt_cov+1) - lgamma(total_cov-alt_cov+1) + lgamma(alt_cov+2) + lgamma(total_cov-alt_cov+3) - lgamma(total_cov+5) - (lgamma(2) + lgamma(3) - lgamma(5)), 6) AS ln_beta_binomial FROM counts""")
 def binomial_masses(spark, d):
     k, n, lit = F.col("alt_cov"), F.col("total_cov"), F.lit
-    return _counts(spark, d).select("pos", F.round(stats.ln_binomial(k, n, lit(0.5)), 6).alias("ln_binomial"), F.round(stats.ln_beta_binomial(k, n, lit(2), lit(3)), 6).alias("ln_beta_binomial"))
+    return (
+        _counts(spark, d)
+        .select(
+            "pos", F.round(stats.ln_binomial(k, n, lit(0.5)), 6).alias("ln_binomial"),
+            F.round(stats.ln_beta_binomial(k, n, lit(2), lit(3)), 6).alias("ln_beta_binomial"),
+        )
+    )
 
 
 QUALS = """least(60, CAST(trunc(-10 * (ref_cov * log10(0.999) + alt_cov * -3.0)) AS INT)) AS qual,
@@ -89,7 +101,13 @@ QUALS = """least(60, CAST(trunc(-10 * (ref_cov * log10(0.999) + alt_cov * -3.0))
 @query(f"WITH {COUNTS}, q AS (SELECT pos, ref_cov, alt_cov, {QUALS} FROM counts) SELECT pos, qual, pl0, pl1, pl2, least(60, list_sort([pl0, pl1, pl2])[2] - least(pl0, pl1, pl2)) AS gq FROM q")
 def genotype_qual(spark, d):
     ref, alt = F.col("ref_cov"), F.col("alt_cov")
-    rows = _counts(spark, d).select("pos", stats.variant_qual(ref, alt).alias("qual"), stats.phred_likelihoods(ref, alt).alias("pl"), stats.genotype_quality(ref, alt).alias("gq"))
+    rows = (
+        _counts(spark, d)
+        .select(
+            "pos", stats.variant_qual(ref, alt).alias("qual"), stats.phred_likelihoods(ref, alt).alias("pl"),
+            stats.genotype_quality(ref, alt).alias("gq"),
+        )
+    )
     return rows.select("pos", "qual", F.col("pl")[0].alias("pl0"), F.col("pl")[1].alias("pl1"), F.col("pl")[2].alias("pl2"), "gq")
 
 
@@ -98,9 +116,18 @@ def _calls(spark: SparkSession, d: str) -> DataFrame:
     rows = _classes(spark, d).filter(F.col("category").isin("H", "N", "I"))
     odd = F.col("pos") % 2
     hap = lambda first: F.when(F.col("category") == "H", 1).otherwise(odd if first else 1 - odd).cast("int")
-    bases = F.when(F.col("vtype") == 1, "A").when(F.col("vtype") == 2, F.concat(F.lit("A"), F.repeat(F.lit("C"), F.col("ref_len")))).otherwise("C")
+    bases = (
+        F.when(F.col("vtype") == 1, "A").when(F.col("vtype") == 2, F.concat(F.lit("A"), F.repeat(F.lit("C"), F.col("ref_len"))))
+        .otherwise("C")
+    )
     alt_seq = F.when(F.col("vtype") == 1, F.repeat(F.lit("G"), F.col("alt_len"))).when(F.col("vtype") == 2, "").otherwise("T")
-    rows = rows.select(F.lit("chr1").alias("contig"), "pos", "vtype", "ref_len", "alt_len", alt_seq.alias("alt_seq"), "ref_cov", "alt_cov", hap(True).alias("hap1"), hap(False).alias("hap2"), (F.floor(F.col("pos") / 100) * 100).alias("phase_set"), F.lit(1).alias("top_allele"), bases.alias("bases"))
+    rows = (
+        rows.select(
+            F.lit("chr1").alias("contig"), "pos", "vtype", "ref_len", "alt_len", alt_seq.alias("alt_seq"), "ref_cov", "alt_cov",
+            hap(True).alias("hap1"), hap(False).alias("hap2"), (F.floor(F.col("pos") / 100) * 100).alias("phase_set"),
+            F.lit(1).alias("top_allele"), bases.alias("bases"),
+        )
+    )
     return genotype.final_filter(genotype.genotype(rows, ONT, "bases"), ONT)
 
 
@@ -141,13 +168,19 @@ def interval_overlap_join(spark, d):
 def interval_overlap_days(spark, d):
     """All intervals as one contig: a hot key that its bins spread."""
     iv = b.intervals(spark, d).select(F.lit("all").alias("contig"), "id", "st", "en")
-    return intervals.overlap_join(iv, iv, ["contig"], WIDTH // 6).filter("a_id < b_id").groupBy(F.floor(F.col("a_st") / 86_400_000_000).alias("day")).agg(F.count("*").alias("n"))
+    return (
+        intervals.overlap_join(iv, iv, ["contig"], WIDTH // 6).filter("a_id < b_id")
+        .groupBy(F.floor(F.col("a_st") / 86_400_000_000).alias("day")).agg(F.count("*").alias("n"))
+    )
 
 
 @query(f"{IV} SELECT a.grp, a.id AS a_id, b.id AS b_id FROM a JOIN b ON a.grp = b.grp AND b.st <= a.st AND b.en >= a.en")
 def interval_contain_join(spark, d):
     x, y = _halves(spark, d)
-    return intervals.contain_join(x.select("grp", "id", "st", "en"), y.select("grp", "id", "st", "en"), ["grp"], WIDTH).select("grp", "a_id", "b_id")
+    return (
+        intervals.contain_join(x.select("grp", "id", "st", "en"), y.select("grp", "id", "st", "en"), ["grp"], WIDTH)
+        .select("grp", "a_id", "b_id")
+    )
 
 
 @query(f"{IV} SELECT id, grp, st, en, label FROM a WHERE EXISTS (SELECT 1 FROM b WHERE a.grp = b.grp AND a.st < b.en AND b.st < a.en)")
@@ -179,7 +212,13 @@ def interval_merge_fixed(spark, d):
  last AS (SELECT *, max(round) OVER () AS top FROM c) SELECT DISTINCT grp, st, en, label FROM last WHERE round = top""")
 def interval_merge_labelled(spark, d):
     """Minutes as positions, so that labels reach over gaps."""
-    iv = b.intervals(spark, d).select("grp", F.floor(F.col("st") / 60_000_000).alias("st"), F.floor(F.col("en") / 60_000_000).alias("en"), (F.col("label") % 30).alias("label"))
+    iv = (
+        b.intervals(spark, d)
+        .select(
+            "grp", F.floor(F.col("st") / 60_000_000).alias("st"), F.floor(F.col("en") / 60_000_000).alias("en"),
+            (F.col("label") % 30).alias("label"),
+        )
+    )
     return intervals.merge_labelled(iv, ["grp"], 1440)
 
 
@@ -203,7 +242,10 @@ def low_complexity_place(spark, d):
 def window_plan(spark, d):
     from helixloom.sources.regions import windows
 
-    contigs = b.table(spark, d, "nation").select(F.col("n_name").alias("contig"), ((F.col("n_nationkey") + 1) * 1234567).cast("long").alias("length"))
+    contigs = (
+        b.table(spark, d, "nation")
+        .select(F.col("n_name").alias("contig"), ((F.col("n_nationkey") + 1) * 1234567).cast("long").alias("length"))
+    )
     return windows(contigs).select("contig", "beg", F.col("end").alias("fin"))
 
 
@@ -215,7 +257,13 @@ RAW_SITES = f"SELECT CAST(l_suppkey % 5 AS VARCHAR) AS contig, l_partkey // 4 AS
 def _raw_sites(spark: SparkSession, d: str) -> DataFrame:
     s = b.sites(spark, d).withColumnRenamed("pos", "l_partkey")
     line = b.table(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
-    return line.join(s, "l_partkey").select((F.col("l_suppkey") % 5).cast("string").alias("contig"), F.floor(F.col("l_partkey") / 4).alias("pos"), "vtype", "ref_len", "alt_len", F.when(F.col("vtype") == 2, "").otherwise(F.repeat(F.lit("G"), F.col("alt_len"))).alias("alt_seq"))
+    return (
+        line.join(s, "l_partkey")
+        .select(
+            (F.col("l_suppkey") % 5).cast("string").alias("contig"), F.floor(F.col("l_partkey") / 4).alias("pos"), "vtype", "ref_len",
+            "alt_len", F.when(F.col("vtype") == 2, "").otherwise(F.repeat(F.lit("G"), F.col("alt_len"))).alias("alt_seq"),
+        )
+    )
 
 
 @query(f"SELECT DISTINCT * FROM ({RAW_SITES})")
@@ -236,8 +284,20 @@ def site_dedup_leader(spark, d):
 def site_overlap(spark, d):
     s = sites.distinct_sites(_raw_sites(spark, d)).withColumn("bin", F.floor(F.col("pos") / 64))
     other = s.withColumn("bin", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)))
-    pairs = s.alias("a").join(other.alias("b"), [F.col("a.contig") == F.col("b.contig"), F.col("a.bin") == F.col("b.bin"), sites.overlaps("a", "b"), F.abs(F.col("a.pos") - F.col("b.pos")) <= 60])
-    return pairs.groupBy(F.col("a.contig").alias("contig"), F.col("a.pos").alias("a_pos"), F.col("a.vtype").alias("a_vtype"), F.col("b.pos").alias("b_pos"), F.col("b.vtype").alias("b_vtype")).agg(F.count("*").alias("n"))
+    pairs = (
+        s.alias("a")
+        .join(
+            other.alias("b"),
+            [F.col("a.contig") == F.col("b.contig"), F.col("a.bin") == F.col("b.bin"), sites.overlaps("a", "b"), F.abs(F.col("a.pos") - F.col("b.pos")) <= 60],
+        )
+    )
+    return (
+        pairs.groupBy(
+            F.col("a.contig").alias("contig"), F.col("a.pos").alias("a_pos"), F.col("a.vtype").alias("a_vtype"),
+            F.col("b.pos").alias("b_pos"), F.col("b.vtype").alias("b_vtype"),
+        )
+        .agg(F.count("*").alias("n"))
+    )
 
 
 HALF_SITES = f"WITH s AS (SELECT DISTINCT * FROM ({RAW_SITES})), o AS (SELECT *, pos % 7 AS v FROM s WHERE pos % 3 <> 0), n AS (SELECT *, pos % 11 AS v FROM s WHERE pos % 3 <> 1)"
@@ -247,7 +307,11 @@ HALF_SITES = f"WITH s AS (SELECT DISTINCT * FROM ({RAW_SITES})), o AS (SELECT *,
  FROM o FULL OUTER JOIN n USING (contig, pos, vtype, ref_len, alt_len, alt_seq)""")
 def profile_full_outer(spark, d):
     s = sites.distinct_sites(_raw_sites(spark, d))
-    return sites.merge_sites(s.filter("pos % 3 <> 0").withColumn("v", F.col("pos") % 7), s.filter("pos % 3 <> 1").withColumn("v", F.col("pos") % 11), ["v"])
+    return (
+        sites.merge_sites(
+            s.filter("pos % 3 <> 0").withColumn("v", F.col("pos") % 7), s.filter("pos % 3 <> 1").withColumn("v", F.col("pos") % 11), ["v"],
+        )
+    )
 
 
 @query(f"{HALF_SITES} SELECT contig, pos, vtype, ref_len, alt_len, alt_seq, CASE WHEN n.v IS NULL THEN 1 WHEN o.v IS NULL THEN 2 ELSE 3 END AS haps FROM o FULL OUTER JOIN n USING (contig, pos, vtype, ref_len, alt_len, alt_seq)")
@@ -265,7 +329,13 @@ def nearest_variant(spark, d):
 @query("""WITH v AS (SELECT p_brand AS grp, p_partkey AS id, p_partkey AS beg, p_partkey + p_size AS fin FROM part), s AS (SELECT *, coalesce(lead(beg, 5) OVER (PARTITION BY grp ORDER BY beg, id) - fin < 100, false) AS starts FROM v)
  SELECT grp, id, max(CAST(starts AS INT)) OVER (PARTITION BY grp ORDER BY beg, id ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) = 1 AS dense FROM s""")
 def dense_variant_flag(spark, d):
-    v = b.table(spark, d, "part").select(F.col("p_brand").alias("grp"), F.col("p_partkey").alias("id"), F.col("p_partkey").alias("beg"), (F.col("p_partkey") + F.col("p_size")).alias("end"))
+    v = (
+        b.table(spark, d, "part")
+        .select(
+            F.col("p_brand").alias("grp"), F.col("p_partkey").alias("id"), F.col("p_partkey").alias("beg"),
+            (F.col("p_partkey") + F.col("p_size")).alias("end"),
+        )
+    )
     return sites.dense_variants(v, ["grp"], 100, 5).select("grp", "id", "dense")
 
 
@@ -286,12 +356,18 @@ def qual_quartiles(spark, d):
 
 @query("SELECT l_orderkey AS read_id, coalesce(quantile_disc(l_quantity, 0.5), 0) AS median, min(l_quantity) AS least FROM lineitem GROUP BY 1")
 def lower_median(spark, d):
-    return b.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("read_id")).agg(stats.lower_median("l_quantity").alias("median"), F.min("l_quantity").alias("least"))
+    return (
+        b.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("read_id"))
+        .agg(stats.lower_median("l_quantity").alias("median"), F.min("l_quantity").alias("least"))
+    )
 
 
 @query("SELECT l_orderkey AS read_id, round(avg(pow(10, -l_quantity / 10)), 9) AS error_rate FROM lineitem GROUP BY 1")
 def read_error_rate(spark, d):
-    return b.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("read_id")).agg(F.round(stats.error_rate(F.col("l_quantity")), 9).alias("error_rate"))
+    return (
+        b.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("read_id"))
+        .agg(F.round(stats.error_rate(F.col("l_quantity")), 9).alias("error_rate"))
+    )
 
 
 EVENTS_IV = "SELECT event_id AS id, user_id % 20 AS grp, user_id AS read_id, epoch_us(ts) AS st, epoch_us(ts) + CAST(trunc(value * 6000000) AS BIGINT) AS en, event_type = 'click' AS noisy FROM events"
@@ -312,7 +388,12 @@ def noisy_support_filter(spark, d):
 
 def _regions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     e = b.table(spark, d, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
-    e = e.select("event_id", (F.col("user_id") % 20).alias("grp"), F.col("user_id").alias("read_id"), F.col("us").alias("st"), (F.col("us") + (F.col("value") * 6_000_000).cast("long")).alias("en"), "event_type")
+    e = (
+        e.select(
+            "event_id", (F.col("user_id") % 20).alias("grp"), F.col("user_id").alias("read_id"), F.col("us").alias("st"),
+            (F.col("us") + (F.col("value") * 6_000_000).cast("long")).alias("en"), "event_type",
+        )
+    )
     return e.select("grp", F.col("event_id").alias("region_id"), "st", "en"), e, e.filter("event_type = 'click'")
 
 
@@ -321,7 +402,14 @@ def read_order(spark, d):
     """Reads by begin, longest first, edit distance, name."""
     from helixloom.operators.reads import read_rank
 
-    o = b.table(spark, d, "orders").select(F.col("o_custkey").alias("chunk"), F.col("o_orderkey").alias("read_id"), F.col("o_orderdate").alias("pos"), F.col("o_totalprice").alias("end"), F.when(F.col("o_orderstatus") == "F", 0).otherwise(1).alias("nm"), F.col("o_orderkey").alias("qname"))
+    o = (
+        b.table(spark, d, "orders")
+        .select(
+            F.col("o_custkey").alias("chunk"), F.col("o_orderkey").alias("read_id"), F.col("o_orderdate").alias("pos"),
+            F.col("o_totalprice").alias("end"), F.when(F.col("o_orderstatus") == "F", 0).otherwise(1).alias("nm"),
+            F.col("o_orderkey").alias("qname"),
+        )
+    )
     return longs(read_rank(o, ["chunk"]), "read_rank").select("chunk", "read_id", "read_rank")
 
 
@@ -355,7 +443,12 @@ def agree_conflict(spark, d):
  SELECT grp, var_id, last_value(b IGNORE NULLS) OVER w AS phase_set, sum(t) OVER w % 2 = 1 AND het AND NOT first AS flip FROM s WINDOW w AS (PARTITION BY grp ORDER BY var_id ROWS UNBOUNDED PRECEDING)""")
 def phase_segments(spark, d):
     p, size = b.table(spark, d, "part"), F.col("p_size")
-    t = p.select(F.col("p_brand").alias("grp"), F.col("p_partkey").alias("var_id"), F.col("p_partkey").alias("pos"), (size % 2 == 0).alias("het"), (size % 4).alias("n_agree"), (F.floor(size / 4) % 4).alias("n_conflict"))
+    t = (
+        p.select(
+            F.col("p_brand").alias("grp"), F.col("p_partkey").alias("var_id"), F.col("p_partkey").alias("pos"),
+            (size % 2 == 0).alias("het"), (size % 4).alias("n_agree"), (F.floor(size / 4) % 4).alias("n_conflict"),
+        )
+    )
     return phasing.phase_segments(t, ["grp"]).select("grp", "var_id", "phase_set", "flip")
 
 
@@ -365,7 +458,12 @@ VOTES = f"""h AS ({HAPS}), votes AS (SELECT c.contig, c.chunk, CAST(sum(CASE WHE
 
 def _haps(spark: SparkSession, d: str) -> DataFrame:
     line, block = b.table(spark, d, "lineitem"), F.floor(F.col("l_partkey") / 40)
-    return line.groupBy((F.col("l_suppkey") % 4).cast("string").alias("contig"), block.alias("chunk"), (F.col("l_orderkey") % 50).alias("read_id")).agg(F.max(F.col("l_linenumber") % 3).cast("int").alias("hap"), F.min(block * 40 + F.col("l_orderkey") % 2).alias("phase_set"))
+    return (
+        line.groupBy(
+            (F.col("l_suppkey") % 4).cast("string").alias("contig"), block.alias("chunk"), (F.col("l_orderkey") % 50).alias("read_id"),
+        )
+        .agg(F.max(F.col("l_linenumber") % 3).cast("int").alias("hap"), F.min(block * 40 + F.col("l_orderkey") % 2).alias("phase_set"))
+    )
 
 
 @query(f"WITH {VOTES} SELECT * FROM votes")
@@ -383,7 +481,13 @@ def stitch_parity(spark, d):
 
 @query(f"""WITH {CLASSES}, r AS (SELECT pos // 50 AS grp, pos, category, row_number() OVER (PARTITION BY pos // 50 ORDER BY CASE category WHEN 'N' THEN 0 ELSE 1 END, total_cov DESC, pos) AS k FROM classes WHERE category IN ('N', 'I')) SELECT grp, pos AS var_id FROM r WHERE k = 1""")
 def pivot_variant(spark, d):
-    c = _classes(spark, d).filter(F.col("category").isin("N", "I")).select(F.floor(F.col("pos") / 50).alias("grp"), F.col("pos").alias("var_id"), "category", "vtype", "total_cov", F.lit(False).alias("is_hp"))
+    c = (
+        _classes(spark, d).filter(F.col("category").isin("N", "I"))
+        .select(
+            F.floor(F.col("pos") / 50).alias("grp"), F.col("pos").alias("var_id"), "category", "vtype", "total_cov",
+            F.lit(False).alias("is_hp"),
+        )
+    )
     return c.groupBy("grp").agg(F.min_by("var_id", phasing.pivot_rank()).alias("var_id"))
 
 
@@ -391,7 +495,13 @@ def pivot_variant(spark, d):
 def two_means_phasing(spark, d):
     """Windows of 25 sites; the assignment is sequential, so SQL can't say it. Tested on made haplotypes."""
     window = lambda c: F.floor(F.col(c) / 25)
-    c = _classes(spark, d).filter(F.col("category").isin("N", "I", "H")).select(window("pos").alias("chunk"), F.col("pos").alias("var_id"), "pos", "vtype", "category", F.col("total_cov").cast("int").alias("total_cov"), F.lit(False).alias("is_hp"))
+    c = (
+        _classes(spark, d).filter(F.col("category").isin("N", "I", "H"))
+        .select(
+            window("pos").alias("chunk"), F.col("pos").alias("var_id"), "pos", "vtype", "category",
+            F.col("total_cov").cast("int").alias("total_cov"), F.lit(False).alias("is_hp"),
+        )
+    )
     p = b.profile(spark, d).groupBy("read_id", "var_id").agg(F.min("allele").alias("allele"))
     p = p.select(window("var_id").alias("chunk"), "read_id", F.col("read_id").alias("read_rank"), "var_id", "allele")
     return phasing.two_means(p, c, ["chunk"], replace(ONT, is_ont=False))
@@ -429,9 +539,21 @@ def revcomp(spark, d):
 def tandem_repeat(spark, d):
     """At every place of every passage: the 18 bases from it on, and the up to 18 before it."""
     padded = F.concat(F.repeat(F.lit("-"), F.lit(18)), F.col("seq"))
-    rows = b.sequences(spark, d).select("id", F.posexplode(F.arrays_zip(seq.windows(F.col("seq"), 18, least=1).alias("r"), seq.windows(padded, 18, least=18).alias("l"))).alias("k", "x")).filter("x.r IS NOT NULL")
+    rows = (
+        b.sequences(spark, d)
+        .select(
+            "id",
+            F.posexplode(F.arrays_zip(seq.windows(F.col("seq"), 18, least=1).alias("r"), seq.windows(padded, 18, least=18).alias("l"))).alias("k", "x"),
+        )
+        .filter("x.r IS NOT NULL")
+    )
     before = F.regexp_replace("x.l", "-", "")
-    return rows.select("id", (F.col("k") + 1).cast("long").alias("i"), seq.tandem_right(F.col("x.r")).alias("tandem_right"), seq.tandem_left(before).alias("tandem_left"))
+    return (
+        rows.select(
+            "id", (F.col("k") + 1).cast("long").alias("i"), seq.tandem_right(F.col("x.r")).alias("tandem_right"),
+            seq.tandem_left(before).alias("tandem_left"),
+        )
+    )
 
 
 @query(f"{SEQ} SELECT id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(seq, 'A{{3,}}', 'A', 'g'), 'C{{3,}}', 'C', 'g'), 'G{{3,}}', 'G', 'g'), 'T{{3,}}', 'T', 'g'), 'N{{3,}}', 'N', 'g') AS hp FROM s")
@@ -467,10 +589,26 @@ def cigar_decode(spark, d):
     from helixloom.operators.decode import cigar_ops
 
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    text = F.concat(F.col("l_linenumber"), F.lit("S"), F.col("l_quantity").cast("int"), F.lit("=1X"), F.col("l_suppkey") % 9 + 1, F.lit("I"), F.col("l_partkey") % 8 + 1, F.lit("="), F.col("l_suppkey") % 5 + 1, F.lit("D4="))
-    rows = b.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("read_id"), F.row_number().over(w).cast("long").alias("line"), F.col("l_partkey").alias("pos"), text.alias("cigar"))
+    text = (
+        F.concat(
+            F.col("l_linenumber"), F.lit("S"), F.col("l_quantity").cast("int"), F.lit("=1X"), F.col("l_suppkey") % 9 + 1, F.lit("I"),
+            F.col("l_partkey") % 8 + 1, F.lit("="), F.col("l_suppkey") % 5 + 1, F.lit("D4="),
+        )
+    )
+    rows = (
+        b.table(spark, d, "lineitem")
+        .select(
+            F.col("l_orderkey").alias("read_id"), F.row_number().over(w).cast("long").alias("line"), F.col("l_partkey").alias("pos"),
+            text.alias("cigar"),
+        )
+    )
     ops = rows.select("read_id", "line", F.posexplode(cigar_ops(F.col("cigar"), F.col("pos"))).alias("k", "x"))
-    return ops.select("read_id", "line", (F.col("k") + 1).cast("long").alias("k"), "x.op", "x.len", F.col("x.ref_pos").alias("ref_pos"), F.col("x.qi").cast("long").alias("qi"))
+    return (
+        ops.select(
+            "read_id", "line", (F.col("k") + 1).cast("long").alias("k"), "x.op", "x.len", F.col("x.ref_pos").alias("ref_pos"),
+            F.col("x.qi").cast("long").alias("qi"),
+        )
+    )
 
 
 # Kernels over tables: not SQL; unit tests hold them against brute force -------------------------------------------------
@@ -486,7 +624,13 @@ def dense_window(spark, d):
 
     e = b.table(spark, d, "events")
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = e.select(F.col("user_id").alias("read_id"), F.row_number().over(w).cast("long").alias("k"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / b.HOUR).alias("pos"), F.when(F.col("event_type") == "click", 0).otherwise(1).alias("len"), (F.col("event_id") % 3 + 1).alias("cnt"))
+    rows = (
+        e.select(
+            F.col("user_id").alias("read_id"), F.row_number().over(w).cast("long").alias("k"),
+            F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / b.HOUR).alias("pos"),
+            F.when(F.col("event_type") == "click", 0).otherwise(1).alias("len"), (F.col("event_id") % 3 + 1).alias("cnt"),
+        )
+    )
     return dense_spans(rows, ["read_id"], 24, 5)
 
 
@@ -533,7 +677,10 @@ def affine_alignment(spark, d):
     from helixloom.plans import functions as f
 
     s = b.sequences(spark, d).select("id", F.col("seq").alias("t"))
-    q = b.sequences(spark, d).select("id", F.concat(F.substring("seq", F.lit(1), F.lit(50)), F.substring("seq", F.lit(58), F.length("seq"))).alias("q"))
+    q = (
+        b.sequences(spark, d)
+        .select("id", F.concat(F.substring("seq", F.lit(1), F.lit(50)), F.substring("seq", F.lit(58), F.length("seq"))).alias("q"))
+    )
     return s.join(q, "id").select("id", f.affine_align("t", "q").alias("a")).select("id", "a.target", "a.query")
 
 
@@ -543,7 +690,12 @@ def poa_consensus(spark, d):
     from helixloom.plans import functions as f
 
     s = b.sequences(spark, d).select("id", F.col("seq").alias("s"))
-    copies = F.transform(F.sequence(F.lit(1), F.lit(10)), lambda k: F.concat(F.substring("s", F.lit(1), k * 7), F.substring("s", k * 7 + 2, F.length("s"))))
+    copies = (
+        F.transform(
+            F.sequence(F.lit(1), F.lit(10)),
+            lambda k: F.concat(F.substring("s", F.lit(1), k * 7), F.substring("s", k * 7 + 2, F.length("s"))),
+        )
+    )
     return s.select("id", "s", f.poa_consensus(copies).alias("consensus"))
 
 
@@ -578,7 +730,10 @@ def tumbling_counts(spark, d):
 def sessions(spark, d):
     from helixloom.streaming.windows import sessions as merged
 
-    return merged(b.table(spark, d, "events"), "user_id", "ts", "6 hours").select("user_id", F.col("st").cast("timestamp_ntz").alias("st"), F.col("en").cast("timestamp_ntz").alias("en"), "n")
+    return (
+        merged(b.table(spark, d, "events"), "user_id", "ts", "6 hours")
+        .select("user_id", F.col("st").cast("timestamp_ntz").alias("st"), F.col("en").cast("timestamp_ntz").alias("en"), "n")
+    )
 
 
 SOMATIC = f"WITH {CLASSES}, k AS (SELECT pos, vtype, ref_len, alt_len, alt_cov, CASE WHEN pos % 5 = 0 THEN 12 ELSE 0 END AS tsd FROM classes)"
@@ -609,7 +764,13 @@ GERMLINE_ANTI = "WITH s AS (SELECT p_brand AS grp, p_partkey AS var_id, p_partke
 def somatic_not_germline(spark, d):
     from helixloom.operators.somatic import without_germline
 
-    s = b.table(spark, d, "part").select(F.col("p_brand").alias("grp"), F.col("p_partkey").alias("var_id"), (F.col("p_partkey") * 40).alias("pos"), F.when(F.col("p_size") % 2 == 0, 1).otherwise(2).alias("vtype"), F.col("p_size").alias("len"))
+    s = (
+        b.table(spark, d, "part")
+        .select(
+            F.col("p_brand").alias("grp"), F.col("p_partkey").alias("var_id"), (F.col("p_partkey") * 40).alias("pos"),
+            F.when(F.col("p_size") % 2 == 0, 1).otherwise(2).alias("vtype"), F.col("p_size").alias("len"),
+        )
+    )
     return without_germline(s.filter("var_id % 3 = 0"), s.filter("var_id % 3 <> 0"), ["grp"]).select("grp", "var_id")
 
 
@@ -624,11 +785,30 @@ def germline_calls(spark, d):
 
     s = b.sequences(spark, d).select(F.concat(F.lit("c"), "id").alias("contig"), F.translate("seq", "N", "A").alias("seq"))
     bases, n = F.split("seq", ""), F.greatest(F.floor((F.length("seq") - 10) / 50).cast("int"), F.lit(0))
-    alt = F.array_join(F.transform(bases, lambda c, i: F.when((i % 50 == 49) & (i < F.length("seq") - 10), F.translate(c, "ACGT", "CGTA")).otherwise(c)), "")
+    alt = (
+        F.array_join(
+            F.transform(bases, lambda c, i: F.when((i % 50 == 49) & (i < F.length("seq") - 10), F.translate(c, "ACGT", "CGTA")).otherwise(c)),
+            "",
+        )
+    )
     cigar = F.concat(F.repeat(F.lit("49=1X"), n), F.length("seq") - n * 50, F.lit("="))
-    reads = s.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(11)))).select(F.concat(F.lit("r"), "r").alias("qname"), F.when(F.col("r") % 4 < 2, 0).otherwise(16).alias("flag"), "contig", F.lit(1).cast("long").alias("pos"), F.lit(60).alias("mapq"), F.when(F.col("r") % 2 == 1, cigar).otherwise(F.concat(F.length("seq"), F.lit("="))).alias("cigar"), F.when(F.col("r") % 2 == 1, alt).otherwise(F.col("seq")).alias("seq"), F.lit(None).cast("binary").alias("qual"), F.create_map().cast("map<string,string>").alias("tags"))
+    reads = (
+        s.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(11))))
+        .select(
+            F.concat(F.lit("r"), "r").alias("qname"), F.when(F.col("r") % 4 < 2, 0).otherwise(16).alias("flag"), "contig",
+            F.lit(1).cast("long").alias("pos"), F.lit(60).alias("mapq"),
+            F.when(F.col("r") % 2 == 1, cigar).otherwise(F.concat(F.length("seq"), F.lit("="))).alias("cigar"),
+            F.when(F.col("r") % 2 == 1, alt).otherwise(F.col("seq")).alias("seq"), F.lit(None).cast("binary").alias("qual"),
+            F.create_map().cast("map<string,string>").alias("tags"),
+        )
+    )
     calls, _ = germline.call(reads, s.select("contig", F.length("seq").cast("long").alias("length")), fasta.binned(s), HIFI)
-    return calls.select("contig", "pos", "ref", "alt", F.col("gt").isin("0|1", "1|0").alias("het"), F.size(F.collect_set("gt").over(Window.partitionBy("contig", "ps"))).alias("phases"), "dp", "alt_ad", "qual", "gq", "ps")
+    return (
+        calls.select(
+            "contig", "pos", "ref", "alt", F.col("gt").isin("0|1", "1|0").alias("het"),
+            F.size(F.collect_set("gt").over(Window.partitionBy("contig", "ps"))).alias("phases"), "dp", "alt_ad", "qual", "gq", "ps",
+        )
+    )
 
 
 from helixloom.plans import read_queries  # noqa: E402, F401

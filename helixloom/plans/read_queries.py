@@ -101,7 +101,13 @@ def region_texts(spark, d):
 @query("SELECT read_id, unnest(generate_series((pos - 1) // 500, (fin - 1) // 500)) AS chunk FROM (SELECT o_orderkey AS read_id, o_custkey * 7 + 1 AS pos, o_custkey * 7 + 1 + CAST(floor(o_totalprice / 100) AS BIGINT) AS fin FROM orders)")
 def read_chunks(spark, d):
     """The windows that each read touches."""
-    o = b.table(spark, d, "orders").select(F.col("o_orderkey").alias("read_id"), (F.col("o_custkey") * 7 + 1).alias("pos"), (F.col("o_custkey") * 7 + 1 + F.floor(F.col("o_totalprice") / 100)).alias("end"))
+    o = (
+        b.table(spark, d, "orders")
+        .select(
+            F.col("o_orderkey").alias("read_id"), (F.col("o_custkey") * 7 + 1).alias("pos"),
+            (F.col("o_custkey") * 7 + 1 + F.floor(F.col("o_totalprice") / 100)).alias("end"),
+        )
+    )
     return sam.with_chunks(o, 500).select("read_id", "chunk")
 
 
@@ -188,13 +194,25 @@ def read_events(spark, d):
     from helixloom.operators.decode import decode
 
     rows = decode(_aligned(spark, d), HIFI).select("read_id", "line", F.posexplode("events").alias("k", "e"))
-    return rows.select("read_id", "line", F.col("k").cast("long").alias("k"), "e.op", F.col("e.len").cast("long").alias("len"), F.col("e.pos").alias("ref_pos"), F.col("e.qi").cast("long").alias("qi"))
+    return (
+        rows.select(
+            "read_id", "line", F.col("k").cast("long").alias("k"), "e.op", F.col("e.len").cast("long").alias("len"),
+            F.col("e.pos").alias("ref_pos"), F.col("e.qi").cast("long").alias("qi"),
+        )
+    )
 
 
 @query(f"WITH t AS ({LINES}) SELECT read_id, line, qname, sam FROM (SELECT read_id, line, read_id || '/' || line AS qname, clip || 'S' || n || '=1X' || ins || 'I' || mid || '=' || del || 'D4=' AS cigar, pos, repeat('A', CAST(clip + n + 1 + ins + mid + 4 AS INT)) AS seq, concat_ws(chr(9), qname, '0', 'c', pos, '60', cigar, '*', '0', '0', seq, '*') AS sam FROM t)")
 def sam_lines(spark, d):
-    lines = alignments.sam_line(_aligned(spark, d).withColumn("qual", F.lit(b""))).select(F.col("value").alias("sam"), F.split("value", "\t")[0].alias("qname"))
-    return lines.select(F.split("qname", "/")[0].cast("long").alias("read_id"), F.split("qname", "/")[1].cast("long").alias("line"), "qname", "sam")
+    lines = (
+        alignments.sam_line(_aligned(spark, d).withColumn("qual", F.lit(b"")))
+        .select(F.col("value").alias("sam"), F.split("value", "\t")[0].alias("qname"))
+    )
+    return (
+        lines.select(
+            F.split("qname", "/")[0].cast("long").alias("read_id"), F.split("qname", "/")[1].cast("long").alias("line"), "qname", "sam",
+        )
+    )
 
 
 @query(f"""WITH t AS ({LINES}) SELECT read_id, line, CAST(1 + ins + del AS INT) AS nm, n || 'C' || mid || '^' || repeat('G', CAST(del AS INT)) || '4' AS md,
@@ -202,9 +220,19 @@ def sam_lines(spark, d):
 def record_tags(spark, d):
     """NM, MD, cs and CIGAR of events."""
     event = lambda op, n, alt="", ref="": F.struct(F.lit(op).alias("op"), F.col(n).cast("int").alias("len") if isinstance(n, str) else F.lit(n).alias("len"), F.repeat(F.lit(alt), F.col(n).cast("int")).alias("alt") if alt and isinstance(n, str) else F.lit(alt).alias("alt"), F.repeat(F.lit(ref), F.col(n).cast("int")).alias("ref") if ref and isinstance(n, str) else F.lit(ref).alias("ref"))
-    e = F.array(event("S", "clip"), event("=", "n"), event("X", 1, "A", "C"), event("I", "ins", "T"), event("=", "mid"), event("D", "del", ref="G"), event("=", 4))
+    e = (
+        F.array(
+            event("S", "clip"), event("=", "n"), event("X", 1, "A", "C"), event("I", "ins", "T"), event("=", "mid"),
+            event("D", "del", ref="G"), event("=", 4),
+        )
+    )
     rows = _aligned(spark, d).withColumn("e", e)
-    return rows.select("read_id", "line", alignments.edit_distance(F.col("e")).alias("nm"), alignments.md_of(F.col("e")).alias("md"), alignments.cs_of(F.col("e")).alias("cs"), alignments.cigar_of(F.col("e")).alias("cigar"))
+    return (
+        rows.select(
+            "read_id", "line", alignments.edit_distance(F.col("e")).alias("nm"), alignments.md_of(F.col("e")).alias("md"),
+            alignments.cs_of(F.col("e")).alias("cs"), alignments.cigar_of(F.col("e")).alias("cigar"),
+        )
+    )
 
 
 @query("""WITH r AS (SELECT o_orderkey AS qname, o_custkey AS pos, CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 16 END AS flag FROM orders), h AS (SELECT l_orderkey AS qname, min(l_linenumber % 3) AS hap, max(l_partkey) AS phase_set FROM lineitem GROUP BY 1)
@@ -213,8 +241,16 @@ def haplotags(spark, d):
     """HP and PS tags; old ones go, and a record with another flag at the same place gets none."""
     o = b.table(spark, d, "orders")
     old = F.create_map(F.lit("HP"), F.lit("9"), F.lit("PS"), F.lit("8"), F.lit("XX"), F.lit("kept"))
-    r = o.select(F.col("o_orderkey").alias("qname"), F.lit("c").alias("contig"), F.col("o_custkey").alias("pos"), F.when(F.col("o_orderkey") % 2 == 0, 0).otherwise(16).alias("flag"), old.alias("tags"))
-    line = b.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("qname")).agg(F.min(F.col("l_linenumber") % 3).alias("hap"), F.max("l_partkey").alias("phase_set"))
+    r = (
+        o.select(
+            F.col("o_orderkey").alias("qname"), F.lit("c").alias("contig"), F.col("o_custkey").alias("pos"),
+            F.when(F.col("o_orderkey") % 2 == 0, 0).otherwise(16).alias("flag"), old.alias("tags"),
+        )
+    )
+    line = (
+        b.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("qname"))
+        .agg(F.min(F.col("l_linenumber") % 3).alias("hap"), F.max("l_partkey").alias("phase_set"))
+    )
     h = r.select("qname", "contig", "pos").join(line, "qname").withColumn("flag", F.lit(0))
     out = alignments.haplotagged(r, h)
     return out.select("qname", F.col("tags")["HP"].alias("hp"), F.col("tags")["PS"].alias("ps"), F.col("tags")["XX"].alias("xx"))
@@ -225,7 +261,14 @@ def long_clips(spark, d):
     """A clip of four bases at a read's end within thirty of a place."""
     from helixloom.operators.decode import cigar_ops
 
-    rows = _aligned(spark, d).withColumn("events", F.transform(cigar_ops(F.col("cigar"), F.col("pos")), lambda x: F.struct(x["op"].alias("op"), x["len"].alias("len"), x["ref_pos"].alias("pos")))).withColumn("at", F.col("pos") + F.col("n"))
+    rows = (
+        _aligned(spark, d)
+        .withColumn(
+            "events",
+            F.transform(cigar_ops(F.col("cigar"), F.col("pos")), lambda x: F.struct(x["op"].alias("op"), x["len"].alias("len"), x["ref_pos"].alias("pos"))),
+        )
+        .withColumn("at", F.col("pos") + F.col("n"))
+    )
     return rows.select("read_id", "line", somatic.near_long_clip("events", "at", 4, 30).alias("near"))
 
 
@@ -235,7 +278,10 @@ def long_clips(spark, d):
  SELECT grp, read_id FROM h WHERE allele <> CASE WHEN hap = 1 THEN h1 ELSE h2 END GROUP BY 1, 2 HAVING count(*) >= 2""")
 def conflicting_reads(spark, d):
     p = b.profile(spark, d).withColumn("hap", F.col("read_id") % 2 + 1)
-    clean = p.select("grp", "var_id").distinct().withColumn("hap1", (F.col("var_id") % 2).cast("int")).withColumn("hap2", (1 - F.col("var_id") % 2).cast("int"))
+    clean = (
+        p.select("grp", "var_id").distinct().withColumn("hap1", (F.col("var_id") % 2).cast("int"))
+        .withColumn("hap2", (1 - F.col("var_id") % 2).cast("int"))
+    )
     return somatic.conflicting_reads(p, clean, ["grp"])
 
 
@@ -293,7 +339,13 @@ COUNTED = "SELECT l_partkey AS pos, count(*) FILTER (l_returnflag = 'R' AND l_li
 def hypergeometric_masses(spark, d):
     line = b.table(spark, d, "lineitem")
     alt, fwd = F.col("l_returnflag") == "R", F.col("l_linestatus") == "F"
-    t = line.groupBy(F.col("l_partkey").alias("pos")).agg(F.count_if(alt & fwd).alias("a"), F.count_if(alt & ~fwd).alias("b"), F.count_if(~alt & fwd).alias("c"), F.count_if(~alt & ~fwd).alias("e"))
+    t = (
+        line.groupBy(F.col("l_partkey").alias("pos"))
+        .agg(
+            F.count_if(alt & fwd).alias("a"), F.count_if(alt & ~fwd).alias("b"), F.count_if(~alt & fwd).alias("c"),
+            F.count_if(~alt & ~fwd).alias("e"),
+        )
+    )
     return t.select("pos", F.round(stats.ln_hypergeometric(*(F.col(c) for c in "abce")), 6).alias("ln_mass"))
 
 
@@ -311,12 +363,22 @@ def read_site_matrix(spark, d):
     from helixloom.schemas import SITE_KEY
 
     at = b.sites(spark, d).select(F.lit("c").alias("contig"), "pos", "vtype", "ref_len", "alt_len", F.lit("").alias("alt_seq"))
-    line = b.table(spark, d, "lineitem").select((F.col("l_suppkey") % 40).alias("read_id"), F.col("l_partkey").alias("pos"), "l_returnflag", (F.col("l_quantity") < 8).alias("low"))
+    line = (
+        b.table(spark, d, "lineitem")
+        .select(
+            (F.col("l_suppkey") % 40).alias("read_id"), F.col("l_partkey").alias("pos"), "l_returnflag",
+            (F.col("l_quantity") < 8).alias("low"),
+        )
+    )
     events = at.join(line.filter("l_returnflag = 'R'").drop("l_returnflag"), "pos").groupBy(*SITE_KEY, "read_id").agg(F.min("low").alias("low"))
     found = at.filter("pos % 3 = 0").withColumn("site_id", F.col("pos"))
     everyone = line.select("read_id").distinct()
     seen = found.join(F.broadcast(everyone)).join(events, [*SITE_KEY, "read_id"], "left")  # forty reads
-    seen = seen.select("contig", "site_id", "read_id", F.col("low").isNotNull().alias("alt"), F.when(F.col("low"), 0).otherwise(255).alias("bq"))
+    seen = (
+        seen.select(
+            "contig", "site_id", "read_id", F.col("low").isNotNull().alias("alt"), F.when(F.col("low"), 0).otherwise(255).alias("bq"),
+        )
+    )
     none = everyone.select(F.lit("c").alias("contig"), "read_id", F.array().cast("array<struct<st:long,en:long,label:int>>").alias("noisy"))
     return matrix(seen, found, none, events, HIFI).select(F.col("site_id").alias("pos"), "read_id", "allele")
 
@@ -326,7 +388,13 @@ def read_site_matrix(spark, d):
 def alt_read_names(spark, d):
     from helixloom.operators.genotype import with_names
 
-    t = b.table(spark, d, "lineitem").select((F.col("l_suppkey") % 7).alias("grp"), F.col("l_partkey").alias("var_id"), F.concat(F.lit("r"), "l_orderkey").alias("qname"), (F.col("l_returnflag") == "R").alias("alt"))
+    t = (
+        b.table(spark, d, "lineitem")
+        .select(
+            (F.col("l_suppkey") % 7).alias("grp"), F.col("l_partkey").alias("var_id"), F.concat(F.lit("r"), "l_orderkey").alias("qname"),
+            (F.col("l_returnflag") == "R").alias("alt"),
+        )
+    )
     v = t.select("grp", "var_id").distinct().withColumn("alt_cov", F.lit(99).cast("long"))
     return with_names(v, t.filter("alt"), ["grp", "var_id"]).withColumn("alt_cov", F.col("alt_cov").cast("long"))
 
@@ -343,9 +411,18 @@ def germline_repeats(spark, d):
     from helixloom.plans import germline
 
     first = b.sequences(spark, d).select(F.concat(F.lit("c"), "id").alias("contig"), F.translate("seq", "N", "A").alias("first"))
-    s = first.withColumn("seq", F.concat("first", F.lit("G"), F.repeat(F.lit("AC"), F.lit(12)), F.lit("T"), seq.reverse_complement(F.col("first"))))
+    s = (
+        first.withColumn(
+            "seq", F.concat("first", F.lit("G"), F.repeat(F.lit("AC"), F.lit(12)), F.lit("T"), seq.reverse_complement(F.col("first"))),
+        )
+    )
     n = F.greatest(F.floor((F.length("first") - 10) / 50).cast("int"), F.lit(0))
-    other = F.array_join(F.transform(F.split("first", ""), lambda c, i: F.when((i % 50 == 49) & (i < F.length("first") - 10), F.translate(c, "ACGT", "CGTA")).otherwise(c)), "")
+    other = (
+        F.array_join(
+            F.transform(F.split("first", ""), lambda c, i: F.when((i % 50 == 49) & (i < F.length("first") - 10), F.translate(c, "ACGT", "CGTA")).otherwise(c)),
+            "",
+        )
+    )
     rest = F.concat(F.repeat(F.lit("AC"), F.lit(11)), F.lit("T"), seq.reverse_complement(F.col("first")))
     cigar = F.concat(F.repeat(F.lit("49=1X"), n), F.length("first") - n * 50 + 1, F.lit("=2D"), F.length("first") + 23, F.lit("="))
     r = s.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(11))))
@@ -355,6 +432,10 @@ def germline_repeats(spark, d):
         F.when(odd, cigar).otherwise(F.concat(F.length("seq"), F.lit("="))).alias("cigar"), F.when(odd, F.concat(other, F.lit("G"), rest)).otherwise(F.col("seq")).alias("seq"),
         F.lit(None).cast("binary").alias("qual"), F.create_map().cast("map<string,string>").alias("tags"),
     )
-    calls, _ = germline.call(reads_, s.select("contig", F.length("seq").cast("long").alias("length")), fasta.binned(s.select("contig", "seq")), HIFI)
+    calls, _ = (
+        germline.call(
+            reads_, s.select("contig", F.length("seq").cast("long").alias("length")), fasta.binned(s.select("contig", "seq")), HIFI,
+        )
+    )
     phases = F.size(F.collect_set("gt").over(Window.partitionBy("contig", "ps"))).alias("phases")
     return calls.select("contig", "pos", "ref", "alt", F.col("gt").isin("0|1", "1|0").alias("het"), phases, "dp", "alt_ad", "qual", "gq")

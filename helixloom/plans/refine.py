@@ -50,7 +50,10 @@ def refined(a: Analysis, reads: DataFrame, reference: DataFrame, o: Options = HI
     pairs = called.filter("kind = 'pair'").groupBy("read_id").agg(F.sort_array(F.collect_list(pair)).alias("pairs"))  # a read's own regions bound it
     named = [c for c in ("qname", "contig", "pos", "flag", "source_idx") if c in a.reads.columns and c in reads.columns]
     rows = cut(a.reads.join(pairs, "read_id"))
-    at = fasta.slices(reference, rows.select("read_id", "contig", F.col("pos").alias("beg"), "end"), 0).select("read_id", "ref_beg", "ref_seq")
+    at = (
+        fasta.slices(reference, rows.select("read_id", "contig", F.col("pos").alias("beg"), "end"), 0)
+        .select("read_id", "ref_beg", "ref_seq")
+    )
     changed = spliced(rows.select(*named, "read_id", "cigar", "seq", "tags", "events", "pairs").join(at, "read_id"))
     key = F.struct(*named).alias("_key")
     new = rewritten(changed.select(key, "pos", "cigar", "tags", "events")).select("_key", F.struct("pos", "cigar", "tags").alias("_new"))

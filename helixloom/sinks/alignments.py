@@ -18,8 +18,14 @@ def haplotagged(reads: DataFrame, haps: DataFrame) -> DataFrame:
     base = F.map_filter("tags", lambda k, v: ~k.isin("HP", "PS"))
     named = [c for c in ("qname", "contig", "pos", "flag", "source_idx") if c in haps.columns and c in reads.columns]
     joined = reads.join(haps.select(*named, "hap", "phase_set"), named, "left")
-    hp = F.when(F.col("hap") > 0, F.create_map(F.lit("HP"), F.col("hap").cast("string"))).otherwise(F.create_map().cast("map<string,string>"))
-    ps = F.when((F.col("hap") > 0) & (F.col("phase_set") > 0), F.create_map(F.lit("PS"), F.col("phase_set").cast("string"))).otherwise(F.create_map().cast("map<string,string>"))
+    hp = (
+        F.when(F.col("hap") > 0, F.create_map(F.lit("HP"), F.col("hap").cast("string")))
+        .otherwise(F.create_map().cast("map<string,string>"))
+    )
+    ps = (
+        F.when((F.col("hap") > 0) & (F.col("phase_set") > 0), F.create_map(F.lit("PS"), F.col("phase_set").cast("string")))
+        .otherwise(F.create_map().cast("map<string,string>"))
+    )
     return joined.withColumn("tags", F.map_concat(base, hp, ps)).select(*reads.columns)
 
 
@@ -31,11 +37,21 @@ def owned(rows: DataFrame, keys: list[str]) -> DataFrame:
 def cigar_of(events: Column, hard_to_soft: bool = True) -> Column:
     """Run-length text of an array of (op, len); hard clips of primary records become soft."""
     zero = F.array().cast("array<struct<op:string,len:int>>")
-    ops = F.transform(events, lambda e: F.struct(F.when(F.lit(hard_to_soft) & (e["op"] == "H"), "S").otherwise(e["op"]).alias("op"), e["len"].cast("int").alias("len")))
+    ops = (
+        F.transform(
+            events,
+            lambda e: F.struct(F.when(F.lit(hard_to_soft) & (e["op"] == "H"), "S").otherwise(e["op"]).alias("op"), e["len"].cast("int").alias("len")),
+        )
+    )
 
     def join(runs: Column, e: Column) -> Column:
         same = (F.size(runs) > 0) & (F.try_element_at(runs, F.lit(-1))["op"] == e["op"])
-        grown = F.concat(F.slice(runs, 1, F.greatest(F.size(runs) - 1, F.lit(0))), F.array(F.struct(e["op"].alias("op"), (F.try_element_at(runs, F.lit(-1))["len"] + e["len"]).alias("len"))))
+        grown = (
+            F.concat(
+                F.slice(runs, 1, F.greatest(F.size(runs) - 1, F.lit(0))),
+                F.array(F.struct(e["op"].alias("op"), (F.try_element_at(runs, F.lit(-1))["len"] + e["len"]).alias("len"))),
+            )
+        )
         return F.when(same, grown).otherwise(F.array_append(runs, F.struct(e["op"].alias("op"), e["len"].alias("len"))))
 
     runs = F.aggregate(F.filter(ops, lambda e: e["len"] > 0), zero, join)
@@ -59,7 +75,11 @@ def md_of(events: Column) -> Column:
 
     def step(s: Column, e: Column) -> Column:
         mark = F.when(e["op"] == "X", e["ref"]).otherwise(F.concat(F.lit("^"), e["ref"]))
-        return F.when(e["op"] == "=", F.struct((s["run"] + e["len"].cast("int")).alias("run"), s["out"].alias("out"))).when(e["op"].isin("X", "D"), F.struct(F.lit(0).alias("run"), F.concat(s["out"], s["run"].cast("string"), mark).alias("out"))).otherwise(s)
+        return (
+            F.when(e["op"] == "=", F.struct((s["run"] + e["len"].cast("int")).alias("run"), s["out"].alias("out")))
+            .when(e["op"].isin("X", "D"), F.struct(F.lit(0).alias("run"), F.concat(s["out"], s["run"].cast("string"), mark).alias("out")))
+            .otherwise(s)
+        )
 
     return F.aggregate(events, zero, step, lambda s: F.concat(s["out"], s["run"].cast("string")))
 
@@ -71,13 +91,25 @@ def refined(reads: DataFrame, events: str = "events") -> DataFrame:
     new = F.create_map(F.lit("NM"), edit_distance(e).cast("string"), F.lit("MD"), md_of(e), F.lit("cs"), cs_of(e))
     same = cigar_of(e) == F.col("cigar")
     rest = F.map_filter("tags", lambda k, v: ~k.isin("NM", "MD", "cs"))
-    return reads.withColumn("_new", F.map_concat(rest, new)).withColumn("tags", F.when(same, F.col("tags")).otherwise(F.col("_new"))).withColumn("pos", F.when(same, F.col("pos")).otherwise(pos)).withColumn("cigar", F.when(same, F.col("cigar")).otherwise(cigar_of(e))).drop("_new", events)
+    return (
+        reads.withColumn("_new", F.map_concat(rest, new)).withColumn("tags", F.when(same, F.col("tags")).otherwise(F.col("_new")))
+        .withColumn("pos", F.when(same, F.col("pos")).otherwise(pos))
+        .withColumn("cigar", F.when(same, F.col("cigar")).otherwise(cigar_of(e))).drop("_new", events)
+    )
 
 
 def sam_line(reads: DataFrame) -> DataFrame:
     """value: SAM text lines. Whole numbers are written as i tags, others as Z."""
-    tag = F.array_join(F.transform(F.array_sort(F.map_entries("tags")), lambda t: F.concat(t["key"], F.when(t["value"].rlike(r"^-?\d+$"), ":i:").otherwise(":Z:"), t["value"])), "\t")
-    qual = F.when(F.length("qual") == 0, "*").otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.length("qual")), lambda i: F.char(F.conv(F.hex(F.substring("qual", i, F.lit(1))), 16, 10).cast("int") + 33)), ""))
+    tag = (
+        F.array_join(
+            F.transform(F.array_sort(F.map_entries("tags")), lambda t: F.concat(t["key"], F.when(t["value"].rlike(r"^-?\d+$"), ":i:").otherwise(":Z:"), t["value"])),
+            "\t",
+        )
+    )
+    qual = (
+        F.when(F.length("qual") == 0, "*")
+        .otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.length("qual")), lambda i: F.char(F.conv(F.hex(F.substring("qual", i, F.lit(1))), 16, 10).cast("int") + 33)), ""))
+    )
     cols = ["qname", F.col("flag").cast("string"), "contig", F.col("pos").cast("string"), F.col("mapq").cast("string"), "cigar", F.lit("*"), F.lit("0"), F.lit("0"), "seq", qual]
     return reads.select(F.concat_ws("\t", *cols, F.when(F.length(tag) > 0, tag)).alias("value"))
 

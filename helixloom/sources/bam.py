@@ -90,7 +90,12 @@ def encode(row: Any, ids: dict[str, int]) -> bytes:
         whole = re.fullmatch(r"-?\d+", v or "") and -(2**31) <= int(v) < 2**31
         tags += t.encode() + (b"i" + struct.pack("<i", int(v)) if whole else b"Z" + (v or "").encode() + b"\0")
     beg, end = row["pos"] - 1, row["pos"] - 1 + max(1, sum(n for n, o in ops if OPS[o] in "MDN=X"))
-    body = struct.pack("<iiBBHHHiiii", ids.get(row["contig"], -1), beg, len(name), row["mapq"], bin_of(beg, end), len(ops), row["flag"], len(seq), -1, -1, 0)
+    body = (
+        struct.pack(
+            "<iiBBHHHiiii", ids.get(row["contig"], -1), beg, len(name), row["mapq"], bin_of(beg, end), len(ops), row["flag"], len(seq), -1,
+            -1, 0,
+        )
+    )
     body += name + b"".join(struct.pack("<I", n << 4 | o) for n, o in ops) + packed + qual + tags
     return struct.pack("<i", len(body)) + body
 

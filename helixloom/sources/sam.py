@@ -15,7 +15,12 @@ def parse(lines: DataFrame) -> DataFrame:
     text = F.when(c[10] == "*", "").otherwise(c[10])
     qual = F.unhex(F.concat_ws("", F.transform(F.split(text, ""), lambda x: F.when(x == "", "").otherwise(F.lpad(F.hex(F.ascii(x) - 33), 2, "0")))))
     tags = F.map_from_entries(F.transform(F.slice(c, 12, F.greatest(F.size(c) - 11, F.lit(0))), lambda t: F.struct(F.substring(t, 1, 2), F.substring(t, 6, 1_000_000))))
-    return lines.select(c[0].alias("qname"), c[1].cast("int").alias("flag"), c[2].alias("contig"), c[3].cast("long").alias("pos"), c[4].cast("int").alias("mapq"), c[5].alias("cigar"), c[9].alias("seq"), qual.alias("qual"), tags.alias("tags"))
+    return (
+        lines.select(
+            c[0].alias("qname"), c[1].cast("int").alias("flag"), c[2].alias("contig"), c[3].cast("long").alias("pos"),
+            c[4].cast("int").alias("mapq"), c[5].alias("cigar"), c[9].alias("seq"), qual.alias("qual"), tags.alias("tags"),
+        )
+    )
 
 
 def read_sam(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -52,7 +57,10 @@ def reference_length(cigar: Column) -> Column:
 
 def usable(reads: DataFrame, min_mapq: int = 30) -> DataFrame:
     """Mapped primary reads of enough mapping quality, with their last base."""
-    return reads.filter(((F.col("flag").bitwiseAND(UNUSED)) == 0) & (F.col("mapq") >= min_mapq)).withColumn("end", F.col("pos") + reference_length(F.col("cigar")) - 1)
+    return (
+        reads.filter(((F.col("flag").bitwiseAND(UNUSED)) == 0) & (F.col("mapq") >= min_mapq))
+        .withColumn("end", F.col("pos") + reference_length(F.col("cigar")) - 1)
+    )
 
 
 def with_chunks(reads: DataFrame, size: int = 500_000) -> DataFrame:
