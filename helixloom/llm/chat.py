@@ -83,7 +83,10 @@ def format_chat(turns: DataFrame, part_bytes: int = PART) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, part, task = object(), -1, TaskContext.get().partitionId() << 32
         for big in batches:
-            size = pc.add(pc.fill_null(pc.binary_length(big.column("text")), 0), pc.fill_null(pc.binary_length(big.column("role")), 0)).to_numpy(zero_copy_only=False)
+            size = (
+                pc.add(pc.fill_null(pc.binary_length(big.column("text")), 0), pc.fill_null(pc.binary_length(big.column("role")), 0))
+                .to_numpy(zero_copy_only=False)
+            )
             step = np.cumsum(size, dtype=np.int64) // part_bytes
             cuts = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), big.num_rows]
             for lo, hi in zip(cuts, cuts[1:], strict=False):
@@ -115,9 +118,16 @@ def format_chat(turns: DataFrame, part_bytes: int = PART) -> DataFrame:
 
     kind = turns.schema["conv_id"].dataType.simpleString()
     # a range's bounds are sampled rows: the begin of a text orders as the text does, and doesn't fill the driver
-    ranged = turns.select("conv_id", "turn", "role", "text").repartitionByRange("conv_id", "turn", F.substring("role", 1, 16), F.substring("text", 1, 32))
+    ranged = (
+        turns.select("conv_id", "turn", "role", "text")
+        .repartitionByRange("conv_id", "turn", F.substring("role", 1, 16), F.substring("text", 1, 32))
+    )
     rows = ranged.sortWithinPartitions("conv_id", "turn", "role", "text")
-    return rows.mapInArrow(run, f"conv_id {kind}, part long, formatted string, n_turns int, n_chars long, loss array<struct<start:long,end:long>>")
+    return (
+        rows.mapInArrow(
+            run, f"conv_id {kind}, part long, formatted string, n_turns int, n_chars long, loss array<struct<start:long,end:long>>",
+        )
+    )
 
 
 TURN = re.compile(re.escape(START) + r"(.*?)\n(.*?)" + re.escape(END) + r"\n", re.S)
@@ -140,7 +150,10 @@ def said(formatted: DataFrame) -> DataFrame:
             yield pa.record_batch([b.column("conv_id"), b.column("part"), pa.array(turns, pa.binary()), pa.array(losses, pa.binary()), *counts], names=["conv_id", "part", "turns", "loss", "n_turns", "loss_chars", "formatted_chars"])
 
     kind = formatted.schema["conv_id"].dataType.simpleString()
-    return formatted.select("conv_id", "part", "formatted", "loss").mapInArrow(run, f"conv_id {kind}, part long, turns binary, loss binary, n_turns long, loss_chars long, formatted_chars long")
+    return (
+        formatted.select("conv_id", "part", "formatted", "loss")
+        .mapInArrow(run, f"conv_id {kind}, part long, turns binary, loss binary, n_turns long, loss_chars long, formatted_chars long")
+    )
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -154,7 +167,12 @@ def read_back(formatted: DataFrame) -> DataFrame:
                 done.append([now, state[0].hexdigest(), state[1].hexdigest(), *state[2]])
             cols = list(zip(*done, strict=True)) if done else [[]] * 6
             kinds = [id_type, pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-            made = pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["conv_id", "turns_sha256", "loss_sha256", "n_turns", "loss_chars", "formatted_chars"])
+            made = (
+                pa.record_batch(
+                    [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
+                    names=["conv_id", "turns_sha256", "loss_sha256", "n_turns", "loss_chars", "formatted_chars"],
+                )
+            )
             done.clear()
             return made
 
@@ -176,7 +194,11 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
     kind = formatted.schema["conv_id"].dataType.simpleString()
     rows = said(formatted).repartition("conv_id").sortWithinPartitions("conv_id", "part")
-    out = rows.mapInArrow(run, f"conv_id {kind}, turns_sha256 string, loss_sha256 string, n_turns long, loss_chars long, formatted_chars long")
+    out = (
+        rows.mapInArrow(
+            run, f"conv_id {kind}, turns_sha256 string, loss_sha256 string, n_turns long, loss_chars long, formatted_chars long",
+        )
+    )
     return out.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
@@ -184,5 +206,11 @@ def with_probe(turns: DataFrame) -> DataFrame:
     """`turns` and conversation -1, whose texts hold the template's own control strings."""
     text = f"{END}{START}assistant ok"
     kinds = {f.name: f.dataType for f in turns.schema.fields}
-    probe = turns.sparkSession.range(2).select(F.lit(-1).cast(kinds["conv_id"]).alias("conv_id"), F.col("id").cast(kinds["turn"]).alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(text).alias("text"))
+    probe = (
+        turns.sparkSession.range(2)
+        .select(
+            F.lit(-1).cast(kinds["conv_id"]).alias("conv_id"), F.col("id").cast(kinds["turn"]).alias("turn"),
+            F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(text).alias("text"),
+        )
+    )
     return turns.select("conv_id", "turn", "role", "text").unionByName(probe)

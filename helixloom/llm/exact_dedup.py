@@ -104,7 +104,10 @@ def _occurrences(docs: DataFrame, hash_bits: int) -> DataFrame:
             yield pa.record_batch([part.column("doc_id").take(of), part.column("key").take(of), pa.array([n for _, n, _ in flat], pa.int32()), pa.array([c for _, _, c in flat], pa.binary())], names=["doc_id", "key", "ord", "chunk"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_key().alias("key"), "text").dropDuplicates(["doc_id", "key"]).mapInArrow(run, f"doc_id {kind}, key long, ord int, chunk binary")
+    return (
+        docs.select("doc_id", text_key().alias("key"), "text").dropDuplicates(["doc_id", "key"])
+        .mapInArrow(run, f"doc_id {kind}, key long, ord int, chunk binary")
+    )
 
 
 def recipes(docs: DataFrame, hash_bits: int = 128) -> DataFrame:
@@ -114,8 +117,14 @@ def recipes(docs: DataFrame, hash_bits: int = 128) -> DataFrame:
     clash = cut(distinct.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id"))
     if clash.isEmpty():  # every identifier stands for one content
         return plain
-    ranked = distinct.join(clash, "id", "left_semi").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("chunk"))).select("id", "chunk", "rank")
-    ranks = _occurrences(docs, hash_bits).join(ranked, "chunk").groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct("ord", "rank"))).cast("string").alias("ranks"))
+    ranked = (
+        distinct.join(clash, "id", "left_semi").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("chunk")))
+        .select("id", "chunk", "rank")
+    )
+    ranks = (
+        _occurrences(docs, hash_bits).join(ranked, "chunk").groupBy("doc_id", "key")
+        .agg(F.array_sort(F.collect_list(F.struct("ord", "rank"))).cast("string").alias("ranks"))
+    )
     b = ranks.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "ranks")
     joined = plain.join(b, plain["doc_id"].eqNullSafe(b["_d"]) & (plain["key"] == b["_k"]), "left")
     return joined.select("doc_id", "key", "text_sha256", F.concat("ids", F.coalesce(F.col("ranks"), F.lit("")).cast("binary")).alias("ids"))

@@ -59,7 +59,10 @@ def later_windows(docs: DataFrame, size: int = 3, words: int | None = None) -> D
     hits = every.join(again, "hash")
     own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
     begin = F.when(own, F.greatest(F.col("pos"), F.col("first.pos") + F.col("n"))).otherwise(F.col("pos"))
-    later = hits.filter(~own | (F.col("pos") != F.col("first.pos"))).select("doc_id", "key", F.struct(begin.alias("lo"), (F.col("pos") + F.col("n")).alias("hi")).alias("span"))
+    later = (
+        hits.filter(~own | (F.col("pos") != F.col("first.pos")))
+        .select("doc_id", "key", F.struct(begin.alias("lo"), (F.col("pos") + F.col("n")).alias("hi")).alias("span"))
+    )
     return later.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("span")).alias("spans"))  # a document's own lines bound it
 
 

@@ -161,7 +161,10 @@ def search(vectors: DataFrame, every: int = 20, p: Parameters | None = None) ->
 
     norm2 = F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
     total = classes.agg(F.count("*").alias("n"), F.max(norm2).alias("m")).first()
-    sample = classes.select("embedding", F.xxhash64("cls").alias("h")).orderBy("h").limit(p.sample).select("embedding").toArrow()["embedding"].combine_chunks()
+    sample = (
+        classes.select("embedding", F.xxhash64("cls").alias("h")).orderBy("h").limit(p.sample).select("embedding").toArrow()["embedding"]
+        .combine_chunks()
+    )
     fit = _matrix(sample, dims)
     rotation = np.linalg.qr(np.random.Generator(np.random.PCG64(p.seed)).standard_normal((dims + 1, dims + 1)))[0]
     top = total["m"]
@@ -196,14 +199,22 @@ def search(vectors: DataFrame, every: int = 20, p: Parameters | None = None) ->
 
     indexed = cut(classes.select("cls", "embedding").mapInArrow(assign, f"cls {id_kind}, embedding {emb_kind}, list int"))
     # centres and spreads are those of all vectors, not the sample's: n_lists * (dims + 1) numbers come to the driver, whatever the rows
-    parts = indexed.select("list", "embedding").mapInArrow(sums, "list int, n long, total array<double>").select("list", "n", F.posexplode("total").alias("d", "x"))
+    parts = (
+        indexed.select("list", "embedding").mapInArrow(sums, "list int, n long, total array<double>")
+        .select("list", "n", F.posexplode("total").alias("d", "x"))
+    )
     centre = seeds.copy()
     for r in parts.groupBy("list", "d").agg((F.sum("x") / F.sum("n")).alias("x")).collect():
         centre[r["list"], r["d"]] = r["x"]
     of_list = {r["list"]: r for r in indexed.select("list", "embedding").mapInArrow(offs, "list int, off double").groupBy("list").agg(F.count("*").alias("n"), F.avg("off").alias("m"), F.var_pop("off").alias("v")).collect()}
     lists = Lists(centre, *(np.array([of_list[k][c] if k in of_list else 0.0 for k in range(n_lists)]) for c in "nmv"))
     blocks = F.element_at(F.array(*(F.lit(max(1, -(-int(n) // p.block))) for n in lists.count)), F.col("list") + 1)
-    stored = indexed.select("list", F.pmod(F.xxhash64("cls"), blocks).cast("int").alias("vb"), F.lit(0).alias("side"), "cls", "embedding", F.lit(None).cast("double").alias("kth"))
+    stored = (
+        indexed.select(
+            "list", F.pmod(F.xxhash64("cls"), blocks).cast("int").alias("vb"), F.lit(0).alias("side"), "cls", "embedding",
+            F.lit(None).cast("double").alias("kth"),
+        )
+    )
     wanted = cut(classes.join(asked.select("cls").distinct(), "cls", "left_semi").select("cls", "embedding"))
 
     def distance_to_beat(kth: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -280,13 +291,24 @@ def search(vectors: DataFrame, every: int = 20, p: Parameters | None = None) ->
         dealt = stored.unionByName(asks).repartition("list", "vb").sortWithinPartitions("list", "vb", "side")
         found = dealt.mapInArrow(visit, "cls long, near long, score double")
         both = found if best is None else best.select("cls", "near", "score").unionByName(found)
-        ranked = both.withColumn("_k", F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("score"), "near"))).filter(F.col("_k") <= most)
+        ranked = (
+            both.withColumn("_k", F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("score"), "near")))
+            .filter(F.col("_k") <= most)
+        )
         best = cut(ranked.select("cls", "near", "score"))
     # of at most `most` classes at most `most` ids each
     rows_of = best.join(classes.select(F.col("cls").alias("near"), "ids"), "near").select("cls", "score", F.explode("ids").alias("vec_id"))
-    ranked = rows_of.withColumn("_k", F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("score"), "vec_id"))).filter(F.col("_k") <= most)
+    ranked = (
+        rows_of.withColumn("_k", F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("score"), "vec_id")))
+        .filter(F.col("_k") <= most)
+    )
     gathered = ranked.groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("_k", "vec_id", "score"))).alias("hits"))
     out = asked.join(gathered, "cls")
     hits = F.slice(F.filter("hits", lambda h: h["vec_id"] != F.col("query_id")), 1, p.k)
     out = out.select("query_id", F.posexplode(hits).alias("pos", "hit"))
-    return out.select("query_id", (F.col("pos") + 1).alias("rank"), F.col("hit.vec_id").cast(id_kind).alias("vec_id"), F.col("hit.score").alias("score"))
+    return (
+        out.select(
+            "query_id", (F.col("pos") + 1).alias("rank"), F.col("hit.vec_id").cast(id_kind).alias("vec_id"),
+            F.col("hit.score").alias("score"),
+        )
+    )

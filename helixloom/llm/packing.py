@@ -68,7 +68,11 @@ class WordBPE:
     @classmethod
     def _kinds(cls) -> np.ndarray:
         """1 for letters, 2 for numbers, 3 for others of Latin-1, 0 for the newline between words; what PIECE says in a table."""
-        return np.array([0 if c == 10 else 1 if cls.LETTER.match(chr(c)) else 2 if cls.NUMBER.match(chr(c)) else 3 for c in range(256)], np.uint8)
+        return (
+            np.array(
+                [0 if c == 10 else 1 if cls.LETTER.match(chr(c)) else 2 if cls.NUMBER.match(chr(c)) else 3 for c in range(256)], np.uint8,
+            )
+        )
 
     def _cut(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Pieces of words that hold no apostrophe: all bytes, each piece's size, and each word's number of pieces."""
@@ -221,7 +225,11 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
 
     from pyspark.sql.types import LongType, StructField, StructType
 
-    return ranked.mapInArrow(take, StructType([*pieces.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())]))
+    return (
+        ranked.mapInArrow(
+            take, StructType([*pieces.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())]),
+        )
+    )
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:

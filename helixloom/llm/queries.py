@@ -21,7 +21,12 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return byte_bpe.transcode(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN, ("n_tokens", "ids_sha256", "decoded_sha256"))
+    return (
+        byte_bpe.transcode(
+            table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN,
+            ("n_tokens", "ids_sha256", "decoded_sha256"),
+        )
+    )
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,9 +103,18 @@ def _kind(column: str) -> Column:
 def linked(found: DataFrame) -> DataFrame:
     """doc_id, key, linked (array of (start, kind, end)): the weak parts that complete a credential."""
     some = found.filter("size(access) > 0 and size(secret) > 0").dropDuplicates(["doc_id", "key"])
-    scope = some.select("doc_id", "key", F.explode("access").alias("a")).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.col("a.start").alias("at"), (F.col("a.start") - SCOPE).alias("lo"), (F.col("a.end") + SCOPE).alias("hi"))
+    scope = (
+        some.select("doc_id", "key", F.explode("access").alias("a"))
+        .select(
+            F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.col("a.start").alias("at"), (F.col("a.start") - SCOPE).alias("lo"),
+            (F.col("a.end") + SCOPE).alias("hi"),
+        )
+    )
     scope = scope.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("lo") / SCOPE), F.floor(F.col("hi") / SCOPE))))
-    part = some.select("doc_id", "key", F.explode(F.concat(_kind("secret"), _kind("endpoint"))).alias("span")).withColumn("bin", F.floor(F.col("span.start") / SCOPE))
+    part = (
+        some.select("doc_id", "key", F.explode(F.concat(_kind("secret"), _kind("endpoint"))).alias("span"))
+        .withColumn("bin", F.floor(F.col("span.start") / SCOPE))
+    )
     near = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k")) & (F.col("bin") == F.col("_bin"))
     inside = (F.col("span.start") >= F.col("lo")) & (F.col("span.end") <= F.col("hi"))
     scopes = part.join(scope, near & inside).groupBy("doc_id", "key", "at").agg(F.collect_set("span").alias("spans"))  # a scope's width bounds it
@@ -132,13 +141,22 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans (kind:start:end, comma-joined) for each row."""
     of = lambda k: F.size(F.filter("base", lambda s: s["kind"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
-    return find_secrets(docs).select("doc_id", of("assign"), of("access"), of("hex"), F.sha2(_names(F.col("base")), 256).alias("base_sha256"), _names(F.col("spans")).alias("spans"))
+    return (
+        find_secrets(docs)
+        .select(
+            "doc_id", of("assign"), of("access"), of("hex"), F.sha2(_names(F.col("base")), 256).alias("base_sha256"),
+            _names(F.col("spans")).alias("spans"),
+        )
+    )
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """The rows of `docs`, all columns kept, with every secret span of `text` replaced by `mark`; n_chars, if there, follows."""
     key, spans, clear, d, k = (fresh(docs, x) for x in ("_key", "_spans", "_clean", "_d", "_k"))
-    hits = find_secrets(docs).filter("size(spans) > 0").dropDuplicates(["doc_id", "key"]).select(F.col("doc_id").alias(d), F.col("key").alias(k), F.col("spans").alias(spans))
+    hits = (
+        find_secrets(docs).filter("size(spans) > 0").dropDuplicates(["doc_id", "key"])
+        .select(F.col("doc_id").alias(d), F.col("key").alias(k), F.col("spans").alias(spans))
+    )
     rows = docs.withColumn(key, text_key())
     joined = rows.join(hits, rows["doc_id"].eqNullSafe(hits[d]) & (rows[key] == hits[k]), "left")
 
@@ -156,13 +174,23 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
             return F.struct(at["block"].alias("block"), F.greatest(at["pos"], F.least(s["end"], lo + BLOCK)).alias("pos"), more.alias("out"))
 
         zero = F.struct(block.alias("block"), lo.alias("pos"), F.lit("").alias("out"))
-        return F.aggregate(span_of(held, lo, BLOCK), zero, step, lambda at: F.concat(at["out"], F.substring(at["block"], at["pos"] - lo + 1, F.lit(BLOCK))))
+        return (
+            F.aggregate(
+                span_of(held, lo, BLOCK), zero, step,
+                lambda at: F.concat(at["out"], F.substring(at["block"], at["pos"] - lo + 1, F.lit(BLOCK))),
+            )
+        )
 
     def clean_stretch(k: Column) -> Column:
         """A stretch of BLOCKS blocks. substring() walks a text from its begin and filter() all spans, so blocks are cut out of stretches, not of the whole."""
         base = k * wide
         held = F.struct(F.substring(whole, base + 1, F.lit(wide)).alias("text"), span_of(F.col(spans), base, wide).alias("spans"))
-        return _let(held, lambda x: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda b: clean_block(x["text"], base, x["spans"], base + b * BLOCK)), ""))
+        return (
+            _let(
+                held,
+                lambda x: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda b: clean_block(x["text"], base, x["spans"], base + b * BLOCK)), ""),
+            )
+        )
 
     clean = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.length("text") / wide).cast("int")), clean_stretch), "")
     out = joined.withColumn(clear, F.when(F.col(spans).isNull(), F.col("text")).otherwise(clean))

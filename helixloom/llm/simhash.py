@@ -100,7 +100,12 @@ def links(nodes: DataFrame, radius: int = 2, bucket_size: int = BUCKET) -> DataF
             u = np.array([a for a, _ in link], np.int64)
             v = np.array([b for _, b in link], np.int64)
             t = np.concatenate([np.full(len(u), -1), rest[:, 0]]).astype(np.int32)
-            return pa.record_batch([pa.array(t), pa.array(np.concatenate([np.zeros(len(u), np.int64), rest[:, 1]])), pa.array(np.concatenate([u, rest[:, 2]])), pa.array(np.concatenate([v, rest[:, 2]]))], names=["t", "part", "u", "v"])
+            return (
+                pa.record_batch(
+                    [pa.array(t), pa.array(np.concatenate([np.zeros(len(u), np.int64), rest[:, 1]])), pa.array(np.concatenate([u, rest[:, 2]])), pa.array(np.concatenate([v, rest[:, 2]]))],
+                    names=["t", "part", "u", "v"],
+                )
+            )
 
         def settle(rows: np.ndarray, last: bool) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
             """Links of whole buckets, rows of large ones, and what may go on in the next batch."""
@@ -143,10 +148,21 @@ def _large_links(rows: DataFrame, cover: list[int], radius: int) -> DataFrame:
     """
     far, close = -(-radius // 2), radius // 2
     flips = [[(n, sum(1 << i for i in bits)) for n in range(far + 1) for bits in combinations([i for i in range(64) if not m >> i & 1], n)] for m in masks(radius)]
-    of = F.element_at(F.array(*(F.array(*(F.struct(F.lit(n <= close).alias("close"), F.lit(_signed(x)).alias("bits")) for n, x in some)) for some in flips)), F.col("t") + 1)
-    offers = rows.select("t", "fp", F.explode(of).alias("flip")).select("t", "fp", "flip.close", F.col("fp").bitwiseXOR(F.col("flip.bits")).alias("offer"))
+    of = (
+        F.element_at(
+            F.array(*(F.array(*(F.struct(F.lit(n <= close).alias("close"), F.lit(_signed(x)).alias("bits")) for n, x in some)) for some in flips)),
+            F.col("t") + 1,
+        )
+    )
+    offers = (
+        rows.select("t", "fp", F.explode(of).alias("flip"))
+        .select("t", "fp", "flip.close", F.col("fp").bitwiseXOR(F.col("flip.bits")).alias("offer"))
+    )
     # at most as many sharers as a node has offers
-    shared = offers.groupBy("t", "offer").agg(F.min(F.when(F.col("close"), F.col("fp"))).alias("v"), F.collect_set("fp").alias("fps")).filter(F.col("v").isNotNull() & (F.size("fps") > 1))
+    shared = (
+        offers.groupBy("t", "offer").agg(F.min(F.when(F.col("close"), F.col("fp"))).alias("v"), F.collect_set("fp").alias("fps"))
+        .filter(F.col("v").isNotNull() & (F.size("fps") > 1))
+    )
     return shared.select("v", F.explode("fps").alias("u")).filter("u <> v").select("u", "v").distinct()
 
 
@@ -157,7 +173,10 @@ def grouped(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
     roots = components(links(nodes.select("fp"), radius))
     placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.join(placed.join(least, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "key", "fp", "root", "component_id")
+    return (
+        rows.join(placed.join(least, "root").select("fp", "root", "component_id"), "fp")
+        .select("doc_id", "key", "fp", "root", "component_id")
+    )
 
 
 def near_dedup(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:

@@ -189,7 +189,10 @@ def held_out() -> Column:
 def fit(docs: DataFrame, labels: DataFrame, p: Parameters | None = None) -> Model:
     """A model from the labelled rows that aren't held out: of each class the per_class rows of smallest hash, within class_bytes. `docs` is read once."""
     p = p or Parameters()
-    usable = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    usable = (
+        labels.select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+        .filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    )
     shares = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
     total = sum(shares.values())
     # twice the rows, as some have no text
@@ -200,7 +203,10 @@ def fit(docs: DataFrame, labels: DataFrame, p: Parameters | None = None) -> Mode
     order = Window.partitionBy("toxic").orderBy("_h", "text")
     # a limit on row_number() is taken in every task before rows move, so that one doc_id with very many rows costs no more than any other
     first = labelled.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= p.per_class)
-    held = first.withColumn("_b", F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1))).filter(F.coalesce("_b", F.lit(0)) < p.class_bytes)
+    held = (
+        first.withColumn("_b", F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+        .filter(F.coalesce("_b", F.lit(0)) < p.class_bytes)
+    )
     got = held.select("toxic", "_k", "text").toArrow().sort_by([("toxic", "ascending"), ("_k", "ascending")])
     rows = list(zip(got["text"].to_pylist(), got["toxic"].to_pylist(), strict=True))
     return train(rows, p, shares.get(1, 0) / total if total else 0.5)
