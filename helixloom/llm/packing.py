@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixloom.llm.common import BoundedCache, cut, text_slices, texts
+from helixloom.llm.common import BoundedCache, cut, fresh, text_slices, texts
 from helixloom.llm.merges import Merges
 
 #: Pieces that one salt of a length holds on average.
@@ -209,27 +209,25 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     slots = plan(histogram, capacity)
     # a row's number in its partition of the checkpoint is the same whenever it is read, and deals repeated rows out like any others
     salts = F.element_at(F.array(*(F.lit(-(-histogram.get(k, 1) // PER_SALT)) for k in range(1, capacity + 1))), F.col("length").cast("int"))
-    dealt = pieces.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), salts).cast("int"))
-    counts = dealt.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
-    before = counts.select("length", "_salt", (F.sum("_n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_n")).alias("_before"))
-    ranked = dealt.withColumn("_k", F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*cols)))
-    ranked = ranked.join(before, ["length", "_salt"]).select(*cols, (F.col("_before") + F.col("_k") - 1).alias("_rank"))
+    salt, n, begin, k, place = (fresh(pieces, x) for x in ("_salt", "_n", "_before", "_k", "_rank"))
+    dealt = pieces.withColumn(salt, F.pmod(F.monotonically_increasing_id(), salts).cast("int"))
+    counts = dealt.groupBy("length", salt).agg(F.count("*").alias(n))
+    before = counts.select("length", salt, (F.sum(n).over(Window.partitionBy("length").orderBy(salt)) - F.col(n)).alias(begin))
+    ranked = dealt.withColumn(k, F.row_number().over(Window.partitionBy("length", salt).orderBy(*cols)))
+    ranked = ranked.join(before, ["length", salt]).select(*cols, (F.col(begin) + F.col(k) - 1).alias(place))
 
     def take(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = slots[:, 0] * (1 << 48) + slots[:, 1]
         for b in batches:
-            rank = b.column("_rank").to_numpy(zero_copy_only=False)
+            rank = b.column(place).to_numpy(zero_copy_only=False)
             at = np.searchsorted(first, b.column("length").to_numpy(zero_copy_only=False) * (1 << 48) + rank, "right") - 1
             slot = slots[at]
             yield pa.record_batch([*(b.column(c) for c in cols), pa.array(slot[:, 3] + rank - slot[:, 1]), pa.array(slot[:, 4])], names=[*cols, "sequence_id", "offset"])
 
     from pyspark.sql.types import LongType, StructField, StructType
 
-    return (
-        ranked.mapInArrow(
-            take, StructType([*pieces.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())]),
-        )
-    )
+    added = [StructField("sequence_id", LongType()), StructField("offset", LongType())]
+    return ranked.mapInArrow(take, StructType([*pieces.schema.fields, *added]))
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:

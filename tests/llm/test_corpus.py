@@ -145,7 +145,9 @@ def test_copies_of_a_piece_are_dealt_over_salts(spark, monkeypatch):
     """A length that one repeated row fills is ranked in many groups, and each copy gets a place of its own."""
     monkeypatch.setattr(packing, "PER_SALT", 50)
     rows = spark.range(0, 3000, 1, 4).select(F.lit(7).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(20).cast("long").alias("length"), F.lit(1).cast("long").alias("ids_crc32"))
-    got = packing.pack(rows, 64).collect()
+    clash = {c: F.lit(c) for c in ("_salt", "_n", "_before", "_k", "_rank", "offset")}
+    got = packing.pack(rows.withColumns(clash), 64).collect()
+    assert all((r._salt, r._n, r._before, r._k, r._rank) == ("_salt", "_n", "_before", "_k", "_rank") for r in got)
     assert len({(r.sequence_id, r.offset) for r in got}) == 3000 and {r.offset for r in got} == {0, 20, 40} and len({r.sequence_id for r in got}) == 1000
 
 
