@@ -162,27 +162,25 @@ def _folded(rows: DataFrame, by: list[str]) -> DataFrame:
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, fold, types = None, LabelledFold(), None
+        now, fold, types, done = None, LabelledFold(), None, []
 
         def out() -> pa.RecordBatch:
-            cols = list(zip(*fold.rows, strict=True))
-            return (
-                pa.record_batch(
-                    [*(pa.array([x] * len(fold.rows), t) for x, t in zip(now, types, strict=True)), *(pa.array(c, pa.int64()) for c in cols)],
-                    names=[*by, "st", "en", "label"],
-                )
-            )
+            cols = list(zip(*done, strict=True))
+            done.clear()
+            return pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[*by, "st", "en", "label"])
 
         for b in batches:
-            types = [b.schema.field(c).type for c in by]
+            types = [*(b.schema.field(c).type for c in by), *[pa.int64()] * 3]
             groups = zip(*(b.column(c).to_pylist() for c in by), strict=True)
             for name, row in zip(groups, zip(*(b.column(c).to_pylist() for c in ("st", "en", "label")), strict=True), strict=True):
                 if name != now:
-                    if fold.rows:
-                        yield out()
+                    done += [(*now, *x) for x in fold.rows]
                     now, fold = name, LabelledFold()
                 fold.add(*row)
-        if fold.rows:
+            if len(done) >= 10_000:
+                yield out()
+        done += [(*now, *x) for x in fold.rows]
+        if done:
             yield out()
 
     dealt = rows.select(*by, "st", "en", "label").repartition(*by).sortWithinPartitions(*by, "st")
