@@ -51,6 +51,8 @@ class Options:
     max_gq: int = 60
     te_kmer: int = 15
     window: int = 500_000
+    #: Alleles of reads at sites that one phasing group takes; a deeper window is parted at positions.
+    max_window_rows: int = 5_000_000
     reference_flank: int = 50_000
     is_ont: bool = False
     amb_bases: bool = False

@@ -250,6 +250,7 @@ class Analysis:
     events: DataFrame  # contig, read_id, rev, site key, low_qual: every difference of every read
     seen: DataFrame  # contig, site_id, read_id, alt, rev, bq: every spanning read at every site
     regions: DataFrame  # noisy regions
+    windows: DataFrame  # work_windows()
     counted: DataFrame  # sites outside of them, with counters, bases and category
     variants: DataFrame  # clean germline candidates with chunk and var_id
     profile: DataFrame  # contig, chunk, read_id, read_rank, var_id, allele
@@ -257,6 +258,28 @@ class Analysis:
     var_haps: DataFrame  # contig, chunk, var_id, phase_set, hap1, hap2
 
 
+def work_windows(clean: DataFrame, contigs: DataFrame, o: Options) -> DataFrame:
+    """contig, base, carry, begs: the windows of all contigs. One whose sites (contig, pos, total_cov) have more than max_window_rows alleles of reads is parted:
+    `begs` are the positions where its parts begin, and `carry` how many parts more than windows lie before it on the contig."""
+    base = F.floor((F.col("pos") - 1) / o.window).cast("long").alias("base")
+    before = Window.partitionBy("contig", "base").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    sized = clean.select("contig", base, "pos", "total_cov").withColumn("_part", F.floor(F.coalesce(F.sum("total_cov").over(before), F.lit(0)) / o.max_window_rows))
+    begin = sized.groupBy("contig", "base", "_part").agg(F.min("pos").alias("beg"))
+    begs = begin.groupBy("contig", "base").agg(F.array_sort(F.collect_set("beg")).alias("begs"))
+    every = contigs.select("contig", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.greatest(F.col("length") - 1, F.lit(0)) / o.window).cast("long"))).alias("base"))
+    earlier = Window.partitionBy("contig").orderBy("base").rowsBetween(Window.unboundedPreceding, -1)  # windows of a contig, a few hundred
+    more = F.greatest(F.coalesce(F.size("begs"), F.lit(1)) - 1, F.lit(0))
+    return every.join(begs, ["contig", "base"], "left").withColumn("carry", F.coalesce(F.sum(more).over(earlier), F.lit(0)))
+
+
+def in_windows(sites_: DataFrame, windows: DataFrame, o: Options) -> DataFrame:
+    """Adds `chunk`: the window, or part of one, that a position lies in. Neighbouring parts have neighbouring numbers, so stitching goes over them as over windows."""
+    at = sites_.withColumn("base", F.floor((F.col("pos") - 1) / o.window).cast("long")).join(windows, ["contig", "base"], "left")
+    part = F.greatest(F.size(F.filter(F.coalesce("begs", F.array().cast("array<long>")), lambda b: b <= F.col("pos"))) - 1, F.lit(0))
+    chunk = (F.col("base") + F.coalesce("carry", F.lit(0)) + part).cast("long").alias("chunk")
+    return at.select(*sites_.columns, chunk)
+
+
 def analyse(reads: DataFrame, contigs: DataFrame, reference: DataFrame, o: Options = HIFI) -> Analysis:
     """Everything up to phased reads and variants. Work on a window of o.window bases is one group; everything else is joins and aggregates."""
     rows = decoded(reads, contigs, reference, o)
@@ -279,7 +302,9 @@ def analyse(reads: DataFrame, contigs: DataFrame, reference: DataFrame, o: Optio
     counted = cut(judged.join(contained(judged, regions), ["contig", "site_id"], "left_anti"))
 
     order = Window.partitionBy("contig", "chunk").orderBy(F.struct("pos", "vtype", "ref_len", "alt_len", "alt_seq"))
-    clean = counted.filter(F.col("category").isin("N", "I", "H")).withColumn("chunk", F.floor((F.col("pos") - 1) / o.window).cast("long"))
+    clean = counted.filter(F.col("category").isin("N", "I", "H"))
+    windows = cut(work_windows(clean, contigs, o))
+    clean = in_windows(clean, windows, o)
     variants = cut(clean.withColumn("var_id", F.row_number().over(order).cast("long")))
     alleles = matrix(seen, variants, rows, events, o).join(variants.select("contig", "site_id", "chunk", "var_id"), ["contig", "site_id"])
     profile = (
@@ -294,7 +319,7 @@ def analyse(reads: DataFrame, contigs: DataFrame, reference: DataFrame, o: Optio
             o,
         )
     )
-    return Analysis(rows, events, seen, regions, counted, variants, profile, read_haps, var_haps)
+    return Analysis(rows, events, seen, regions, windows, counted, variants, profile, read_haps, var_haps)
 
 
 #: What genotype() reads.
@@ -324,7 +349,7 @@ def calls_of(a: Analysis, reference: DataFrame, o: Options = HIFI) -> tuple[Data
     else:
         sweep = 0
         while True:  # each sweep but the last calls a region more
-            variants, haps, of = together(clean, told, hard, alleles, o)
+            variants, haps, of = together(a, clean, told, hard, alleles, o)
             left = cut(a.regions.join(hard.select("contig", "region_id").distinct(), ["contig", "region_id"], "left_anti"))
             sweep += 1
             late, late_alleles = (cut(x) for x in from_noisy(a, left, haps, reference, o, sweep))
@@ -342,11 +367,11 @@ def calls_of(a: Analysis, reference: DataFrame, o: Options = HIFI) -> tuple[Data
     return genotype.final_filter(of_kind(True).unionByName(of_kind(False)), o).dropDuplicates(["contig", "pos", "ref", "alt"]), haps.join(who, "read_id")
 
 
-def together(clean: DataFrame, told: DataFrame, hard: DataFrame, alleles: DataFrame, o: Options) -> tuple[DataFrame, DataFrame, DataFrame]:
+def together(a: Analysis, clean: DataFrame, told: DataFrame, hard: DataFrame, alleles: DataFrame, o: Options) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Clean and noisy variants in one order, and the haplotypes of reads and variants that both give."""
     extra = (
-        hard.select(
-            "contig", F.floor((F.col("pos") - 1) / o.window).cast("long").alias("chunk"), "key", "pos", "vtype", "ref_len", "alt_len",
+        in_windows(hard, a.windows, o).select(
+            "contig", "chunk", "key", "pos", "vtype", "ref_len", "alt_len",
             "alt_seq", "ref_cov", "alt_cov", F.when(F.col("haps") == 3, phasing.NOISY_HOM).otherwise(phasing.NOISY_HET).alias("category"),
             F.lit(False).alias("is_hp"), "bases", F.lit(False).alias("clean"),
         )

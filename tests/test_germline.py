@@ -125,6 +125,21 @@ def test_calls(spark, made):
     assert all(x.count("\t") == 9 for x in lines)
 
 
+def test_deep_windows_are_parted(spark, made):
+    """With few alleles to a group, the only window becomes many parts, and calls and phase stay."""
+    from dataclasses import replace
+
+    reads, contigs, bins, ref, truth = made
+    a = germline.analyse(reads, contigs, bins, replace(HIFI, max_window_rows=200))
+    parts = [r.chunk for r in a.variants.select("chunk").distinct().orderBy("chunk").collect()]
+    assert len(parts) > 4 and parts == list(range(len(parts)))
+    got = {(r.pos, r.ref, r.alt): (r.gt, r.ps) for r in germline.calls_of(a, bins, replace(HIFI, max_window_rows=200))[0].collect()}
+    whole = {(r.pos, r.ref, r.alt): (r.gt, r.ps) for r in germline.call(reads, contigs, bins, HIFI)[0].collect()}
+    assert set(got) == set(whole)
+    het = {k for k, (gt, _) in whole.items() if gt in ("0|1", "1|0")}
+    assert len({got[k][1] for k in het}) <= 2 and len({got[k][0] == whole[k][0] for k in het if 2000 < k[0] < 22_000}) == 1
+
+
 def test_indel_in_a_repeat_is_called(spark):
     """A heterozygous deletion of one unit of a tandem repeat, away from dense stretches."""
     rnd, ref, _, _ = simulate(seed=7, n=12_000)
