@@ -202,6 +202,25 @@ def read_events(spark, d):
     )
 
 
+#: The same reads with M operations, told by a cs tag, a MD tag or the reference alone.
+@query(f"""WITH t AS ({LINES}), k AS (SELECT *, unnest(['cs', 'MD', 'reference']) AS told FROM t)
+ SELECT read_id, line, told, 'S' || clip || ' ' || pos || ':0,=' || n || ' ' || pos || ':' || clip || ',X1 ' || (pos + n) || ':' || (clip + n) || ',I' || ins || ' ' || (pos + n + 1) || ':' || (clip + n + 1)
+  || ',=' || mid || ' ' || (pos + n + 1) || ':' || (clip + n + 1 + ins) || ',D' || del || ' ' || (pos + n + 1 + mid) || ':' || (clip + n + 1 + ins + mid) || ',=4 ' || (pos + n + 1 + mid + del) || ':' || (clip + n + 1 + ins + mid) AS events FROM k""")
+def read_decoders(spark, d):
+    from helixloom.operators.decode import decode
+
+    many = lambda letter, c: F.repeat(F.lit(letter), F.col(c).cast("int"))
+    plain = F.concat("clip", F.lit("S"), F.col("n") + 1, F.lit("M"), "ins", F.lit("I"), "mid", F.lit("M"), "del", F.lit("D4M"))
+    cs = F.concat(F.lit(":"), "n", F.lit("*ca+"), many("a", "ins"), F.lit(":"), "mid", F.lit("-"), many("g", "del"), F.lit(":4"))
+    md = F.concat("n", F.lit("C"), "mid", F.lit("^"), many("G", "del"), F.lit("4"))
+    ref = F.concat(many("A", "n"), F.lit("C"), many("A", "mid"), many("G", "del"), F.lit("AAAA"))
+    rows = _aligned(spark, d).withColumn("cigar", plain).withColumn("told", F.explode(F.array(F.lit("cs"), F.lit("MD"), F.lit("reference"))))
+    tags = F.when(F.col("told") == "cs", F.create_map(F.lit("cs"), cs)).when(F.col("told") == "MD", F.create_map(F.lit("MD"), md)).otherwise(F.col("tags"))
+    rows = rows.withColumn("tags", tags).withColumn("ref_seq", F.when(F.col("told") == "reference", ref)).withColumn("ref_beg", F.col("pos"))
+    text = F.array_join(F.transform("events", lambda e: F.concat(e["op"], e["len"], F.lit(" "), e["pos"], F.lit(":"), e["qi"])), ",")
+    return decode(rows, HIFI).select("read_id", "line", "told", text.alias("events"))
+
+
 @query(f"WITH t AS ({LINES}) SELECT read_id, line, qname, sam FROM (SELECT read_id, line, read_id || '/' || line AS qname, clip || 'S' || n || '=1X' || ins || 'I' || mid || '=' || del || 'D4=' AS cigar, pos, repeat('A', CAST(clip + n + 1 + ins + mid + 4 AS INT)) AS seq, concat_ws(chr(9), qname, '0', 'c', pos, '60', cigar, '*', '0', '0', seq, '*') AS sam FROM t)")
 def sam_lines(spark, d):
     lines = (
@@ -256,6 +275,39 @@ def haplotags(spark, d):
     return out.select("qname", F.col("tags")["HP"].alias("hp"), F.col("tags")["PS"].alias("ps"), F.col("tags")["XX"].alias("xx"))
 
 
+#: Reads of one stretch of matches between a clip of ten bases or more and a contig's end: a clip beyond thirty makes the next hundred bases noisy and counts as an event; a read of too many of either is skipped.
+@query(f"""WITH t AS ({LINES}), c AS (SELECT *, clip * 10 > 30 AS long, clip * 10 > 30 AND pos > 10 AS noisy FROM t)
+ SELECT read_id, line, CASE WHEN noisy THEN pos - 1 ELSE -1 END AS st, CASE WHEN noisy THEN least(pos + n * 5 - 1, pos + 99) ELSE -1 END AS en, (NOT noisy OR least(n * 5, 100) + 1 <= 0.5 * n * 5) AND CASE WHEN long THEN 1 ELSE 0 END <= 0.05 * n * 5 AS kept FROM c""")
+def read_noise(spark, d):
+    """Noisy intervals of clipped reads, and which reads stay."""
+    from helixloom.operators.decode import decode
+
+    size = (F.col("clip") * 10 + F.col("n") * 5).cast("int")
+    rows = _aligned(spark, d).withColumn("cigar", F.concat(F.col("clip") * 10, F.lit("S"), F.col("n") * 5, F.lit("="))).withColumn("seq", F.repeat(F.lit("A"), size))
+    rows = decode(rows.withColumn("end", F.col("pos") + F.col("n") * 5 - 1), HIFI)
+    first = F.get("noisy", F.lit(0))
+    return rows.select("read_id", "line", F.coalesce(first["st"], F.lit(-1)).alias("st"), F.coalesce(first["en"], F.lit(-1)).alias("en"), "kept")
+
+
+SINGLES = "SELECT 'c' || l_suppkey % 3 AS contig, l_partkey // 100 AS region_id, l_partkey AS pos, CASE l_linenumber % 2 WHEN 0 THEN 1 ELSE 8 END AS vtype, 0 AS ref_len, 1 AS alt_len, l_returnflag AS alt_seq, l_orderkey AS read_id FROM lineitem WHERE l_quantity > 30"
+
+
+@query(f"WITH t AS ({SINGLES}) SELECT contig, region_id, pos, vtype, ref_len, alt_len, alt_seq, count(DISTINCT read_id) AS alt_cov FROM t GROUP BY ALL HAVING count(DISTINCT read_id) >= 2")
+def region_candidates(spark, d):
+    """Differences of noisy regions that enough single reads share."""
+    from helixloom.operators.noisy import read_candidates
+
+    called = b.view(spark, d, SINGLES.replace("//", "DIV"), "lineitem").withColumn("kind", F.lit("single"))
+    return read_candidates(called.unionByName(called.withColumn("kind", F.lit("allele"))), ["contig"], HIFI)
+
+
+@query("SELECT l_orderkey AS read_id, l_linenumber AS line, l_partkey AS part, l_suppkey AS supp, round(log10(greatest(pow(10, -l_quantity * 10), 1e-300)), 6) AS log_p FROM lineitem")
+def clamped_logs(spark, d):
+    line = b.table(spark, d, "lineitem")
+    p = F.pow(F.lit(10.0), -F.col("l_quantity") * 10)
+    return line.select(F.col("l_orderkey").alias("read_id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"), F.round(stats.clamped_log10(p), 6).alias("log_p"))
+
+
 @query(f"WITH t AS ({LINES}) SELECT read_id, line, clip >= 4 AND abs(place - pos) <= 30 AS near FROM (SELECT *, pos + n AS place FROM t)")
 def long_clips(spark, d):
     """A clip of four bases at a read's end within thirty of a place."""
