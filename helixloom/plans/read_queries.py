@@ -384,6 +384,35 @@ def somatic_filters(spark, d):
     return somatic.evidence(e, []).join(at, "var_id").select("var_id", "n_alt", somatic.passes(HIFI).alias("passes"))
 
 
+#: Qualities go round forty by steps of seven along a read. The mismatch is the site; half of the reads know the insertion behind it as a variant.
+QUAL = "(({0}) * 7 + read_id) % 40"
+
+
+@query(f"""WITH t AS ({LINES}), q AS (SELECT *, clip + n AS qi, clip + n + 1 + ins + mid + 4 AS size FROM t),
+ w AS (SELECT read_id, line, min({QUAL.format("x")}) AS window_qual FROM (SELECT *, unnest(range(greatest(0, qi - 3), least(size, qi + 4))) AS x FROM q) GROUP BY 1, 2)
+ SELECT q.read_id, q.line, CASE WHEN {QUAL.format("qi").replace("read_id", "q.read_id")} < 10 THEN 0 ELSE {QUAL.format("qi").replace("read_id", "q.read_id")} END AS qual, w.window_qual,
+ CASE WHEN q.read_id % 2 = 0 THEN least(10, 1 + mid) ELSE 1 END AS indel_distance, 0 AS dense, 0 AS near_clip FROM q JOIN w ON q.read_id = w.read_id AND q.line = w.line""")
+def read_evidence(spark, d):
+    """Evidence of single reads for a SNV: event and window qualities, the nearest gap that is no variant, dense differences, clips."""
+    from helixloom.operators import evidence
+    from helixloom.operators.decode import decode
+
+    byte = lambda i: F.lpad(F.hex((i * 7 + F.col("read_id")) % 40), 2, "0")
+    rows = _aligned(spark, d).withColumn("qual", F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.length("seq") - 1), byte), "")))
+    rows = decode(rows, HIFI).withColumn("e", F.element_at(F.filter("events", lambda e: e["op"] == "X"), 1))
+    known = F.struct(
+        (F.col("pos") + F.col("n") + 1).alias("pos"), F.lit("I").alias("op"), F.col("ins").cast("int").alias("len"), F.lit("").alias("alt"),
+        F.lit(0).cast("long").alias("phase_set"), F.lit(0).alias("hap1"), F.lit(0).alias("hap2"),
+    )
+    none = F.lit(None)
+    told = evidence.of_reads(rows.select(
+        "read_id", F.col("line").cast("long").alias("var_id"), F.lit(False).alias("rev"), F.col("e.pos").alias("pos"), F.col("e.op").alias("op"), F.col("e.len").alias("len"), F.col("e.qi").alias("qi"),
+        F.col("e.low_qual").alias("low_qual"), "events", "seq", "qual", F.when(F.col("read_id") % 2 == 0, F.array(known)).alias("known"), none.cast("string").alias("hap_seq"),
+        none.cast("long").alias("hap_lo"), F.lit("A").alias("alt"), F.lit("C").alias("ref"), F.lit(1).alias("hap"), F.lit(0).cast("long").alias("phase_set"),
+    ))
+    return told.select("read_id", F.col("var_id").alias("line"), "qual", "window_qual", "indel_distance", "dense", "near_clip")
+
+
 COUNTED = "SELECT l_partkey AS pos, count(*) FILTER (l_returnflag = 'R' AND l_linestatus = 'F') AS a, count(*) FILTER (l_returnflag = 'R' AND l_linestatus <> 'F') AS b, count(*) FILTER (l_returnflag <> 'R' AND l_linestatus = 'F') AS c, count(*) FILTER (l_returnflag <> 'R' AND l_linestatus <> 'F') AS e FROM lineitem GROUP BY 1"
 
 
