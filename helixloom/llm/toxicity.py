@@ -209,6 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, p: Parameters | None = None) -> Mode
     )
     got = held.select("toxic", "_k", "text").toArrow().sort_by([("toxic", "ascending"), ("_k", "ascending")])
     rows = list(zip(got["text"].to_pylist(), got["toxic"].to_pylist(), strict=True))
+    del got
     return train(rows, p, shares.get(1, 0) / total if total else 0.5)
 
 
