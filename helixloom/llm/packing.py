@@ -31,6 +31,8 @@ from helixloom.llm.merges import Merges
 
 #: Pieces that one salt of a length holds on average.
 PER_SALT = 500
+#: Characters that the tokenizers library takes at a time; it holds 50 to 280 bytes for each until its call is over.
+LIBRARY_CHARS = 1 << 17
 
 
 def byte_chars() -> list[str]:
@@ -51,6 +53,7 @@ class WordBPE:
     LETTER, NUMBER = re.compile("[a-zªµºß-öø-ÿ]"), re.compile("[0-9²³¹¼-¾]")
     PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
     BEYOND = re.compile("[^\x00-\x1b\x20-\xff]")
+    SPACE = re.compile("[\t-\r ]")
 
     def __init__(self, path: str):
         with open(path) as f:
@@ -104,6 +107,18 @@ class WordBPE:
             to = (np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(n_pieces)])] * 4).tolist()
             self.cache.learn(many, [data[a:b] for a, b in zip(to, to[1:], strict=False)])
 
+    @classmethod
+    def _parts(cls, text: str) -> Iterator[str]:
+        """The text cut before white space, over which no token, no special token and no composed character reaches, so the parts' ids are the text's.
+
+        A part ends at the first white space from LIBRARY_CHARS on; what holds none stays whole.
+        """
+        at = 0
+        while space := cls.SPACE.search(text, at + LIBRARY_CHARS):
+            yield text[at : space.start()]
+            at = space.start()
+        yield text[at:]
+
     def _by_library(self, many: list[str]) -> list[bytes]:
         if self.library is None:
             import os
@@ -112,14 +127,34 @@ class WordBPE:
             from tokenizers import Tokenizer
 
             self.library = Tokenizer.from_file(self.path)
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.library.encode_batch(many, add_special_tokens=False)]
+        out: list[list[bytes]] = [[] for _ in many]
+        rows: list[int] = []
+        parts: list[str] = []
+
+        def run() -> None:
+            for k, e in zip(rows, self.library.encode_batch(parts, add_special_tokens=False), strict=True):
+                out[k].append(np.asarray(e.ids, "<u4").tobytes())
+            rows.clear()
+            parts.clear()
+
+        size = 0
+        for k, text in enumerate(many):
+            for part in self._parts(text):
+                if parts and size + len(part) > LIBRARY_CHARS:
+                    run()
+                    size = 0
+                rows.append(k)
+                parts.append(part)
+                size += len(part)
+        if parts:
+            run()
+        return [b"".join(x) for x in out]
 
     def encode(self, many: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
         odd = [k for k, x in enumerate(many) if (not x.isascii() and self.BEYOND.search(x)) or (x.isascii() and any(c in x for c in "\x1c\x1d\x1e\x1f")) or any(c in x for c in self.special)]
-        split = [x.lower().split() for x in many]
-        for k in odd:
-            split[k] = []
+        beyond = set(odd)
+        split = [[] if k in beyond else x.lower().split() for k, x in enumerate(many)]
         if new := self.cache.new_of(split):
             self._learn(new)
         get = self.cache.__getitem__

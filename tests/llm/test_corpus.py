@@ -141,6 +141,31 @@ def test_special_strings_go_as_the_library_takes_them():
     assert got == [lib.encode(t, add_special_tokens=False).ids for t in SPECIAL] and 49407 in got[0]
 
 
+def test_the_library_takes_a_bounded_part_at_a_time(monkeypatch):
+    """Many texts that only the library encodes, and a long one, go to it in parts; the ids are those of the whole texts."""
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    lib = Tokenizer.from_file(path)
+    taken = []
+
+    class Seen:
+        def encode_batch(self, many, **kw):
+            taken.append([len(x) for x in many])
+            return lib.encode_batch(many, **kw)
+
+    words = ["don't", "a\u0301", "\u0301b", "\u03a3\u03a3", "\u65e5\u672c\u3002", "<|endoftext|>", "x<|startoftext|>y", "12\u0663", "\u2014", "\U0001f600!", "It's", "\u1100\u1161", "\u0130"]
+    spaces = [" ", "  ", "\n", "\r\n", "\t", "\u00a0", "\u3000", "\x0b", "\x1d", " \u2028"]
+    many = ["".join(RND.choice(words) + RND.choice(spaces) for _ in range(n)) + "\u2014" for n in [*[30] * 60, 900]] + [*SPECIAL, "\u2014", " \u2014", "\u65e5" * 500]
+    monkeypatch.setattr(packing, "LIBRARY_CHARS", 200, raising=False)
+    own = packing.WordBPE(path)
+    own.library = Seen()
+    got = [np.frombuffer(x, "<u4").tolist() for x in own.encode(many)]
+    assert got == [lib.encode(t, add_special_tokens=False).ids for t in many]
+    assert all(sum(x) <= 200 or len(x) == 1 for x in taken) and max(map(max, taken)) == 500  # one holds no white space to be cut before
+    assert sorted(max(x) for x in taken)[-2] <= 300  # a part ends at the first such white space from 200 on
+
+
 def test_copies_of_a_piece_are_dealt_over_salts(spark, monkeypatch):
     """A length that one repeated row fills is ranked in many groups, and each copy gets a place of its own."""
     monkeypatch.setattr(packing, "PER_SALT", 50)
