@@ -218,6 +218,7 @@ def read_decoders(spark, d):
     tags = F.when(F.col("told") == "cs", F.create_map(F.lit("cs"), cs)).when(F.col("told") == "MD", F.create_map(F.lit("MD"), md)).otherwise(F.col("tags"))
     rows = rows.withColumn("tags", tags).withColumn("ref_seq", F.when(F.col("told") == "reference", ref)).withColumn("ref_beg", F.col("pos"))
     text = F.array_join(F.transform("events", lambda e: F.concat(e["op"], e["len"], F.lit(" "), e["pos"], F.lit(":"), e["qi"])), ",")
+    rows = rows.drop("qname", "mapq", "clip", "n", "ins", "mid", "del")  # what goes through Python comes back
     return decode(rows, HIFI).select("read_id", "line", "told", text.alias("events"))
 
 

@@ -345,3 +345,73 @@ def test_alike_gaps():
     assert alike(INS, (100, 40, unit * 5), (120, 40, (unit * 5)[3:] + unit[:3])) and not alike(INS, (100, 40, unit * 5), (120, 40, "G" * 40))
     assert not alike(INS, (100, 40, unit * 5), (141, 40, unit * 5)) and not alike(INS, (100, 40, unit * 5), (100, 60, unit * 7 + "ACGT"))
     assert alike(DEL, (100, 50, ""), (150, 45, "")) and not alike(DEL, (100, 50, ""), (151, 45, ""))
+
+
+def test_batch_decoder_equals_read_by_read():
+    import random
+
+    import pyarrow as pa
+
+    from helixloom.config import ONT
+    from helixloom.operators import decode_batch
+
+    rnd, reads, clip = random.Random(5), [], lambda: rnd.choice(["", "", "4S", "60S", "70H", "20H40S"])
+    for k in range(3000):
+        ref = "".join(rnd.choice("ACGT") for _ in range(rnd.randint(10, 150)))
+        head, tail, at, ops, seq, cs, md, run = clip(), clip(), 0, [], "", "", "", 0
+        while at < len(ref):
+            kind, n = rnd.choice("=====XXIIDDN" if k % 3 else "==XIDP"), rnd.randint(1, 12)
+            n = min(n, len(ref) - at)
+            if kind == "=":
+                seq, cs, run = seq + ref[at : at + n], cs + f":{n}", run + n
+            elif kind == "X":
+                other = ref[at : at + n].translate(str.maketrans("ACGT", "CGTA"))
+                seq, cs = seq + other, cs + "".join(f"*{a}{b}" for a, b in zip(ref[at : at + n].lower(), other.lower(), strict=True))
+                md, run = md + "".join(f"{run if i == 0 else 0}{c}" for i, c in enumerate(ref[at : at + n])), 0
+            elif kind == "I":
+                seq, cs = seq + "T" * n, cs + "+" + "t" * n
+            elif kind == "D":
+                cs, md, run = cs + "-" + ref[at : at + n].lower(), md + f"{run}^{ref[at : at + n]}", 0
+            elif kind == "N":
+                cs += f"~gt{n}ag"
+            ops.append(f"{n}{kind}")
+            at += n if kind in "=XDN" else 0
+        md += str(run)
+        seq = "G" * (int(head[-3:-1]) if head[-1:] == "S" and len(head) > 2 else 4 if head else 0) * (head[-1:] == "S") + seq
+        seq += "G" * sum(int(n) for n, op in __import__("re").findall(r"(\d+)([SH])", tail) if op == "S")
+        way, cigar, tags = k % 7, head + "".join(ops) + tail, {"SA": f"c,{90 + k % 20},+,{len(ref)}M,60,0;"} if k % 5 == 0 else {}
+        if way > 1:
+            cigar = cigar.replace("=", "M").replace("X", "M")
+        if way in (2, 6):
+            tags["cs"] = cs if k % 11 else cs[:-1] + rnd.choice(["", "?", ":0", "=AC"])
+        if way in (3, 6):
+            tags["MD"] = md if k % 11 else rnd.choice(["", "5", md + "9", md[:-1] + "^", md.replace("0", "")])
+        if k % 13 == 0:
+            cigar = rnd.choice(["*", "", cigar + "3", cigar + "0M", "M" + cigar, cigar + "1I", cigar.replace("D", "Q")])
+        qual = bytes(rnd.choice((5, 40)) for _ in seq)[: rnd.choice((None, None, len(seq) // 2, 0))]
+        lone = len(cigar) < 2 or way in (4, 5)
+        reads.append({
+            "contig": "c", "pos": rnd.choice((5, 100)), "flag": rnd.choice((0, 16)), "cigar": cigar, "seq": rnd.choice((seq, seq, seq, seq, "*")) if not lone else seq, "qual": qual, "tags": list(tags.items()),
+            "ref_seq": ref[: rnd.choice((None, 9))] if way in (4, 6) else None, "ref_beg": 100, "contig_length": rnd.choice((300, 1 << 40)),
+        })
+        reads[-1]["end"] = reads[-1]["pos"] + len(ref) - 1
+    kinds = {"contig": pa.string(), "pos": pa.int64(), "end": pa.int64(), "flag": pa.int32(), "cigar": pa.string(), "seq": pa.string(), "qual": pa.binary(), "tags": pa.map_(pa.string(), pa.string()), "ref_seq": pa.string(), "ref_beg": pa.int64(), "contig_length": pa.int64()}
+    whole, missed = pa.RecordBatch.from_arrays([pa.array([r[c] for r in reads], t) for c, t in kinds.items()], names=list(kinds)), 0
+    for o in (HIFI, ONT):
+        got = []
+        for b in (whole.slice(0, 1), whole.slice(1, 0), *decode_batch.parts(whole.slice(1), ["cigar", "seq"])):
+            got += zip(*(x.to_pylist() for x in decode_batch.decoded(b, o)), strict=True) if b.num_rows else []
+        for r, (events, noisy, n, kept) in zip(reads, got, strict=True):
+            tags = dict(r["tags"])
+            try:
+                e = events_of(r["pos"], r["cigar"], "" if r["seq"] == "*" else r["seq"], r["qual"], tags, r["ref_seq"], r["ref_beg"], o)
+            except BadAlignment:
+                e, missed = [], missed + 1
+            clips = (True, True)
+            if o.is_ont and palindrome(r["pos"], r["end"], tags.get("SA", ""), "c"):
+                clips = (False, True) if r["flag"] & 16 else (True, False)
+            spans, m = noisy_of(e, r["pos"], r["end"], r["contig_length"], o, clips) if e else ([], 0)
+            assert events == [x._asdict() for x in e], r
+            assert [tuple(x.values()) for x in noisy] == spans, r
+            assert (n, kept) == (m, bool(e) and keeps(spans, m, r["pos"], r["end"], o)), r
+    assert 200 < missed < 4000
