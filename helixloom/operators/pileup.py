@@ -66,15 +66,11 @@ def cover(sites: DataFrame, reads: DataFrame, alleles: DataFrame, keys: list[str
 
 
 def noisy_read_ratio(regions: DataFrame, reads: DataFrame, events: DataFrame, keys: list[str], width: int) -> DataFrame:
-    """For each region (keys, region_id, st, en): reads that overlap it, those with an event in it, and their ratio."""
-    from helixloom.operators.intervals import overlap_join
+    """For each region (keys, region_id, st, en; ids are distinct within keys): reads that overlap it, those with an event in it, and their ratio."""
+    from helixloom.operators.intervals import overlap_distinct
 
-    of = lambda other, name: overlap_join(regions.select(*keys, "region_id", "st", "en"), other.select(*keys, "read_id", "st", "en"), keys, width).groupBy(*keys, F.col("a_region_id").alias("region_id")).agg(F.countDistinct("b_read_id").alias(name))
-    both = (
-        of(reads, "n_reads").join(of(events, "n_noisy"), [*keys, "region_id"], "left")
-        .withColumn("n_noisy", F.coalesce("n_noisy", F.lit(0)))
-    )
-    return both.withColumn("ratio", F.col("n_noisy") / F.col("n_reads"))
+    n = overlap_distinct(regions.select(*keys, "region_id", "st", "en"), "region_id", {"n_reads": reads, "n_noisy": events}, "read_id", keys, width)
+    return n.filter("n_reads > 0").withColumn("ratio", F.col("n_noisy") / F.col("n_reads"))
 
 
 def supported(ratios: DataFrame, o: Options) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,6 +79,25 @@ def plain_labelled_fold(rows):
     return sorted(rows)
 
 
+def test_distinct_overlaps_make_no_pairs(spark):
+    """Counts as from all pairs, with intervals of no length and behind their own ends, and a plan without a join."""
+    from helixloom.operators import pileup
+
+    rnd = np.random.default_rng(3)
+    made = lambda n: [(int(g), int(i), int(st), int(st + w)) for g, i, st, w in zip(rnd.integers(0, 2, n), rnd.integers(0, 25, n), rnd.integers(-200, 900, n), rnd.choice([-30, -2, 0, 0, 1, 5, 40, 90, 400], n), strict=True)]
+    regions = [(g, k, st, en) for k, (g, _, st, en) in enumerate(made(400))]
+    reads, events = made(300), made(60)
+    df = lambda rows, name: spark.createDataFrame(rows + [(None, 1, 5, 9)], f"grp int, {name} long, st long, en long")
+    got = pileup.noisy_read_ratio(df(regions, "region_id"), df(reads, "read_id"), df(events, "read_id"), ["grp"], 3)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = {}
+    for g, k, st, en in regions:
+        n, m = (len({i for h, i, a, b in rows if h == g and st < b and a < en}) for rows in (reads, events))
+        if n:
+            want[g, k] = (n, m, m / n)
+    assert {(r.grp, r.region_id): (r.n_reads, r.n_noisy, r.ratio) for r in got.collect()} == want
+
+
 def test_labelled_fold_equals_pair_by_pair_merging():
     rng = random.Random(3)
     for k in range(300):
