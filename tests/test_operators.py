@@ -98,6 +98,17 @@ def test_distinct_overlaps_make_no_pairs(spark):
     assert {(r.grp, r.region_id): (r.n_reads, r.n_noisy, r.ratio) for r in got.collect()} == want
 
 
+def test_overlap_numbers_make_no_pairs(spark):
+    """Of equal begins, intervals of no length and behind their own ends as well; the query's plan has no join."""
+    rnd = np.random.default_rng(4)
+    rows = [(int(g), int(i), int(st), int(st + w)) for g, i, st, w in zip(rnd.integers(0, 2, 500), rnd.permutation(500), rnd.integers(-60, 300, 500), rnd.choice([-30, -2, 0, 0, 1, 5, 40, 90], 500), strict=True)]
+    df = spark.createDataFrame(rows + [(0, 600, None, 9)], "grp int, id long, st long, en long")
+    got = intervals.overlap_later(df, ["grp"], 3).groupBy("grp", "id", "st").agg(F.sum("n").alias("n")).collect()
+    want = {(g, i, st): n for g, i, st, en in rows if (n := sum(h == g and j > i and st < b and a < en for h, j, a, b in rows))}
+    assert {(r.grp, r.id, r.st): r.n for r in got} == want
+    assert "Join" not in QUERIES["interval_overlap_days"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_labelled_fold_equals_pair_by_pair_merging():
     rng = random.Random(3)
     for k in range(300):
