@@ -98,6 +98,11 @@ def test_distinct_overlaps_make_no_pairs(spark):
     assert {(r.grp, r.region_id): (r.n_reads, r.n_noisy, r.ratio) for r in got.collect()} == want
 
 
+def test_support_filter_makes_no_pairs(spark):
+    plan = QUERIES["noisy_support_filter"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "FlatMapGroupsInArrow" in plan
+
+
 def test_overlap_numbers_make_no_pairs(spark):
     """Of equal begins, intervals of no length and behind their own ends as well; the query's plan has no join."""
     rnd = np.random.default_rng(4)
