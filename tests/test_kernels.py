@@ -415,3 +415,32 @@ def test_batch_decoder_equals_read_by_read():
             assert [tuple(x.values()) for x in noisy] == spans, r
             assert (n, kept) == (m, bool(e) and keeps(spans, m, r["pos"], r["end"], o)), r
     assert 200 < missed < 4000
+
+
+def test_batch_evidence_equals_read_by_read():
+    import random
+
+    import pyarrow as pa
+
+    from helixloom.operators import decode_batch, evidence
+
+    rnd, rows = random.Random(7), []
+    for _ in range(2000):
+        at, events = 1000, []
+        for op, n in [(rnd.choice("SH="), rnd.choice((5, 150)))] + [(rnd.choice("=XID"), rnd.randint(1, rnd.choice((4, 40)))) for _ in range(rnd.randint(0, 14))] + [(rnd.choice("SH="), rnd.choice((5, 150)))]:
+            events.append(Event(at, op, n, rnd.randint(0, 90), "", rnd.random() < 0.2))
+            at += n if op in "=XD" else 0
+        e = rnd.choice(events)
+        known = rnd.choice([None, [], [(x.pos, x.op, x.len) for x in events if rnd.random() < 0.5], [(e.pos, "I", e.len + 1)]])
+        rows.append((e, rnd.choice([e.pos, rnd.randint(950, at + 150)]), events, known, rnd.choice([None, b"", bytes(rnd.randrange(41) for _ in range(rnd.randint(1, 100)))])))
+    event = decode_batch.EVENTS
+    mark = pa.list_(pa.struct([("pos", pa.int64()), ("op", pa.string()), ("len", pa.int32())]))
+    b = pa.record_batch({
+        "pos": pa.array([p for _, p, *_ in rows]), "op": pa.array([r[0].op for r in rows]), "len": pa.array([r[0].len for r in rows], pa.int32()), "qi": pa.array([r[0].qi for r in rows], pa.int32()), "low_qual": pa.array([r[0].low_qual for r in rows]),
+        "events": pa.array([[x._asdict() for x in r[2]] for r in rows], event), "known": pa.array([None if r[3] is None else [dict(zip(("pos", "op", "len"), k, strict=True)) for k in r[3]] for r in rows], mark), "qual": pa.array([r[4] for r in rows], pa.binary()),
+    })
+    got = list(zip(*(x.tolist() for x in evidence.plain(b.slice(3))), strict=True))
+    for (e, pos, events, known, qual), found in zip(rows[3:], got, strict=True):
+        own, known, qual = (e.op, e.qi, e.len), set(known or []), qual or b""
+        assert found == (evidence.event_quality(*own, qual, e.low_qual), evidence.window_quality(e.qi, qual), evidence.gap_distance(pos, events, known), evidence.dense(pos, events), evidence.near_clip(pos, events))
+    assert all(len({x[k] for x in got}) > 1 for k in range(5))
