@@ -98,6 +98,18 @@ def test_distinct_overlaps_make_no_pairs(spark):
     assert {(r.grp, r.region_id): (r.n_reads, r.n_noisy, r.ratio) for r in got.collect()} == want
 
 
+def test_profiles_are_dealt_by_size(spark, monkeypatch):
+    """Lines are grouped once, behind a shuffle whose parts grow in number with the table, not in size."""
+    from helixloom.plans import bindings
+
+    d = "/root/testdata/sf0.001"
+    for size in (10_000_000, 10_000):
+        monkeypatch.setattr(bindings, "SPREAD", size)
+        plan = bindings.profile(spark, d)._jdf.queryExecution().sparkPlan().toString()
+        parts = bindings.spread(bindings.table(spark, d, "lineitem"), "l_orderkey").rdd.getNumPartitions()
+        assert (parts == 4) == (size > 1_000_000) and "partkey" in plan and "REPARTITION_BY_NUM" in plan
+
+
 def test_support_filter_makes_no_pairs(spark):
     plan = QUERIES["noisy_support_filter"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "FlatMapGroupsInArrow" in plan
