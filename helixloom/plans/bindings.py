@@ -52,7 +52,7 @@ def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Bytes of a table's files for each part of spread().
-SPREAD = 8_000_000
+SPREAD = 2_000_000
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
